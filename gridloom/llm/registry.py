@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import quality
+from gridloom.llm import quality, simhash
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": quality.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op9_simhash": simhash.op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
