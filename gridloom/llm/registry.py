@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from gridloom.llm import quality, simhash
+from gridloom.llm import decontaminate, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_decontamination": decontaminate.op2_decontamination,
         "op9_simhash": simhash.op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL}
+    return {
+        "op1_quality_rules": quality.SQL,
+        "op2_decontamination": decontaminate.SQL,
+    }
