@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, decontaminate, lengths, quality, simhash
+from gridloom.llm import bpe, decontaminate, language, lengths, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_decontamination": decontaminate.op2_decontamination,
+        "op3_language_id": language.op3_language_id,
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op8_token_lengths": lengths.op8_token_lengths,
         "op9_simhash": simhash.op9_simhash,
