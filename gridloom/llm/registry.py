@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, decontaminate, language, lengths, quality, simhash, warc
+from gridloom.llm import bpe, chat, decontaminate, language, lengths, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_language_id": language.op3_language_id,
+        "op4_sharding": sharding.op4_sharding,
         "op5_warc": warc.op5_warc,
         "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op7_chat_snapshots": chat.op7_chat_snapshots,
         "op8_token_lengths": lengths.op8_token_lengths,
         "op9_simhash": simhash.op9_simhash,
     }
@@ -22,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality.SQL,
         "op2_decontamination": decontaminate.SQL,
         "op5_warc": warc.SQL,
+        "op7_chat_snapshots": chat.SQL,
     }
