@@ -357,6 +357,22 @@ def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     return _rows(docs, text, keep, fields, make)
 
 
+def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """``docs`` without its text, with ``ids`` and ``decodes``, whether they come back to the text's bytes."""
+    path = path or default_path()
+
+    def make():
+        def each(column: pa.Array) -> list[pa.Array]:
+            e = encoder(path)
+            texts = [t or b"" for t in column.to_pylist()]
+            found = e.encode(texts)
+            return [pa.array(found, pa.list_(pa.int32())), pa.array([e.decode(x) == t for x, t in zip(found, texts)])]
+
+        return each
+
+    return _rows(docs, text, keep, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decodes", T.BooleanType())], make)
+
+
 def token_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
     """``docs`` without its text, with n_tokens."""
     path = path or default_path()

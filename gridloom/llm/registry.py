@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, chat, decontaminate, language, lengths, quality, sharding, simhash, warc
+from gridloom.llm import bpe, chat, decontaminate, language, lengths, licenses, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_chat_snapshots": chat.op7_chat_snapshots,
         "op8_token_lengths": lengths.op8_token_lengths,
         "op9_simhash": simhash.op9_simhash,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
