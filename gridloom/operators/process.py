@@ -50,7 +50,7 @@ class RasterInput:
         if indexes is not None:
             want = [indexes] if isinstance(indexes, int) else list(indexes)
             rows = pd.concat([rows[rows["band"] == i] for i in want])
-        data = np.stack([np.array([np.nan if v is None else v for v in p], dtype=float).reshape(h, w) for p, h, w in zip(rows["pixels"], rows["height"], rows["width"])])
+        data = np.stack([np.array([np.nan if v is None else v for v in p], dtype=float).reshape(int(h), int(w)) for p, h, w in zip(rows["pixels"], rows["height"], rows["width"])])
         return np.ma.masked_invalid(data)
 
 
