@@ -17,17 +17,17 @@ table gives an empty result; input columns named like an output column are repla
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import LOWER_ALNUM, as_bytes, bounded_batches, row_map, staged, table, without
+from gridloom.llm.common import LOWER_ALNUM, as_bytes, bounded_batches, pieces, row_map, staged, table
 
 WINDOW = 10
 #: Item words in one block: an automaton of at most twice as many states, some 200 MB.
@@ -188,6 +188,7 @@ FIELDS = [
     T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
     T.StructField("items", T.ArrayType(T.StringType())),
 ]
+_TYPES = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -200,34 +201,54 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``keep`` (default: all columns but the text) with n_words, spans and items of each document."""
+def _pass(df: DataFrame, sent, more: bool, with_text: bool) -> DataFrame:
+    """One automaton over all rows of ``df`` (with ``_text`` last, after FIELDS if ``more``): hits are added to those that are there."""
+    keep = [c for c in df.columns if c != "_text" and not (more and c in {f.name for f in FIELDS})]
+    names = [f.name for f in FIELDS]
+    schema = T.StructType([df.schema[c] for c in keep] + FIELDS + ([df.schema["_text"]] if with_text else []))
+    df = df.select([df[f"`{c}`"] for c in keep] + [df[f"`{c}`"] for c in names if more] + [df["_text"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = sent.value
+        for batch in batches:
+            for part in pieces(batch, "_text"):
+                texts = part.column(part.num_columns - 1)
+                old = [part.column(len(keep) + i).to_pylist() for i in (1, 2)] if more else [[[]] * part.num_rows] * 2
+                counts, spans, items = [], [], []
+                for raw, was, held in zip(texts.to_pylist(), *old):
+                    own = normalised(raw)
+                    counts.append(len(own))
+                    at, found = a.scan(own)
+                    spans.append([list(x) for x in _joined([tuple(x) for x in was] + at)])
+                    items.append(sorted(held + [a.names[i] for i in found]))
+                new = [pa.array(v, t) for v, t in zip((counts, spans, items), _TYPES)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + new + ([texts] if with_text else []), names=schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
+
+
+def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
+    """``keep`` (default: all columns but the text) with n_words, spans and items of each document (and its bytes as ``_text``).
+
+    One block of items: one pass. Of more blocks each has a pass of its own over what the last one wrote, and
+    its automaton is dropped before the next is built, so neither the driver nor a worker holds two.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    keep = [c for c in keep if c not in {"n_words", "spans", "items"}]
-    sent = [spark.sparkContext.broadcast(a) for a in blocks(items, item_key, item_text, block_words=block_words)]
-
-    def make():
-        def each(column: pa.Array) -> list[pa.Array]:
-            counts, spans, names = [], [], []
-            for raw in column.to_pylist():
-                own = normalised(raw)
-                counts.append(len(own))
-                at: list[tuple[int, int]] = []
-                of: list[str] = []
-                for b in sent:
-                    a, found = b.value.scan(own)
-                    at += a
-                    of += [b.value.names[i] for i in found]
-                spans.append([list(x) for x in _joined(at)])
-                names.append(sorted(of))
-            return [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))]
-
-        return each
-
+    added = {f.name for f in FIELDS} | {"_text"}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added and (keep is not None or c != text)]
     df = docs.select([docs[f"`{c}`"] for c in keep] + [as_bytes(docs[f"`{text}`"]).alias("_text")])
-    return row_map(df, "_text", FIELDS, make, keep)
+    built = blocks(items, item_key, item_text, block_words=block_words)
+    one, more = next(built), False
+    while True:
+        sent = spark.sparkContext.broadcast(one)
+        del one
+        following = next(built, None)
+        df = _pass(df, sent, more, with_text or following is not None)
+        if following is None:
+            return df
+        df, more, one = staged(df, "decontaminate-hits"), True, following
+        sent.destroy()
 
 
 def cut(text: bytes, scan, max_hit: int, max_share: float) -> bytes | None:
@@ -245,11 +266,7 @@ def cut(text: bytes, scan, max_hit: int, max_share: float) -> bytes | None:
         spans = [(a, b) for a, b in spans if b - a > max_hit]
         if not spans:
             return text
-        out, at = [], 0
-        for a, b in spans:
-            out.append(text[at : bounds[a][0]])
-            at = bounds[b - 1][1]
-        text = b"".join([*out, text[at:]])
+        text = without_spans(text, spans)
 
 
 def words_at(text: bytes) -> list[tuple[int, int]]:
@@ -259,29 +276,66 @@ def words_at(text: bytes) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without spans of its normalised words."""
+    bounds, out, at = words_at(text), [], 0
+    for a, b in spans:
+        out.append(text[at : bounds[a][0]])
+        at = bounds[b - 1][1]
+    return b"".join([*out, text[at:]])
+
+
 def keep(docs: DataFrame, items: DataFrame, max_hit: int = 0, max_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without hit spans of over ``max_hit`` words, and without documents of which over ``max_share`` is hit; n_chars follows the text."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    sent = [spark.sparkContext.broadcast(a) for a in blocks(items, "item_id", "text", block_words=block_words)]
+    """``docs`` without hit spans of over ``max_hit`` words, and without documents of which over ``max_share`` is hit; n_chars follows the text.
+
+    With one block of items all is done in one pass. With more, all blocks' hits of a document are known
+    before it is cut, and what was cut is scanned again until no document changes.
+    """
+    built = blocks(items, "item_id", "text", block_words=block_words)
+    only, second = next(built), next(built, None)
+    if second is None:
+        return _kept_by_one(docs, only, max_hit, max_share)
+    del only, second
+    work = docs.withColumn("_cut", F.lit(False))
+    first = True
+    while True:
+        found = hits(work, items, keep=work.columns, block_words=block_words, with_text=True)
+        long = F.filter("spans", lambda x: x[1] - x[0] > max_hit)
+        share = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+        found = found.where(share <= max_share * F.col("n_words")) if first else found
+        first = False
+        found = staged(found.withColumn("_long", long).drop("n_words", "spans", "items"), "decontaminate-found")
+        if found.where(F.size("_long") > 0).isEmpty():
+            return found.withColumn("n_chars", _n_chars(docs)).select(docs.columns) if "n_chars" in docs.columns else found.select(docs.columns)
+
+        @F.pandas_udf("binary")
+        def shortened(text: pd.Series, spans: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else without_spans(t, [tuple(x) for x in s]) for t, s in zip(text, spans)])
+
+        cut_now = F.size("_long") > 0
+        changed = found.withColumn("text", F.when(cut_now, shortened("_text", "_long").cast("string")).otherwise(F.col("text")))
+        work = staged(changed.withColumn("_cut", F.col("_cut") | cut_now).select(work.columns), "decontaminate-cut")
 
-    def make():
-        def scan(text: bytes) -> list[tuple[int, int]]:
-            own = normalised(text)
-            return [x for b in sent for x in b.value.scan(own)[0]]
 
-        def each(column: pa.Array) -> list[pa.Array]:
-            found = [None if raw is None else cut(raw, scan, max_hit, max_share) for raw in column.to_pylist()]
-            return [pa.array(found, pa.binary()), pa.array([raw is not None and new is None for raw, new in zip(column.to_pylist(), found)]), pa.array([raw != new for raw, new in zip(column.to_pylist(), found)])]
+def _n_chars(docs: DataFrame):
+    return F.when(F.col("_cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+
+
+def _kept_by_one(docs: DataFrame, automaton: Automaton, max_hit: int, max_share: float) -> DataFrame:
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    sent = spark.sparkContext.broadcast(automaton)
 
-        return each
+    def each(column: pa.Array) -> list[pa.Array]:
+        scan = lambda text: sent.value.scan(normalised(text))[0]
+        old = column.to_pylist()
+        new = [None if raw is None else cut(raw, scan, max_hit, max_share) for raw in old]
+        return [pa.array(new, pa.binary()), pa.array([a is not None and b is None for a, b in zip(old, new)]), pa.array([a != b for a, b in zip(old, new)])]
 
     df = docs.select([docs[f"`{c}`"] for c in docs.columns if c != "text"] + [as_bytes(F.col("text")).alias("_text")])
     fields = [T.StructField("_new", T.BinaryType()), T.StructField("_gone", T.BooleanType()), T.StructField("_cut", T.BooleanType())]
-    out = row_map(df, "_text", fields, make).where("NOT _gone").withColumn("text", F.col("_new").cast("string"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    out = row_map(df, "_text", fields, lambda: each).where("NOT _gone").withColumn("text", F.col("_new").cast("string"))
+    return (out.withColumn("n_chars", _n_chars(docs)) if "n_chars" in docs.columns else out).select(docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ a text's vector bundles (adds up) those of all its trigrams; a language's protot
 labelled texts. A text gets the language whose prototype has the largest cosine with it. Runs of
 characters that aren't letters count as one space; each text starts and ends with one.
 
-Training adds up whole numbers, so prototypes don't depend on how rows are dealt out. What is gathered is
+In training each text's trigram counts are scaled to the same length and rounded to whole UNITs, so that a
+very long text weighs no more than others and sums don't depend on how rows are dealt out. What is gathered is
 DIMENSIONS numbers for each language; over MAX_LANGUAGES different labels raise ValueError, so the
 model's size has a bound.
 
@@ -35,6 +36,8 @@ from gridloom.llm.common import as_bytes, bounded_batches, pieces, row_map, tabl
 DIMENSIONS = 1024
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
+#: The length to which a text's trigram counts are scaled in training.
+UNIT = 1 << 16
 _PIECE = 256 << 10
 
 
@@ -136,7 +139,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", seed: int
                 points, row, tri = trigrams([t or b"" for t in part.column(1).to_pylist()])
                 if not len(tri):
                     continue
-                found = bundle(np.array([order[n] for n in names])[row], tri, points, len(order), seed, size)
+                counts = np.bincount(row * len(points) + tri, minlength=len(names) * len(points)).reshape(len(names), -1)
+                unit = np.rint(counts * (UNIT / np.maximum(np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True)), 1)))
+                by_name = np.zeros((len(order), len(points)))
+                np.add.at(by_name, [order[n] for n in names], unit)
+                found = by_name @ bind(points, seed, size).astype(np.float64)
                 for n, i in order.items():
                     held[n] = held.get(n, 0) + np.rint(found[i]).astype(np.int64)
         for n, v in held.items():

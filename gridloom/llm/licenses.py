@@ -27,7 +27,7 @@ from gridloom.llm.common import lower_ascii, staged, table
 
 PAIR, RUN, GAP = 2, 4, 3
 #: Share of a notice's runs that must vote, and similarity by edit distance that a span must have.
-MIN_VOTES, MIN_SIMILAR = 0.4, 0.8
+MIN_VOTES, MIN_SIMILAR = 0.2, 0.8
 BROADCAST_ROWS = 100_000
 
 #: Phrases of which every place counts, and their labels.

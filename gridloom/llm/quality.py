@@ -37,7 +37,7 @@ class Rules:
     symbol_percent: int = 100
     dup_line_percent: int = 50
     #: A host is rejected if its shrunk failure rate is over this.
-    max_host_rate: float = 0.5
+    max_host_rate: float = 0.7
 
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -192,7 +192,7 @@ j AS (
 h AS (SELECT source, count(*) AS n, sum(failed::INT) AS f FROM j WHERE source IS NOT NULL GROUP BY source),
 s AS (SELECT count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS m, sum(f * (f / n)) / sum(n) AS q FROM h),
 t AS (SELECT *, least(greatest(m * (1 - m) / greatest(q - m * m - m * (1 - m) * k / n, 1e-6) - 1, 1.0), 1e6) AS z FROM s),
-b AS (SELECT h.source FROM h, t WHERE (f + greatest(m * z, 1e-6)) / (h.n + greatest(m * z, 1e-6) + greatest((1 - m) * z, 1e-6)) > 0.5)
+b AS (SELECT h.source FROM h, t WHERE (f + greatest(m * z, 1e-6)) / (h.n + greatest(m * z, 1e-6) + greatest((1 - m) * z, 1e-6)) > 0.7)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT failed AND source NOT IN (SELECT source FROM b) AS kept
 FROM j
