@@ -31,6 +31,8 @@ from gridloom.llm.common import staged, table, without
 SHARDS = 16
 DIGITS = 4
 SPLIT = 256
+#: After every hex string.
+END = "g"
 
 
 def greedy(ends: list[int], capacity: int, k: int) -> list[int] | None:
@@ -90,12 +92,12 @@ def open_ranges(sizes: list[int], single: list[bool], least: int, k: int) -> tup
 
 
 def cut_keys(groups: DataFrame, k: int = SHARDS) -> list[str]:
-    """The last key of each shard but the last, of groups (key: hex string, size, in a written table)."""
+    """Where shards 1 to k - 1 start: prefixes of the first key, for groups (key: hex string, size, in a written table)."""
     digits = DIGITS
     rows = _ranges(groups, digits).collect()
     if not rows:
         return []
-    atoms = sorted((r["p"], r["size"], r["n"] == 1, r["last"]) for r in rows)
+    atoms = sorted((r["p"], r["size"], r["n"] == 1) for r in rows)
     least = max(r["largest"] for r in rows)
     while True:
         todo, _, _ = open_ranges([a[1] for a in atoms], [a[2] for a in atoms], least, k)
@@ -107,23 +109,23 @@ def cut_keys(groups: DataFrame, k: int = SHARDS) -> list[str]:
         prefix = F.lit(False)
         for n in sorted({len(x) for x in names}):
             prefix = prefix | F.substring("key", 1, n).isin([x for x in names if len(x) == n])
-        inner = [(r["p"], r["size"], r["n"] == 1, r["last"]) for r in _ranges(groups.where(prefix), min(digits, 64)).collect()]
+        inner = [(r["p"], r["size"], r["n"] == 1) for r in _ranges(groups.where(prefix), min(digits, 64)).collect()]
         gone = set(todo)
         atoms = sorted([a for i, a in enumerate(atoms) if i not in gone] + inner)
     sizes = [a[1] for a in atoms]
     cuts = greedy(list(accumulate(sizes)), smallest(sizes, k), k)
-    return [atoms[c - 1][3] for c in cuts[:-1]]
+    return [atoms[c][0] if c < len(atoms) else END for c in cuts[:-1]]
 
 
 def _ranges(groups: DataFrame, digits: int) -> DataFrame:
-    return groups.groupBy(F.substring("key", 1, digits).alias("p")).agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.count(F.lit(1)).alias("n"), F.max("key").alias("last"))
+    return groups.groupBy(F.substring("key", 1, digits).alias("p")).agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.count(F.lit(1)).alias("n"))
 
 
-def shard_of(key: Column, cuts: list[str]) -> Column:
-    """How many cuts lie before the key."""
+def shard_of(key: Column, starts: list[str]) -> Column:
+    """How many shards start at or before the key."""
     found = F.lit(0)
-    for c in cuts:
-        found = found + (key > c).cast("int")
+    for s in starts:
+        found = found + (key >= s).cast("int")
     return found
 
 
