@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ BATCH_RECORDS = 1000
 #: Bytes of one Arrow batch, for batches of very long texts.
 BATCH_BYTES = 8 << 20
 
+#: Paths of staged tables that are still there.
 _staged: list[str] = []
 
 
@@ -39,10 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     own = getattr(spark.sparkContext, "_gridloom_shared", None)
     if own is None:
-        own = tempfile.mkdtemp(prefix="gridloom-")
+        if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
+            folder = tempfile.mkdtemp(prefix="gridloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            own = f"file://{folder}"
+        else:
+            # On a cluster only what all executors share will do: the warehouse.
+            own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_gridloom"
         spark.sparkContext._gridloom_shared = own
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        own = spark.sparkContext._gridloom_shared = f"file://{own}"
     return own
 
 
@@ -59,11 +65,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete all staged tables of this process; for use once their results are written."""
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end: for code that has written its results by then."""
+    mark = len(_staged)
+    try:
+        yield
+    finally:
+        while len(_staged) > mark:
+            drop(spark, _staged.pop())
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -153,13 +153,17 @@ def apply(docs: DataFrame, text: str = "text", host: str = "source", rules: Rule
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, with their columns.
 
-    The measures go beside the document's columns in one staged table, so the texts are measured once
-    and no join back by a document number is needed.
+    The texts are measured twice, for the hosts and then to choose documents, as that costs less than to
+    hold them on disk meanwhile or to join them back; a join follows only if a host was rejected.
     """
     bounded_batches(docs.sparkSession)
+    slim = judge(measure(docs.select("source", "text")), rules)
+    bad = staged(host_rates(slim, "source", rules).where("host_rejected").select(F.col("host").alias("_host")), "quality-rejected")
     work = docs.withColumn("_text", as_bytes(F.col("text")))
-    judged = judge(staged(row_map(work, "_text", [T.StructField(f"_{m}", T.LongType()) for m in MEASURES], lambda: _measures), "quality-docs").withColumnsRenamed({f"_{m}": m for m in MEASURES}), rules)
-    return verdicts(judged, "source", rules).where("kept").select(docs.columns)
+    marked = row_map(work, "_text", [T.StructField(f"_{m}", T.LongType()) for m in MEASURES], lambda: _measures)
+    own = judge(marked.select(*[F.col(f"_{m}").alias(m) for m in MEASURES], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), rules)
+    good = own.where(F.size("failures") == 0).select("_row.*").select(docs.columns)
+    return good if bad.isEmpty() else good.join(bad, F.col("source") == F.col("_host"), "left_anti")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,25 +90,30 @@ def _flips(x: Column, masks: list[int]) -> Column:
     return F.transform(_masks(masks), lambda m: x.bitwiseXOR(m))
 
 
-def _halves(fps: DataFrame) -> DataFrame:
-    """fp, half, near: the half itself, and if its parity is odd also with each bit flipped."""
-    mask = F.lit(0xFFFFFFFF).cast("long")
-    parts = [(0, F.col("fp").bitwiseAND(mask)), (1, F.shiftrightunsigned("fp", 32))]
-    rows = F.array(*[F.struct(F.lit(k).alias("half"), F.when(_odd(x), F.concat(F.array(x), _flips(x, [1 << i for i in range(32)]))).otherwise(F.array(x)).alias("near")) for k, x in parts])
-    return fps.select("fp", F.explode(rows).alias("p")).select("fp", F.col("p.half").alias("half"), F.explode("p.near").alias("near"))
+def _parts() -> Column:
+    """The two halves of a fingerprint."""
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned("fp", 32)
+    return F.array(F.struct(F.lit(0).alias("half"), low.alias("value")), F.struct(F.lit(1).alias("half"), high.alias("value")))
+
+
+_HALF_FLIPS = [1 << i for i in range(32)]
 
 
 def crowded(fps: DataFrame) -> DataFrame:
-    """fp, with ``wide`` true where the ball of 2 bits is needed: those that share a half, of distinct ``fps``."""
-    met = (
-        _halves(fps)
-        .groupBy("half", "near")
-        .agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.max(F.bit_count("fp") % 2).alias("odd"))
-        .where("a <> b")
-        .select("half", "near", "odd")
-    )
-    met = staged(met, "simhash-met")
-    hits = _halves(fps).join(met, ["half", "near"]).groupBy("fp").agg(F.max("odd").alias("odd"))
+    """fp, with ``wide`` true where the ball of 2 bits is needed: those that share a half, of distinct ``fps``.
+
+    Halves of odd parity are dealt out with each bit flipped too, and places where two fingerprints met are
+    noted. The places then fetch their members the other way round: a few places with the halves that can
+    have reached them, joined to two rows of each fingerprint, so that the many flips aren't shuffled twice.
+    """
+    parts = fps.select("fp", F.explode(_parts()).alias("p")).select("fp", "p.half", "p.value")
+    value = F.col("value")
+    reached = F.when(_odd(value), F.concat(F.array(value), _flips(value, _HALF_FLIPS))).otherwise(F.array(value))
+    met = parts.select("fp", "half", F.explode(reached).alias("near")).groupBy("half", "near").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.max(F.bit_count("fp") % 2).alias("odd"))
+    met = staged(met.where("a <> b").select("half", "near", "odd"), "simhash-met")
+    near = F.col("near")
+    sources = F.when(_odd(near), F.array(near)).otherwise(F.concat(F.array(near), _flips(near, _HALF_FLIPS)))
+    hits = parts.join(met.select("half", "odd", F.explode(sources).alias("value")), ["half", "value"]).groupBy("fp").agg(F.max("odd").alias("odd"))
     return hits.select("fp", ((F.bit_count("fp") % 2 == 0) & (F.col("odd") == 1)).alias("wide"))
 
 
@@ -135,13 +140,12 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of the edges (a, b) the smallest node it is connected with.
 
-    Alternates large-star and small-star steps until nothing changes, which takes a number of rounds
-    logarithmic in a component's size. Each round's tables are written and reread, so that no lineage
+    Alternates large-star and small-star steps until every node hangs on a root, which takes a number of
+    rounds logarithmic in a component's size. Each round's tables are written and reread, so that no lineage
     grows and Spark can split the rows of a hub in the joins.
     """
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
-    state = None
-    while not e.isEmpty():
+    while not _is_forest_of_stars(e):
         # Large star: every neighbour that is larger than u goes to the smallest in u's neighbourhood.
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-low")
@@ -149,13 +153,15 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours go to the smallest of them.
         low = staged(e.groupBy("u").agg(F.min("v").alias("m")), "components-low")
         e = staged(e.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components-small")
-        n = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (n["n"], n["h"]) == state:
-            break
-        state = (n["n"], n["h"])
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    """Whether each u has one v only, and no v is a u itself."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
     """``marked`` (with ``fp``) with ``component_id``, the smallest key of what its fingerprint is connected with, and ``root``, its fingerprint.
 
@@ -177,12 +183,23 @@ def apply(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of each component, of those with the smallest doc_id; the texts are shuffled once, at the end."""
-    marked = staged(with_fingerprint(docs.withColumn("_row", F.monotonically_increasing_id())), "simhash-docs")
-    slim = classes(marked.select("_row", "doc_id", "fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("row")))
-    kept = staged(slim.groupBy("root").agg(first.alias("s")).select(F.col("s.row").alias("_row")), "simhash-kept")
-    return marked.join(kept, "_row", "left_semi").select(docs.columns)
+    """One row of each component, of those with the smallest doc_id.
+
+    Rows are told by two hashes of doc_id and text. What is kept grows with the documents, so it is never
+    broadcast: the texts are shuffled once, whatever the size. Repeated rows are collapsed before they move.
+    """
+    k = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("_k2")]
+    slim = staged(with_fingerprint(docs.select("doc_id", *k, "text"), keep=["doc_id", "_k1", "_k2"]), "simhash-slim")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
+    kept = staged(classes(slim).groupBy("root").agg(first.alias("s")).select(F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2")), "simhash-kept")
+    again = staged(slim.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k1", "_k2"), "simhash-again")
+    marked = docs.select("*", *k)
+    if again.isEmpty():
+        return marked.join(kept.hint("merge"), ["_k1", "_k2"], "left_semi").select(docs.columns)
+    once = marked.join(kept.join(again, ["_k1", "_k2"], "left_anti").hint("merge"), ["_k1", "_k2"], "left_semi")
+    many = marked.join(kept.join(again, ["_k1", "_k2"], "left_semi").hint("merge"), ["_k1", "_k2"], "left_semi")
+    one = many.groupBy("_k1", "_k2").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return once.select(docs.columns).unionAll(one.select("_row.*").select(docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
