@@ -494,3 +494,56 @@ def _(spark, sf):
     new = old.withColumn("value", F.when((F.col("row") == 3) & (F.col("col") < 20), F.col("value") + 7).otherwise(F.col("value")))
     changed = old.where("row = 3 AND col < 20").select("zoom", "row", "col").distinct()
     return refreshed(new, R.overviews(old, WIDTH, Z, 2, "max"), changed, WIDTH, Z, 2, "max").drop("band")
+
+
+# Sources and sinks: what is written is read back
+
+@register("tile_directory_round_trip", f"WITH {PIX} SELECT row, col, py, px, value FROM pix WHERE row BETWEEN 2 AND 5")
+def _(spark, sf):
+    from gridloom.sources.paths import work_path
+    from gridloom.sources.readers import TileDirectory
+    from gridloom.sources.sinks import write_metadata, write_tiles
+
+    path = work_path(spark, "tiles")
+    write_metadata(spark, path, GEO, {"format": "Parquet"})
+    write_tiles(packed(spark, sf), path)
+    return R.to_long(TileDirectory(spark, path).read(Z).where("row BETWEEN 2 AND 5")).select("row", "col", "py", "px", "value")
+
+
+@register("geotiff_round_trip", f"WITH {PIX} SELECT zoom, row, col, band, py, px, value FROM pix WHERE row < 3")
+def _(spark, sf):
+    from gridloom.sources.paths import work_path
+    from gridloom.sources.readers import raster_files, raster_to_tiles
+    from gridloom.sources.sinks import write_images
+
+    path = work_path(spark, "geotiff")
+    write_images(packed(spark, sf).where("row < 3"), path, GEO, "GTiff", nodata=-9999.0).write.format("noop").mode("overwrite").save()
+    return raster_to_tiles(raster_files(spark, f"{path}/*/*/*.tif"), GEO, Z)
+
+
+@register("geojson_round_trip", f"WITH {BOX} SELECT n_nationkey, l, b, 600e0 AS area FROM box WHERE l < 120 AND b < 65")
+def _(spark, sf):
+    from gridloom.sources.paths import work_path
+    from gridloom.sources.readers import vector_files
+    from gridloom.sources.sinks import write_geojson_tiles
+
+    path = work_path(spark, "geojson")
+    f = polygons(spark, sf).where("box.left < 120 AND box.bottom < 65").withColumns({"zoom": F.lit(0), "row": F.lit(0), "col": F.col("n_nationkey") % 2, "properties": F.create_map(F.lit("id"), F.col("n_nationkey").cast("string"))})
+    write_geojson_tiles(f, path)
+    back = vector_files(spark, f"{path}/*/*/*")
+    box = G.box(F.col("geom"))
+    return back.select(F.col("properties")["id"].cast("int").alias("n_nationkey"), box["left"].alias("l"), box["bottom"].alias("b"), F.round(G.area(F.col("geom")), 6).alias("area"))
+
+
+@register("process_run", f"WITH {PIX}, base AS (SELECT row, col, py, px, value * 2 + 1 AS value FROM pix WHERE row < 4 AND col < 16) SELECT 5 AS zoom, row, col, py, px, value FROM base UNION ALL SELECT 4, CAST(row // 2 AS INT), CAST(col // 2 AS INT), CAST((row % 2 * 8 + py) // 2 AS INT), CAST((col % 2 * 8 + px) // 2 AS INT), max(value) FROM base GROUP BY ALL")
+def _(spark, sf):
+    from gridloom.plans.engine import open_process
+    from gridloom.sources.paths import work_path
+
+    config = {
+        "pyramid": {"grid": "geodetic", "tile_size": WIDTH}, "zoom_levels": {"min": 4, "max": 5}, "baselevels": {"min": 5, "max": 5, "lower": "max"}, "bounds": [-180, 67.5, -90, 90],
+        "process": _double_plus, "process_parameters": {"add": 1}, "input": {"dem": packed(spark, sf)}, "output": {"format": "Parquet", "path": work_path(spark, "run")},
+    }
+    p = open_process(spark, config, "overwrite")
+    p.execute()
+    return R.to_long(p.read().select("zoom", "row", "col", "band", "height", "width", "pixels")).where("value IS NOT NULL").select("zoom", "row", "col", "py", "px", "value")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -186,6 +191,23 @@ class Location:
         return hashlib.sha256(self.read_bytes()).hexdigest()
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate files that all executors reach: in ``spark.checkpoint.dir``, else in a folder of this
+    machine if Spark runs on it alone, else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = f"file://{_own_folder()}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_gridloom"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="gridloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*", checksums: bool = False) -> DataFrame:
     """path, modified, length (and sha256) of files under a folder, listed by Spark."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
