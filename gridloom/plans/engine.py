@@ -70,8 +70,37 @@ class Process:
                 one = tiles.tiles_from_features(shape, self.pyramid, z, exact=True)
                 met = one if met is None else met.unionAll(one)
             df = df.join(met, KEYS, "left_semi")
+        for z in levels:
+            boxes = self.input_boxes(z) if z in self.config.processing_levels() else None
+            if boxes is not None:
+                own = df.where(F.col("zoom") == z).withColumn("box", self.pyramid.box(z, F.col("row"), F.col("col")))
+                df = df.where(F.col("zoom") != z).unionByName(joins.range_join(own, boxes, self.pyramid, max(0, z - 2), how="left_semi", touching=False).select(*KEYS))
         return df
 
+    def input_boxes(self, zoom: int) -> DataFrame | None:
+        """Boxes of what the inputs hold at a zoom: tiles beyond them have nothing to do. None if there is no input, or one whose place isn't known."""
+        key = repr(sorted((k, id(v) if isinstance(v, (DataFrame, Process)) else v) for k, v in self.config.input_at(zoom).items()))
+        if key not in self._boxes:
+            self._boxes[key] = self._find_boxes(zoom)
+        return self._boxes[key]
+
+    @cached_property
+    def _boxes(self) -> dict[str, DataFrame | None]:
+        return {}
+
+    def _find_boxes(self, zoom: int) -> DataFrame | None:
+        out = None
+        for source in self.config.input_at(zoom).values():
+            place = source["path"] if isinstance(source, dict) else source
+            if isinstance(place, str) and readers.driver_of(place).name == "GTiff":
+                one = readers.raster_boxes(self.spark, place).select("box").distinct()
+            elif isinstance(place, DataFrame) and "geom" in place.columns and "zoom" not in place.columns:
+                one = place.select(G.box(F.col("geom")).alias("box"))
+            else:
+                return None
+            out = one if out is None else out.unionByName(one)
+        return out.persist() if out is not None else None
+
     def count_tiles(self) -> dict[int, int]:
         if self.config.area:
             return {r["zoom"]: r["n"] for r in self.process_tiles().groupBy("zoom").agg(F.count(F.lit(1)).alias("n")).collect()}

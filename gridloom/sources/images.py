@@ -107,12 +107,23 @@ def read_geotiff(data: bytes) -> tuple[np.ndarray, dict]:
         for b in range(inside):
             part = block[: height - y, : width - x, b]
             out[plane + b, y : y + part.shape[0], x : x + part.shape[1]] = part
+    affine, crs = _place(h)
+    nodata = float(h[NODATA]) if h.get(NODATA) else None
+    return out, {"affine": affine, "crs": crs, "nodata": nodata, "dtype": dtype.newbyteorder("=").name}
+
+
+def _place(h: dict) -> tuple[Affine, str | None]:
     sx, sy = h.get(PIXEL_SCALE, [1.0, 1.0])[:2]
     tie = h.get(TIEPOINT, [0.0] * 6)
     keys = h.get(GEO_KEYS, [])
     epsg = next((keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i] in (2048, 3072)), None)
-    nodata = float(h[NODATA]) if h.get(NODATA) else None
-    return out, {"affine": Affine(sx, 0.0, tie[3] - tie[0] * sx, 0.0, -sy, tie[4] + tie[1] * sy), "crs": f"EPSG:{epsg}" if epsg else None, "nodata": nodata, "dtype": dtype.newbyteorder("=").name}
+    return Affine(sx, 0.0, tie[3] - tie[0] * sx, 0.0, -sy, tie[4] + tie[1] * sy), f"EPSG:{epsg}" if epsg else None
+
+
+def geotiff_place(data: bytes) -> tuple[Affine, str | None, int, int]:
+    """Affine, projection, height and width, from the header alone."""
+    h = geotiff_header(data)
+    return *_place(h), h[HEIGHT][0], h[WIDTH][0]
 
 
 _CHANNELS = {1: 0, 2: 4, 3: 2, 4: 6}

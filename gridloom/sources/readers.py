@@ -79,6 +79,21 @@ def raster_to_tiles(rasters: DataFrame, pyramid: Pyramid, zoom: int, method: str
     return R.mosaic(one.withColumnRenamed("_ord", "ord"))
 
 
+def raster_boxes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, crs, box of GeoTIFF files: only headers are decoded."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            rows = []
+            for path, content in zip(files["path"], files["content"]):
+                a, crs, h, w = images.geotiff_place(bytes(content))
+                rows.append((path, crs, {"left": a.c, "bottom": a.f + h * a.e, "right": a.c + w * a.a, "top": a.f}))
+            yield pd.DataFrame(rows, columns=["path", "crs", "box"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(decode, "path string, crs string, box struct<left:double,bottom:double,right:double,top:double>")
+
+
 def footprints(rasters: DataFrame) -> DataFrame:
     return rasters.select("path", "crs", "box").distinct()
 

@@ -197,3 +197,18 @@ def test_overview_stream(spark, tmp_path):
     assert {(r["zoom"], r["row"], r["col"]) for r in found} == {(1, 0, 0), (0, 0, 0)}
     assert max(r["value"] for r in found if r["zoom"] == 0) == 3.0
     assert windowed_counts(spark.createDataFrame([], "ts timestamp, zoom int, row int, col int")).count() == 0
+
+
+def test_tiles_beyond_inputs_are_left_out(spark, tmp_path, raster):
+    p = open_process(spark, config(raster, tmp_path / "o", zoom_levels=3), "memory")
+    assert p.process_tiles(3).count() == 16 and p.count_tasks() == 128
+
+
+def test_measures(spark):
+    from gridloom.functions.measure import Timer, observed, redacted
+
+    with Timer() as t:
+        df, o = observed(spark.createDataFrame([(3,), (5,)], "zoom int"))
+        df.collect()
+    assert t.seconds > 0 and o.get == {"rows": 2, "min_zoom": 3, "max_zoom": 5}
+    assert redacted("aws_secret_access_key=abc, x=1") == "aws_secret_access_key=***, x=1"
