@@ -198,7 +198,6 @@ def clip(pixels: DataFrame, features: DataFrame, pyramid: Pyramid, zoom: int, wi
     from gridloom.operators.vector import mask
 
     x, y = R.pixel_centre(pyramid, zoom, width)
-    # ~0.02 of a pixel square is all that the mask needs: cells of the same zoom.
     df = mask(pixels.withColumns({"x": x, "y": y}), features, pyramid, zoom, invert)
     return df.withColumn("value", F.when(~F.col("masked"), F.col("value"))).drop("x", "y", "masked")
 

@@ -9,6 +9,7 @@ from gridloom.functions import bounds as B
 from gridloom.functions import geometry as G
 from gridloom.functions.bounds import Bounds
 from gridloom.functions.pyramid import Pyramid
+from gridloom.functions.raster import PIXEL
 from gridloom.operators.tiles import KEYS, cells, meets
 
 
@@ -81,14 +82,16 @@ def cell_union(features: DataFrame, pyramid: Pyramid, zoom: int, geom: str = "ge
     return tiles.groupBy("zoom", "row").agg(F.array_sort(F.collect_set("col")).alias("cols"))
 
 
-def mask(pixels: DataFrame, features: DataFrame, pyramid: Pyramid, zoom: int, invert: bool = False, x: str = "x", y: str = "y") -> DataFrame:
-    """``pixels`` with ``masked``: true outside all features (inside with ``invert``); by cells, then the pixel centre's ray."""
-    p = pixels.withColumns({"_row": pyramid.row_of(F.col(y), zoom), "_col": pyramid.col_of(F.col(x), zoom)})
+def mask(pixels: DataFrame, features: DataFrame, pyramid: Pyramid, zoom: int, invert: bool = False, x: str = "x", y: str = "y", keys: list[str] = PIXEL) -> DataFrame:
+    """``pixels`` with ``masked``: true outside all features (inside with ``invert``); by cells, then the pixel centre's ray.
+
+    ``keys`` tell a pixel; only they and the centre go through the join with the features.
+    """
+    p = pixels.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumns({"_row": pyramid.row_of(F.col("_y"), zoom), "_col": pyramid.col_of(F.col("_x"), zoom)})
     f = cells(boxed(features.select(F.col("geom"))), pyramid, zoom).select("geom", F.col("row").alias("_row"), F.col("col").alias("_col"))
-    hits = p.join(f, ["_row", "_col"]).where(G.holds(F.col("geom"), F.col(x), F.col(y))).select(pixels.columns).distinct().withColumn("_in", F.lit(True))
-    out = pixels.join(hits, pixels.columns, "left")
+    hits = p.join(f, ["_row", "_col"]).where(G.holds(F.col("geom"), F.col("_x"), F.col("_y"))).select(*keys).distinct().withColumn("_in", F.lit(True))
     inside = F.coalesce("_in", F.lit(False))
-    return out.withColumn("masked", inside if invert else ~inside).drop("_in")
+    return pixels.join(hits, keys, "left").withColumn("masked", inside if invert else ~inside).drop("_in")
 
 
 def length_stats(features: DataFrame, geom: str = "geom") -> list[Column]:
