@@ -396,7 +396,7 @@ def _(spark, sf):
     return pixels(spark, sf).select("row", "col", "py", "px", out[0].alias("gray"), out[1].alias("alpha"))
 
 
-@register("shift_required", "SELECT true AS shift")
+@register("shift_required", f"WITH {TILED}, c AS (SELECT DISTINCT col FROM tiled WHERE col < 5 OR col > 58), d AS (SELECT col, CASE WHEN col - lag(col) OVER (ORDER BY col) > 1 THEN 1 ELSE 0 END AS gap FROM c), k AS (SELECT col, sum(gap) OVER (ORDER BY col) AS g FROM d), s AS (SELECT g, min(col) AS a, max(col) AS b FROM k GROUP BY g) SELECT coalesce(count(*) > 1 AND min(a) = 0 AND max(b) = 63 AND arg_min(b, g) + 64 - arg_max(a, g) < arg_max(a, g) - arg_min(b, g), false) AS shift FROM s")
 def _(spark, sf):
     t = tiles.assign(points(spark, sf), GEO, Z).select("zoom", "row", "col").distinct().where("col < 5 OR col > 58")
     return R.shift_required(t, GEO, Z)
