@@ -33,6 +33,12 @@ from gridloom.llm.common import LOWER, as_bytes, bounded_batches, row_map, stage
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: What ``keep`` holds to be a near copy besides: sets of so many words, similar in so many of a thousand.
+KEEP_SHINGLE, KEEP_PERMILLE = 5, 800
+#: One of so many texts is asked for common shingles; so many shingles are told apart from the rare ones.
+SAMPLE, MOST_COMMON = 16, 200_000
+#: Texts with one shingle that are compared pair by pair at once, and rounds before all are.
+CROWD, ROUNDS = 32, 6
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -162,14 +168,17 @@ def _is_forest_of_stars(e: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
-def classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
+def classes(marked: DataFrame, key: str = "doc_id", more: DataFrame | None = None) -> DataFrame:
     """``marked`` (with ``fp``) with ``component_id``, the smallest key of what its fingerprint is connected with, and ``root``, its fingerprint.
 
+    ``more`` has further links (a, b) of fingerprints.
+
     Exact copies share a fingerprint and are added up before anything else; the last join's sides are
     written tables, so Spark can split a fingerprint that a large part of all rows has.
     """
     fps = staged(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-fps")
-    roots = staged(components(links(fps.select("fp"))), "simhash-roots")
+    found = links(fps.select("fp"))
+    roots = staged(components(found if more is None else found.unionByName(more)), "simhash-roots")
     joined = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = staged(joined, "simhash-joined")
     named = staged(joined.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
@@ -182,16 +191,118 @@ def apply(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return classes(staged(with_fingerprint(docs, text, [key]), "simhash-marked"), key)
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """One row of each component, of those with the smallest doc_id.
+def _grams(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    return np.unique(np.array(shingle_hashes(text, size) if text else [], dtype=np.uint64).view(np.int64))
+
+
+def _arrays(found: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)])))
+
+
+def _common(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles that many texts of a sample have, the rarest first. They only order the shingles, so a miss costs time and no pair."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(as_bytes(F.col("text")).alias("_text")).distinct()
+    grams = row_map(some, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], [])
+    counts = grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+    return np.array([r["g"] for r in counts.orderBy(F.desc("n"), "g").limit(MOST_COMMON).collect()][::-1], dtype=np.int64)
+
+
+def _prefixes(common: np.ndarray, size: int, permille: int):
+    """fp, node (a hash of fp and the shingles), n, and of the n shingles in order of rarity those of which a similar text must share one."""
+    by = np.argsort(common)
+    known = common[by]
+
+    def run(column: pa.Array) -> list[pa.Array]:
+        nodes, counts, prefixes = np.zeros(len(column), dtype=np.uint64), [], []
+        fps = _fingerprints(column)[0]
+        for i, (text, fp) in enumerate(zip(column.to_pylist(), fps.to_pylist())):
+            grams = _grams(text, size)
+            nodes[i] = xxhash.xxh64_intdigest(grams.tobytes(), fp % (1 << 64))
+            rank = np.full(len(grams), -1)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                rank = np.where(known[at] == grams, by[at], -1)
+            counts.append(len(grams))
+            prefixes.append(grams[np.argsort(rank, kind="stable")][: len(grams) - -(-permille * len(grams) // 1000) + 1 if len(grams) else 0])
+        return [fps, pa.array(nodes.view(np.int64)), pa.array(counts, pa.int32()), _arrays(prefixes)]
+
+    return run
+
+
+def similar_links(docs: DataFrame, slim: DataFrame, size: int, permille: int) -> DataFrame:
+    """a, b: links of fingerprints whose texts' sets of shingles have a Jaccard similarity of ``permille`` / 1000 or more.
+
+    Exact, by prefix filtering: with all shingles in one order, rare ones first, two similar sets share one of
+    their first n - ceil(s n) + 1. Texts that share one are compared by their whole sets. A shingle that more
+    than CROWD texts share is first compared with one of them, which changes by round; of what is found
+    similar only the text with the smallest doc_id goes on, so a group of near copies isn't compared pair by
+    pair. Hence of two similar texts one is linked to a text of a smaller doc_id at least.
+    """
+    from pyspark.sql import Window
+
+    nodes = staged(slim.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))).alias("d"), F.first(F.struct("fp", "n", "prefix", "_k1", "_k2")).alias("s")).select("node", "d", "s.*"), "simhash-nodes")
+    token = Window.partitionBy("token")
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    rows = staged(rows.withColumn("m", F.count(F.lit(1)).over(token)).where("m > 1").drop("m"), "simhash-shared")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Of a, b with sizes and places of a shared shingle: those with shingles enough after it."""
+        least = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        return pairs.where(least * (1000 + permille) >= permille * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b").distinct()
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "simhash-pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+        at = nodes.select("node", "_k1", "_k2").join(ends, "node", "left_semi")
+        texts = docs.select("_k1", "_k2", as_bytes(F.col("text")).alias("_text")).join(at, ["_k1", "_k2"])
+        sets = row_map(texts, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], ["node"])
+        sets = staged(sets.dropDuplicates(["node"]), "simhash-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("g_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("g_b")), "b")
+        shared = F.size(F.array_intersect("g_a", "g_b"))
+        return staged(both.where(shared * (1000 + permille) >= permille * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "simhash-alike")
+
+    own = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")]
+    found = []
+    for turn in range(ROUNDS):
+        crowds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "n", "at"), F.struct(F.xxhash64(F.lit(turn), "token", "node"), F.col("node"))).alias("hub")).where(F.col("m") > CROWD)
+        crowds = staged(crowds.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.at").alias("at_b")), "simhash-crowds")
+        if crowds.isEmpty():
+            break
+        some = alike(possible(rows.select("token", *own("a")).join(crowds, "token").where("a <> b")))
+        if some.isEmpty():
+            break
+        found.append(some)
+        groups = staged(components(some), "simhash-groups").join(nodes.select("node", "d"), "node")
+        groups = staged(groups, "simhash-grouped")
+        stay = groups.groupBy("root").agg(F.min(F.struct("d", "node")).alias("s")).select(F.col("s.node").alias("node"))
+        rows = staged(rows.join(groups.select("node").join(stay, "node", "left_anti"), "node", "left_anti"), "simhash-shared")
+    found.append(alike(possible(rows.select("token", *own("a")).join(rows.select("token", *own("b")), "token").where("a < b"))))
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    fp = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
+    return staged(edges.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).where("a <> b"), "simhash-similar")
+
+
+def keep(docs: DataFrame, size: int = KEEP_SHINGLE, permille: int = KEEP_PERMILLE) -> DataFrame:
+    """One row of each component, of those with the smallest doc_id: of fingerprints within RADIUS bits, and of texts
+    whose sets of ``size`` words have a Jaccard similarity of ``permille`` / 1000 or more.
 
     Rows are told by two hashes of doc_id and text. What is kept grows with the documents, so it is never
     broadcast: the texts are shuffled once, whatever the size. Repeated rows are collapsed before they move.
     """
     k = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("_k2")]
-    slim = staged(with_fingerprint(docs.select("doc_id", *k, "text"), keep=["doc_id", "_k1", "_k2"]), "simhash-slim")
+    bounded_batches(docs.sparkSession)
+    common = _common(docs, size)
+    fields = [T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    slim = row_map(docs.select("doc_id", *k, as_bytes(F.col("text")).alias("_text")), "_text", fields, lambda: _prefixes(common, size, permille), ["doc_id", "_k1", "_k2"])
+    slim = staged(slim, "simhash-slim")
+    more = similar_links(docs.select("text", *k), slim, size, permille)
+    slim = slim.select("doc_id", "_k1", "_k2", "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
-    kept = staged(classes(slim).groupBy("root").agg(first.alias("s")).select(F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2")), "simhash-kept")
+    kept = staged(classes(slim, more=more).groupBy("root").agg(first.alias("s")).select(F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2")), "simhash-kept")
     again = staged(slim.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k1", "_k2"), "simhash-again")
     marked = docs.select("*", *k)
     if again.isEmpty():

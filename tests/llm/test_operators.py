@@ -418,3 +418,35 @@ def test_query_equals_sql(spark, name):
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert math.isclose(simhash.RADIUS, 3)
+
+
+# Near copies by their texts
+
+def test_keep_finds_similar_texts(spark):
+    """Pairs around similarity 0.8 that fingerprints miss, and a crowd of near copies, against all pairs."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, chorus = [], " ".join(word() for _ in range(12))
+    for copies in [2] * 20 + [60]:
+        base = [word() for _ in range(150)]
+        texts.append(" ".join([*base, chorus]))
+        for _ in range(copies - 1):
+            own = list(base)
+            for i in rng.sample(range(150), rng.randrange(1, 7)):
+                own[i] = word()
+            texts.append(" ".join([*own, chorus]))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    fps = [brute_fingerprint(t) for t in texts]
+    label, missed = list(range(len(texts))), 0
+    near = {(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            close = (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS
+            missed += (a, b) in near and not close
+            if close or (a, b) in near:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    assert missed > 10
+    got = {r["doc_id"] for r in simhash.keep(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert {i for i in range(40) if label[i] == i} == {i for i in got if i < 40}
+    assert {i for i in range(40, 100) if label[i] == i} <= got and not any(a in got and b in got for a, b in near)
