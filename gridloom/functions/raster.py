@@ -196,8 +196,8 @@ def resample(pixels: DataFrame, pyramid: Pyramid, zoom: int, target: int, width:
     """To another zoom of the same pyramid, by index arithmetic: no join."""
     step = target - zoom
     df = pixels.where(F.col("zoom") == zoom)
-    for _ in range(max(step, 0)):
-        df = underview(df, width)
+    if step > 0:
+        return finer(df, pyramid, zoom, 2**step, width, method)
     if step < 0:
         k = 2**-step
         y, x = F.col("row") * width + F.col("py"), F.col("col") * width + F.col("px")
@@ -207,6 +207,25 @@ def resample(pixels: DataFrame, pyramid: Pyramid, zoom: int, target: int, width:
     return df
 
 
+#: Names that give a finer pixel the value of the one pixel it lies in.
+REPEATED = ("nearest", "first", "last", "mode", "average", "min", "max", "med", "q1", "q3")
+
+
+def finer(pixels: DataFrame, pyramid: Pyramid, zoom: int, factor: int, width: int, method: str = "nearest") -> DataFrame:
+    """``factor`` (a power of 2) times finer tiles of pixels at ``zoom``; bilinear and cubic see the neighbour tiles' edges."""
+    if method in REPEATED:
+        for _ in range(factor.bit_length() - 1):
+            pixels = underview(pixels, width)
+        return pixels
+    if method not in ("bilinear", "cubic"):
+        raise ValueError(f"resampling {method!r} isn't there for finer pixels")
+    own = pixels.select(*TILE).distinct()
+    near = halo(pixels.select(*PIXEL, "value"), pyramid, zoom, 1 if method == "bilinear" else 2, width)
+    df = interpolate(near, width, factor, method).join(own, TILE, "left_semi")
+    at = lambda tile, p: (F.col(tile) * factor + F.expr(f"{p} DIV {width}")).cast("int")
+    return df.select((F.col("zoom") + factor.bit_length() - 1).cast("int").alias("zoom"), at("row", "py").alias("row"), at("col", "px").alias("col"), "band", F.expr(f"CAST(py % {width} AS INT)").alias("py"), F.expr(f"CAST(px % {width} AS INT)").alias("px"), "value")
+
+
 def interpolate(pixels: DataFrame, width: int, factor: int, method: str = "bilinear") -> DataFrame:
     """``factor`` times finer pixels by bilinear or cubic weights of 4 or 16 neighbours, as a weighted explode and one sum.
 

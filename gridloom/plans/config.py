@@ -36,6 +36,9 @@ class Mode(enum.Enum):
 KEYS = {"pyramid", "output", "zoom_levels", "process", "baselevels", "input", "config_dir", "area", "area_crs", "bounds", "bounds_crs", "process_parameters"}
 #: Keys of older configurations and where they went.
 MOVED = {"process_file": "process", "process_zoom": "zoom_levels", "process_zooms": "zoom_levels", "process_bounds": "bounds", "input_files": "input"}
+#: Resampling below and above the base levels.
+LOWER = ("nearest", "first", "last", "mode", "average", "bilinear", "min", "max", "sum", "med", "q1", "q3", "rms")
+HIGHER = ("nearest", "first", "last", "mode", "average", "bilinear", "cubic", "min", "max", "med", "q1", "q3")
 _ZOOM = re.compile(r"^\s*zoom\s*(<=|>=|=|<|>)\s*(\d+)\s*$")
 
 
@@ -159,12 +162,15 @@ def resolved_env(value, env: dict[str, str]):
 
 
 def checked_baselevels(value: dict | None, zooms: ZoomLevels) -> dict | None:
-    """min and max default to the zooms' own; lower and higher are resampling names."""
+    """min and max default to the zooms' own; lower and higher are resampling names, of those that are there."""
     if value is None:
         return None
     out = {"min": int(value.get("min", zooms.min)), "max": int(value.get("max", zooms.max)), "lower": value.get("lower", "nearest"), "higher": value.get("higher", "nearest")}
     if out["min"] > out["max"]:
         raise ConfigError("baselevels: min must not exceed max")
+    for side, names in (("lower", LOWER), ("higher", HIGHER)):
+        if out[side] not in names:
+            raise ConfigError(f"baselevels: {side} can't be {out[side]!r}, only {', '.join(names)}")
     if out["min"] <= zooms.min and out["max"] >= zooms.max:
         raise ConfigError("baselevels must leave some zoom levels to resample")
     return out

@@ -237,11 +237,10 @@ class Process:
             keys = again.persist()
             again = keys.select(F.col("row").alias("_row"), F.col("col").alias("_col"))
             children = read(zoom + 1).withColumns({"_row": F.expr("row DIV 2").cast("int"), "_col": F.expr("col DIV 2").cast("int")})
-            method = {"bilinear": "average", "cubic": "average"}.get(base["lower"], base["lower"])
-            sinks.write_tiles(pack(R.overview(children.join(again, ["_row", "_col"], "left_semi").drop("_row", "_col"), size, method)), path, replaced=keys)
+            sinks.write_tiles(pack(R.overview(children.join(again, ["_row", "_col"], "left_semi").drop("_row", "_col"), size, base["lower"])), path, replaced=keys)
             self._tell("overview", zoom=zoom)
         for zoom in range(high + 1, max(self.zooms) + 1):
-            sinks.write_tiles(pack(R.underview(read(zoom - 1), size)), path)
+            sinks.write_tiles(pack(R.resample(read(zoom - 1), self.config.output_pyramid, zoom - 1, zoom, size, base["higher"])), path)
             self._tell("overview", zoom=zoom)
 
     # Reading

@@ -212,3 +212,35 @@ def test_measures(spark):
         df.collect()
     assert t.seconds > 0 and o.get == {"rows": 2, "min_zoom": 3, "max_zoom": 5}
     assert redacted("aws_secret_access_key=abc, x=1") == "aws_secret_access_key=***, x=1"
+
+
+def finer_by_hand(a, method):
+    """Twice as fine, by weights of the neighbours that are there."""
+    def weight(d):
+        d = abs(d)
+        if method == "bilinear":
+            return max(0.0, 1 - d)
+        return 1.5 * d**3 - 2.5 * d**2 + 1 if d < 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 if d < 2 else 0.0
+
+    w = np.array([[weight((t + 0.5) / 2 - 0.5 - s) for s in range(len(a))] for t in range(2 * len(a))])
+    w /= w.sum(axis=1, keepdims=True)
+    return w @ a @ w.T
+
+
+@pytest.mark.parametrize("method", ["bilinear", "cubic"])
+def test_higher_resampling_over_tile_edges(spark, tmp_path, raster, method):
+    cfg = config(raster, tmp_path / "out", baselevels={"min": 3, "max": 3, "higher": method}, zoom_levels={"min": 3, "max": 4}, bounds=[-180, 0, -90, 90])
+    p = open_process(spark, cfg, "overwrite")
+    p.execute()
+    got = np.full((32, 32), np.nan)
+    for r in R.to_long(p.read(4).drop("tags")).collect():
+        got[r["row"] * 4 + r["py"], r["col"] * 4 + r["px"]] = r["value"]
+    assert np.allclose(got, finer_by_hand(np.arange(1, 257).reshape(16, 16) * 2.0 + 1, method))
+
+
+def test_unsupported_resampling_is_an_error(spark, tmp_path, raster):
+    for side, name in (("lower", "cubic"), ("higher", "sum"), ("higher", "lanczos")):
+        with pytest.raises(ConfigError):
+            ProcessConfig.parse(config(raster, tmp_path / "out", baselevels={"min": 3, "max": 3, side: name}))
+    with pytest.raises(ValueError):
+        R.resample(spark.createDataFrame([(3, 0, 0, 1, 0, 0, 1.0)], "zoom int, row int, col int, band int, py int, px int, value double"), Pyramid(GEODETIC, tile_size=4), 3, 4, 4, "sum")
