@@ -423,7 +423,16 @@ def _(spark, sf):
 
 @register("user_process_arrow", f"WITH {PIX} SELECT row, col, py, px, value * 2 + 1 AS value FROM pix WHERE row < 4")
 def _(spark, sf):
-    t = packed(spark, sf).select("zoom", "row", "col").where("row < 4")
+    return _user_process(spark, sf, "row < 4")
+
+
+@register("user_process_arrow_all", f"WITH {PIX} SELECT row, col, py, px, value * 2 + 1 AS value FROM pix")
+def _(spark, sf):
+    return _user_process(spark, sf, "true")
+
+
+def _user_process(spark: SparkSession, sf: str, where: str) -> DataFrame:
+    t = packed(spark, sf).select("zoom", "row", "col").where(where)
     out = process.run(t, {"dem": packed(spark, sf)}, _double_plus, GEO, {"add": 1})
     return R.to_long(out.drop("tags")).select("row", "col", "py", "px", "value")
 
@@ -500,6 +509,15 @@ def _(spark, sf):
 
 @register("tile_directory_round_trip", f"WITH {PIX} SELECT row, col, py, px, value FROM pix WHERE row BETWEEN 2 AND 5")
 def _(spark, sf):
+    return _round_trip(spark, sf, "row BETWEEN 2 AND 5")
+
+
+@register("tile_directory_round_trip_all", f"WITH {PIX} SELECT row, col, py, px, value FROM pix")
+def _(spark, sf):
+    return _round_trip(spark, sf, "true")
+
+
+def _round_trip(spark: SparkSession, sf: str, where: str) -> DataFrame:
     from gridloom.sources.paths import work_path
     from gridloom.sources.readers import TileDirectory
     from gridloom.sources.sinks import write_metadata, write_tiles
@@ -507,17 +525,26 @@ def _(spark, sf):
     path = work_path(spark, "tiles")
     write_metadata(spark, path, GEO, {"format": "Parquet"})
     write_tiles(packed(spark, sf), path)
-    return R.to_long(TileDirectory(spark, path).read(Z).where("row BETWEEN 2 AND 5")).select("row", "col", "py", "px", "value")
+    return R.to_long(TileDirectory(spark, path).read(Z).where(where)).select("row", "col", "py", "px", "value")
 
 
 @register("geotiff_round_trip", f"WITH {PIX} SELECT zoom, row, col, band, py, px, value FROM pix WHERE row < 3")
 def _(spark, sf):
+    return _geotiffs(spark, sf, "row < 3")
+
+
+@register("geotiff_round_trip_all", f"WITH {PIX} SELECT zoom, row, col, band, py, px, value FROM pix")
+def _(spark, sf):
+    return _geotiffs(spark, sf, "true")
+
+
+def _geotiffs(spark: SparkSession, sf: str, where: str) -> DataFrame:
     from gridloom.sources.paths import work_path
     from gridloom.sources.readers import raster_files, raster_to_tiles
     from gridloom.sources.sinks import write_images
 
     path = work_path(spark, "geotiff")
-    write_images(packed(spark, sf).where("row < 3"), path, GEO, "GTiff", nodata=-9999.0).write.format("noop").mode("overwrite").save()
+    write_images(packed(spark, sf).where(where), path, GEO, "GTiff", nodata=-9999.0).write.format("noop").mode("overwrite").save()
     return raster_to_tiles(raster_files(spark, f"{path}/*/*/*.tif"), GEO, Z)
 
 

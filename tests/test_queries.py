@@ -36,3 +36,9 @@ def test_query(spark, duck, name):
         return
     want = duck.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["user_process_arrow_all", "tile_directory_round_trip_all", "geotiff_round_trip_all"])
+def test_all_embeddings_are_covered(spark, name):
+    df = catalogue.queries()[name](spark, SF)
+    assert df.select("row", "col").distinct().count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
