@@ -110,6 +110,11 @@ def _(spark, sf):
     return tiles.children(tiles.assign(points(spark, sf), GEO, Z).where("row < 4").select("zoom", "row", "col").distinct(), GEO)
 
 
+@register("tile_children_all", f"WITH {TILED}, t AS (SELECT DISTINCT row, col FROM tiled) SELECT 6 AS zoom, CAST(row * 2 + i AS INT) AS row, CAST(col * 2 + j AS INT) AS col FROM t, range(2) a(i), range(2) b(j)")
+def _(spark, sf):
+    return tiles.children(tiles.assign(points(spark, sf), GEO, Z).select("zoom", "row", "col").distinct(), GEO)
+
+
 @register("tile_neighbors", f"WITH {TILED}, t AS (SELECT DISTINCT row, col FROM tiled) SELECT row, col, CAST(row + i AS INT) AS n_row, CAST((col + j + 64) % 64 AS INT) AS n_col FROM t, range(-1, 2) a(i), range(-1, 2) b(j) WHERE (i <> 0 OR j <> 0) AND row + i BETWEEN 0 AND 31")
 def _(spark, sf):
     return tiles.neighbors(tiles.assign(points(spark, sf), GEO, Z).select("zoom", "row", "col").distinct(), GEO).select("row", "col", "n_row", "n_col")
@@ -232,9 +237,18 @@ def _(spark, sf):
 
 @register("cell_union", f"WITH {BOX} SELECT CAST(r0 AS INT) AS row, count(DISTINCT c) AS n FROM box, range(32) a(r0), range(64) b(c) WHERE l < 180 AND c * 5.625e0 - 180 < least(r, 180) AND (c + 1) * 5.625e0 - 180 > l AND 90 - r0 * 5.625e0 > b AND 90 - (r0 + 1) * 5.625e0 < t AND n_nationkey < 5 GROUP BY r0")
 def _(spark, sf):
+    return _cell_union(spark, sf, "n_nationkey < 5")
+
+
+@register("cell_union_all", f"WITH {BOX} SELECT CAST(r0 AS INT) AS row, count(DISTINCT c) AS n FROM box, range(32) a(r0), range(64) b(c) WHERE l < 180 AND c * 5.625e0 - 180 < least(r, 180) AND (c + 1) * 5.625e0 - 180 > l AND 90 - r0 * 5.625e0 > b AND 90 - (r0 + 1) * 5.625e0 < t GROUP BY r0")
+def _(spark, sf):
+    return _cell_union(spark, sf, "true")
+
+
+def _cell_union(spark: SparkSession, sf: str, where: str) -> DataFrame:
     b = F.col("box")
     ring = F.array(*[F.struct(b[x].alias("x"), b[y].alias("y")) for x, y in (("left", "bottom"), ("right", "bottom"), ("right", "top"), ("left", "top"), ("left", "bottom"))])
-    df = boxes(spark, sf).where("n_nationkey < 5").withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("rings"), F.array(F.lit(0)).alias("part"))).drop("box")
+    df = boxes(spark, sf).where(where).withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("rings"), F.array(F.lit(0)).alias("part"))).drop("box")
     return vector.cell_union(df, GEO, Z).select("row", F.size("cols").cast("long").alias("n"))
 
 
@@ -271,6 +285,12 @@ def _(spark, sf):
     return joins.merged(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name")), "c_custkey")
 
 
+@register("merge_new_all", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 3 <> 0")
+def _(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey", "c_name")
+    return joins.merged(c.where("c_custkey % 3 = 0"), c.withColumn("c_name", F.upper("c_name")), "c_custkey")
+
+
 @register("sync_copy", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0")
 def _(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", "c_acctbal")
@@ -443,7 +463,16 @@ def _double_plus(dem, add):
 
 @register("user_process_vector", f"WITH {TILED} SELECT row, col, count(*) AS n FROM tiled WHERE row < 6 GROUP BY row, col")
 def _(spark, sf):
-    p = tiles.assign(points(spark, sf), GEO, Z).where("row < 6")
+    return _points_by_tile(spark, sf, "row < 6")
+
+
+@register("user_process_vector_all", f"WITH {TILED} SELECT row, col, count(*) AS n FROM tiled GROUP BY row, col")
+def _(spark, sf):
+    return _points_by_tile(spark, sf, "true")
+
+
+def _points_by_tile(spark: SparkSession, sf: str, where: str) -> DataFrame:
+    p = tiles.assign(points(spark, sf), GEO, Z).where(where)
     ring = F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))))
     f = p.select("zoom", "row", "col", F.struct(F.lit("Point").alias("type"), ring.alias("rings"), F.array(F.lit(0)).alias("part")).alias("geom"), F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("properties"))
     out = process.run(f.select("zoom", "row", "col"), {"inp": f}, _same, GEO, vector=True, vector_inputs=["inp"])
