@@ -1,130 +1,191 @@
 """License scans by diagonal voting.
 
-Every position of every document gives hashes of its next two and next four words, which Spark joins to the
-template positions with the same pair (and, for notices, the same four). A hit votes for the diagonal
-document position less template position. Votes are added up by document, template and diagonal;
-diagonals at most GAP words apart are merged, as words put in or left out shift the later ones; spans with
-enough votes are cut from the text and verified by edit distance. The base phrases are found by the same
-votes: a diagonal on which all of a phrase's pairs hit is a place.
-
-Templates are parameters, so their table is of known size: up to BROADCAST_ROWS positions it is sent to all
-executors, beyond that Spark chooses the join. Hits are few and keyed by document, so no step gathers a
-common phrase of many documents.
-
-Defined results: a null or blank text has no words, no place, no label and score 0; repeated rows (equal
-doc_id and text) get equal results; an empty table gives an empty result; input columns named like an
-output column are replaced.
+Each position of each document gives the hashes of its next words, for each gram length that a template
+votes by, and Spark joins these hashes to the template positions: phrases and notices of fewer than SHORT
+words vote by PAIR words, so that one changed word leaves some votes, longer notices by RUN words. A hit
+votes for the diagonal document position less template position. Votes are added up by document, template
+and diagonal; diagonals at most GAP words apart are merged, as words put in or left out shift the later
+ones; spans with enough votes (the merged one, and that of its strongest diagonal) are cut from the text and
+verified by edit distance. The base phrases are found by the same votes: a diagonal on which all of a
+phrase's grams hit is a place.
+
+Hashes are made where the text is read, 8 bytes a gram, and don't leave the task: the templates' table is of
+known size, so up to BROADCAST_ROWS positions it is sent to all executors; beyond that Spark chooses the
+join. Hits are few and keyed by document, so no step gathers a common phrase of many documents.
+
+Defined results: a null or blank text has no words, no place, no label and score 0; a text of any length is
+scanned whole; repeated rows (equal doc_id and text) get equal results; of spans that start within GAP words
+of each other the most similar counts, of equal ones that of the label that sorts last; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.llm.common import lower_ascii, staged, table
+from gridloom.llm.common import LOWER_ALNUM, as_bytes, bounded_batches, long, row_map, staged, table
+from gridloom.llm.notices import NOTICES, PHRASES
 
-PAIR, RUN, GAP = 2, 4, 3
-#: Share of a notice's runs that must vote, and similarity by edit distance that a span must have.
-MIN_VOTES, MIN_SIMILAR = 0.2, 0.8
+PAIR, RUN, SHORT, GAP = 2, 4, 10, 3
+#: Share of a notice's grams that must vote (of short ones, of others), and similarity by edit distance that a span must have.
+SHORT_VOTES, MIN_VOTES, MIN_SIMILAR = 0.4, 0.2, 0.8
 BROADCAST_ROWS = 100_000
 
-#: Phrases of which every place counts, and their labels.
-PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices by label, as they are published.
-NOTICES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
+_MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+def words(text: bytes | None) -> list[bytes]:
+    """Words of digits, letters and non-ASCII characters, A to Z lower-cased."""
+    return (text or b"").translate(LOWER_ALNUM).split()
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+def grams(own: list[bytes], k: int) -> np.ndarray:
+    """A 64-bit hash of the k words from each position on (k is a part of it)."""
+    if len(own) < k:
+        return np.zeros(0, dtype=np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own))
+    n = len(own) - k + 1
+    out = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        out = out * _MIX[0] + h[i : i + n]
+    out = (out ^ (out >> np.uint64(30))) * _MIX[1]
+    out = (out ^ (out >> np.uint64(27))) * _MIX[2]
+    return (out ^ (out >> np.uint64(31))).view(np.int64)
 
 
-def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
-    """template, label, phrase, body, length, place, pair, run: a row for each pair of a template; run is null for phrases and where fewer than RUN words are left."""
-    rows = []
+def width(n: int, phrase: bool) -> int:
+    """Words of a gram by which a template of n words votes."""
+    return min(n, PAIR if phrase or n < SHORT else RUN)
+
+
+def votes_needed(n: int, phrase: bool) -> int:
+    """Grams of a template of n words that must vote for a span."""
+    of = n - width(n, phrase) + 1
+    return of if phrase else max(1, -(-round(1000 * (SHORT_VOTES if n < SHORT else MIN_VOTES)) * of // 1000))
+
+
+_TEMPLATE = "template int, label string, phrase boolean, body string, length int, needed int, k int, place int, gram long"
+
+
+def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> tuple[DataFrame, list[int]]:
+    """A row for each gram of each template, and the gram lengths in use."""
+    rows, kinds = [], set()
     for number, (label, text, phrase) in enumerate([*((v, k, True) for k, v in phrases.items()), *((*x, False) for x in notices)]):
-        own = _words(text)
-        for i in range(len(own) - 1):
-            run = own[i : i + RUN] if not phrase and i + RUN <= len(own) else None
-            if phrase or run:
-                rows.append((number, label, phrase, " ".join(own), len(own), i, own[i : i + PAIR], run))
-    df = spark.createDataFrame(rows, "template int, label string, phrase boolean, body string, length int, place int, p array<string>, r array<string>")
-    df = df.select("template", "label", "phrase", "body", "length", "place", F.xxhash64(F.col("p")[0], F.col("p")[1]).alias("pair"), F.when(F.col("r").isNotNull(), F.xxhash64(*[F.col("r")[i] for i in range(RUN)])).alias("run"))
-    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+        own = words(text.encode())
+        k = width(len(own), phrase)
+        for place, gram in enumerate(grams(own, k).tolist() if own else []):
+            kinds.add(k)
+            rows.append((number, label, phrase, b" ".join(own).decode(), len(own), votes_needed(len(own), phrase), k, place, gram))
+    df = spark.createDataFrame(rows, _TEMPLATE)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df, sorted(kinds)
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``text``, k1, k2: two hashes that stand for the row."""
-    return docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit("second"), text, key).alias("k2"))
+    """``key``, ``_text`` (bytes), k1, k2: two hashes that stand for the row."""
+    bounded_batches(docs.sparkSession)
+    key, text = F.col(f"`{key}`"), F.col(f"`{text}`")
+    return docs.select(key, as_bytes(text).alias("_text"), F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit("second"), text, key).alias("k2"))
 
 
-def votes(rows: DataFrame, known: DataFrame) -> DataFrame:
+def votes(rows: DataFrame, known: DataFrame, kinds: list[int]) -> DataFrame:
     """k1, k2, template columns, at (position), place: the hits."""
-    w = words(F.col("text"))
-    grams = F.transform("w", lambda x, i: F.struct(F.xxhash64(x, F.get("w", i + 1)).alias("pair"), F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)).alias("run")))
-    positions = rows.select("k1", "k2", w.alias("w")).select("k1", "k2", F.size("w").alias("n"), F.posexplode(grams).alias("at", "g")).select("k1", "k2", "n", "at", F.col("g.pair").alias("pair"), F.col("g.run").alias("_run"))
-    hits = positions.where("at < n - 1").join(known, "pair").where("run IS NULL OR (run = _run AND at < n - 3)")
-    return hits.select("k1", "k2", "template", "label", "phrase", "body", "length", "at", "place").distinct()
+
+    def make():
+        def each(column: pa.Array) -> list[pa.Array]:
+            counts, found = [], []
+            for text in column.to_pylist():
+                own = words(text)
+                counts.append(len(own))
+                found += [grams(own, k) for k in kinds]
+            at = np.cumsum([0, *map(len, found)])[:: len(kinds)].astype(np.int32) if kinds else np.zeros(len(counts) + 1, np.int32)
+            return [pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)])))]
+
+        return each
+
+    fields = [T.StructField("n", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))]
+    hashed = row_map(rows, "_text", fields, make, ["k1", "k2"])
+    hits = hashed.select("k1", "k2", "n", F.posexplode("grams").alias("i", "gram")).join(known, "gram")
+    # A text's grams lie one length after the other.
+    before = F.lit(0)
+    for k in kinds:
+        before = before + F.when(F.col("k") > k, F.greatest(F.col("n") - k + 1, F.lit(0))).otherwise(0)
+    return hits.select("k1", "k2", "template", "label", "phrase", "body", "length", "needed", (F.col("i") - before).alias("at"), "place").distinct()
 
 
 def places(hits: DataFrame) -> DataFrame:
-    """k1, k2, label, at: places of phrases, from diagonals on which every pair hits."""
-    full = hits.where("phrase").groupBy("k1", "k2", "template", "label", "length", (F.col("at") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    return full.where("n = length - 1").select("k1", "k2", "label", F.col("start").cast("long").alias("at"))
+    """k1, k2, label, at: places of phrases, from diagonals on which every gram hits."""
+    full = hits.where("phrase").groupBy("k1", "k2", "template", "label", "needed", (F.col("at") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    return full.where("n = needed").select("k1", "k2", "label", F.col("start").cast("long").alias("at"))
 
 
 def spans(hits: DataFrame) -> DataFrame:
-    """k1, k2, template, label, body, start, stop: spans of notices with votes enough, diagonals merged."""
+    """k1, k2, template, label, body, start, stop: spans of notices with votes enough, diagonals merged, and those of their strongest diagonals."""
     diagonal = (F.col("at") - F.col("place")).alias("diagonal")
-    own = hits.where("NOT phrase").groupBy("k1", "k2", "template", "label", "body", "length", diagonal).agg(F.collect_set("place").alias("voted"), F.min("at").alias("first"), F.max("at").alias("last"))
+    own = hits.where("NOT phrase").groupBy("k1", "k2", "template", "label", "body", "length", "needed", diagonal).agg(F.collect_set("place").alias("voted"), F.min("at").alias("first"), F.max("at").alias("last"))
     order = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > GAP).cast("int"), F.lit(0))
     merged = own.withColumn("new", new).withColumn("group", F.sum("new").over(order))
-    by = merged.groupBy("k1", "k2", "template", "label", "body", "length", "group").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("voted")))).alias("n"), F.min_by("diagonal", "first").alias("start"), F.max_by("diagonal", "last").alias("stop")
+    by = merged.groupBy("k1", "k2", "template", "label", "body", "length", "needed", "group").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("voted")))).alias("n"),
+        F.min_by("diagonal", F.struct("first", "diagonal")).alias("start"),
+        F.max_by("diagonal", F.struct("last", "diagonal")).alias("stop"),
+        F.max(F.struct(F.size("voted").alias("votes"), (-F.col("diagonal")).alias("back"))).alias("top"),
     )
-    return by.where(F.col("n") >= F.ceil(MIN_VOTES * (F.col("length") - RUN + 1))).select("k1", "k2", "template", "label", "body", F.greatest("start", F.lit(0)).alias("start"), (F.col("stop") + F.col("length")).alias("stop"))
+    best = -F.col("top.back")
+    ends = F.array_distinct(F.array(F.struct(F.col("start"), F.col("stop")), F.struct(best.alias("start"), best.alias("stop"))))
+    one = by.where("n >= needed").select("k1", "k2", "template", "label", "body", "length", F.explode(ends).alias("e"))
+    return one.select("k1", "k2", "template", "label", "body", F.greatest("e.start", F.lit(0)).alias("start"), (F.col("e.stop") + F.col("length")).alias("stop"))
 
 
 def verified(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """k1, k2, label, start, stop, similarity of the spans that their text bears out; of templates with spans at one start, the most similar."""
-    texts = rows.join(found, ["k1", "k2"]).withColumn("w", words(F.col("text")))
-    cut = F.array_join(F.slice("w", F.col("start") + 1, F.col("stop") - F.col("start")), " ")
-    similar = 1 - F.levenshtein(cut, F.col("body")) / F.greatest(F.length(cut), F.length("body"))
-    good = texts.select("k1", "k2", "label", "start", "stop", similar.alias("similarity")).where(F.col("similarity") >= MIN_SIMILAR)
-    return good.groupBy("k1", "k2", "start").agg(F.max(F.struct("similarity", "label", "stop")).alias("s")).select("k1", "k2", "s.label", "start", "s.stop", "s.similarity")
+    """k1, k2, label, start, stop, similarity of the spans that their text bears out; of those that start close by each other, the most similar."""
+    by = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop", "label", "body")).alias("spans"))
+    near = rows.join(by, ["k1", "k2"]).select("k1", "k2", "spans", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"), "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = []
+            for text, starts, stops in zip(*(batch.column(i).to_pylist() for i in (5, 3, 4))):
+                own = words(text)
+                cuts.append([b" ".join(own[a:b]).decode("utf-8", "replace") for a, b in zip(starts, stops)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(cuts, pa.list_(pa.string()))], names=["k1", "k2", "spans", "cuts"])
+
+    schema = T.StructType([near.schema[c] for c in ("k1", "k2", "spans")] + [T.StructField("cuts", T.ArrayType(T.StringType()))])
+    each = near.mapInArrow(run, schema).select("k1", "k2", F.explode(F.arrays_zip("spans", "cuts")).alias("s"))
+    each = each.select("k1", "k2", "s.spans.start", "s.spans.stop", "s.spans.label", "s.spans.body", F.col("s.cuts").alias("cut"))
+    longer, shorter = F.greatest(F.length("cut"), F.length("body")), F.least(F.length("cut"), F.length("body"))
+    similar = F.when(shorter >= MIN_SIMILAR * longer, 1 - F.levenshtein("cut", "body") / longer)
+    good = each.withColumn("similarity", similar).where(F.col("similarity") >= MIN_SIMILAR).distinct()
+    order = Window.partitionBy("k1", "k2").orderBy("start", "stop", "label", "body")
+    new = F.coalesce((F.col("start") - F.lag("start").over(order) > GAP).cast("int"), F.lit(0))
+    grouped = good.withColumn("new", new).withColumn("group", F.sum("new").over(order))
+    return grouped.groupBy("k1", "k2", "group").agg(F.max(F.struct("similarity", "label", "start", "stop")).alias("s")).select("k1", "k2", "s.label", "s.start", "s.stop", "s.similarity")
+
+
+def sized(rows: DataFrame, key: str) -> DataFrame:
+    """``key``, k1, k2 and n_words of every row."""
+    return row_map(rows, "_text", [T.StructField("n_words", T.LongType())], lambda: lambda c: [long([len(words(t)) for t in c.to_pylist()])], [key, "k1", "k2"])
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """``key`` with n_words, n_base, first_word, last_word, base_labels, labels, score and spans of each row."""
     rows = keyed(docs, key, text)
-    hits = staged(votes(rows, templates(docs.sparkSession, phrases, notices)), "license-hits")
+    hits = staged(votes(rows, *templates(docs.sparkSession, phrases, notices)), "license-hits")
     base = places(hits).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_base"), F.min("at").alias("first_word"), F.max("at").alias("last_word"), F.collect_set("label").alias("base"))
     found = staged(spans(hits), "license-spans")
     more = verified(rows, found).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("similarity").alias("best"), F.collect_set(F.struct("label", "start", "stop")).alias("spans"))
     marks = staged(base.join(more, ["k1", "k2"], "full"), "license-marks")
     none = F.array().cast("array<string>")
-    sized = rows.select(key, "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     own, other = F.coalesce("base", none), F.coalesce("more", none)
-    return sized.join(marks, ["k1", "k2"], "left").select(
-        key,
+    return sized(rows, key).join(marks, ["k1", "k2"], "left").select(
+        F.col(f"`{key}`"),
         "n_words",
         F.coalesce("n_base", F.lit(0)).alias("n_base"),
         "first_word",

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, decontaminate, language, lengths, licenses, quality, registry, sharding, simhash, warc
+from gridloom.llm import bpe, chat, decontaminate, language, lengths, quality, registry, sharding, simhash, warc
 from gridloom.llm.common import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -388,20 +388,6 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
-# Licenses
-
-def test_licenses(spark, docs, empty):
-    extra = [(60, "All rights reserved. CC-BY CC BY " + EN, "en", "z", 1), (61, "Licensed under the Apache Licence, Version 2.0 " + EN, "en", "z", 1), (62, EN + " Released under the very MIT License", "en", "z", 1), (63, "this work is licensed under the gnu general public license, version 3", "en", "z", 1), (64, "general public general public license " * 50, "en", "z", 1), (60, "All rights reserved. CC-BY CC BY " + EN, "en", "z", 1)]
-    got = by_id(licenses.scan(docs.unionByName(spark.createDataFrame(extra, SCHEMA))))
-    assert len(got[60]) == 2 and (got[60][0]["n_base"], got[60][0]["first_word"], got[60][0]["last_word"], got[60][0]["base_labels"], got[60][0]["score"]) == (3, 0, 5, "cc-by,reserved", 1.0)
-    assert got[61][0]["labels"] == "apache-2.0" and 0.8 <= got[61][0]["score"] < 1 and got[61][0]["base_labels"] == ""
-    assert got[63][0]["labels"] == "gpl,gpl-3.0" and got[63][0]["n_base"] == 1
-    assert got[64][0]["n_base"] == 50 and got[64][0]["first_word"] == 2
-    for i in (1, 3, 4, 7):
-        assert (got[i][0]["n_base"], got[i][0]["labels"], got[i][0]["score"], got[i][0]["first_word"]) == (0, "", 0.0, None)
-    assert got[3][0]["n_words"] == 0 and licenses.scan(empty).count() == 0
-
-
 # Queries with SQL
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
