@@ -56,24 +56,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting to delete a query's shuffle files when it has ended, not when its driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and reread: cuts the lineage and survives lost executors."""
+    """``df`` written as Parquet in the shared folder and reread: cuts the lineage and survives lost executors.
+
+    What was shuffled to make it isn't needed after that, and is deleted at once.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def staging(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside are deleted at the end: for code that has written its results by then."""
-    mark = len(_staged)
+def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those that the function it gives has staged: what the results are read from."""
+    mark, results = len(_staged), []
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        results.append(_staged.pop())
+        return out
+
     try:
-        yield
+        yield result
     finally:
         while len(_staged) > mark:
             drop(spark, _staged.pop())
+        _staged.extend(results)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -88,6 +106,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in own])
 
 
+def packed(df: DataFrame, *own: Column) -> DataFrame:
+    """``_row``, all columns of ``df`` as one, and the columns ``own``: whatever the columns' names, they don't clash with an operator's own."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"), *own)
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of ``_row``, those in ``new`` replaced."""
+    return df.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
+
+
 def as_bytes(text: Column) -> Column:
     """UTF-8 bytes, so that a text that isn't valid Unicode doesn't break the transfer."""
     return text.cast("binary")

@@ -11,7 +11,9 @@ phrase's grams hit is a place.
 
 Hashes are made where the text is read, 8 bytes a gram, and don't leave the task: the templates' table is of
 known size, so up to BROADCAST_ROWS positions it is sent to all executors; beyond that Spark chooses the
-join. Hits are few and keyed by document, so no step gathers a common phrase of many documents.
+join. Votes are added up by diagonal in the task, too, each with the excerpt of the text that a span from
+there on can have, so that no text is shuffled or read again to verify spans. Hits are few and keyed by
+document, so no step gathers a common phrase of many documents.
 
 Defined results: a null or blank text has no words, no place, no label and score 0; a text of any length is
 scanned whole; repeated rows (equal doc_id and text) get equal results; of spans that start within GAP words
@@ -21,8 +23,6 @@ an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import LOWER_ALNUM, as_bytes, bounded_batches, long, row_map, staged, table
+from gridloom.llm.common import LOWER_ALNUM, as_bytes, bounded_batches, long, row_map, staged, staging, table
 from gridloom.llm.notices import NOTICES, PHRASES
 
 PAIR, RUN, SHORT, GAP = 2, 4, 10, 3
@@ -95,74 +95,78 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def votes(rows: DataFrame, known: DataFrame, kinds: list[int]) -> DataFrame:
-    """k1, k2, template columns, at (position), place: the hits."""
+    """k1, k2, template columns, at (position), place, excerpt: the hits.
+
+    The excerpt of a notice's hit is the normalised text from its diagonal's first word on, of at most twice the
+    notice's bytes: a span that is similar enough has no more.
+    """
 
     def make():
         def each(column: pa.Array) -> list[pa.Array]:
-            counts, found = [], []
+            counts, norms, starts, found = [], [], [], []
             for text in column.to_pylist():
                 own = words(text)
                 counts.append(len(own))
+                norms.append(b" ".join(own))
+                starts.append(np.cumsum([0, *[len(w) + 1 for w in own[:-1]]]) if own else np.zeros(0))
                 found += [grams(own, k) for k in kinds]
             at = np.cumsum([0, *map(len, found)])[:: len(kinds)].astype(np.int32) if kinds else np.zeros(len(counts) + 1, np.int32)
-            return [pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)])))]
+            heads = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(np.concatenate([*starts, np.zeros(0)]).astype(np.int32)))
+            return [pa.array(counts, pa.int32()), pa.array(norms, pa.binary()), heads, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)])))]
 
         return each
 
-    fields = [T.StructField("n", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("n", T.IntegerType()), T.StructField("norm", T.BinaryType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType()))]
     hashed = row_map(rows, "_text", fields, make, ["k1", "k2"])
-    hits = hashed.select("k1", "k2", "n", F.posexplode("grams").alias("i", "gram")).join(known, "gram")
+    hits = hashed.select("k1", "k2", "n", "norm", "starts", F.posexplode("grams").alias("i", "gram")).join(known, "gram")
     # A text's grams lie one length after the other.
     before = F.lit(0)
     for k in kinds:
         before = before + F.when(F.col("k") > k, F.greatest(F.col("n") - k + 1, F.lit(0))).otherwise(0)
-    return hits.select("k1", "k2", "template", "label", "phrase", "body", "length", "needed", (F.col("i") - before).alias("at"), "place").distinct()
+    hits = hits.withColumn("at", F.col("i") - before)
+    head, most = F.get("starts", F.greatest(F.col("at") - F.col("place"), F.lit(0))), 2 * F.octet_length("body")
+    excerpt = F.struct(F.substring("norm", head + 1, most).alias("data"), (F.octet_length("norm") > head + most).alias("more"))
+    return hits.select("k1", "k2", "template", "label", "phrase", "body", "length", "needed", "at", "place", F.when(~F.col("phrase"), excerpt).alias("excerpt"))
 
 
-def places(hits: DataFrame) -> DataFrame:
-    """k1, k2, label, at: places of phrases, from diagonals on which every gram hits."""
-    full = hits.where("phrase").groupBy("k1", "k2", "template", "label", "needed", (F.col("at") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    return full.where("n = needed").select("k1", "k2", "label", F.col("start").cast("long").alias("at"))
+def diagonals(hits: DataFrame) -> DataFrame:
+    """k1, k2, template columns, diagonal, voted (places), first, last (positions), excerpt: votes by diagonal, added up before they are shuffled."""
+    diagonal = (F.col("at") - F.col("place")).alias("diagonal")
+    by = hits.groupBy("k1", "k2", "template", "label", "phrase", "body", "length", "needed", diagonal)
+    return by.agg(F.collect_set("place").alias("voted"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("excerpt").alias("excerpt"))
 
 
-def spans(hits: DataFrame) -> DataFrame:
-    """k1, k2, template, label, body, start, stop: spans of notices with votes enough, diagonals merged, and those of their strongest diagonals."""
-    diagonal = (F.col("at") - F.col("place")).alias("diagonal")
-    own = hits.where("NOT phrase").groupBy("k1", "k2", "template", "label", "body", "length", "needed", diagonal).agg(F.collect_set("place").alias("voted"), F.min("at").alias("first"), F.max("at").alias("last"))
+def places(voted: DataFrame) -> DataFrame:
+    """k1, k2, label, at: places of phrases, diagonals on which every gram hits."""
+    return voted.where("phrase AND size(voted) = needed").select("k1", "k2", "label", F.col("diagonal").cast("long").alias("at"))
+
+
+def spans(voted: DataFrame) -> DataFrame:
+    """k1, k2, label, body, start, stop, excerpt: spans of notices with votes enough, diagonals merged, and those of their strongest diagonals."""
     order = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > GAP).cast("int"), F.lit(0))
-    merged = own.withColumn("new", new).withColumn("group", F.sum("new").over(order))
+    merged = voted.where("NOT phrase").withColumn("new", new).withColumn("group", F.sum("new").over(order))
+    from_here = F.struct("diagonal", "excerpt")
     by = merged.groupBy("k1", "k2", "template", "label", "body", "length", "needed", "group").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("voted")))).alias("n"),
-        F.min_by("diagonal", F.struct("first", "diagonal")).alias("start"),
+        F.min_by(from_here, F.struct("first", "diagonal")).alias("head"),
         F.max_by("diagonal", F.struct("last", "diagonal")).alias("stop"),
-        F.max(F.struct(F.size("voted").alias("votes"), (-F.col("diagonal")).alias("back"))).alias("top"),
+        F.max_by(from_here, F.struct(F.size("voted"), -F.col("diagonal"))).alias("top"),
     )
-    best = -F.col("top.back")
-    ends = F.array_distinct(F.array(F.struct(F.col("start"), F.col("stop")), F.struct(best.alias("start"), best.alias("stop"))))
-    one = by.where("n >= needed").select("k1", "k2", "template", "label", "body", "length", F.explode(ends).alias("e"))
-    return one.select("k1", "k2", "template", "label", "body", F.greatest("e.start", F.lit(0)).alias("start"), (F.col("e.stop") + F.col("length")).alias("stop"))
-
+    ends = F.array(F.struct(F.col("head.diagonal").alias("start"), F.col("stop"), F.col("head.excerpt").alias("excerpt")), F.struct(F.col("top.diagonal").alias("start"), F.col("top.diagonal").alias("stop"), F.col("top.excerpt").alias("excerpt")))
+    one = by.where("n >= needed").select("k1", "k2", "label", "body", "length", F.explode(ends).alias("e"))
+    return one.select("k1", "k2", "label", "body", F.greatest("e.start", F.lit(0)).alias("start"), (F.col("e.stop") + F.col("length")).alias("stop"), "e.excerpt")
 
-def verified(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """k1, k2, label, start, stop, similarity of the spans that their text bears out; of those that start close by each other, the most similar."""
-    by = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop", "label", "body")).alias("spans"))
-    near = rows.join(by, ["k1", "k2"]).select("k1", "k2", "spans", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"), "_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts = []
-            for text, starts, stops in zip(*(batch.column(i).to_pylist() for i in (5, 3, 4))):
-                own = words(text)
-                cuts.append([b" ".join(own[a:b]).decode("utf-8", "replace") for a, b in zip(starts, stops)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(cuts, pa.list_(pa.string()))], names=["k1", "k2", "spans", "cuts"])
 
-    schema = T.StructType([near.schema[c] for c in ("k1", "k2", "spans")] + [T.StructField("cuts", T.ArrayType(T.StringType()))])
-    each = near.mapInArrow(run, schema).select("k1", "k2", F.explode(F.arrays_zip("spans", "cuts")).alias("s"))
-    each = each.select("k1", "k2", "s.spans.start", "s.spans.stop", "s.spans.label", "s.spans.body", F.col("s.cuts").alias("cut"))
+def verified(found: DataFrame) -> DataFrame:
+    """k1, k2, label, start, stop, similarity of the spans that their excerpt bears out; of those that start close by each other, the most similar."""
+    own, n = F.split(F.col("excerpt.data").cast("string"), " "), F.col("stop") - F.col("start")
+    # Where an excerpt ends before the text does, its last word may be cut and a longer span is too long to be similar.
+    within = ~F.col("excerpt.more") | (F.size("own") > n)
+    each = found.withColumn("own", own).where((n > 0) & within).withColumn("cut", F.array_join(F.slice("own", F.lit(1), n), " "))
     longer, shorter = F.greatest(F.length("cut"), F.length("body")), F.least(F.length("cut"), F.length("body"))
     similar = F.when(shorter >= MIN_SIMILAR * longer, 1 - F.levenshtein("cut", "body") / longer)
-    good = each.withColumn("similarity", similar).where(F.col("similarity") >= MIN_SIMILAR).distinct()
+    good = each.withColumn("similarity", similar).where(F.col("similarity") >= MIN_SIMILAR).select("k1", "k2", "label", "body", "start", "stop", "similarity").distinct()
     order = Window.partitionBy("k1", "k2").orderBy("start", "stop", "label", "body")
     new = F.coalesce((F.col("start") - F.lag("start").over(order) > GAP).cast("int"), F.lit(0))
     grouped = good.withColumn("new", new).withColumn("group", F.sum("new").over(order))
@@ -177,11 +181,11 @@ def sized(rows: DataFrame, key: str) -> DataFrame:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """``key`` with n_words, n_base, first_word, last_word, base_labels, labels, score and spans of each row."""
     rows = keyed(docs, key, text)
-    hits = staged(votes(rows, *templates(docs.sparkSession, phrases, notices)), "license-hits")
-    base = places(hits).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_base"), F.min("at").alias("first_word"), F.max("at").alias("last_word"), F.collect_set("label").alias("base"))
-    found = staged(spans(hits), "license-spans")
-    more = verified(rows, found).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("similarity").alias("best"), F.collect_set(F.struct("label", "start", "stop")).alias("spans"))
-    marks = staged(base.join(more, ["k1", "k2"], "full"), "license-marks")
+    with staging(docs.sparkSession) as result:
+        voted = staged(diagonals(votes(rows, *templates(docs.sparkSession, phrases, notices))), "license-diagonals")
+        base = places(voted).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_base"), F.min("at").alias("first_word"), F.max("at").alias("last_word"), F.collect_set("label").alias("base"))
+        more = verified(spans(voted)).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("similarity").alias("best"), F.collect_set(F.struct("label", "start", "stop")).alias("spans"))
+        marks = result(base.join(more, ["k1", "k2"], "full"), "license-marks")
     none = F.array().cast("array<string>")
     own, other = F.coalesce("base", none), F.coalesce("more", none)
     return sized(rows, key).join(marks, ["k1", "k2"], "left").select(
