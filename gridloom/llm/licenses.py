@@ -37,6 +37,8 @@ PAIR, RUN, SHORT, GAP = 2, 4, 10, 3
 #: Share of a notice's grams that must vote (of short ones, of others), and similarity by edit distance that a span must have.
 SHORT_VOTES, MIN_VOTES, MIN_SIMILAR = 0.4, 0.2, 0.8
 BROADCAST_ROWS = 100_000
+#: Bytes of text whose hashes, some four times as many, are in work at once.
+PIECE = 256 << 10
 
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
@@ -46,12 +48,15 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER_ALNUM).split()
 
 
-def grams(own: list[bytes], k: int) -> np.ndarray:
-    """A 64-bit hash of the k words from each position on (k is a part of it)."""
-    if len(own) < k:
+def hashes(own: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own))
+
+
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k words (given by theirs) from each position on; k is a part of it."""
+    if len(h) < k:
         return np.zeros(0, dtype=np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own))
-    n = len(own) - k + 1
+    n = len(h) - k + 1
     out = np.full(n, k, dtype=np.uint64)
     for i in range(k):
         out = out * _MIX[0] + h[i : i + n]
@@ -80,7 +85,7 @@ def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: l
     for number, (label, text, phrase) in enumerate([*((v, k, True) for k, v in phrases.items()), *((*x, False) for x in notices)]):
         own = words(text.encode())
         k = width(len(own), phrase)
-        for place, gram in enumerate(grams(own, k).tolist() if own else []):
+        for place, gram in enumerate(grams(hashes(own), k).tolist() if own else []):
             kinds.add(k)
             rows.append((number, label, phrase, b" ".join(own).decode(), len(own), votes_needed(len(own), phrase), k, place, gram))
     df = spark.createDataFrame(rows, _TEMPLATE)
@@ -108,16 +113,18 @@ def votes(rows: DataFrame, known: DataFrame, kinds: list[int]) -> DataFrame:
                 own = words(text)
                 counts.append(len(own))
                 norms.append(b" ".join(own))
-                starts.append(np.cumsum([0, *[len(w) + 1 for w in own[:-1]]]) if own else np.zeros(0))
-                found += [grams(own, k) for k in kinds]
+                ends = np.cumsum(np.fromiter(map(len, own), dtype=np.int32, count=len(own)) + 1, dtype=np.int32)
+                starts.append(np.concatenate((np.zeros(1, np.int32), ends[:-1]))[: len(own)])
+                h = hashes(own)
+                found += [grams(h, k) for k in kinds]
             at = np.cumsum([0, *map(len, found)])[:: len(kinds)].astype(np.int32) if kinds else np.zeros(len(counts) + 1, np.int32)
-            heads = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(np.concatenate([*starts, np.zeros(0)]).astype(np.int32)))
+            heads = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(np.concatenate([*starts, np.zeros(0, np.int32)])))
             return [pa.array(counts, pa.int32()), pa.array(norms, pa.binary()), heads, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)])))]
 
         return each
 
     fields = [T.StructField("n", T.IntegerType()), T.StructField("norm", T.BinaryType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType()))]
-    hashed = row_map(rows, "_text", fields, make, ["k1", "k2"])
+    hashed = row_map(rows, "_text", fields, make, ["k1", "k2"], PIECE)
     hits = hashed.select("k1", "k2", "n", "norm", "starts", F.posexplode("grams").alias("i", "gram")).join(known, "gram")
     # A text's grams lie one length after the other.
     before = F.lit(0)
