@@ -73,7 +73,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstaged(df: DataFrame) -> None:
+    """Delete what ``staged`` has written, before its `staging` ends."""
+    _staged.remove(df._staged_at)
+    drop(df.sparkSession, df._staged_at)
 
 
 @contextmanager

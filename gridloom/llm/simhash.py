@@ -16,7 +16,8 @@ such a half emit the ball.
 
 Defined results: a null or blank text has the fingerprint zero and is linked like any other; repeated
 rows are each returned; a null document number is never a component's number unless the component has
-no other; an empty table gives an empty result; input columns named like an output column are replaced.
+no other; a text of any length is read whole; an empty table gives an empty result; other columns are
+ignored, and `keep` returns all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import LOWER, as_bytes, bounded_batches, row_map, staged, table, without
+from gridloom.llm.common import LOWER, as_bytes, bounded_batches, packed, row_map, staged, staging, table, unpacked, unstaged, without
 
 SHINGLE = 3
 SEED = 42
@@ -37,6 +38,8 @@ RADIUS = 3
 KEEP_SHINGLE, KEEP_PERMILLE = 5, 800
 #: One of so many texts is asked for common shingles; so many shingles are told apart from the rare ones.
 SAMPLE, MOST_COMMON = 16, 200_000
+#: Shingles up to which texts are compared by their sets at once.
+FEW = 128
 #: Texts with one shingle that are compared pair by pair at once, and rounds before all are.
 CROWD, ROUNDS = 32, 6
 
@@ -188,7 +191,8 @@ def classes(marked: DataFrame, key: str = "doc_id", more: DataFrame | None = Non
 
 def apply(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, fp, component_id of every row."""
-    return classes(staged(with_fingerprint(docs, text, [key]), "simhash-marked"), key)
+    with staging(docs.sparkSession) as result:
+        return result(classes(staged(with_fingerprint(docs, text, [key]), "simhash-marked"), key), "simhash-classes")
 
 
 def _grams(text: bytes | None, size: int) -> np.ndarray:
@@ -201,6 +205,13 @@ def _arrays(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)])))
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of the hashes, set if an odd number of them has it; four bits a hash or more, a power of two."""
+    bits = max(256, 1 << int(4 * len(grams) - 1).bit_length())
+    odd = np.bincount(grams & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _common(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles that many texts of a sample have, the rarest first. They only order the shingles, so a miss costs time and no pair."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(as_bytes(F.col("text")).alias("_text")).distinct()
@@ -209,14 +220,19 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
     return np.array([r["g"] for r in counts.orderBy(F.desc("n"), "g").limit(MOST_COMMON).collect()][::-1], dtype=np.int64)
 
 
-def _prefixes(common: np.ndarray, size: int, permille: int):
-    """fp, node (a hash of fp and the shingles), n, and of the n shingles in order of rarity those of which a similar text must share one."""
+_PROFILE = ["fp", "node", "n", "prefix", "bits", "whole"]
+_PROFILE_FIELDS = [T.StructField(n, t) for n, t in zip(_PROFILE, [T.LongType(), T.LongType(), T.IntegerType(), *[T.ArrayType(T.LongType())] * 3])]
+
+
+def _profiles(common: np.ndarray, size: int, permille: int):
+    """fp, node (a hash of fp and the shingles), n, of the n shingles in order of rarity those of which a similar text must share one, and for comparisons their parities or, of few, all."""
     by = np.argsort(common)
     known = common[by]
 
     def run(column: pa.Array) -> list[pa.Array]:
-        nodes, counts, prefixes = np.zeros(len(column), dtype=np.uint64), [], []
+        nodes, counts, prefixes, bits, whole = np.zeros(len(column), dtype=np.uint64), [], [], [], []
         fps = _fingerprints(column)[0]
+        none = np.zeros(0, dtype=np.int64)
         for i, (text, fp) in enumerate(zip(column.to_pylist(), fps.to_pylist())):
             grams = _grams(text, size)
             nodes[i] = xxhash.xxh64_intdigest(grams.tobytes(), fp % (1 << 64))
@@ -226,64 +242,95 @@ def _prefixes(common: np.ndarray, size: int, permille: int):
                 rank = np.where(known[at] == grams, by[at], -1)
             counts.append(len(grams))
             prefixes.append(grams[np.argsort(rank, kind="stable")][: len(grams) - -(-permille * len(grams) // 1000) + 1 if len(grams) else 0])
-        return [fps, pa.array(nodes.view(np.int64)), pa.array(counts, pa.int32()), _arrays(prefixes)]
+            # A similar text of FEW shingles or fewer has no more than this.
+            whole.append(grams if len(grams) <= 1000 * FEW // permille else none)
+            bits.append(parities(grams) if len(grams) > FEW else none)
+        return [fps, pa.array(nodes.view(np.int64)), pa.array(counts, pa.int32()), _arrays(prefixes), _arrays(bits), _arrays(whole)]
 
     return run
 
 
-def similar_links(docs: DataFrame, slim: DataFrame, size: int, permille: int) -> DataFrame:
-    """a, b: links of fingerprints whose texts' sets of shingles have a Jaccard similarity of ``permille`` / 1000 or more.
+def compared(pairs: DataFrame, nodes: DataFrame, permille: int) -> DataFrame:
+    """a, b, sure: the pairs (a, b, n_a, n_b) that can be similar; ``sure`` if they are, else their texts must be compared.
 
-    Exact, by prefix filtering: with all shingles in one order, rare ones first, two similar sets share one of
-    their first n - ceil(s n) + 1. Texts that share one are compared by their whole sets. A shingle that more
-    than CROWD texts share is first compared with one of them, which changes by round; of what is found
-    similar only the text with the smallest doc_id goes on, so a group of near copies isn't compared pair by
-    pair. Hence of two similar texts one is linked to a text of a smaller doc_id at least.
+    Two sets are similar if no more than ``most`` shingles are in one only. With FEW shingles or fewer in one of them
+    that is counted. Else the parities differ in no more bits than that, so that no similar pair is missed; in fewer
+    only by shingles that fall together, of which more than six deviations over the expected number are left to
+    the comparison of the texts.
     """
-    from pyspark.sql import Window
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("whole").alias(f"whole_{x}"))
+    df = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = F.col("n_a") + F.col("n_b")
+    most = F.floor((1000 - permille) * both / (1000 + permille)).cast("int")
+    # Sizes are within a factor of two; the longer parities are folded.
+    size = F.least(F.size("bits_a"), F.size("bits_b"))
+    folded = lambda x: F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(folded("bits_a"), folded("bits_b"), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
+    few = F.least("n_a", "n_b") <= FEW
+    apart = F.when(few, both - 2 * F.size(F.array_intersect("whole_a", "whole_b"))).otherwise(differ)
+    df = df.select("a", "b", "n_a", "n_b", few.alias("few"), most.alias("most"), apart.alias("apart"), (F.col("most") * F.col("most") / (128 * F.greatest(size, F.lit(1)))).alias("together")).where("apart <= most")
+    margin = 2 * (F.col("together") + 6 * F.sqrt("together") + 3)
+    return df.select("a", "b", "n_a", "n_b", (F.col("few") | (F.col("apart") + margin <= F.col("most"))).alias("sure"))
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, permille: int) -> DataFrame:
+    """Of the pairs those whose texts' sets are similar: the texts are fetched once for all pairs."""
+    ends = staged(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "simhash-ends")
+    at = nodes.select("node", "_k1", "_k2").join(ends, "node", "left_semi")
+    texts = docs.select("_k1", "_k2", as_bytes(F.col("text")).alias("_text")).join(at, ["_k1", "_k2"])
+    sets = row_map(texts, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], ["node"])
+    sets = staged(sets.dropDuplicates(["node"]), "simhash-sets")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(shared * (1000 + permille) >= permille * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -> DataFrame:
+    """a, b: links of fingerprints whose texts' sets of shingles have a Jaccard similarity of ``permille`` / 1000 or more.
 
-    nodes = staged(slim.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))).alias("d"), F.first(F.struct("fp", "n", "prefix", "_k1", "_k2")).alias("s")).select("node", "d", "s.*"), "simhash-nodes")
-    token = Window.partitionBy("token")
+    By prefix filtering: with all shingles in one order, rare ones first, two similar sets share one of their
+    first n - ceil(s n) + 1. Texts that share one are compared. A shingle that more than CROWD texts share is first
+    compared with one of them, which changes by round; of what is found similar only the text with the smallest
+    doc_id goes on, so a group of near copies isn't compared pair by pair. Hence of two similar texts one is
+    linked to a text of a smaller doc_id at least.
+    """
+    own = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")]
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    rows = staged(rows.withColumn("m", F.count(F.lit(1)).over(token)).where("m > 1").drop("m"), "simhash-shared")
+    shared = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "simhash-tokens")
+    rows = staged(rows.join(shared.hint("merge"), "token", "left_semi"), "simhash-shared")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Of a, b with sizes and places of a shared shingle: those with shingles enough after it."""
         least = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         return pairs.where(least * (1000 + permille) >= permille * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b").distinct()
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "simhash-pairs")
-        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-        at = nodes.select("node", "_k1", "_k2").join(ends, "node", "left_semi")
-        texts = docs.select("_k1", "_k2", as_bytes(F.col("text")).alias("_text")).join(at, ["_k1", "_k2"])
-        sets = row_map(texts, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], ["node"])
-        sets = staged(sets.dropDuplicates(["node"]), "simhash-sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("g_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("g_b")), "b")
-        shared = F.size(F.array_intersect("g_a", "g_b"))
-        return staged(both.where(shared * (1000 + permille) >= permille * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "simhash-alike")
-
-    own = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")]
     found = []
     for turn in range(ROUNDS):
         crowds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "n", "at"), F.struct(F.xxhash64(F.lit(turn), "token", "node"), F.col("node"))).alias("hub")).where(F.col("m") > CROWD)
         crowds = staged(crowds.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.at").alias("at_b")), "simhash-crowds")
         if crowds.isEmpty():
             break
-        some = alike(possible(rows.select("token", *own("a")).join(crowds, "token").where("a <> b")))
-        if some.isEmpty():
-            break
+        some = staged(compared(staged(possible(rows.select("token", *own("a")).join(crowds, "token").where("a <> b")), "simhash-pairs"), nodes, permille), "simhash-compared")
         found.append(some)
-        groups = staged(components(some), "simhash-groups").join(nodes.select("node", "d"), "node")
+        sure = some.where("sure")
+        if sure.isEmpty():
+            break
+        groups = staged(components(sure), "simhash-groups").join(nodes.select("node", "d"), "node")
         groups = staged(groups, "simhash-grouped")
         stay = groups.groupBy("root").agg(F.min(F.struct("d", "node")).alias("s")).select(F.col("s.node").alias("node"))
         rows = staged(rows.join(groups.select("node").join(stay, "node", "left_anti"), "node", "left_anti"), "simhash-shared")
-    found.append(alike(possible(rows.select("token", *own("a")).join(rows.select("token", *own("b")), "token").where("a < b"))))
-    edges = found[0]
+    rest = staged(possible(rows.select("token", *own("a")).join(rows.select("token", *own("b")), "token").where("a < b")), "simhash-pairs")
+    found.append(staged(compared(rest, nodes, permille), "simhash-compared"))
+    every = found[0]
     for more in found[1:]:
-        edges = edges.unionByName(more)
+        every = every.unionByName(more)
+    unsure = staged(every.where("NOT sure").select("a", "b", "n_a", "n_b").distinct(), "simhash-unsure")
+    edges = every.where("sure").select("a", "b")
+    if not unsure.isEmpty():
+        edges = edges.unionByName(alike(docs, nodes, unsure, size, permille))
     fp = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
-    return staged(edges.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).where("a <> b"), "simhash-similar")
+    return edges.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).where("a <> b")
 
 
 def keep(docs: DataFrame, size: int = KEEP_SHINGLE, permille: int = KEEP_PERMILLE) -> DataFrame:
@@ -293,24 +340,30 @@ def keep(docs: DataFrame, size: int = KEEP_SHINGLE, permille: int = KEEP_PERMILL
     Rows are told by two hashes of doc_id and text. What is kept grows with the documents, so it is never
     broadcast: the texts are shuffled once, whatever the size. Repeated rows are collapsed before they move.
     """
+    spark = docs.sparkSession
     k = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("_k2")]
-    bounded_batches(docs.sparkSession)
-    common = _common(docs, size)
-    fields = [T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
-    slim = row_map(docs.select("doc_id", *k, as_bytes(F.col("text")).alias("_text")), "_text", fields, lambda: _prefixes(common, size, permille), ["doc_id", "_k1", "_k2"])
-    slim = staged(slim, "simhash-slim")
-    more = similar_links(docs.select("text", *k), slim, size, permille)
-    slim = slim.select("doc_id", "_k1", "_k2", "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
-    kept = staged(classes(slim, more=more).groupBy("root").agg(first.alias("s")).select(F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2")), "simhash-kept")
-    again = staged(slim.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k1", "_k2"), "simhash-again")
-    marked = docs.select("*", *k)
+    bounded_batches(spark)
+    with staging(spark) as result:
+        common = _common(docs, size)
+        slim = row_map(docs.select("doc_id", *k, as_bytes(F.col("text")).alias("_text")), "_text", _PROFILE_FIELDS, lambda: _profiles(common, size, permille), ["doc_id", "_k1", "_k2"])
+        slim = staged(slim, "simhash-slim")
+        marked = result(slim.select("doc_id", "_k1", "_k2", "fp"), "simhash-marked")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))).alias("d")
+        nodes = slim.groupBy("node").agg(least, F.first(F.struct("_k1", "_k2", *[c for c in _PROFILE if c != "node"])).alias("s"))
+        nodes = staged(nodes.select("node", "d", "s.*"), "simhash-nodes")
+        unstaged(slim)
+        more = result(similar_links(docs.select("text", *k), nodes, size, permille), "simhash-similar")
+    with staging(spark) as result:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
+        kept = result(classes(marked, more=more).groupBy("root").agg(first.alias("s")).select(F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2")), "simhash-kept")
+        again = result(marked.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k1", "_k2"), "simhash-again")
+    rows = packed(docs, *k)
     if again.isEmpty():
-        return marked.join(kept.hint("merge"), ["_k1", "_k2"], "left_semi").select(docs.columns)
-    once = marked.join(kept.join(again, ["_k1", "_k2"], "left_anti").hint("merge"), ["_k1", "_k2"], "left_semi")
-    many = marked.join(kept.join(again, ["_k1", "_k2"], "left_semi").hint("merge"), ["_k1", "_k2"], "left_semi")
-    one = many.groupBy("_k1", "_k2").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    return once.select(docs.columns).unionAll(one.select("_row.*").select(docs.columns))
+        return unpacked(rows.join(kept.hint("merge"), ["_k1", "_k2"], "left_semi"), docs.columns)
+    once = rows.join(kept.join(again, ["_k1", "_k2"], "left_anti").hint("merge"), ["_k1", "_k2"], "left_semi")
+    many = rows.join(kept.join(again, ["_k1", "_k2"], "left_semi").hint("merge"), ["_k1", "_k2"], "left_semi")
+    one = many.groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))
+    return unpacked(once.select("_row").unionAll(one.select("_row")), docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
