@@ -12,8 +12,8 @@ of input are merged together, a round of numpy operations for each merge level:
 pair with the lowest rank (the leftmost of equal ones) is joined until no pair has a rank. The cache
 is emptied when it holds CACHE_SLICES.
 
-Decoding. The vocabulary's bytes lie end to end with offsets, so ids turn into bytes by joining slices,
-and the offset of every id in the text is kept.
+Decoding. The offset of every id in its text is the running sum of the ids' lengths. The vocabulary's bytes
+lie end to end, so that the bytes of all ids are gathered from there to their offsets at once.
 
 Defined results: a null or empty text has no ids; every byte sequence that is valid UTF-8 comes back as
 it was; repeated rows are each encoded; an empty table gives an empty result; input columns named like
@@ -27,6 +27,7 @@ import hashlib
 import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import as_bytes, bounded_batches, flat, long, row_map, table, without
+from gridloom.llm.common import as_bytes, bounded_batches, flat, long, row_map, table
 
 #: Slices that a worker's cache holds before it is emptied (some 30 MB).
 CACHE_SLICES = 150_000
@@ -146,6 +147,10 @@ class Encoder:
         for token, i in self.vocabulary.items():
             self.bytes_of[i] = token
         self.byte_ids = np.array([self.vocabulary[bytes([b])] for b in range(256)], dtype=np.int64)
+        # The vocabulary's bytes end to end, and where each id's lie.
+        self.data = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.size = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
+        self.place = np.cumsum(self.size) - self.size
         self._pairs()
         self.cache: dict[bytes, tuple[int, ...]] = {}
 
@@ -297,11 +302,24 @@ class Encoder:
         return tuple(i for i in ids if i >= 0)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_all(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))[0]
+
+    def starts(self, ids: np.ndarray) -> np.ndarray:
+        """Byte offset at which each id starts in the ids' text, and the text's length."""
+        out = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(self.size[ids], out=out[1:])
+        return out
 
     def offsets(self, ids: list[int]) -> np.ndarray:
-        """Byte offsets in the text at which the ids start, and its length."""
-        return np.concatenate(([0], np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=np.int64)))
+        return self.starts(np.array(ids, dtype=np.int64))
+
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The texts of ids[at[i]:at[i + 1]]: each id's bytes are taken from where they lie in the vocabulary to the id's offset."""
+        out = self.starts(ids)
+        size = self.size[ids]
+        data = self.data[np.arange(out[-1]) + np.repeat(self.place[ids] - out[:-1], size)].tobytes()
+        cuts = out[at].tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(2)
@@ -315,6 +333,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and where each text's begin."""
+    at = np.cumsum([0, *map(len, found)])
+    return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(at[-1])), at
+
+
 def with_ids(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
     """``docs`` without its text, with ``ids`` (array of int) and ``offsets`` (byte offset of each id)."""
     path = path or default_path()
@@ -323,8 +347,11 @@ def with_ids(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     def make():
         def each(column: pa.Array) -> list[pa.Array]:
             e = encoder(path)
-            found = e.encode([t or b"" for t in column.to_pylist()])
-            return [pa.array(found, pa.list_(pa.int32())), pa.array([e.offsets(x)[:-1] for x in found], pa.list_(pa.int64()))]
+            ids, at = _flat(e.encode([t or b"" for t in column.to_pylist()]))
+            starts = e.starts(ids)[:-1]
+            own = starts - np.repeat(np.append(starts, 0)[at[:-1]], np.diff(at))
+            ends = pa.array(at.astype(np.int32))
+            return [pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(own))]
 
         return each
 
@@ -333,14 +360,15 @@ def with_ids(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
 
 def _rows(docs: DataFrame, text: str, keep: list[str] | None, fields: list[T.StructField], make) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    names = {f.name for f in fields}
-    keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in names]
-    df = docs.select([docs[f"`{c}`"] for c in keep] + [as_bytes(docs[f"`{text}`"]).alias("_text")])
-    return row_map(df, "_text", fields, make, keep, 1 << 20)
+    names = {f.name.lower() for f in fields}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names and (keep is not None or c != text)]
+    row = F.struct(F.lit(True).alias("_"), *[docs[f"`{c}`"] for c in keep]).alias("_row")
+    found = row_map(docs.select(row, as_bytes(docs[f"`{text}`"]).alias("_text")), "_text", fields, make, most=1 << 20)
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in keep], *[f.name for f in fields])
 
 
 def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """``docs`` without its text, with n_tokens, ids_sha256 and decoded_sha256: ids are decoded again where they are made."""
+    """``docs`` without its text, with n_tokens, ids_sha256 and decoded_sha256: ids are decoded again, by their offsets, where they are made."""
     path = path or default_path()
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
@@ -349,8 +377,10 @@ def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
 
         def each(column: pa.Array) -> list[pa.Array]:
             e = encoder(path)
-            found = e.encode([t or b"" for t in column.to_pylist()])
-            return [long([len(x) for x in found]), pa.array([sha(np.array(x, dtype="<u4").tobytes()) for x in found]), pa.array([sha(e.decode(x)) for x in found])]
+            ids, at = _flat(e.encode([t or b"" for t in column.to_pylist()]))
+            raw = ids.astype("<u4").tobytes()
+            cuts = (4 * at).tolist()
+            return [long(np.diff(at)), pa.array([sha(raw[a:b]) for a, b in zip(cuts, cuts[1:])]), pa.array([sha(x) for x in e.decode_all(ids, at)])]
 
         return each
 
@@ -358,15 +388,15 @@ def round_trip(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
 
 
 def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """``docs`` without its text, with ``ids`` and ``decodes``, whether they come back to the text's bytes."""
+    """``docs`` without its text, with ``ids`` and ``decodes``, whether they come back, by their offsets, to the text's bytes."""
     path = path or default_path()
 
     def make():
         def each(column: pa.Array) -> list[pa.Array]:
             e = encoder(path)
             texts = [t or b"" for t in column.to_pylist()]
-            found = e.encode(texts)
-            return [pa.array(found, pa.list_(pa.int32())), pa.array([e.decode(x) == t for x, t in zip(found, texts)])]
+            ids, at = _flat(e.encode(texts))
+            return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array([x == t for x, t in zip(e.decode_all(ids, at), texts)], pa.bool_())]
 
         return each
 

@@ -10,8 +10,9 @@ Everything is DataFrame operations. Equal rows are collapsed and hashes made dis
 shuffled, so a common first turn or conversation is one row; a long conversation is numbered and hashed in
 blocks of BLOCK turn numbers, whose totals are then run up.
 
-Defined results: turns are ordered by turn, role and text, nulls first, and repeated rows of a turn count
-once; null and empty texts and roles render as empty but are different turns; a null conv_id is a
+Defined results: conv_id and turn keep their types, and turns that are texts are ordered by the number that
+they spell; turns are ordered by turn, role and text, nulls first, and repeated rows of a turn count
+once; texts of any length are hashed whole; null and empty texts and roles render as empty but are different turns; a null conv_id is a
 conversation like others; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -20,20 +21,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged, table
+from gridloom.llm.common import staged, staging, table
 
 BLOCK = 256
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, position (from 0), h1, h2: the hash of the turns up to this one."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    block = F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)
-    rows = staged(rows.distinct().withColumn("block", block), "chat-turns")
+    rows = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    # Text turns are ordered by their number first, those without one before the others.
+    number = F.col("turn").try_cast("bigint") if dict(turns.dtypes)["turn"] == "string" else F.col("turn").cast("bigint")
+    block = F.floor(F.coalesce(number, F.lit(-1)) / BLOCK)
+    rows = staged(rows.distinct().withColumn("number", number).withColumn("block", block), "chat-turns")
     run = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n")
     before = staged(before, "chat-blocks")
-    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv_id", "block").orderBy("number", "turn", "role", "text")
     own = rows.withColumn("own", F.row_number().over(order) - 1)
     same = own["conv_id"].eqNullSafe(before["conv_id"]) & (own["block"] == before["block"])
     placed = own.join(before, same).select(own["conv_id"], "turn", "role", "text", own["block"], (F.col("before") + F.col("own")).alias("position"))
@@ -55,13 +58,13 @@ def prefixes(turns: DataFrame) -> DataFrame:
 def maximal(rolled: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_logs: conversations that are no proper prefix of another, one of each set of equal ones; n_logs equal ones."""
     ends = rolled.groupBy("conv_id").agg(F.max_by(F.struct("h1", "h2"), "position").alias("h"), (F.max("position") + 1).alias("n_turns"))
-    ends = staged(ends.select("conv_id", "n_turns", "h.h1", "h.h2"), "chat-ends")
+    ends = ends.select("conv_id", "n_turns", "h.h1", "h.h2")
     whole = staged(ends.groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_logs")), "chat-whole")
     # Each prefix of each distinct conversation; a conversation's last turn isn't a proper prefix of it.
     kept = whole.select(F.col("conv_id").alias("_id"), (F.col("n_turns") - 1).alias("_last"))
     proper = rolled.join(kept, rolled["conv_id"].eqNullSafe(kept["_id"]) & (F.col("position") < F.col("_last")))
     proper = staged(proper.select((F.col("position") + 1).alias("n_turns"), "h1", "h2").distinct(), "chat-proper")
-    return staged(whole.join(proper, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns", "n_logs"), "chat-maximal")
+    return whole.join(proper, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns", "n_logs")
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -70,8 +73,10 @@ def rendered(role: Column, text: Column) -> Column:
 
 def apply(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_logs, position, rendered: the turns of maximal conversations, ready to be joined end to end."""
-    rolled = prefixes(turns)
-    kept = maximal(rolled).withColumnRenamed("conv_id", "_id")
+    with staging(turns.sparkSession) as result:
+        rolled = prefixes(turns)
+        kept = result(maximal(rolled).withColumnRenamed("conv_id", "_id"), "chat-kept")
+        rolled = result(rolled.select("conv_id", "role", "text", "position"), "chat-turns")
     joined = rolled.join(kept, rolled["conv_id"].eqNullSafe(kept["_id"]))
     return joined.select("conv_id", "n_turns", "n_logs", "position", rendered(F.col("role"), F.col("text")).alias("rendered"))
 

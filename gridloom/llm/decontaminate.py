@@ -6,13 +6,16 @@ Where that length reaches WINDOW, the last WINDOW words are a window of an item;
 for those WINDOW words tells which items. Items of fewer words are one window each and are recognised
 by the marks their states leave on the suffix links.
 
-The automaton is sent to all executors in blocks of at most ``block_words`` item words, so that what is
-sent at once has a bound; a larger benchmark is checked block after block, each pass adding to the hits
-of the passes before, row by row and without a shuffle.
+The automaton is sent to all executors in blocks of at most ``block_words`` item words (one item at least), so
+that what is sent at once has a bound. With one block all is done in one pass without a shuffle. A larger
+benchmark is checked block after block; each pass reads the texts and writes only the hits, which are few, and
+the hits of all blocks are joined to the documents by two hashes of the row.
 
 Defined results: a null or blank text has no words; a null or blank item has no window; items with equal
-texts are all reported; repeated rows are each judged; with no items nothing is contaminated; an empty
-table gives an empty result; input columns named like an output column are replaced.
+texts are all reported, rows with equal item numbers once, and items without a number as one with an empty
+name; repeated rows are each judged; a text of any length is read whole; with no items nothing is
+contaminated; an empty table gives an empty result; input columns named like an output column are replaced,
+and `keep` returns all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import LOWER_ALNUM, as_bytes, bounded_batches, pieces, row_map, staged, table
+from gridloom.llm.common import LOWER_ALNUM, as_bytes, bounded_batches, packed, pieces, row_map, staged, table, unpacked
 
 WINDOW = 10
 #: Item words in one block: an automaton of at most twice as many states, some 200 MB.
@@ -170,17 +172,17 @@ def normalised(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER_ALNUM).split()
 
 
-def blocks(items: DataFrame, key: str, text: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """Automata of at most ``block_words`` item words each (one item at least); the items come to the driver one partition at a time."""
+def blocks(items: DataFrame, key: str, text: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[tuple[Automaton, bool]]:
+    """Automata of at most ``block_words`` item words each (one item at least), and whether each is the last; the items come to the driver one partition at a time."""
     held, n = Automaton(window), 0
-    for row in items.select(F.col(key).cast("string"), as_bytes(F.col(text))).toLocalIterator():
+    for row in items.select(F.col(f"`{key}`").cast("string"), as_bytes(F.col(f"`{text}`"))).toLocalIterator():
         words = len(normalised(row[1]))
-        if n and n + words > block_words:
-            yield held.finish()
+        if n and words and n + words > block_words:
+            yield held.finish(), False
             held, n = Automaton(window), 0
         held.add(row[0] if row[0] is not None else "", bytes(row[1] or b""))
         n += words
-    yield held.finish()
+    yield held.finish(), True
 
 
 FIELDS = [
@@ -201,54 +203,79 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(df: DataFrame, sent, more: bool, with_text: bool) -> DataFrame:
-    """One automaton over all rows of ``df`` (with ``_text`` last, after FIELDS if ``more``): hits are added to those that are there."""
-    keep = [c for c in df.columns if c != "_text" and not (more and c in {f.name for f in FIELDS})]
-    names = [f.name for f in FIELDS]
+def _judged(df: DataFrame, sent, with_text: bool = False, hit_only: bool = False) -> DataFrame:
+    """The columns of ``df`` but ``_text``, with FIELDS by one automaton (and ``_text``); only rows that are hit, if ``hit_only``."""
+    keep = [c for c in df.columns if c != "_text"]
     schema = T.StructType([df.schema[c] for c in keep] + FIELDS + ([df.schema["_text"]] if with_text else []))
-    df = df.select([df[f"`{c}`"] for c in keep] + [df[f"`{c}`"] for c in names if more] + [df["_text"]])
+    df = df.select([df[f"`{c}`"] for c in keep] + [df["_text"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = sent.value
         for batch in batches:
             for part in pieces(batch, "_text"):
-                texts = part.column(part.num_columns - 1)
-                old = [part.column(len(keep) + i).to_pylist() for i in (1, 2)] if more else [[[]] * part.num_rows] * 2
                 counts, spans, items = [], [], []
-                for raw, was, held in zip(texts.to_pylist(), *old):
+                for raw in part.column(len(keep)).to_pylist():
                     own = normalised(raw)
                     counts.append(len(own))
                     at, found = a.scan(own)
-                    spans.append([list(x) for x in _joined([tuple(x) for x in was] + at)])
-                    items.append(sorted(held + [a.names[i] for i in found]))
-                new = [pa.array(v, t) for v, t in zip((counts, spans, items), _TYPES)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + new + ([texts] if with_text else []), names=schema.fieldNames())
+                    spans.append([list(x) for x in at])
+                    items.append(sorted({a.names[i] for i in found}))
+                columns = [part.column(i) for i in range(len(keep))] + [pa.array(v, t) for v, t in zip((counts, spans, items), _TYPES)] + ([part.column(len(keep))] if with_text else [])
+                out = pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+                yield out.filter(pa.array([bool(x) for x in spans])) if hit_only else out
 
     return df.mapInArrow(run, schema)
 
 
-def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
-    """``keep`` (default: all columns but the text) with n_words, spans and items of each document (and its bytes as ``_text``).
+def merged_spans(spans: Column) -> Column:
+    """Spans [a, b] of several passes, joined where they meet or overlap."""
+    none = F.array().cast("array<array<bigint>>")
+    last = lambda held: F.element_at(held, -1)
+    joined = lambda held, x: F.concat(F.slice(held, 1, F.size(held) - 1), F.array(F.array(last(held)[0], F.greatest(last(held)[1], x[1]))))
+    return F.aggregate(F.array_sort(spans), none, lambda held, x: F.when((F.size(held) > 0) & (x[0] <= F.try_element_at(held, F.lit(-1))[1]), joined(held, x)).otherwise(F.concat(held, F.array(x))))
 
-    One block of items: one pass. Of more blocks each has a pass of its own over what the last one wrote, and
-    its automaton is dropped before the next is built, so neither the driver nor a worker holds two.
-    """
+
+def _all_hits(rows: DataFrame, first: Automaton, more: Iterator[tuple[Automaton, bool]]) -> DataFrame:
+    """_k1, _k2, spans, items of the rows (with _k1, _k2, _text) that some block hits: each automaton is dropped before the next is built."""
+    sc, found, one = rows.sparkSession.sparkContext, [], first
+    while one is not None:
+        sent = sc.broadcast(one)
+        del one
+        found.append(staged(_judged(rows.select("_k1", "_k2", "_text"), sent, hit_only=True).select("_k1", "_k2", "spans", "items"), "decontaminate-hits"))
+        sent.destroy()
+        one, _ = next(more, (None, True))
+    every = found[0]
+    for df in found[1:]:
+        every = every.unionByName(df)
+    by = every.groupBy("_k1", "_k2").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return staged(by.select("_k1", "_k2", merged_spans(F.col("spans")).alias("spans"), "items"), "decontaminate-hits")
+
+
+def _keys(*columns: Column) -> list[Column]:
+    return [F.xxhash64(*columns).alias("_k1"), F.xxhash64(F.lit("second"), *reversed(columns)).alias("_k2")]
+
+
+def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``keep`` (default: all columns but the text) with n_words, spans and items of each document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    added = {f.name for f in FIELDS} | {"_text"}
+    added = [f.name for f in FIELDS]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added and (keep is not None or c != text)]
-    df = docs.select([docs[f"`{c}`"] for c in keep] + [as_bytes(docs[f"`{text}`"]).alias("_text")])
+    row = F.struct(F.lit(True).alias("_"), *[docs[f"`{c}`"] for c in keep]).alias("_row")
+    raw = docs[f"`{text}`"]
+    df = docs.select(row, as_bytes(raw).alias("_text"))
     built = blocks(items, item_key, item_text, block_words=block_words)
-    one, more = next(built), False
-    while True:
-        sent = spark.sparkContext.broadcast(one)
-        del one
-        following = next(built, None)
-        df = _pass(df, sent, more, with_text or following is not None)
-        if following is None:
-            return df
-        df, more, one = staged(df, "decontaminate-hits"), True, following
-        sent.destroy()
+    first, only = next(built)
+    if only:
+        found = _judged(df, spark.sparkContext.broadcast(first))
+    else:
+        # Equal texts have equal hits, so the text's hashes do for a key.
+        df = docs.select(row, as_bytes(raw).alias("_text"), *_keys(raw))
+        hit = _all_hits(df, first, built)
+        counts = row_map(df, "_text", [FIELDS[0]], lambda: lambda c: [pa.array([len(normalised(t)) for t in c.to_pylist()], pa.int64())])
+        joined = counts.join(hit, ["_k1", "_k2"], "left")
+        found = joined.select("_row", "n_words", *[F.coalesce(c, F.array().cast(f.dataType)).alias(c) for c, f in zip(added[1:], FIELDS[1:])])
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in keep], *added)
 
 
 def cut(text: bytes, scan, max_hit: int, max_share: float) -> bytes | None:
@@ -289,36 +316,57 @@ def keep(docs: DataFrame, items: DataFrame, max_hit: int = 0, max_share: float =
     """``docs`` without hit spans of over ``max_hit`` words, and without documents of which over ``max_share`` is hit; n_chars follows the text.
 
     With one block of items all is done in one pass. With more, all blocks' hits of a document are known
-    before it is cut, and what was cut is scanned again until no document changes.
+    before it is cut, and what was cut (only that) is scanned again until nothing is left to cut.
     """
     built = blocks(items, "item_id", "text", block_words=block_words)
-    only, second = next(built), next(built, None)
-    if second is None:
-        return _kept_by_one(docs, only, max_hit, max_share)
-    del only, second
-    work = docs.withColumn("_cut", F.lit(False))
-    first = True
+    first, only = next(built)
+    if only:
+        return _kept_by_one(docs, first, max_hit, max_share)
+    bounded_batches(docs.sparkSession)
+    text = F.col("text")
+    row = packed(docs, as_bytes(text).alias("_text"), F.lit(False).alias("_cut"), *_keys(text))
+    done, turn = [], 0
     while True:
-        found = hits(work, items, keep=work.columns, block_words=block_words, with_text=True)
-        long = F.filter("spans", lambda x: x[1] - x[0] > max_hit)
-        share = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-        found = found.where(share <= max_share * F.col("n_words")) if first else found
-        first = False
-        found = staged(found.withColumn("_long", long).drop("n_words", "spans", "items"), "decontaminate-found")
-        if found.where(F.size("_long") > 0).isEmpty():
-            return found.withColumn("n_chars", _n_chars(docs)).select(docs.columns) if "n_chars" in docs.columns else found.select(docs.columns)
+        found = _all_hits(row, first, built).withColumn("_long", F.filter("spans", lambda x: x[1] - x[0] > max_hit))
+        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+        found = found.select("_k1", "_k2", "_long", (n_hit if turn == 0 else F.lit(0)).alias("_n")).where("_n > 0 OR size(_long) > 0")
+        done.append(row.join(found.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti").select("_row", "_text", "_cut"))
+        again = staged(_shortened(row.join(found, ["_k1", "_k2"]).select("_row", "_text", "_cut", "_n", "_long"), max_share), "decontaminate-cut")
+        done.append(again.where("NOT _again").select("_row", "_text", "_cut"))
+        row = again.where("_again").select("_row", "_text", "_cut", *_keys(F.col("_text")))
+        if row.isEmpty():
+            break
+        built = blocks(items, "item_id", "text", block_words=block_words)
+        first, turn = next(built)[0], turn + 1
+    every = done[0]
+    for df in done[1:]:
+        every = every.unionByName(df)
+    return _restored(every, docs, F.when(F.col("_cut"), F.col("_text").cast("string")).otherwise(F.col("_row.text")))
+
+
+def _shortened(df: DataFrame, max_share: float) -> DataFrame:
+    """Rows with their ``_long`` spans cut out; those that are mostly hit are left out. ``_again``: what was cut has to be scanned again."""
+    schema = T.StructType([df.schema[c] for c in ("_row", "_text", "_cut")] + [T.StructField("_again", T.BooleanType())])
 
-        @F.pandas_udf("binary")
-        def shortened(text: pd.Series, spans: pd.Series) -> pd.Series:
-            return pd.Series([None if t is None else without_spans(t, [tuple(x) for x in s]) for t, s in zip(text, spans)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch.select(["_row", "_cut", "_n", "_long", "_text"]), "_text"):
+                texts, longs = part.column(4).to_pylist(), part.column(3).to_pylist()
+                keep = [n <= max_share * len(normalised(t)) for n, t in zip(part.column(2).to_pylist(), texts)]
+                new = [without_spans(t, [tuple(x) for x in s]) if s else t for t, s in zip(texts, longs)]
+                was = [c or bool(s) for c, s in zip(part.column(1).to_pylist(), longs)]
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.binary()), pa.array(was), pa.array([bool(s) for s in longs])], names=schema.fieldNames())
+                yield out.filter(pa.array(keep))
 
-        cut_now = F.size("_long") > 0
-        changed = found.withColumn("text", F.when(cut_now, shortened("_text", "_long").cast("string")).otherwise(F.col("text")))
-        work = staged(changed.withColumn("_cut", F.col("_cut") | cut_now).select(work.columns), "decontaminate-cut")
+    return df.mapInArrow(run, schema)
 
 
-def _n_chars(docs: DataFrame):
-    return F.when(F.col("_cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+def _restored(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The documents' columns of ``_row``, with the new text, and n_chars of those that are ``_cut``."""
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_cut"), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return unpacked(df, docs.columns, **new)
 
 
 def _kept_by_one(docs: DataFrame, automaton: Automaton, max_hit: int, max_share: float) -> DataFrame:
@@ -330,12 +378,12 @@ def _kept_by_one(docs: DataFrame, automaton: Automaton, max_hit: int, max_share:
         scan = lambda text: sent.value.scan(normalised(text))[0]
         old = column.to_pylist()
         new = [None if raw is None else cut(raw, scan, max_hit, max_share) for raw in old]
-        return [pa.array(new, pa.binary()), pa.array([a is not None and b is None for a, b in zip(old, new)]), pa.array([a != b for a, b in zip(old, new)])]
+        changed = [a != b for a, b in zip(old, new)]
+        return [pa.array([b if c else None for b, c in zip(new, changed)], pa.binary()), pa.array([a is not None and b is None for a, b in zip(old, new)]), pa.array(changed)]
 
-    df = docs.select([docs[f"`{c}`"] for c in docs.columns if c != "text"] + [as_bytes(F.col("text")).alias("_text")])
     fields = [T.StructField("_new", T.BinaryType()), T.StructField("_gone", T.BooleanType()), T.StructField("_cut", T.BooleanType())]
-    out = row_map(df, "_text", fields, lambda: each).where("NOT _gone").withColumn("text", F.col("_new").cast("string"))
-    return (out.withColumn("n_chars", _n_chars(docs)) if "n_chars" in docs.columns else out).select(docs.columns)
+    out = row_map(packed(docs, as_bytes(F.col("text")).alias("_text")), "_text", fields, lambda: each).where("NOT _gone")
+    return _restored(out, docs, F.when(F.col("_cut"), F.col("_new").cast("string")).otherwise(F.col("_row.text")))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,7 +413,7 @@ dg AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, item_id, i, dg.n FROM dg JOIN win ON dg.k = win.k AND dg.n = win.n),
 words AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, coalesce(item_id::VARCHAR, '') AS item_id FROM hit) GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id

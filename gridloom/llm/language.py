@@ -6,10 +6,12 @@ a text's vector bundles (adds up) those of all its trigrams; a language's protot
 labelled texts. A text gets the language whose prototype has the largest cosine with it. Runs of
 characters that aren't letters count as one space; each text starts and ends with one.
 
-In training each text's trigram counts are scaled to the same length and rounded to whole UNITs, so that a
-very long text weighs no more than others and sums don't depend on how rows are dealt out. What is gathered is
+In training each text's vector is scaled to the same length and rounded to whole UNITs, so that a very
+long text weighs no more than others and sums don't depend on how rows are dealt out. What is gathered is
 DIMENSIONS numbers for each language; over MAX_LANGUAGES different labels raise ValueError, so the
-model's size has a bound.
+model's size has a bound. Trigrams are bundled BLOCK at a time, and a long text is read whole but in segments
+of SEGMENT bytes, each like a text of its own whose vectors are added up, so that memory doesn't grow with a
+text's length beyond the text itself.
 
 Defined results: `und` with score 0 for a null text, one without a letter, or if no language was learned;
 equal cosines give the language that sorts first; a null language isn't learned from; a null doc_id is
@@ -31,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import as_bytes, bounded_batches, pieces, row_map, table, without
+from gridloom.llm.common import as_bytes, bounded_batches, packed, pieces, row_map, table, unpacked, without
 
 DIMENSIONS = 1024
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
-#: The length to which a text's trigram counts are scaled in training.
+#: The length to which a text's vector is scaled in training.
 UNIT = 1 << 16
-_PIECE = 256 << 10
+#: Bytes of text, trigrams and texts that are in work at once.
+SEGMENT, BLOCK, GROUPS = 256 << 10, 4096, 512
 
 
 @lru_cache(1)
@@ -99,9 +102,48 @@ def bind(points: np.ndarray, seed: int, size: int) -> np.ndarray:
 
 
 def bundle(group: np.ndarray, tri: np.ndarray, points: np.ndarray, groups: int, seed: int, size: int) -> np.ndarray:
-    """Sum of the vectors of each group's trigrams; sums of whole numbers, exact in float32 below 2**24."""
-    counts = np.bincount(group * len(points) + tri, minlength=groups * len(points)).reshape(groups, -1)
-    return counts.astype(np.float32) @ bind(points, seed, size).astype(np.float32)
+    """Sum of the vectors of each group's trigrams, BLOCK trigrams at a time; sums of whole numbers, exact in float32 below 2**24."""
+    out = np.zeros((groups, size), dtype=np.float32)
+    if len(points) > BLOCK:
+        order = np.argsort(tri, kind="stable")
+        group, tri = group[order], tri[order]
+    at = np.searchsorted(tri, np.arange(0, len(points) + BLOCK, BLOCK)) if len(points) > BLOCK else [0, len(tri)]
+    for i, (a, b) in enumerate(zip(at, at[1:])):
+        some = points[i * BLOCK : (i + 1) * BLOCK]
+        counts = np.bincount(group[a:b] * len(some) + tri[a:b] - i * BLOCK, minlength=groups * len(some)).reshape(groups, -1)
+        out += counts.astype(np.float32) @ bind(some, seed, size).astype(np.float32)
+    return out
+
+
+def segments(text: bytes) -> Iterator[bytes]:
+    """``text`` in pieces of SEGMENT bytes at most, cut after the last white space of a piece, or between characters if it has none."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        end = max(text.rfind(c, at, at + SEGMENT) for c in (b" ", b"\n", b"\t")) + 1
+        if not end:
+            end = at + SEGMENT
+            while text[end] & 0xC0 == 0x80 and end > at + 1:
+                end -= 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def vectors(texts: list[bytes | None], seed: int, size: int) -> np.ndarray:
+    """The bundle of each text, as whole numbers; zero for one without a letter."""
+    out = np.zeros((len(texts), size))
+    todo = [(i, s) for i, t in enumerate(texts) if t for s in segments(t)]
+    at = 0
+    while at < len(todo):
+        end, held = at, 0
+        while end < len(todo) and (end == at or (held + len(todo[end][1]) <= SEGMENT and end - at < GROUPS)):
+            held += len(todo[end][1])
+            end += 1
+        points, own, tri = trigrams([s for _, s in todo[at:end]])
+        if len(tri):
+            np.add.at(out, [i for i, _ in todo[at:end]], bundle(own, tri, points, end - at, seed, size))
+        at = end
+    return out
 
 
 @dataclass(frozen=True)
@@ -111,16 +153,16 @@ class Model:
     seed: int
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
-        points, text, tri = trigrams([t or b"" for t in texts])
         best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if not len(tri) or not self.languages:
+        if not self.languages:
             return best, score
-        vectors = bundle(text, tri, points, len(texts), self.seed, self.prototypes.shape[1]).astype(np.float64)
-        norm = np.sqrt((vectors**2).sum(axis=1))
+        found = vectors(texts, self.seed, self.prototypes.shape[1])
+        norm = np.sqrt((found**2).sum(axis=1))
         own = self.prototypes / np.maximum(np.sqrt((self.prototypes**2).sum(axis=1, keepdims=True)), 1e-12)
-        cosine = vectors @ own.T / np.maximum(norm, 1e-12)[:, None]
+        # Rounded, so that equal prototypes have equal cosines in whatever order they are added up.
+        cosine = np.round(found @ own.T / np.maximum(norm, 1e-12)[:, None], 12)
         top = cosine.argmax(axis=1)
-        for i in np.flatnonzero(np.bincount(text, minlength=len(texts))):
+        for i in np.flatnonzero(norm):
             best[i], score[i] = self.languages[top[i]], min(max(cosine[i, top[i]], 0.0), 1.0)
         return best, score
 
@@ -133,19 +175,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in pieces(batch, "_text", _PIECE):
-                names = part.column(0).to_pylist()
-                order = {n: i for i, n in enumerate(dict.fromkeys(names))}
-                points, row, tri = trigrams([t or b"" for t in part.column(1).to_pylist()])
-                if not len(tri):
-                    continue
-                counts = np.bincount(row * len(points) + tri, minlength=len(names) * len(points)).reshape(len(names), -1)
-                unit = np.rint(counts * (UNIT / np.maximum(np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True)), 1)))
-                by_name = np.zeros((len(order), len(points)))
-                np.add.at(by_name, [order[n] for n in names], unit)
-                found = by_name @ bind(points, seed, size).astype(np.float64)
-                for n, i in order.items():
-                    held[n] = held.get(n, 0) + np.rint(found[i]).astype(np.int64)
+            for part in pieces(batch, "_text", SEGMENT):
+                found = vectors(part.column(1).to_pylist(), seed, size)
+                unit = np.rint(found * (UNIT / np.maximum(np.sqrt((found**2).sum(axis=1, keepdims=True)), 1))).astype(np.int64)
+                for n, v in zip(part.column(0).to_pylist(), unit):
+                    if n in held:
+                        held[n] += v
+                    elif v.any():
+                        held[n] = v.copy()
         for n, v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([n] * size), pa.array(np.arange(size, dtype=np.int32)), pa.array(v)], names=["lang", "place", "value"])
 
@@ -160,18 +197,20 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", seed: int
     return Model(languages, prototypes, seed)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``keep`` (default: all but the text) with the language and its score, called ``names``."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all but the text) with ``lang_pred`` and ``score``."""
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (without(docs, text).columns if keep is None else keep) if c.lower() not in names]
+    keep = [c for c in (without(docs, text).columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
 
     def each(column: pa.Array) -> list[pa.Array]:
         best, score = sent.value.predict(column.to_pylist())
         return [pa.array(best, pa.string()), pa.array(score)]
 
-    df = docs.select([docs[f"`{c}`"] for c in keep] + [as_bytes(docs[f"`{text}`"]).alias("_text")])
-    return row_map(df, "_text", [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())], lambda: each, keep, _PIECE)
+    row = F.struct(F.lit(True).alias("_"), *[docs[f"`{c}`"] for c in keep])
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    found = row_map(docs.select(row.alias("_row"), as_bytes(docs[f"`{text}`"]).alias("_text")), "_text", fields, lambda: each, most=SEGMENT)
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in keep], "lang_pred", "score")
 
 
 def remainder():
@@ -181,9 +220,9 @@ def remainder():
 
 def keep(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
     """The documents with a recognised language: not `und`, and a cosine of ``min_score`` or more. Learned from the documents' own labels."""
-    model = train(docs.where(remainder() != 2))
-    found = predict(docs, model, keep=docs.columns, names=("_lang_pred", "_lang_score"))
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= min_score)).select(docs.columns)
+    model = train(docs.where(remainder() != 2).select("text", "lang"))
+    found = predict(packed(docs, F.col("text")), model)
+    return unpacked(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

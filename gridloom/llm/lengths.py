@@ -4,17 +4,20 @@ Documents are encoded and counted by length before any shuffle, so what moves is
 and task. Suffix sums are taken within bands of BAND lengths and then over the bands' totals, so no window
 holds more than BAND lengths or the number of bands.
 
-Defined results: a null or empty text has length 0 and counts as a document; repeated rows count each;
-an empty table gives an empty histogram.
+Defined results: a null or empty text has length 0 and counts as a document; repeated rows count each; equal
+lengths are one row; a text of any length is encoded whole; an empty table gives an empty histogram and no
+limits' rows; columns other than the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe
-from gridloom.llm.common import staged, table
+from gridloom.llm.common import staged, staging, table
 
 BAND = 1024
 
@@ -27,9 +30,9 @@ def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """``hist`` with, for its length L as a context limit:
 
-    docs_longer, tokens_longer: documents over L and their tokens; total_tokens: of all documents;
+    docs_longer, tokens_longer: documents over L and their tokens; total_docs, total_tokens: of all documents;
     truncated_tokens: of all documents cut to L; lost_tokens: what the cut loses; at_most_share: the share
-    of documents of length L or less, so that the q-quantile is the smallest L whose share is q or more.
+    of documents of length L or less.
     """
     hist = staged(hist.withColumn("_band", F.floor(F.col("n_tokens") / BAND)), "lengths")
     tokens = F.col("n_tokens") * F.col("n_docs")
@@ -41,7 +44,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
             "_band",
             F.coalesce(F.sum("_d").over(after), F.lit(0)).alias("_da"),
             F.coalesce(F.sum("_t").over(after), F.lit(0)).alias("_ta"),
-            F.sum("_d").over(whole).alias("_n"),
+            F.sum("_d").over(whole).alias("total_docs"),
             F.sum("_t").over(whole).alias("total_tokens"),
         ),
         "length-bands",
@@ -55,30 +58,40 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
         "n_docs",
         longer.alias("docs_longer"),
         tokens_longer.alias("tokens_longer"),
+        "total_docs",
         "total_tokens",
         cut.alias("truncated_tokens"),
         (F.col("total_tokens") - cut).alias("lost_tokens"),
-        (1 - longer / F.col("_n")).alias("at_most_share"),
+        ((F.col("total_docs") - longer) / F.col("total_docs")).alias("at_most_share"),
     )
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, truncated_tokens, docs_longer for any limits, also those that no document has."""
-    out = None
-    for limit in limits:
-        below = F.max_by(F.struct("n_tokens", "docs_longer", "tokens_longer", "total_tokens"), F.when(F.col("n_tokens") <= limit, F.col("n_tokens")))
-        all_docs, all_tokens = F.sum("n_docs"), F.max("total_tokens")
-        one = sums.agg(below.alias("b"), all_docs.alias("d"), all_tokens.alias("t"))
-        longer = F.coalesce("b.docs_longer", "d")
-        row = one.select(F.lit(limit).cast("long").alias("limit"), (F.col("t") - F.coalesce("b.tokens_longer", "t") + limit * longer).alias("truncated_tokens"), longer.alias("docs_longer"))
-        out = row if out is None else out.unionAll(row)
-    return out
+    """limit, truncated_tokens, docs_longer for any limits, also those that no document has: one aggregation for all.
+
+    Each length is dealt to the limits it is within, and each limit keeps its largest length.
+    """
+    wanted = F.array(*[F.lit(x).cast("long") for x in sorted(set(limits))])
+    within = sums.select("*", F.explode(F.filter(wanted, lambda x: x >= F.col("n_tokens"))).alias("limit"))
+    best = within.groupBy("limit").agg(F.max(F.struct("n_tokens", "docs_longer", "tokens_longer", "total_tokens")).alias("b"))
+    found = best.select("limit", (F.col("b.total_tokens") - F.col("b.tokens_longer") + F.col("limit") * F.col("b.docs_longer")).alias("truncated_tokens"), F.col("b.docs_longer").alias("docs_longer"))
+    # Limits below every length: all documents are longer.
+    least = sums.agg(F.min("n_tokens").alias("least"), F.max("total_docs").alias("n")).where("n IS NOT NULL")
+    below = least.select("n", F.explode(F.filter(wanted, lambda x: x < F.col("least"))).alias("limit"))
+    return found.unionByName(below.select("limit", (F.col("limit") * F.col("n")).alias("truncated_tokens"), F.col("n").alias("docs_longer")))
 
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:
-    """n_tokens: the smallest length that a share q of the documents doesn't exceed."""
-    return sums.where(F.col("at_most_share") >= q).agg(F.min("n_tokens").alias("n_tokens"))
+    """n_tokens: the smallest length that a share q of the documents doesn't exceed.
+
+    That share is reached at a whole number of documents, the smallest one that is q of them or more; q counts as the decimal it is written as.
+    """
+    part = Fraction(str(q))
+    # n - docs_longer >= q n, in whole numbers.
+    enough = (F.col("total_docs") - F.col("docs_longer")).cast("decimal(20,0)") * part.denominator >= F.col("total_docs").cast("decimal(20,0)") * part.numerator
+    return sums.where(enough).agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def op8_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(bpe.token_counts(table(spark, sf_dir, "documents"), keep=[])))
+    with staging(spark) as result:
+        return result(suffix_sums(histogram(bpe.token_counts(table(spark, sf_dir, "documents"), keep=[]))), "length-sums")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import as_bytes, bounded_batches, flat, long, row_map, staged, sums, table, without
+from gridloom.llm.common import as_bytes, bounded_batches, flat, long, packed, row_map, staged, sums, table, unpacked, without
 
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -36,7 +36,8 @@ class Rules:
     #: Symbols for each 100 words.
     symbol_percent: int = 100
     dup_line_percent: int = 50
-    #: A host is rejected if its shrunk failure rate is over this.
+    #: A host is rejected if its shrunk failure rate is over this. Its verdict also takes documents that fail
+    #: nothing themselves, so it wants clearly more than half of them to fail, not just over a half.
     max_host_rate: float = 0.7
 
 
@@ -93,8 +94,10 @@ def _measures(column: pa.Array) -> list[pa.Array]:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text column and with MEASURES; one pass, no shuffle."""
     bounded_batches(docs.sparkSession)
-    df = without(docs, *MEASURES, "_text").withColumn("_text", as_bytes(F.col(text))).drop(text)
-    return row_map(df, "_text", [T.StructField(m, T.LongType()) for m in MEASURES], lambda: _measures)
+    rest = without(docs, text, *MEASURES)
+    df = docs.select(F.struct(F.lit(True).alias("_"), *[docs[f"`{c}`"] for c in rest.columns]).alias("_row"), as_bytes(docs[f"`{text}`"]).alias("_text"))
+    found = row_map(df, "_text", [T.StructField(m, T.LongType()) for m in MEASURES], lambda: _measures)
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in rest.columns], *MEASURES)
 
 
 def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -138,11 +141,17 @@ def prior(k: int, n: int, f: int, ff: float) -> tuple[float, float]:
     return max(m * strength, 1e-6), max((1 - m) * strength, 1e-6)
 
 
+def rejected(judged: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """host: a row for each rejected host, a written table."""
+    return staged(host_rates(judged, host, rules).where("host_rejected").select("host"), "quality-rejected")
+
+
 def verdicts(judged: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """``judged`` with ``kept``. Only rejected hosts are joined; both sides are tables, so Spark can split a hot host."""
-    bad = staged(host_rates(judged, host, rules).where("host_rejected").select(F.col("host").alias("_host")), "quality-rejected")
-    joined = without(judged, "kept").join(bad, F.col(host) == F.col("_host"), "left")
-    return joined.withColumn("kept", (F.size("failures") == 0) & F.col("_host").isNull()).drop("_host")
+    rest = without(judged, "kept")
+    work = packed(rest, rest[f"`{host}`"].alias("_host"), (F.size("failures") == 0).alias("_good"))
+    joined = work.join(rejected(judged, host, rules), F.col("_host") == F.col("host"), "left")
+    return joined.select(*[F.col("_row").getField(c).alias(c) for c in rest.columns], (F.col("_good") & F.col("host").isNull()).alias("kept"))
 
 
 def apply(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
@@ -157,13 +166,12 @@ def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     hold them on disk meanwhile or to join them back; a join follows only if a host was rejected.
     """
     bounded_batches(docs.sparkSession)
-    slim = judge(measure(docs.select("source", "text")), rules)
-    bad = staged(host_rates(slim, "source", rules).where("host_rejected").select(F.col("host").alias("_host")), "quality-rejected")
-    work = docs.withColumn("_text", as_bytes(F.col("text")))
-    marked = row_map(work, "_text", [T.StructField(f"_{m}", T.LongType()) for m in MEASURES], lambda: _measures)
-    own = judge(marked.select(*[F.col(f"_{m}").alias(m) for m in MEASURES], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), rules)
-    good = own.where(F.size("failures") == 0).select("_row.*").select(docs.columns)
-    return good if bad.isEmpty() else good.join(bad, F.col("source") == F.col("_host"), "left_anti")
+    bad = rejected(judge(measure(docs.select("source", "text")), rules), "source", rules)
+    marked = row_map(packed(docs, as_bytes(F.col("text")).alias("_text")), "_text", [T.StructField(m, T.LongType()) for m in MEASURES], lambda: _measures)
+    good = judge(marked, rules).where(F.size("failures") == 0).select("_row")
+    if not bad.isEmpty():
+        good = good.join(bad, F.col("_row.source") == F.col("host"), "left_anti")
+    return unpacked(good, docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +206,6 @@ s AS (SELECT count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS m, sum(f * (f / n))
 t AS (SELECT *, least(greatest(m * (1 - m) / greatest(q - m * m - m * (1 - m) * k / n, 1e-6) - 1, 1.0), 1e6) AS z FROM s),
 b AS (SELECT h.source FROM h, t WHERE (f + greatest(m * z, 1e-6)) / (h.n + greatest(m * z, 1e-6) + greatest((1 - m) * z, 1e-6)) > 0.7)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT failed AND source NOT IN (SELECT source FROM b) AS kept
+       NOT failed AND NOT EXISTS (SELECT 1 FROM b WHERE b.source = j.source) AS kept
 FROM j
 """

@@ -26,7 +26,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged, table, without
+from gridloom.llm.common import staged, staging, table, without
 
 SHARDS = 16
 DIGITS = 4
@@ -129,26 +129,37 @@ def shard_of(key: Column, starts: list[str]) -> Column:
     return found
 
 
-def slots(rows: DataFrame) -> DataFrame:
-    """``rows`` (a written table, with ``shard``) with ``slot``: numbers from 0 without gaps in each shard."""
-    df = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_at", F.col("_metadata.row_index"))
-    cells = staged(df.groupBy("shard", "_file", "_block").agg(F.count(F.lit(1)).alias("_n")), "shard-cells")
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_at", F.col("_metadata.row_index"))
+
+
+def offsets(rows: DataFrame) -> DataFrame:
+    """shard, _file, _block, _before: how many rows of the shard are in the cells before each (shard, part of a file)."""
+    cells = staged(_cells(rows).groupBy("shard", "_file", "_block").agg(F.count(F.lit(1)).alias("_n")), "shard-cells")
     before = Window.partitionBy("shard").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    cells = staged(cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "shard-offsets")
+    return cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+
+
+def slots(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """``rows`` (of a written table, with ``shard``) with ``slot``: numbers from 0 without gaps in each shard."""
     own = Window.partitionBy("shard", "_file", "_block").orderBy("_at")
-    numbered = df.withColumn("_own", F.row_number().over(own) - 1)
-    return numbered.join(cells, ["shard", "_file", "_block"]).withColumn("slot", F.col("_before") + F.col("_own")).drop("_file", "_block", "_at", "_own", "_before")
+    numbered = _cells(rows).withColumn("_own", F.row_number().over(own) - 1)
+    return numbered.join(cells, ["shard", "_file", "_block"]).withColumn("slot", F.col("_before") + F.col("_own"))
 
 
 def apply(docs: DataFrame, text: str = "text", k: int = SHARDS) -> DataFrame:
     """``docs`` without its text, with size, text_crc32, shard (0 to k - 1) and slot."""
-    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    base = without(docs, "size", "text_crc32", "shard", "slot", "_key")
-    rows = base.withColumn("size", F.octet_length(data).cast("long") + 1).withColumn("text_crc32", F.crc32(data)).withColumn("_key", F.sha2(data, 256)).drop(text)
-    rows = staged(rows, "shard-rows")
-    groups = staged(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size")), "shard-groups")
-    placed = rows.withColumn("shard", shard_of(F.col("_key"), cut_keys(groups, k)))
-    return slots(placed).drop("_key")
+    raw = docs[f"`{text}`"]
+    data = F.coalesce(raw.cast("binary"), F.lit(b""))
+    rest = without(docs, text, "size", "text_crc32", "shard", "slot")
+    row = F.struct(F.lit(True).alias("_"), *[docs[f"`{c}`"] for c in rest.columns])
+    rows = docs.select(row.alias("_row"), (F.octet_length(data).cast("long") + 1).alias("size"), F.crc32(data).alias("text_crc32"), F.sha2(data, 256).alias("_key"))
+    with staging(docs.sparkSession) as result:
+        rows = result(rows, "shard-rows")
+        groups = staged(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size")), "shard-groups")
+        placed = rows.withColumn("shard", shard_of(F.col("_key"), cut_keys(groups, k)))
+        cells = result(offsets(placed), "shard-offsets")
+    return slots(placed, cells).select(*[F.col("_row").getField(c).alias(c) for c in rest.columns], "size", "text_crc32", "shard", "slot")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

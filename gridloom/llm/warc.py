@@ -20,8 +20,9 @@ Of records with equal payloads of MIN_REVISIT bytes or more, that with the large
 
 Defined results: a null payload is empty; rows with the same page_id and payload are all written, and if
 theirs is the largest page_id all are responses; a null page_id has no header of its own, is never
-referred to, and its record is a revisit if another row with a page_id has the payload; an empty table
-gives an empty archive and result.
+referred to, and its record is a revisit if another row with a page_id has the payload; a payload of any
+length is written and read in chunks (Spark itself holds the row it comes from); an empty table gives an
+empty archive and result; a plan keeps all columns but those it adds, and archives keep page_id and url.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, fresh_path, staged, table
+from gridloom.llm.common import bounded_batches, fresh_path, staged, table, without
 
 CHUNK = 64 << 10
 FILE_BYTES = 64 << 20
@@ -44,6 +45,8 @@ MIN_REVISIT = 1000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Fixed value: the date of records whose capture time is not known.
 NO_DATE = "1970-01-01T00:00:00Z"
+#: What a plan adds.
+PLANNED = ["payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -57,14 +60,17 @@ def plan(pages: DataFrame, payload: str = "html") -> DataFrame:
     Digests are added up before the shuffle. Only those that two rows or more have are joined, from a
     written table, so Spark can split a digest that a large part of all rows has.
     """
-    data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    df = pages.withColumn("payload", data).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    long = df.where(F.col("payload_bytes") >= MIN_REVISIT)
-    many = long.groupBy("payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("_first"))
+    rest = without(pages, *PLANNED)
+    data = F.coalesce(pages[f"`{payload}`"].cast("binary"), F.lit(b""))
+    row = F.struct(*[pages[f"`{c}`"] for c in rest.columns])
+    df = pages.select(row.alias("_row"), data.alias("payload"), F.octet_length(data).cast("long").alias("payload_bytes"), F.sha1(data).alias("payload_digest"))
+    page = F.col("_row.page_id")
+    many = df.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), F.max(page).alias("_first"))
     many = staged(many.where("n > 1 AND _first IS NOT NULL").select(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "_first"), "warc-repeated")
     joined = df.join(many, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("_first"))).drop("_digest", "_bytes", "_first")
+    again = F.col("_first").isNotNull() & ~page.eqNullSafe(F.col("_first"))
+    own = {"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))}
+    return joined.select(*[F.col("_row").getField(c).alias(c) for c in rest.columns], *PLANNED[:3], *[c.alias(n) for n, c in own.items()])
 
 
 def chunks(planned: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -158,8 +164,8 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     names = batch.schema.names
-    for i in range(batch.num_rows):
-        yield {n: batch.column(k)[i].as_py() for k, n in enumerate(names)}
+    for row in zip(*(c.to_pylist() for c in batch.columns)):
+        yield dict(zip(names, row))
 
 
 def _members(stream) -> Iterator[Iterator[bytes]]:
@@ -222,7 +228,8 @@ def read(manifest: DataFrame, with_data: bool = True) -> DataFrame:
     """The chunk table of the archives in a manifest; without the bytes, only each record's last row is returned."""
     spark = manifest.sparkSession
     bounded_batches(spark)
-    files = manifest.select("path").repartition(max(spark.sparkContext.defaultParallelism, 2), "path")
+    # As many partitions as files: the archives are read by as many tasks as there are executors for, and a lost task costs some files.
+    files = manifest.select("path").repartition(max(manifest.count(), 1), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _READ.split(", ")]
