@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline
 from gridloom.llm import bpe, decontaminate, language, quality, simhash
-from test_operators import brute_fingerprint, brute_hits, brute_measures
+from pyspark.sql import functions as F
+from test_operators import DE, EN, SCHEMA, brute_fingerprint, brute_hits, brute_measures, words
 
 SF = "/root/testdata/sf0.001"
 
 
+def five_words(text):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "SimHash near-dedup", "benchmark decontamination", "byte-level BPE"]
 
@@ -27,14 +33,15 @@ def test_run_equals_plain_python(spark):
     frame = spark.createDataFrame(list(kept.values()), spark.read.parquet(f"{SF}/documents.parquet").schema)
     model = language.train(frame.where(language.remainder() != 2))
     kept = {i: r for i, r in kept.items() if (p := model.predict([r["text"].encode()]))[0][0] != "und" and p[1][0] >= 0.1}
-    # Near copies: all pairs of fingerprints.
+    # Near copies: all pairs of fingerprints, and of sets of five words.
     ids = sorted(kept)
     fps = {i: brute_fingerprint(kept[i]["text"]) for i in ids}
+    sets = {i: five_words(kept[i]["text"]) for i in ids}
     gone: set[int] = set()
     label = {i: i for i in ids}
     for a in ids:
         for b in ids:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS:
+            if a < b and ((fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
                 old, new = max(label[a], label[b]), min(label[a], label[b])
                 label = {k: new if v == old else v for k, v in label.items()}
     gone = {i for i in ids if label[i] != i}
@@ -57,3 +64,33 @@ def test_run_equals_plain_python(spark):
         else:
             assert brute_hits(text, items)[1] == 0 and len(text) < len(kept[i]["text"])
     assert decontaminate.WINDOW == 10
+
+
+def through(spark, docs):
+    """Each stage over what the one before it returns."""
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(stage(spark, out[-1], SF).persist())
+    return out
+
+
+def test_odd_rows_and_clashing_columns_through_all_stages(spark):
+    long_text = " ".join(f"w{i * i % 9973}x{i % 13}" for i in range(120_000))
+    rows = [(1, EN, "en", "a", 1), (1, EN, "en", "a", 1), (2, EN, "en", "b", 1), (3, None, "en", "a", None), (4, "", None, None, 0), (5, DE, "de", None, 5), (6, long_text, "en", "b", 9), (None, DE + " noch", "de", "a", 1), (7, DE + " mehr", None, "c", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for n in ("_row", "_text", "_k1", "fp", "score", "kept", "spans", "_cut", "n_words", "host"):
+        docs = docs.withColumn(n, F.lit(n))
+    out = through(spark, docs)
+    for df in out[1:-1]:
+        assert df.columns == docs.columns and df.where("_row <> '_row' OR kept <> 'kept' OR fp <> 'fp'").isEmpty()
+    assert {r["doc_id"] for r in out[1].collect()} == {1, 2, 5, 6, None, 7} and out[1].count() == 7
+    kept = [r["doc_id"] for r in out[3].collect()]
+    # Copies of 1 go, also its own; of the German ones the smallest number stays.
+    assert sorted(kept) == [1, 5, 6]
+    last = {r["doc_id"]: r for r in out[5].collect()}
+    assert out[5].columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decodes"] and set(last) == {1, 5, 6} and all(r["decodes"] for r in last.values())
+    assert bpe.encoder(bpe.default_path()).decode(last[6]["ids"]).decode() == long_text
+
+
+def test_no_documents(spark):
+    assert [df.count() for df in through(spark, spark.createDataFrame([], SCHEMA))] == [0] * 6
