@@ -60,7 +60,7 @@ def main(args: list[str] | None = None) -> int:
     a = vars(parser().parse_args(args))
     name = a.pop("command")
     if name == "formats":
-        print(json.dumps(commands.formats(), indent=2))
+        print(json.dumps(commands.available_formats(), indent=2))
         return 0
     if name == "processes":
         print(json.dumps(commands.processes(), indent=2))

@@ -115,33 +115,62 @@ def mercator_to_latlon(x: float, y: float) -> tuple[float, float]:
     return math.degrees(x / RADIUS), math.degrees(2 * math.atan(math.exp(y / RADIUS)) - math.pi / 2)
 
 
-def utm_forward(lon: float, lat: float, zone: int, south: bool) -> tuple[float, float]:
-    """Transverse Mercator on WGS 84 by Krüger's series to the third order."""
+def utm_forward(lon, lat, zone: int, south: bool, m=math):
+    """Transverse Mercator on WGS 84 by Krüger's series to the third order; of numbers, or of columns with ``m`` = Spark's functions."""
     f = 1 / 298.257223563
     n = f / (2 - f)
     big = RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3, 13 / 48 * n**2 - 3 / 5 * n**3, 61 / 240 * n**3)
-    phi, lam = math.radians(lat), math.radians(lon - (6 * zone - 183))
+    phi, lam = m.radians(lat), m.radians(lon - (6 * zone - 183))
     e = 2 * math.sqrt(n) / (1 + n)
-    t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
-    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(1, t))
-    x = eta + sum(a * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, a in enumerate(alpha, 1))
-    y = xi + sum(a * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    t = m.sinh(m.atanh(m.sin(phi)) - e * m.atanh(e * m.sin(phi)))
+    xi, eta = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(1 + t * t))
+    x = eta + sum(a * m.cos(2 * j * xi) * m.sinh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    y = xi + sum(a * m.sin(2 * j * xi) * m.cosh(2 * j * eta) for j, a in enumerate(alpha, 1))
     return 500000 + 0.9996 * big * x, (10000000 if south else 0) + 0.9996 * big * y
 
 
-def utm_inverse(x: float, y: float, zone: int, south: bool) -> tuple[float, float]:
+def utm_inverse(x, y, zone: int, south: bool, m=math):
     f = 1 / 298.257223563
     n = f / (2 - f)
     big = RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     beta = (n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3, n**2 / 48 + n**3 / 15, 17 / 480 * n**3)
     delta = (2 * n - 2 / 3 * n**2 - 2 * n**3, 7 / 3 * n**2 - 8 / 5 * n**3, 56 / 15 * n**3)
     xi, eta = (y - (10000000 if south else 0)) / (0.9996 * big), (x - 500000) / (0.9996 * big)
-    xi0 = xi - sum(b * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, b in enumerate(beta, 1))
-    eta0 = eta - sum(b * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, b in enumerate(beta, 1))
-    chi = math.asin(math.sin(xi0) / math.cosh(eta0))
-    phi = chi + sum(d * math.sin(2 * j * chi) for j, d in enumerate(delta, 1))
-    return 6 * zone - 183 + math.degrees(math.atan2(math.sinh(eta0), math.cos(xi0))), math.degrees(phi)
+    xi0 = xi - sum(b * m.sin(2 * j * xi) * m.cosh(2 * j * eta) for j, b in enumerate(beta, 1))
+    eta0 = eta - sum(b * m.cos(2 * j * xi) * m.sinh(2 * j * eta) for j, b in enumerate(beta, 1))
+    chi = m.asin(m.sin(xi0) / m.cosh(eta0))
+    phi = chi + sum(d * m.sin(2 * j * chi) for j, d in enumerate(delta, 1))
+    return 6 * zone - 183 + m.degrees(m.atan2(m.sinh(eta0), m.cos(xi0))), m.degrees(phi)
+
+
+def reproject_xy(x: Column, y: Column, src: str, dst: str) -> tuple[Column, Column]:
+    """Columns between EPSG:4326, EPSG:3857 and the UTM zones (EPSG:326zz, 327zz)."""
+    if src == dst:
+        return x, y
+    if src == "EPSG:3857":
+        x, y = F.degrees(x / RADIUS), F.degrees(F.lit(2.0) * F.atan(F.exp(y / RADIUS)) - F.lit(math.pi / 2))
+    elif m := re.fullmatch(r"EPSG:32([67])(\d\d)", src):
+        x, y = utm_inverse(x, y, int(m[2]), m[1] == "7", F)
+    elif src != "EPSG:4326":
+        raise ValueError(f"no formula for {src}")
+    if dst == "EPSG:3857":
+        return F.radians(x) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * RADIUS
+    if m := re.fullmatch(r"EPSG:32([67])(\d\d)", dst):
+        return utm_forward(x, y, int(m[2]), m[1] == "7", F)
+    if dst != "EPSG:4326":
+        raise ValueError(f"no formula for {dst}")
+    return x, y
+
+
+def crs_bounds(crs: str) -> tuple[float, float, float, float]:
+    """The degrees within which a projection is used."""
+    if m := re.fullmatch(r"EPSG:32([67])(\d\d)", crs):
+        left = 6.0 * int(m[2]) - 186
+        return (left, -80.0, left + 6, 0.0) if m[1] == "7" else (left, 0.0, left + 6, 84.0)
+    if crs not in CRS_BOUNDS:
+        raise ValueError(f"no formula for {crs}")
+    return CRS_BOUNDS[crs]
 
 
 def reproject_point(x: float, y: float, src: str, dst: str) -> tuple[float, float]:
@@ -186,11 +215,11 @@ def map_points(g: Column, f) -> Column:
 
 
 def to_mercator(g: Column) -> Column:
-    return map_points(g, lambda x, y: (F.radians(x) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * RADIUS))
+    return map_points(g, lambda x, y: reproject_xy(x, y, "EPSG:4326", "EPSG:3857"))
 
 
-def to_latlon(g: Column) -> Column:
-    return map_points(g, lambda x, y: (F.degrees(x / RADIUS), F.degrees(F.lit(2.0) * F.atan(F.exp(y / RADIUS)) - F.lit(math.pi / 2))))
+def to_latlon(g: Column, src: str = "EPSG:3857") -> Column:
+    return map_points(g, lambda x, y: reproject_xy(x, y, src, "EPSG:4326"))
 
 
 def shift_longitude(g: Column, by: float = 360.0, only_negative: bool = False) -> Column:
@@ -273,6 +302,21 @@ def holds(g: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(g["rings"], lambda r: ring_holds(r, x, y))) % 2 == 1
 
 
+def distance(g: Column, x: Column, y: Column) -> Column:
+    """From a point to the nearest segment or point of a geometry's rings (0 on them; a polygon's inside isn't 0)."""
+
+    def of_segment(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        span = dx * dx + dy * dy
+        t = F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / span))).otherwise(F.lit(0.0))
+        return F.hypot(x - a["x"] - t * dx, y - a["y"] - t * dy)
+
+    def of_ring(r: Column) -> Column:
+        return F.array_min(F.transform(r, lambda p, i: of_segment(p, F.coalesce(F.get(r, i + 1), p))))
+
+    return F.array_min(F.transform(g["rings"], of_ring))
+
+
 def is_type(g: Column, name: str, single: bool = True, multi: bool = True) -> Column:
     """Whether ``g`` has the type, or with ``single`` / ``multi`` its single or multipart form."""
     names = {name} | ({singlepart_type(name)} if single else set()) | ({multipart_type(name)} if multi else set())
@@ -284,11 +328,16 @@ def is_empty(g: Column) -> Column:
 
 
 def singleparts(g: Column) -> Column:
-    """An array with a geometry for each part."""
-    kind = F.when(g["type"].isin(*SINGLE), F.replace(g["type"], F.lit("Multi"), F.lit(""))).otherwise(g["type"])
+    """An array with a geometry for each part. A collection's parts tell their type by their first ring: one point, a closed ring, or else a line."""
+    known = F.when(g["type"].isin(*SINGLE), F.replace(g["type"], F.lit("Multi"), F.lit(""))).otherwise(g["type"])
+
+    def shape(r: Column) -> Column:
+        closed = (F.size(r) > 3) & (F.element_at(r, 1) == F.element_at(r, -1))
+        return F.when(F.size(r) == 1, "Point").when(closed, "Polygon").otherwise("LineString")
 
     def one(i: Column) -> Column:
         mine = F.filter(F.arrays_zip(g["rings"].alias("rings"), g["part"].alias("part")), lambda z: z["part"] == i)
+        kind = F.when(g["type"] == "GeometryCollection", shape(F.get(mine, F.lit(0))["rings"])).otherwise(known)
         return F.struct(kind.alias("type"), F.transform(mine, lambda z: z["rings"]).alias("rings"), F.transform(mine, lambda z: F.lit(0)).alias("part"))
 
     return F.transform(F.array_distinct(g["part"]), one)
@@ -382,16 +431,85 @@ def clip_line(xy: list[tuple[float, float]], left: float, bottom: float, right:
     return out
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _cut_ring(ring: Column, box: Column) -> Column:
+    """An open ring cut side by side, as `clip_ring` does."""
+    for axis, other, name, sign in (("x", "y", "left", 1), ("x", "y", "right", -1), ("y", "x", "bottom", 1), ("y", "x", "top", -1)):
+        ring = let(ring, _cut_side(axis, other, box[name], sign))
+    return ring
+
+
+def _cut_side(axis: str, other: str, at: Column, sign: int):
+    def pair(p: Column, q: Column) -> Column:
+        inside, was = (p[axis] - at) * sign >= 0, (q[axis] - at) * sign >= 0
+        across = q[other] + (p[other] - q[other]) * ((at - q[axis]) / F.nullif(p[axis] - q[axis], F.lit(0.0)))
+        cut = _point(at, across) if axis == "x" else _point(across, at)
+        empty = F.filter(F.array(p), lambda _: F.lit(False))
+        return F.concat(F.when(inside != was, F.array(cut)).otherwise(empty), F.when(inside, F.array(p)).otherwise(empty))
+
+    def side(r: Column) -> Column:
+        steps = F.transform(r, lambda p, i: let(F.element_at(r, F.when(i == 0, F.size(r)).otherwise(i)), lambda q: pair(p, q)))
+        return F.when(F.size(r) > 0, F.flatten(steps)).otherwise(r)
+
+    return side
+
+
+def _cut_polygon(ring: Column, box: Column) -> Column:
+    is_closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
+    opened = F.when(is_closed, F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))).otherwise(ring)
+    return let(_cut_ring(opened, box), lambda r: F.filter(F.array(F.concat(r, F.slice(r, 1, 1))), lambda x: F.size(x) > 3))
+
+
+def _cut_line(ring: Column, box: Column) -> Column:
+    """Pieces of a line, as `clip_line` does."""
+
+    def segment(i: Column) -> Column:
+        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        pq = [(-dx, a["x"] - box["left"]), (dx, box["right"] - a["x"]), (-dy, a["y"] - box["bottom"]), (dy, box["top"] - a["y"])]
+        t0 = F.greatest(F.lit(0.0), *[F.when(p < 0, q / F.nullif(p, F.lit(0.0))) for p, q in pq])
+        t1 = F.least(F.lit(1.0), *[F.when(p > 0, q / F.nullif(p, F.lit(0.0))) for p, q in pq])
+        beside = (dx == 0) & ((pq[0][1] < 0) | (pq[1][1] < 0)) | (dy == 0) & ((pq[2][1] < 0) | (pq[3][1] < 0))
+        cut = F.array(_point(a["x"] + t0 * dx, a["y"] + t0 * dy), _point(a["x"] + t1 * dx, a["y"] + t1 * dy))
+        return F.when((t0 < t1) & ~beside, F.array(cut)).otherwise(F.filter(F.array(cut), lambda _: F.lit(False)))
+
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.size(ring) - 1), segment))
+
+    def join(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        goes_on = F.coalesce(F.try_element_at(last, F.lit(-1)) == F.element_at(s, 1), F.lit(False))
+        return F.when(goes_on, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(last, F.slice(s, 2, 1))))).otherwise(F.concat(out, F.array(s)))
+
+    return F.when(F.size(ring) > 1, F.aggregate(pieces, F.filter(F.array(ring), lambda _: F.lit(False)), join)).otherwise(F.filter(F.array(ring), lambda _: F.lit(False)))
+
+
 def clipped(g: Column, box: Column) -> Column:
-    """``g`` cut to a box; null if nothing is left. Whole geometries inside the box never leave the JVM's batch untouched by rule, only by value."""
+    """``g`` cut to a box; null if nothing is left. All is done by expressions, so features don't leave the JVM."""
+    polygon, line = g["type"].isin("Polygon", "MultiPolygon"), g["type"].isin("LineString", "MultiLineString", "LinearRing")
+    within = lambda p: (p["x"] >= box["left"]) & (p["x"] <= box["right"]) & (p["y"] >= box["bottom"]) & (p["y"] <= box["top"])
+
+    def pieces(ring: Column) -> Column:
+        return F.when(polygon, _cut_polygon(ring, box)).when(line, _cut_line(ring, box)).otherwise(F.filter(F.array(ring), lambda r: within(F.element_at(r, 1))))
+
+    def numbered(ring: Column, i: Column) -> Column:
+        return let(pieces(ring), lambda ps: F.transform(ps, lambda r, k: F.struct(r.alias("ring"), F.when(F.size(ps) == 1, i).otherwise(i * 1000 + k).alias("part"))))
 
-    @F.pandas_udf(GEOMETRY)
-    def cut(rows: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
-        found = [None if r["type"] is None else clip_geometry(r, b["left"], b["bottom"], b["right"], b["top"]) for r, b in zip(rows.to_dict("records"), boxes.to_dict("records"))]
-        return pd.DataFrame([f or {"type": None, "rings": None, "part": None} for f in found], columns=["type", "rings", "part"])
+    def whole(ps: Column) -> Column:
+        part = F.transform(ps, lambda p: p["part"])
+        multi = F.size(F.array_distinct(part)) > 1
+        single = F.replace(g["type"], F.lit("Multi"), F.lit(""))
+        kind = F.when(multi & single.isin(*MULTI), F.concat(F.lit("Multi"), single)).when(~multi, single).otherwise(g["type"])
+        return F.when(F.size(ps) > 0, F.struct(kind.alias("type"), F.transform(ps, lambda p: p["ring"]).alias("rings"), part.alias("part")))
 
-    out = cut(g, box)
-    return F.when(out["type"].isNotNull(), out)
+    return let(F.flatten(F.zip_with(g["rings"], g["part"], numbered)), whole)
 
 
 def split_antimeridian(g: dict) -> dict:

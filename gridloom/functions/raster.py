@@ -6,6 +6,7 @@ a row for each pixel: zoom, row, col, band, py, px, value. y runs down from the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, pi, radians
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,23 +66,34 @@ def band(bands: Column, index: int) -> Column:
 
 # Focal operations: all eight neighbours from two passes of windows, with edges repeated.
 
-def neighbourhood(pixels: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """``pixels`` with w0..w8, the 3 x 3 values row by row; beyond an edge the edge's value stands.
+def neighbourhood(pixels: DataFrame, keys: list[str], value: str = "value", inner: bool = False) -> DataFrame:
+    """``pixels`` with w0..w8, the 3 x 3 values row by row; beyond an edge the edge's value stands, or with ``inner`` the whole
+    neighbourhood of the inner pixel beside it.
 
     Two windows, by rows and then by columns of the same tile: one shuffle, as both have the tile's keys
     among theirs and the tile is what rows are dealt by.
     """
     df = pixels.repartition(*keys)
     own = F.col(value)
-    across = Window.partitionBy(*keys, "py").orderBy("px")
     # Structs, so that a NULL neighbour is told from no neighbour.
-    wrap = F.struct(own.alias("v"))
-    df = df.withColumn("_l", F.coalesce(F.lag(wrap).over(across), wrap)).withColumn("_r", F.coalesce(F.lead(wrap).over(across), wrap))
-    df = df.withColumn("_row", F.struct(F.col("_l.v").alias("a"), own.alias("b"), F.col("_r.v").alias("c"))).drop("_l", "_r")
-    down = Window.partitionBy(*keys, "px").orderBy("py")
-    df = df.withColumn("_u", F.coalesce(F.lag("_row").over(down), F.col("_row"))).withColumn("_d", F.coalesce(F.lead("_row").over(down), F.col("_row")))
-    names = [(s, k) for s in ("_u", "_row", "_d") for k in "abc"]
-    return df.withColumns({f"w{i}": F.col(f"{s}.{k}") for i, (s, k) in enumerate(names)}).drop("_u", "_row", "_d")
+    df = _three(df, [*keys, "py"], "px", F.struct(own.alias("v")), "_row", inner)
+    df = df.withColumn("_row", F.struct(F.col("_row.a.v").alias("a"), F.col("_row.b.v").alias("b"), F.col("_row.c.v").alias("c")))
+    df = _three(df, [*keys, "px"], "py", F.col("_row"), "_all", inner)
+    return df.withColumns({f"w{i}": F.col(f"_all.{s}.{k}") for i, (s, k) in enumerate((s, k) for s in "abc" for k in "abc")}).drop("_row", "_all")
+
+
+def _three(df: DataFrame, keys: list[str], order: str, value: Column, name: str, inner: bool) -> DataFrame:
+    """``name``: the value before, here and after in the order; at an end as `neighbourhood` says."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    at = lambda k: F.lag(value, k).over(by) if k > 0 else F.lead(value, -k).over(by)
+    before, after = at(1), at(-1)
+    usual = F.struct(F.coalesce(before, value).alias("a"), value.alias("b"), F.coalesce(after, value).alias("c"))
+    if inner:
+        # At the first place what the second sees, at the last what the one before it sees.
+        first = F.struct(value.alias("a"), after.alias("b"), F.coalesce(at(-2), after).alias("c"))
+        last = F.struct(F.coalesce(at(2), before).alias("a"), before.alias("b"), value.alias("c"))
+        usual = F.when(before.isNull() & after.isNotNull(), first).when(after.isNull() & before.isNotNull(), last).otherwise(usual)
+    return df.withColumn(name, usual)
 
 
 def gradient(w: list[Column], xres: float, yres: float, scale: float = 1.0, z: float = 1.0) -> tuple[Column, Column]:
@@ -107,19 +119,10 @@ def shade(slope: Column, aspect: Column, azimuth: float = 315.0, altitude: float
 def hillshade(pixels: DataFrame, xres: float = 1.0, yres: float = -1.0, azimuth: float = 315.0, altitude: float = 45.0, z: float = 1.0, scale: float = 1.0, keys: list[str] | None = None) -> DataFrame:
     """``pixels`` with ``shade``; the border has the shade of the inner pixel beside it, no data stays no data."""
     keys = keys or [*TILE, "band"]
-    df = neighbourhood(pixels, keys)
+    df = neighbourhood(pixels, keys, inner=True)
     slope, aspect = slope_aspect([F.col(f"w{i}") for i in range(9)], xres, yres, scale, z)
-    size = Window.partitionBy(*keys)
-    inner = (F.col("py") > 0) & (F.col("px") > 0) & (F.col("py") < F.col("_h")) & (F.col("px") < F.col("_w"))
-    df = df.withColumn("_h", F.max("py").over(size)).withColumn("_w", F.max("px").over(size)).withColumn("_s", F.when(inner, shade(slope, aspect, azimuth, altitude)))
-    wrap = F.struct(F.col("_s").alias("v"))
-    across = Window.partitionBy(*keys, "py").orderBy("px")
-    df = df.withColumn("_s2", F.when(F.col("px") == 0, F.lead(wrap).over(across)["v"]).when(F.col("px") == F.col("_w"), F.lag(wrap).over(across)["v"]).otherwise(F.col("_s")))
-    wrap = F.struct(F.col("_s2").alias("v"))
-    down = Window.partitionBy(*keys, "px").orderBy("py")
-    df = df.withColumn("shade", F.when(F.col("py") == 0, F.lead(wrap).over(down)["v"]).when(F.col("py") == F.col("_h"), F.lag(wrap).over(down)["v"]).otherwise(F.col("_s2")))
-    df = df.withColumn("shade", F.when(F.col("value").isNotNull(), F.col("shade")))
-    return df.drop("_h", "_w", "_s", "_s2", *[f"w{i}" for i in range(9)])
+    df = df.withColumn("shade", F.when(F.col("value").isNotNull(), shade(slope, aspect, azimuth, altitude)))
+    return df.drop(*[f"w{i}" for i in range(9)])
 
 
 def halo(pixels: DataFrame, pyramid: Pyramid, zoom: int, size: int, width: int) -> DataFrame:
@@ -169,11 +172,44 @@ def overview(pixels: DataFrame, width: int, method: str = "nearest") -> DataFram
     return pixels.where("zoom > 0").groupBy(*keys).agg(aggregate(method, F.col("value"), [py, px]).alias("value"))
 
 
-def overviews(pixels: DataFrame, width: int, top: int, bottom: int, method: str = "nearest") -> DataFrame:
-    """All lower zooms down to ``bottom``, each from the one above."""
+def coarser(pixels: DataFrame, pyramid: Pyramid, zoom: int, width: int, method: str) -> DataFrame:
+    """The next lower zoom by a kernel twice as wide: bilinear weighs 4 x 4 pixels, cubic 8 x 8, also of neighbour tiles.
+
+    Each pixel is dealt to the coarser ones it has a weight in, by its place in the whole matrix, and weights
+    are added up: one shuffle, partial sums before it. Pixels without data leave their weight to the others.
+    Only tiles with a child are made.
+    """
+    reach = {"bilinear": 1, "cubic": 2}[method]
+    df = pixels.where((F.col("zoom") == zoom) & F.col("value").isNotNull())
+    y, x = (F.col("row") * width + F.col("py")).alias("_y"), (F.col("col") * width + F.col("px")).alias("_x")
+    df = df.select("band", "value", y, x)
+    n = F.sequence(F.lit(-reach), F.lit(reach))
+    df = df.withColumn("_ty", F.explode(F.transform(n, lambda i: F.floor(F.col("_y") / 2).cast("int") + i))).withColumn("_tx", F.explode(F.transform(n, lambda i: F.floor(F.col("_x") / 2).cast("int") + i)))
+    far = lambda at, to: F.abs((F.col(at) + 0.5) / 2 - (F.col(to) + 0.5))
+    df = df.withColumn("_k", kernel(far("_y", "_ty"), method) * kernel(far("_x", "_tx"), method)).where("_k <> 0")
+    h, w = pyramid.matrix_height(zoom - 1) * width, pyramid.matrix_width(zoom - 1) * width
+    df = df.where((F.col("_ty") >= 0) & (F.col("_ty") < h))
+    df = df.withColumn("_tx", F.pmod(F.col("_tx"), F.lit(w))) if pyramid.grid.is_global else df.where((F.col("_tx") >= 0) & (F.col("_tx") < w))
+    cell = lambda v, name: [F.expr(f"CAST({v} DIV {width} AS INT)").alias(name), F.expr(f"CAST({v} % {width} AS INT)").alias("p" + v[-1])]
+    (row, py), (col, px) = cell("_ty", "row"), cell("_tx", "col")
+    out = df.groupBy(F.lit(zoom - 1).alias("zoom"), row, col, "band", py, px).agg((F.sum(F.col("value") * F.col("_k")) / F.nullif(F.sum("_k"), F.lit(0.0))).alias("value"))
+    own = pixels.where(F.col("zoom") == zoom).select((F.col("zoom") - 1).alias("zoom"), F.expr("row DIV 2").cast("int").alias("row"), F.expr("col DIV 2").cast("int").alias("col")).distinct()
+    return out.join(own, TILE, "left_semi")
+
+
+def kernel(d: Column, method: str) -> Column:
+    """The weight at a distance: a tent for bilinear, Keys's cubic with a = -1/2."""
+    if method == "bilinear":
+        return F.greatest(F.lit(0.0), 1 - d)
+    a = -0.5
+    return F.when(d < 1, (a + 2) * d * d * d - (a + 3) * d * d + 1).when(d < 2, a * d * d * d - 5 * a * d * d + 8 * a * d - 4 * a).otherwise(F.lit(0.0))
+
+
+def overviews(pixels: DataFrame, width: int, top: int, bottom: int, method: str = "nearest", cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All lower zooms down to ``bottom``, each from the one above. ``cut`` stores a level and reads it again, so that it is made once, not once for each level below it."""
     level, out = pixels, None
     for _ in range(top, bottom, -1):
-        level = overview(level, width, method)
+        level = cut(overview(level, width, method))
         out = level if out is None else out.unionByName(level)
     return out
 
@@ -237,11 +273,7 @@ def interpolate(pixels: DataFrame, width: int, factor: int, method: str = "bilin
     df = source.withColumn("_y", F.explode(offsets)).withColumn("_x", F.explode(offsets))
 
     def weight(o: Column) -> Column:
-        d = F.abs((o + 0.5) / factor - 0.5)
-        if method == "bilinear":
-            return F.greatest(F.lit(0.0), 1 - d)
-        a = -0.5
-        return F.when(d < 1, (a + 2) * d * d * d - (a + 3) * d * d + 1).when(d < 2, a * d * d * d - 5 * a * d * d + 8 * a * d - 4 * a).otherwise(F.lit(0.0))
+        return kernel(F.abs((o + 0.5) / factor - 0.5), method)
 
     df = df.withColumn("_k", weight(F.col("_y")) * weight(F.col("_x"))).where(F.col("_k") != 0)
     df = df.withColumns({"py": F.col("py") * factor + F.col("_y"), "px": F.col("px") * factor + F.col("_x")}).where((F.col("py") >= 0) & (F.col("py") < width * factor) & (F.col("px") >= 0) & (F.col("px") < width * factor))
@@ -261,18 +293,75 @@ def pixel_centre(pyramid: Pyramid, zoom: int, width: int) -> tuple[Column, Colum
     return F.lit(pyramid.grid.left) + F.col("col") * F.lit(span) + (F.col("px") + 0.5) * px, F.lit(pyramid.grid.top) - F.col("row") * F.lit(span) - (F.col("py") + 0.5) * px
 
 
-def cross_projection(pixels: DataFrame, src: Pyramid, dst: Pyramid, zoom: int, dst_zoom: int, width: int, tiles: DataFrame) -> DataFrame:
-    """Nearest pixels of ``src`` (geodetic) at the pixel centres of ``tiles`` of ``dst`` (Web Mercator): an equi-join on the source pixel's index."""
-    from gridloom.functions.geometry import RADIUS
+def warp(pixels: DataFrame, src: Pyramid, dst: Pyramid, zoom: int, dst_zoom: int, width: int, dst_width: int | None = None, method: str = "nearest", tiles: DataFrame | None = None) -> DataFrame:
+    """Pixels of ``dst``'s zoom from those of ``src``'s, between all projections that have formulas.
 
-    n = F.sequence(F.lit(0), F.lit(width - 1))
-    df = tiles.where(F.col("zoom") == dst_zoom).withColumn("py", F.explode(n)).withColumn("px", F.explode(n))
-    x, y = pixel_centre(dst, dst_zoom, width)
-    lon, lat = F.degrees(x / RADIUS), F.degrees(F.lit(2.0) * F.atan(F.exp(y / RADIUS)) - F.lit(pi / 2))
-    px = src.tile_span(zoom) / width
-    df = df.withColumns({"_sy": F.floor((F.lit(src.grid.top) - lat) / px), "_sx": F.floor((lon - F.lit(src.grid.left)) / px)})
-    own = pixels.where(F.col("zoom") == zoom).select((F.col("row") * width + F.col("py")).cast("long").alias("_sy"), (F.col("col") * width + F.col("px")).cast("long").alias("_sx"), "band", "value")
-    return df.join(own, ["_sy", "_sx"]).drop("_sy", "_sx")
+    nearest, bilinear and cubic look back from the centre of each wanted pixel: the source pixels around it are an
+    equi-join on their place in the matrix, their weights one sum. The other methods deal each source pixel to
+    the wanted pixel that its centre falls in and aggregate, without a join. ``tiles``: the wanted tiles; by
+    default all that the source tiles' boxes reach.
+    """
+    from gridloom.functions import geometry as G
+
+    dst_width = dst_width or width
+    crs = src.grid.crs, dst.grid.crs
+    df = pixels.where(F.col("zoom") == zoom)
+    if method not in ("nearest", "bilinear", "cubic"):
+        x, y = pixel_centre(src, zoom, width)
+        x, y = G.reproject_xy(x, y, *crs)
+        size = dst.pixel_size(dst_zoom)
+        df = df.select("band", "value", "py", "px", F.floor((F.lit(dst.grid.top) - y) / size).alias("_y"), F.floor((x - F.lit(dst.grid.left)) / size).alias("_x"))
+        h, w = dst.matrix_height(dst_zoom) * dst_width, dst.matrix_width(dst_zoom) * dst_width
+        df = df.where((F.col("_y") >= 0) & (F.col("_y") < h) & (F.col("_x") >= 0) & (F.col("_x") < w))
+        keys = [F.lit(dst_zoom).alias("zoom"), *[F.expr(f"CAST({a} {op} {dst_width} AS INT)").alias(n) for a, op, n in (("_y", "DIV", "row"), ("_x", "DIV", "col"))], "band", *[F.expr(f"CAST({a} % {dst_width} AS INT)").alias(n) for a, n in (("_y", "py"), ("_x", "px"))]]
+        out = df.groupBy(*keys).agg(aggregate(method, F.col("value"), [F.col("py"), F.col("px")]).alias("value"))
+        return out if tiles is None else out.join(tiles.where(F.col("zoom") == dst_zoom).select(*TILE), TILE, "left_semi")
+    tiles = reached_tiles(df, src, dst, zoom, dst_zoom) if tiles is None else tiles.where(F.col("zoom") == dst_zoom).select(*TILE)
+    n = F.sequence(F.lit(0), F.lit(dst_width - 1))
+    want = tiles.withColumn("py", F.explode(n)).withColumn("px", F.explode(n))
+    x, y = G.reproject_xy(*pixel_centre(dst, dst_zoom, dst_width), crs[1], crs[0])
+    size = src.tile_span(zoom) / width
+    # Places in pixels; whole numbers are pixel centres.
+    want = want.withColumns({"_fy": (F.lit(src.grid.top) - y) / size - 0.5, "_fx": (x - F.lit(src.grid.left)) / size - 0.5})
+    if method == "nearest":
+        want = want.withColumns({"_sy": F.floor(F.col("_fy") + 0.5), "_sx": F.floor(F.col("_fx") + 0.5)})
+    else:
+        reach = {"bilinear": 1, "cubic": 2}[method]
+        around = F.sequence(F.lit(1 - reach), F.lit(reach))
+        want = want.withColumn("_sy", F.explode(F.transform(around, lambda i: F.floor(F.col("_fy")) + i))).withColumn("_sx", F.explode(F.transform(around, lambda i: F.floor(F.col("_fx")) + i)))
+        want = want.withColumn("_k", kernel(F.abs(F.col("_sy") - F.col("_fy")), method) * kernel(F.abs(F.col("_sx") - F.col("_fx")), method)).where("_k <> 0")
+    if src.grid.is_global:
+        want = want.withColumn("_sx", F.pmod(F.col("_sx"), F.lit(src.matrix_width(zoom) * width)))
+    own = df.select((F.col("row") * width + F.col("py")).cast("long").alias("_sy"), (F.col("col") * width + F.col("px")).cast("long").alias("_sx"), "band", "value")
+    met = want.join(own, ["_sy", "_sx"])
+    if method == "nearest":
+        return met.select(*PIXEL, "value")
+    return met.where("value IS NOT NULL").groupBy(*PIXEL).agg((F.sum(F.col("value") * F.col("_k")) / F.nullif(F.sum("_k"), F.lit(0.0))).alias("value"))
+
+
+def reached_tiles(pixels: DataFrame, src: Pyramid, dst: Pyramid, zoom: int, dst_zoom: int, steps: int = 8) -> DataFrame:
+    """Tiles of ``dst`` within the box of each source tile's outline, reprojected at ``steps`` places a side."""
+    from gridloom.functions import bounds as B
+    from gridloom.functions import geometry as G
+    from gridloom.operators.tiles import cells
+
+    own = pixels.select("row", "col").distinct()
+    box = src.box(zoom, F.col("row"), F.col("col"))
+    at = F.sequence(F.lit(0), F.lit(steps))
+    degrees = G.crs_bounds(dst.grid.crs)
+
+    def place(i: Column, j: Column) -> Column:
+        x, y = box["left"] + (box["right"] - box["left"]) * i / steps, box["bottom"] + (box["top"] - box["bottom"]) * j / steps
+        lon, lat = G.reproject_xy(x, y, src.grid.crs, "EPSG:4326")
+        lat = F.greatest(F.lit(degrees[1]), F.least(F.lit(degrees[3]), lat))
+        lon = lon if dst.grid.is_global else F.greatest(F.lit(degrees[0]), F.least(F.lit(degrees[2]), lon))
+        x, y = G.reproject_xy(lon, lat, "EPSG:4326", dst.grid.crs)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    places = own.select(F.flatten(F.transform(at, lambda i: F.transform(at, lambda j: place(i, j)))).alias("p"))
+    xs, ys = F.transform("p", lambda p: p["x"]), F.transform("p", lambda p: p["y"])
+    boxes = places.select(B.column(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)).alias("box"))
+    return cells(boxes, dst, dst_zoom).select(*TILE).distinct()
 
 
 # Contours

@@ -17,10 +17,12 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import arrays
 from gridloom.functions import geometry as G
 from gridloom.functions import raster as R
 from gridloom.functions.pyramid import Pyramid, Tile
@@ -38,19 +40,18 @@ class ProcessError(RuntimeError):
 class RasterInput:
     """A raster of one tile: bands by height by width, masked where there is no data."""
 
-    rows: pd.DataFrame
+    rows: pa.Table
 
     def is_empty(self) -> bool:
-        return not len(self.rows) or bool(self.read().mask.all())
+        return not self.rows.num_rows or bool(self.read().mask.all())
 
     def read(self, indexes: int | list[int] | None = None) -> np.ma.MaskedArray:
-        if not len(self.rows):
+        if not self.rows.num_rows:
             return np.ma.masked_all((0, 0, 0))
-        rows = self.rows.sort_values("band")
+        data = arrays.cubes(self.rows)
         if indexes is not None:
-            want = [indexes] if isinstance(indexes, int) else list(indexes)
-            rows = pd.concat([rows[rows["band"] == i] for i in want])
-        data = np.stack([np.array([np.nan if v is None else v for v in p], dtype=float).reshape(int(h), int(w)) for p, h, w in zip(rows["pixels"], rows["height"], rows["width"])])
+            there = sorted(self.rows["band"].to_pylist())
+            data = data[[there.index(i) for i in ([indexes] if isinstance(indexes, int) else indexes)]]
         return np.ma.masked_invalid(data)
 
 
@@ -58,13 +59,13 @@ class RasterInput:
 class VectorInput:
     """The features of one tile."""
 
-    rows: pd.DataFrame
+    rows: pa.Table
 
     def is_empty(self) -> bool:
-        return not len(self.rows)
+        return not self.rows.num_rows
 
     def read(self) -> list[dict]:
-        return [{"geometry": r["geom"], "properties": dict(r["properties"] or {})} for r in self.rows.to_dict("records")]
+        return [{"geometry": r["geom"], "properties": dict(r["properties"] or {})} for r in self.rows.select(["geom", "properties"]).to_pylist()]
 
 
 @dataclass
@@ -124,28 +125,32 @@ def filtered_parameters(params: dict[str, Any]) -> dict[str, Any]:
     return {k: v for k, v in params.items() if v is not None}
 
 
-def output_rows(found: Any, tile: Tile, vector: bool) -> pd.DataFrame:
+def output_rows(found: Any, tile: Tile, vector: bool) -> pa.Table:
     """What a function returned, as rows; None is an error, "empty" and all-masked arrays give none."""
+    none = arrays.empty_table(VECTOR_OUT if vector else RASTER_OUT)
     if found is None:
         raise ProcessError(f"tile {tile.task_id}: the process returned None")
     if isinstance(found, str):
         if found != EMPTY:
             raise ProcessError(f"tile {tile.task_id}: the process returned {found!r}")
-        return pd.DataFrame()
+        return none
+    key = lambda n: {"zoom": [tile.zoom] * n, "row": [tile.row] * n, "col": [tile.col] * n}
     if vector:
-        rows = [{"zoom": tile.zoom, "row": tile.row, "col": tile.col, "geom": f["geometry"] if "rings" in f["geometry"] else G.from_geojson(f["geometry"]), "properties": {k: None if v is None else str(v) for k, v in f["properties"].items()}} for f in found]
-        return pd.DataFrame(rows)
+        geoms = [f["geometry"] if "rings" in f["geometry"] else G.from_geojson(f["geometry"]) for f in found]
+        properties = [[(k, None if v is None else str(v)) for k, v in f["properties"].items()] for f in found]
+        return arrays.table_of({**key(len(geoms)), "geom": geoms, "properties": properties}, VECTOR_OUT)
     array, tags = found if isinstance(found, tuple) else (found, {})
     array = np.ma.asanyarray(array)
     if array.ndim == 2:
         array = array[None]
     if array.ndim != 3:
         raise ProcessError(f"tile {tile.task_id}: 2 or 3 dimensions are needed, not {array.ndim}")
-    mask = np.ma.getmaskarray(array) | ~np.isfinite(np.ma.getdata(array).astype(float))
-    if mask.all():
-        return pd.DataFrame()
-    rows = [{"zoom": tile.zoom, "row": tile.row, "col": tile.col, "band": i + 1, "height": b.shape[0], "width": b.shape[1], "pixels": [None if m else float(v) for v, m in zip(np.ma.getdata(b).ravel(), k.ravel())], "tags": json.dumps(tags)} for i, (b, k) in enumerate(zip(array, mask))]
-    return pd.DataFrame(rows)
+    data = np.ma.getdata(array).astype(float)
+    data = np.where(np.ma.getmaskarray(array) | ~np.isfinite(data), np.nan, data)
+    if np.isnan(data).all():
+        return none
+    n, height, width = data.shape
+    return arrays.table_of({**key(n), "band": list(range(1, n + 1)), "height": [height] * n, "width": [width] * n, "pixels": arrays.lists(data), "tags": [json.dumps(tags)] * n}, RASTER_OUT)
 
 
 def run(tiles: DataFrame, inputs: dict[str, DataFrame], function: Callable, pyramid: Pyramid, params: dict[str, Any] | None = None, vector: bool = False, vector_inputs: Iterable[str] = ()) -> DataFrame:
@@ -170,11 +175,11 @@ def run(tiles: DataFrame, inputs: dict[str, DataFrame], function: Callable, pyra
     given_names = list(inputs)
     needs_context = "mp" in inspect.signature(function).parameters
 
-    def call(key, rows: pd.DataFrame) -> pd.DataFrame:
-        tile = Tile(int(key[0]), int(key[1]), int(key[2]))
+    def call(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        tile = Tile(*(int(k.as_py()) for k in key))
         given: dict[str, Any] = {}
         for name in given_names:
-            own = rows[rows["_input"] == name]
+            own = rows.filter(pc.equal(rows["_input"], name))
             given[name] = VectorInput(own) if name in vector_inputs else RasterInput(own)
         context = Context(tile, pyramid, dict(given), params)
         arguments = {k: v for k, v in {**given, **params}.items() if k in takes}
@@ -184,21 +189,19 @@ def run(tiles: DataFrame, inputs: dict[str, DataFrame], function: Callable, pyra
             found = function(**arguments)
         except Exception as e:
             raise ProcessError(f"tile {tile.task_id}: {e!r}") from e
-        out = output_rows(list(found) if vector and not isinstance(found, (str, type(None))) else found, tile, vector)
-        columns = [f.split(" ")[0] for f in (VECTOR_OUT if vector else RASTER_OUT).split(", ")]
-        return out if len(out) else pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
+        return output_rows(list(found) if vector and not isinstance(found, (str, type(None))) else found, tile, vector)
 
-    return union.groupBy(*keys).applyInPandas(call, VECTOR_OUT if vector else RASTER_OUT)
+    return union.groupBy(*keys).applyInArrow(call, VECTOR_OUT if vector else RASTER_OUT)
 
 
 # Built-in processes, as DataFrame plans.
 
-def clip(pixels: DataFrame, features: DataFrame, pyramid: Pyramid, zoom: int, width: int, invert: bool = False) -> DataFrame:
-    """Pixels whose centre no feature holds become NULL (those that one holds, with ``invert``)."""
+def clip(pixels: DataFrame, features: DataFrame, pyramid: Pyramid, zoom: int, width: int, invert: bool = False, all_touched: bool = False, buffer: float = 0.0) -> DataFrame:
+    """Pixels whose centre no feature holds become NULL (those that one holds, with ``invert``); ``buffer`` and ``all_touched`` widen the features."""
     from gridloom.operators.vector import mask
 
     x, y = R.pixel_centre(pyramid, zoom, width)
-    df = mask(pixels.withColumns({"x": x, "y": y}), features, pyramid, zoom, invert)
+    df = mask(pixels.withColumns({"x": x, "y": y}), features, pyramid, zoom, invert, all_touched=all_touched, buffer=buffer, pixel=pyramid.tile_span(zoom) / width)
     return df.withColumn("value", F.when(~F.col("masked"), F.col("value"))).drop("x", "y", "masked")
 
 
@@ -208,73 +211,140 @@ def convert(pixels: DataFrame, ratio: float = 1.0, offset: float = 0.0, dtype: s
 
 def contours(packed: DataFrame, pyramid: Pyramid, interval: float = 100.0, base: float = 0.0, field_name: str = "elev") -> DataFrame:
     """zoom, row, col, ``field_name``, geom: contour lines of each tile by marching squares between pixel centres."""
+    schema = f"zoom int, row int, col int, {field_name} double, geom struct<type:string,rings:array<array<struct<x:double,y:double>>>,part:array<int>>"
 
-    def lines(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for r in rows.to_dict("records"):
-                data = np.array([np.nan if v is None else v for v in r["pixels"]], dtype=float).reshape(r["height"], r["width"])
+    def lines(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"zoom": [], "row": [], "col": [], field_name: [], "geom": []}
+            keys = [batch.column(i).to_pylist() for i in range(5)]
+            for zoom, row, col, height, width, pixels in zip(*keys, arrays.blocks(batch.column(5))):
+                data = pixels.reshape(height, width)
                 if np.isnan(data).all():
                     continue
-                b = pyramid.tile_bounds(r["zoom"], r["row"], r["col"])
-                sx, sy = b.width / r["width"], b.height / r["height"]
+                b = pyramid.tile_bounds(zoom, row, col)
+                sx, sy = b.width / width, b.height / height
                 for level in R.contour_values(float(np.nanmin(data)), float(np.nanmax(data)), interval, base):
                     for line in marching_squares(data, level):
-                        ring = [{"x": b.left + (x + 0.5) * sx, "y": b.top - (y + 0.5) * sy} for x, y in line]
-                        out.append((r["zoom"], r["row"], r["col"], level, {"type": "LineString", "rings": [ring], "part": [0]}))
-            yield pd.DataFrame(out, columns=["zoom", "row", "col", field_name, "geom"])
+                        ring = [{"x": x, "y": y} for x, y in zip((b.left + (line[:, 0] + 0.5) * sx).tolist(), (b.top - (line[:, 1] + 0.5) * sy).tolist())]
+                        for name, value in zip(out, (zoom, row, col, level, {"type": "LineString", "rings": [ring], "part": [0]})):
+                            out[name].append(value)
+            yield from arrays.table_of(out, schema).to_batches()
 
-    schema = f"zoom int, row int, col int, {field_name} double, geom struct<type:string,rings:array<array<struct<x:double,y:double>>>,part:array<int>>"
-    return packed.select(*R.TILE, "height", "width", "pixels").mapInPandas(lines, schema)
+    return packed.select(*R.TILE, "height", "width", "pixels").mapInArrow(lines, schema)
 
 
-def marching_squares(data: np.ndarray, level: float) -> list[list[tuple[float, float]]]:
-    """Lines (x, y in pixels) along which ``data`` passes ``level``; squares with no data are left out."""
+def crossings(data: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ends (n, 2) of the pieces of line in the squares between four pixels, as numbers of the edges they cross; and x, y (edges, 2) of each edge's crossing.
+
+    Edges to the right of a pixel are numbered by the pixel, those below it after them all. Squares with no data have no piece.
+    """
     h, w = data.shape
+    with np.errstate(invalid="ignore", divide="ignore"):
+        y, x = np.mgrid[0:h, 0:w].astype(float)
+        right, down = np.full((h, w), np.nan), np.full((h, w), np.nan)
+        right[:, :-1] = (level - data[:, :-1]) / (data[:, 1:] - data[:, :-1])
+        down[:-1] = (level - data[:-1]) / (data[1:] - data[:-1])
+    at = np.concatenate((np.stack((x + right, y), axis=2).reshape(-1, 2), np.stack((x, y + down), axis=2).reshape(-1, 2)))
     above = data >= level
-    ends: dict[tuple, list[tuple]] = {}
-
-    def at(edge: tuple) -> tuple[float, float]:
-        y, x, down = edge
-        a, b = data[y, x], data[y + 1, x] if down else data[y, x + 1]
-        t = (level - a) / (b - a)
-        return (float(x), y + t) if down else (x + t, float(y))
-
-    for y, x in zip(*np.nonzero((above[:-1, :-1].astype(int) + above[1:, :-1] + above[:-1, 1:] + above[1:, 1:]) % 4)):
-        y, x = int(y), int(x)
-        if np.isnan(data[y : y + 2, x : x + 2]).any():
-            continue
-        top, right, bottom, left = (y, x, False), (y, x + 1, True), (y + 1, x, False), (y, x, True)
-        corners = (above[y, x], above[y, x + 1], above[y + 1, x + 1], above[y + 1, x])
-        crossed = [e for e, (i, j) in zip((top, right, bottom, left), ((0, 1), (1, 2), (3, 2), (0, 3))) if corners[i] != corners[j]]
-        if len(crossed) == 4:
-            centre = data[y : y + 2, x : x + 2].mean() >= level
-            pairs = [(top, right), (bottom, left)] if centre == corners[0] else [(top, left), (right, bottom)]
-        else:
-            pairs = [tuple(crossed)]
-        for a, b in pairs:
-            ends.setdefault(a, []).append(b)
-            ends.setdefault(b, []).append(a)
+    a, b, c, d = above[:-1, :-1], above[:-1, 1:], above[1:, 1:], above[1:, :-1]
+    four = np.stack((data[:-1, :-1], data[:-1, 1:], data[1:, 1:], data[1:, :-1]))
+    seen = ~np.isnan(four).any(axis=0)
+    number = np.arange(h * w).reshape(h, w)
+    top, bottom, left, side = number[:-1, :-1], number[1:, :-1], h * w + number[:-1, :-1], h * w + number[:-1, 1:]
+    crossed = np.stack((a != b, b != c, d != c, a != d)) & seen
+    edges = np.stack((top, side, bottom, left))
+    count = crossed.sum(axis=0)
+    pairs = []
+    for i in range(4):
+        for j in range(i + 1, 4):
+            one = (count == 2) & crossed[i] & crossed[j]
+            pairs.append(np.stack((edges[i][one], edges[j][one]), axis=1))
+    # All four sides are crossed: the middle says which corners belong together.
+    with np.errstate(invalid="ignore"):
+        like_first = (four.mean(axis=0) >= level) == a
+    for here, (i, j), (k, m) in (((count == 4) & like_first, (0, 1), (2, 3)), ((count == 4) & ~like_first, (0, 3), (1, 2))):
+        pairs += [np.stack((edges[i][here], edges[j][here]), axis=1), np.stack((edges[k][here], edges[m][here]), axis=1)]
+    return np.concatenate(pairs), at
+
+
+def marching_squares(data: np.ndarray, level: float) -> list[np.ndarray]:
+    """Lines (n, 2: x, y in pixels) along which ``data`` passes ``level``. Only the joining of pieces is a loop."""
+    pieces, at = crossings(data, level)
+    ends: dict[int, list[int]] = {}
+    for a, b in pieces.tolist():
+        ends.setdefault(a, []).append(b)
+        ends.setdefault(b, []).append(a)
+    # Open lines first, from their ends; what is left are rings.
     lines = []
-    while ends:
-        start = next((e for e, n in ends.items() if len(n) == 1), None) or next(iter(ends))
+    for start in [e for e, n in ends.items() if len(n) == 1] + list(ends):
+        if not ends[start]:
+            continue
         line, here = [start], start
-        while ends.get(here):
+        while ends[here]:
             to = ends[here].pop()
             ends[to].remove(here)
-            if not ends[here]:
-                del ends[here]
             line.append(to)
             here = to
-        ends.pop(here, None) if not ends.get(here) else None
-        if len(line) > 1:
-            lines.append([at(e) for e in line])
+        lines.append(at[line])
     return lines
 
 
 PROCESSES = {"clip": clip, "contours": contours, "convert": convert, "hillshade": R.hillshade, "passthrough": lambda df: df}
 
 
+# The same by name in a configuration: plans over a zoom's tiles, of the raster input and, if one is given, the features ``clip``.
+
+def _given(todo: DataFrame, given: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    rasters = {k: v for k, v in given.items() if k != "clip"}
+    if len(rasters) != 1:
+        raise ValueError(f"one raster input is needed, not {sorted(rasters)}")
+    return next(iter(rasters.values())).join(todo.select(*R.TILE).distinct(), R.TILE, "left_semi"), given.get("clip")
+
+
+def _through(todo: DataFrame, given: dict[str, DataFrame], pyramid: Pyramid, zoom: int, change: Callable[[DataFrame], DataFrame], clip_buffer: float = 0.0) -> DataFrame:
+    """Pixels with a changed value, packed again; clipped first to the features. Sizes keep the pixel buffer."""
+    packed, features = _given(todo, given)
+    size = pyramid.tile_size * pyramid.metatiling + 2 * pyramid.pixelbuffer
+    long = R.to_long(packed.select(*R.TILE, "band", "height", "width", "pixels"))
+    if features is not None:
+        own, b = pyramid.without_pixelbuffer(), pyramid.pixelbuffer
+        shifted = long.withColumns({"py": F.col("py") - b, "px": F.col("px") - b})
+        cut = clip(shifted, features.select("geom"), own, zoom, size - 2 * b, buffer=clip_buffer * own.pixel_size(zoom))
+        long = cut.withColumns({"py": F.col("py") + b, "px": F.col("px") + b})
+    return R.to_packed(change(long), size, size).withColumn("tags", F.lit("{}"))
+
+
+def _hillshade(todo, given, pyramid, zoom, azimuth=315.0, altitude=45.0, z=1.0, scale=1.0, clip_pixelbuffer=0):
+    px = pyramid.pixel_size(zoom)
+    change = lambda df: R.hillshade(df, px, -px, azimuth, altitude, z, scale).withColumn("value", F.col("shade").cast("double")).drop("shade")
+    return _through(todo, given, pyramid, zoom, change, clip_pixelbuffer)
+
+
+def _convert(todo, given, pyramid, zoom, scale_ratio=1.0, scale_offset=0.0, clip_to_output_dtype=None, clip_pixelbuffer=0):
+    return _through(todo, given, pyramid, zoom, lambda df: convert(df, scale_ratio, scale_offset, clip_to_output_dtype).withColumn("value", F.col("value").cast("double")), clip_pixelbuffer)
+
+
+def _clip(todo, given, pyramid, zoom, clip_pixelbuffer=0):
+    if "clip" not in given:
+        raise ValueError("clip needs the input clip")
+    return _through(todo, given, pyramid, zoom, lambda df: df, clip_pixelbuffer)
+
+
+def _passthrough(todo, given, pyramid, zoom):
+    return _through(todo, given, pyramid, zoom, lambda df: df)
+
+
+def _contours(todo, given, pyramid, zoom, interval=100.0, base=0.0, field_name="elev", clip_pixelbuffer=0):
+    packed = _through(todo, given, pyramid, zoom, lambda df: df, clip_pixelbuffer)
+    lines = contours(packed, pyramid, interval, base, field_name)
+    return lines.withColumn("properties", F.create_map(F.lit(field_name), F.col(field_name).cast("string"))).select(*R.TILE, "geom", "properties")
+
+
+BUILT_IN = {"hillshade": _hillshade, "convert": _convert, "clip": _clip, "passthrough": _passthrough, "contours": _contours}
+for _f in BUILT_IN.values():
+    _f.plan = True
+
+
 def processes() -> dict[str, str]:
     """Names of the built-in processes and the first line of what they do."""
     return {k: (inspect.getdoc(v) or "rows as they are").splitlines()[0] for k, v in PROCESSES.items()}

@@ -9,7 +9,7 @@ from gridloom.functions import bounds as B
 from gridloom.functions import geometry as G
 from gridloom.functions.bounds import Bounds
 from gridloom.functions.pyramid import Pyramid
-from gridloom.functions.raster import PIXEL
+from gridloom.functions.raster import PIXEL, pixel_centre
 from gridloom.operators.tiles import KEYS, cells, meets
 
 
@@ -28,9 +28,16 @@ def exploded(features: DataFrame, geom: str = "geom") -> DataFrame:
     return features.withColumn(geom, F.explode(G.singleparts(F.col(geom))))
 
 
+def resolved(features: DataFrame, geom: str = "geom") -> DataFrame:
+    """GeometryCollections as a row for each of their parts; all else as it is."""
+    is_collection = F.col(f"{geom}.type") == "GeometryCollection"
+    parts = F.when(is_collection, G.singleparts(F.col(geom))).otherwise(F.array(F.col(geom)))
+    return features.withColumn(geom, F.explode(parts))
+
+
 def of_type(features: DataFrame, name: str, geom: str = "geom", single: bool = True, multi: bool = True, allow_multi: bool = True) -> DataFrame:
     """Features of a type; GeometryCollections are resolved into their parts first, and without ``allow_multi`` all are."""
-    whole = features.where(F.col(f"{geom}.type") != "GeometryCollection") if allow_multi else exploded(features.where(F.col(f"{geom}.type") != "GeometryCollection"), geom)
+    whole = resolved(features, geom) if allow_multi else exploded(features, geom)
     return whole.where(G.is_type(F.col(geom), name, single, multi))
 
 
@@ -44,13 +51,25 @@ def checked_types(features: DataFrame, allowed: list[str], geom: str = "geom") -
     return features.where(F.assert_true(ok, F.concat(F.lit("geometry type not allowed: "), F.coalesce(F.col(f"{geom}.type"), F.lit("none")))).isNull())
 
 
-def reprojected(features: DataFrame, src: str, dst: str, geom: str = "geom") -> DataFrame:
+def reprojected(features: DataFrame, src: str, dst: str, geom: str = "geom", clip_to_crs: bool = True, segmentize: float | None = None, error_on_clip: bool = False) -> DataFrame:
+    """Geometries in another projection: repaired, given points at least every ``segmentize`` units, cut to where the
+    projection is used (in degrees), and what is left by formulas. With ``error_on_clip`` a cut fails the query."""
     if src == dst:
         return features
-    f = {("EPSG:4326", "EPSG:3857"): G.to_mercator, ("EPSG:3857", "EPSG:4326"): G.to_latlon}.get((src, dst))
-    if f is None:
-        raise ValueError(f"no expression from {src} to {dst}")
-    return features.withColumn(geom, f(F.col(geom)))
+    df = features.withColumn(geom, G.repaired(F.col(geom)))
+    if segmentize:
+        df = df.withColumn(geom, G.segmentized(F.col(geom), segmentize))
+    if src != "EPSG:4326":
+        df = df.withColumn(geom, G.to_latlon(F.col(geom), src))
+    if clip_to_crs and dst != "EPSG:4326":
+        b = Bounds(*G.crs_bounds(dst))
+        own = G.box(F.col(geom))
+        inside = F.col(geom).isNull() | ((own["left"] >= b.left) & (own["right"] <= b.right) & (own["bottom"] >= b.bottom) & (own["top"] <= b.top))
+        if error_on_clip:
+            return df.where(F.assert_true(inside, F.lit("a geometry lies outside the bounds of the projection")).isNull()).withColumn(geom, G.map_points(F.col(geom), lambda x, y: G.reproject_xy(x, y, "EPSG:4326", dst)))
+        cut = df.where(~inside).withColumn(geom, G.clipped(F.col(geom), B.literal(b)))
+        df = df.where(inside).unionByName(cut)
+    return df.withColumn(geom, G.map_points(F.col(geom), lambda x, y: G.reproject_xy(x, y, "EPSG:4326", dst)))
 
 
 def read_tiles(features: DataFrame, pyramid: Pyramid, zoom: int, tiles: DataFrame | None = None, target_type: str | None = None, clip: bool = True, geom: str = "geom") -> DataFrame:
@@ -82,17 +101,46 @@ def cell_union(features: DataFrame, pyramid: Pyramid, zoom: int, geom: str = "ge
     return tiles.groupBy("zoom", "row").agg(F.array_sort(F.collect_set("col")).alias("cols"))
 
 
-def mask(pixels: DataFrame, features: DataFrame, pyramid: Pyramid, zoom: int, invert: bool = False, x: str = "x", y: str = "y", keys: list[str] = PIXEL) -> DataFrame:
-    """``pixels`` with ``masked``: true outside all features (inside with ``invert``); by cells, then the pixel centre's ray.
+def mask(pixels: DataFrame, features: DataFrame, pyramid: Pyramid, zoom: int, invert: bool = False, x: str = "x", y: str = "y", keys: list[str] = PIXEL, all_touched: bool = False, buffer: float = 0.0, pixel: float = 0.0) -> DataFrame:
+    """``pixels`` with ``masked``: true outside all features (inside with ``invert``), by the pixel's centre.
 
-    ``keys`` tell a pixel; only they and the centre go through the join with the features.
+    ``buffer``: features reach that much further; ``all_touched``: a pixel (``pixel`` wide) that a feature meets counts as
+    inside. Pixels meet the features of their cell in one join, and the hits come back as one aggregation by
+    pixel: only a pixel's keys and centre are shuffled besides its own row.
     """
     p = pixels.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumns({"_row": pyramid.row_of(F.col("_y"), zoom), "_col": pyramid.col_of(F.col("_x"), zoom)})
-    f = cells(boxed(features.select(F.col("geom"))), pyramid, zoom).select("geom", F.col("row").alias("_row"), F.col("col").alias("_col"))
-    hits = p.join(f, ["_row", "_col"]).where(G.holds(F.col("geom"), F.col("_x"), F.col("_y"))).select(*keys).distinct().withColumn("_in", F.lit(True))
+    reach = buffer + (pixel / 2 if all_touched else 0.0)
+    f = boxed(features.select(F.col("geom")))
+    f = f.withColumn("box", B.column(F.col("box.left") - reach, F.col("box.bottom") - reach, F.col("box.right") + reach, F.col("box.top") + reach)) if reach else f
+    f = cells(f, pyramid, zoom).select("geom", F.col("row").alias("_row"), F.col("col").alias("_col"))
+    cx, cy, g = F.col("_x"), F.col("_y"), F.col("geom")
+    hit = G.holds(g, cx, cy)
+    if all_touched:
+        hit = hit | meets(g, B.column(cx - pixel / 2, cy - pixel / 2, cx + pixel / 2, cy + pixel / 2))
+    if buffer:
+        hit = hit | (G.distance(g, cx, cy) <= buffer)
+    hits = p.join(f, ["_row", "_col"]).where(hit).select(*keys).distinct().withColumn("_in", F.lit(True))
     inside = F.coalesce("_in", F.lit(False))
     return pixels.join(hits, keys, "left").withColumn("masked", inside if invert else ~inside).drop("_in")
 
 
+def presence(features: DataFrame, pyramid: Pyramid, zoom: int, width: int, all_touched: bool = False, buffer: float = 0.0) -> DataFrame:
+    """zoom, row, col, py, px of the pixels that features cover: rasterized by the cells that each feature reaches into."""
+    step = pyramid.tile_span(zoom) / width
+    reached = boxed(features.select("geom"))
+    grown = B.column(F.col("box.left") - buffer, F.col("box.bottom") - buffer, F.col("box.right") + buffer, F.col("box.top") + buffer)
+    df = cells(reached.withColumn("box", grown), pyramid, zoom)
+    n = F.sequence(F.lit(0), F.lit(width - 1))
+    df = df.withColumn("py", F.explode(n)).withColumn("px", F.explode(n))
+    cx, cy = pixel_centre(pyramid, zoom, width)
+    g = F.col("geom")
+    hit = G.holds(g, cx, cy)
+    if all_touched:
+        hit = hit | meets(g, B.column(cx - step / 2, cy - step / 2, cx + step / 2, cy + step / 2))
+    if buffer:
+        hit = hit | (G.distance(g, cx, cy) <= buffer)
+    return df.where(hit).select(*KEYS, "py", "px").distinct()
+
+
 def length_stats(features: DataFrame, geom: str = "geom") -> list[Column]:
     return [G.area(F.col(geom)).alias("area"), G.length(F.col(geom)).alias("length")]

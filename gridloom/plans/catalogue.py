@@ -81,6 +81,13 @@ def polygons(spark: SparkSession, sf: str) -> DataFrame:
     return boxes(spark, sf).withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("rings"), F.array(F.lit(0)).alias("part")))
 
 
+def rectangles(spark: SparkSession, sf: str) -> DataFrame:
+    """Each nation's box as a polygon."""
+    b = F.col("box")
+    ring = F.array(*[F.struct(b[x].alias("x"), b[y].alias("y")) for x, y in (("left", "bottom"), ("right", "bottom"), ("right", "top"), ("left", "top"), ("left", "bottom"))])
+    return boxes(spark, sf).withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("rings"), F.array(F.lit(0)).alias("part")))
+
+
 # Tiles
 
 @register("tile_assign_geodetic", f"WITH {TILED} SELECT 5 AS zoom, row, col, count(*) AS n, min(value) AS low, max(value) AS high FROM tiled GROUP BY row, col")
@@ -105,12 +112,7 @@ def _(spark, sf):
     return tiles.parents(tiles.assign(points(spark, sf), GEO, Z).select("zoom", "row", "col").distinct())
 
 
-@register("tile_children", f"WITH {TILED}, t AS (SELECT DISTINCT row, col FROM tiled WHERE row < 4) SELECT 6 AS zoom, CAST(row * 2 + i AS INT) AS row, CAST(col * 2 + j AS INT) AS col FROM t, range(2) a(i), range(2) b(j)")
-def _(spark, sf):
-    return tiles.children(tiles.assign(points(spark, sf), GEO, Z).where("row < 4").select("zoom", "row", "col").distinct(), GEO)
-
-
-@register("tile_children_all", f"WITH {TILED}, t AS (SELECT DISTINCT row, col FROM tiled) SELECT 6 AS zoom, CAST(row * 2 + i AS INT) AS row, CAST(col * 2 + j AS INT) AS col FROM t, range(2) a(i), range(2) b(j)")
+@register("tile_children", f"WITH {TILED}, t AS (SELECT DISTINCT row, col FROM tiled) SELECT 6 AS zoom, CAST(row * 2 + i AS INT) AS row, CAST(col * 2 + j AS INT) AS col FROM t, range(2) a(i), range(2) b(j)")
 def _(spark, sf):
     return tiles.children(tiles.assign(points(spark, sf), GEO, Z).select("zoom", "row", "col").distinct(), GEO)
 
@@ -235,20 +237,15 @@ def _(spark, sf):
     return vector.read_tiles(df, GEO, Z).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(G.area(F.col("geom"))), 6).alias("area"))
 
 
-@register("cell_union", f"WITH {BOX} SELECT CAST(r0 AS INT) AS row, count(DISTINCT c) AS n FROM box, range(32) a(r0), range(64) b(c) WHERE l < 180 AND c * 5.625e0 - 180 < least(r, 180) AND (c + 1) * 5.625e0 - 180 > l AND 90 - r0 * 5.625e0 > b AND 90 - (r0 + 1) * 5.625e0 < t AND n_nationkey < 5 GROUP BY r0")
+@register("cell_union", f"WITH {BOX} SELECT CAST(r0 AS INT) AS row, count(DISTINCT c) AS n FROM box, range(32) a(r0), range(64) b(c) WHERE l < 180 AND c * 5.625e0 - 180 < least(r, 180) AND (c + 1) * 5.625e0 - 180 > l AND 90 - r0 * 5.625e0 > b AND 90 - (r0 + 1) * 5.625e0 < t GROUP BY r0")
 def _(spark, sf):
-    return _cell_union(spark, sf, "n_nationkey < 5")
+    return _cell_union(spark, sf)
 
 
-@register("cell_union_all", f"WITH {BOX} SELECT CAST(r0 AS INT) AS row, count(DISTINCT c) AS n FROM box, range(32) a(r0), range(64) b(c) WHERE l < 180 AND c * 5.625e0 - 180 < least(r, 180) AND (c + 1) * 5.625e0 - 180 > l AND 90 - r0 * 5.625e0 > b AND 90 - (r0 + 1) * 5.625e0 < t GROUP BY r0")
-def _(spark, sf):
-    return _cell_union(spark, sf, "true")
-
-
-def _cell_union(spark: SparkSession, sf: str, where: str) -> DataFrame:
+def _cell_union(spark: SparkSession, sf: str) -> DataFrame:
     b = F.col("box")
     ring = F.array(*[F.struct(b[x].alias("x"), b[y].alias("y")) for x, y in (("left", "bottom"), ("right", "bottom"), ("right", "top"), ("left", "top"), ("left", "bottom"))])
-    df = boxes(spark, sf).where(where).withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("rings"), F.array(F.lit(0)).alias("part"))).drop("box")
+    df = boxes(spark, sf).withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("rings"), F.array(F.lit(0)).alias("part"))).drop("box")
     return vector.cell_union(df, GEO, Z).select("row", F.size("cols").cast("long").alias("n"))
 
 
@@ -279,13 +276,7 @@ def _(spark, sf):
     return joins.dependencies(t.unionByName(tiles.parents(t))).where("zoom = 4").select("row", "col", "c_row", "c_col")
 
 
-@register("merge_new", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
-def _(spark, sf):
-    c = read(spark, sf, "customer").select("c_custkey", "c_name")
-    return joins.merged(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name")), "c_custkey")
-
-
-@register("merge_new_all", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 3 <> 0")
+@register("merge_new", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 3 <> 0")
 def _(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", "c_name")
     return joins.merged(c.where("c_custkey % 3 = 0"), c.withColumn("c_name", F.upper("c_name")), "c_custkey")
@@ -332,7 +323,9 @@ def _(spark, sf):
 
 @register("overview_pyramid", f"WITH {PIX} SELECT CAST(z AS INT) AS zoom, CAST((row * 8 + py) // (1 << (5 - z)) // 8 AS INT) AS row, CAST((col * 8 + px) // (1 << (5 - z)) // 8 AS INT) AS col, CAST((row * 8 + py) // (1 << (5 - z)) % 8 AS INT) AS py, CAST((col * 8 + px) // (1 << (5 - z)) % 8 AS INT) AS px, max(value) AS value FROM pix, range(0, 5) t(z) GROUP BY ALL")
 def _(spark, sf):
-    return R.overviews(pixels(spark, sf), WIDTH, Z, 0, "max").drop("band")
+    from gridloom.sources.paths import stored
+
+    return R.overviews(pixels(spark, sf), WIDTH, Z, 0, "max", lambda df: stored(df, "level")).drop("band")
 
 
 @register("resample_coarser", f"WITH {PIX} SELECT 2 AS zoom, CAST((row * 8 + py) // 64 AS INT) AS row, CAST((col * 8 + px) // 64 AS INT) AS col, CAST((row * 8 + py) // 8 % 8 AS INT) AS py, CAST((col * 8 + px) // 8 % 8 AS INT) AS px, sum(value) / count(value) AS value FROM pix GROUP BY ALL")
@@ -397,10 +390,19 @@ def _(spark, sf):
     return m.select("row", "col", F.explode(R.contour_levels(F.col("lo"), F.col("hi"), 50, 10)).alias("level"))
 
 
-@register("contours")
+_SQUARES = f"""WITH {PIX}, t AS (SELECT row, col, list(value ORDER BY py * 8 + px) AS v FROM pix GROUP BY row, col),
+s AS (SELECT row, col, k * 100e0 AS elev, v[y * 8 + x + 1] AS a, v[y * 8 + x + 2] AS b, v[y * 8 + x + 10] AS c, v[y * 8 + x + 9] AS d FROM t, range(7) p(y), range(7) q(x), range(-100, 101) r(k) WHERE k * 100 >= list_min(v) AND k * 100 <= list_max(v)),
+e AS (SELECT *, (a >= elev) <> (b >= elev) AS top, (b >= elev) <> (c >= elev) AS rig, (c >= elev) <> (d >= elev) AS bot, (a >= elev) <> (d >= elev) AS lef,
+  CASE WHEN a <> b THEN (elev - a) / (b - a) END AS tx, CASE WHEN b <> c THEN (elev - b) / (c - b) END AS ry, CASE WHEN c <> d THEN (elev - d) / (c - d) END AS bx, CASE WHEN a <> d THEN (elev - a) / (d - a) END AS ly FROM s),
+n AS (SELECT *, top::INT + rig::INT + bot::INT + lef::INT AS n, sqrt((1 - tx) * (1 - tx) + ry * ry) AS tr, sqrt((tx - bx) * (tx - bx) + 1) AS tb, sqrt(tx * tx + ly * ly) AS tl, sqrt((1 - bx) * (1 - bx) + (1 - ry) * (1 - ry)) AS rb, sqrt((ry - ly) * (ry - ly) + 1) AS rl, sqrt(bx * bx + (1 - ly) * (1 - ly)) AS bl FROM e),
+m AS (SELECT row, col, elev, n, CASE WHEN n = 4 THEN CASE WHEN ((a + b + c + d) / 4 >= elev) = (a >= elev) THEN tr + bl ELSE tl + rb END WHEN n = 2 THEN CASE WHEN top AND rig THEN tr WHEN top AND bot THEN tb WHEN top AND lef THEN tl WHEN rig AND bot THEN rb WHEN rig AND lef THEN rl ELSE bl END END AS l FROM n WHERE n > 0)
+SELECT row, col, elev, CAST(sum(n // 2) AS BIGINT) AS pieces, round(sum(l) * 0.703125e0, 6) AS length FROM m GROUP BY row, col, elev"""
+
+
+@register("contours", _SQUARES)
 def _(spark, sf):
     lines = process.contours(packed(spark, sf), GEO, 100.0)
-    return lines.groupBy("row", "col", "elev").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(G.length(F.col("geom"))), 6).alias("length"))
+    return lines.groupBy("row", "col", "elev").agg(F.sum(F.size(G.points(F.col("geom"))) - 1).alias("pieces"), F.round(F.sum(G.length(F.col("geom"))), 6).alias("length"))
 
 
 @register("png_rgba", f"WITH {PIX} SELECT row, col, py, px, CASE WHEN value > 0 THEN CAST(value AS INT) % 256 ELSE 0 END AS gray, CASE WHEN value > 0 THEN 255 ELSE 0 END AS alpha FROM pix")
@@ -434,25 +436,87 @@ def _(spark, sf):
     return e.groupBy("label", F.expr("i DIV 8").cast("int").alias("py"), F.expr("i % 8").cast("int").alias("px")).agg(F.avg("value").alias("value"))
 
 
-@register("cross_projection")
+def _mercator(size: int) -> str:
+    """Pixels of Web Mercator's zoom 3 in tiles of ``size``, with their place in degrees."""
+    step = f"40075016.68557849e0 / {8 * size}e0"
+    return f"g AS (SELECT CAST(y // {size} AS INT) AS row, CAST(x // {size} AS INT) AS col, CAST(y % {size} AS INT) AS py, CAST(x % {size} AS INT) AS px, degrees((-20037508.342789244e0 + (x + 0.5e0) * {step}) / 6378137e0) AS lon, degrees(2e0 * atan(exp((20037508.342789244e0 - (y + 0.5e0) * {step}) / 6378137e0)) - pi() / 2e0) AS lat FROM range({8 * size}) a(y), range({8 * size}) b(x))"
+
+
+@register("cross_projection", f"WITH {PIX}, {_mercator(64)} SELECT g.row, g.col, g.py, g.px, value FROM g JOIN pix ON pix.row * 8 + pix.py = CAST(floor((90e0 - lat) / 0.703125e0) AS INT) AND pix.col * 8 + pix.px = CAST(floor((lon + 180e0) / 0.703125e0) AS INT)")
+def _(spark, sf):
+    return R.warp(pixels(spark, sf), GEO, Pyramid(MERCATOR, tile_size=64), Z, 3, WIDTH, 64).select("row", "col", "py", "px", "value")
+
+
+@register("warp_bilinear", f"WITH {PIX}, {_mercator(32)}, f AS (SELECT row, col, py, px, (90e0 - lat) / 0.703125e0 - 0.5e0 AS fy, (lon + 180e0) / 0.703125e0 - 0.5e0 AS fx FROM g), o AS (SELECT f.row, f.col, f.py, f.px, value, (1e0 - abs(floor(fy) + i - fy)) * (1e0 - abs(floor(fx) + j - fx)) AS k FROM f, range(2) a(i), range(2) b(j), pix WHERE pix.row * 8 + pix.py = CAST(floor(fy) + i AS INT) AND pix.col * 8 + pix.px = (CAST(floor(fx) + j AS INT) + 512) % 512) SELECT row, col, py, px, round(sum(value * k) / sum(k), 5) AS value FROM o WHERE k > 0 GROUP BY row, col, py, px")
+def _(spark, sf):
+    return R.warp(pixels(spark, sf), GEO, Pyramid(MERCATOR, tile_size=32), Z, 3, WIDTH, 32, "bilinear").select("row", "col", "py", "px", F.round("value", 5).alias("value"))
+
+
+@register("warp_average", f"WITH {PIX}, c AS (SELECT value, (col * 8 + px + 0.5e0) * 0.703125e0 - 180e0 AS lon, 90e0 - (row * 8 + py + 0.5e0) * 0.703125e0 AS lat FROM pix), d AS (SELECT value, CAST(floor((20037508.342789244e0 - ln(tan(pi() / 4e0 + radians(lat) / 2e0)) * 6378137e0) / (40075016.68557849e0 / 256e0)) AS INT) AS y, CAST(floor((radians(lon) * 6378137e0 + 20037508.342789244e0) / (40075016.68557849e0 / 256e0)) AS INT) AS x FROM c) SELECT CAST(y // 32 AS INT) AS row, CAST(x // 32 AS INT) AS col, CAST(y % 32 AS INT) AS py, CAST(x % 32 AS INT) AS px, round(sum(value) / count(value), 6) AS value FROM d WHERE y BETWEEN 0 AND 255 GROUP BY y, x")
 def _(spark, sf):
-    dst = Pyramid(MERCATOR, tile_size=WIDTH)
-    t = tiles.tiles_from_bounds(spark, dst, Bounds(-20037508, 0, 20037508, 15000000), [3])
-    return R.cross_projection(pixels(spark, sf), GEO, dst, Z, 3, WIDTH, t).select("row", "col", "py", "px", "value")
+    return R.warp(pixels(spark, sf), GEO, Pyramid(MERCATOR, tile_size=32), Z, 3, WIDTH, 32, "average").select("row", "col", "py", "px", F.round("value", 6).alias("value"))
+
+
+def _kernel(method: str, d: str) -> str:
+    return f"greatest(0e0, 1e0 - {d})" if method == "bilinear" else f"(CASE WHEN {d} < 1 THEN 1.5e0 * {d} * {d} * {d} - 2.5e0 * {d} * {d} + 1 WHEN {d} < 2 THEN -0.5e0 * {d} * {d} * {d} + 2.5e0 * {d} * {d} - 4e0 * {d} + 2 ELSE 0e0 END)"
 
 
-@register("user_process_arrow", f"WITH {PIX} SELECT row, col, py, px, value * 2 + 1 AS value FROM pix WHERE row < 4")
+def _coarser(method: str, reach: int) -> str:
+    k = f"{_kernel(method, 'dy')} * {_kernel(method, 'dx')}"
+    return (
+        f"WITH {PIX}, o AS (SELECT value, y // 2 + i AS ty, x // 2 + j AS tx, abs((y + 0.5e0) / 2 - (y // 2 + i + 0.5e0)) AS dy, abs((x + 0.5e0) / 2 - (x // 2 + j + 0.5e0)) AS dx FROM (SELECT value, row * 8 + py AS y, col * 8 + px AS x FROM pix), range(-{reach}, {reach + 1}) a(i), range(-{reach}, {reach + 1}) b(j)), "
+        f"w AS (SELECT ty, (tx + 256) % 256 AS tx, value, {k} AS k FROM o WHERE ty BETWEEN 0 AND 127), own AS (SELECT DISTINCT row // 2 AS r, col // 2 AS c FROM pix) "
+        "SELECT CAST(ty // 8 AS INT) AS row, CAST(tx // 8 AS INT) AS col, CAST(ty % 8 AS INT) AS py, CAST(tx % 8 AS INT) AS px, round(sum(value * k) / sum(k), 5) AS value FROM w JOIN own ON r = ty // 8 AND c = tx // 8 WHERE k <> 0 GROUP BY ty, tx"
+    )
+
+
+@register("overview_bilinear", _coarser("bilinear", 1))
 def _(spark, sf):
-    return _user_process(spark, sf, "row < 4")
+    return R.coarser(pixels(spark, sf), GEO, Z, WIDTH, "bilinear").select("row", "col", "py", "px", F.round("value", 5).alias("value"))
 
 
-@register("user_process_arrow_all", f"WITH {PIX} SELECT row, col, py, px, value * 2 + 1 AS value FROM pix")
+@register("overview_cubic", _coarser("cubic", 2))
 def _(spark, sf):
-    return _user_process(spark, sf, "true")
+    return R.coarser(pixels(spark, sf), GEO, Z, WIDTH, "cubic").select("row", "col", "py", "px", F.round("value", 5).alias("value"))
+
+
+_CENTRES = "c AS (SELECT *, col * 5.625e0 - 180e0 + (px + 0.5e0) * 0.703125e0 AS x, 90e0 - row * 5.625e0 - (py + 0.5e0) * 0.703125e0 AS y FROM pix)"
 
 
-def _user_process(spark: SparkSession, sf: str, where: str) -> DataFrame:
-    t = packed(spark, sf).select("zoom", "row", "col").where(where)
+@register("mask_buffer", f"WITH {PIX}, {BOX}, {_CENTRES} SELECT row, col, py, px, NOT EXISTS (SELECT 1 FROM box WHERE (greatest(l - x, 0, x - r) ** 2 + greatest(b - y, 0, y - t) ** 2) <= 2.1e0 * 2.1e0) AS masked FROM c")
+def _(spark, sf):
+    x, y = R.pixel_centre(GEO, Z, WIDTH)
+    return vector.mask(pixels(spark, sf).withColumns({"x": x, "y": y}), rectangles(spark, sf), GEO, Z, buffer=2.1).select("row", "col", "py", "px", "masked")
+
+
+@register("mask_all_touched", f"WITH {PIX}, {BOX}, {_CENTRES} SELECT row, col, py, px, NOT EXISTS (SELECT 1 FROM box WHERE l <= x + 0.3515625e0 AND r >= x - 0.3515625e0 AND b <= y + 0.3515625e0 AND t >= y - 0.3515625e0) AS masked FROM c")
+def _(spark, sf):
+    x, y = R.pixel_centre(GEO, Z, WIDTH)
+    return vector.mask(pixels(spark, sf).withColumns({"x": x, "y": y}), rectangles(spark, sf), GEO, Z, all_touched=True, pixel=GEO.pixel_size(Z)).select("row", "col", "py", "px", "masked")
+
+
+@register("rasterize_presence", f"WITH {BOX} SELECT CAST(y // 8 AS INT) AS row, CAST(x // 8 AS INT) AS col, count(*) AS n FROM range(256) p(y), range(512) q(x) WHERE EXISTS (SELECT 1 FROM box WHERE (x + 0.5e0) * 0.703125e0 - 180e0 > l AND (x + 0.5e0) * 0.703125e0 - 180e0 < r AND 90e0 - (y + 0.5e0) * 0.703125e0 > b AND 90e0 - (y + 0.5e0) * 0.703125e0 < t) GROUP BY 1, 2")
+def _(spark, sf):
+    return vector.presence(rectangles(spark, sf), GEO, Z, WIDTH).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("collection_parts", f"WITH {BOX} SELECT n_nationkey, 750e0 AS area FROM box")
+def _(spark, sf):
+    """Each nation's rectangle and its lower left corner as one collection, of which the polygon is asked for."""
+    b = F.col("box")
+    corner = F.array(F.struct(b["left"].alias("x"), b["bottom"].alias("y")))
+    g = rectangles(spark, sf)
+    both = F.struct(F.lit("GeometryCollection").alias("type"), F.concat(F.array(corner), F.col("geom.rings")).alias("rings"), F.array(F.lit(0), F.lit(1)).alias("part"))
+    return vector.of_type(g.withColumn("geom", both), "Polygon").select("n_nationkey", F.round(G.area(F.col("geom")), 6).alias("area"))
+
+
+@register("user_process_arrow", f"WITH {PIX} SELECT row, col, py, px, value * 2 + 1 AS value FROM pix")
+def _(spark, sf):
+    return _user_process(spark, sf)
+
+
+def _user_process(spark: SparkSession, sf: str) -> DataFrame:
+    t = packed(spark, sf).select("zoom", "row", "col")
     out = process.run(t, {"dem": packed(spark, sf)}, _double_plus, GEO, {"add": 1})
     return R.to_long(out.drop("tags")).select("row", "col", "py", "px", "value")
 
@@ -461,18 +525,13 @@ def _double_plus(dem, add):
     return dem.read() * 2 + add
 
 
-@register("user_process_vector", f"WITH {TILED} SELECT row, col, count(*) AS n FROM tiled WHERE row < 6 GROUP BY row, col")
+@register("user_process_vector", f"WITH {TILED} SELECT row, col, count(*) AS n FROM tiled GROUP BY row, col")
 def _(spark, sf):
-    return _points_by_tile(spark, sf, "row < 6")
+    return _points_by_tile(spark, sf)
 
 
-@register("user_process_vector_all", f"WITH {TILED} SELECT row, col, count(*) AS n FROM tiled GROUP BY row, col")
-def _(spark, sf):
-    return _points_by_tile(spark, sf, "true")
-
-
-def _points_by_tile(spark: SparkSession, sf: str, where: str) -> DataFrame:
-    p = tiles.assign(points(spark, sf), GEO, Z).where(where)
+def _points_by_tile(spark: SparkSession, sf: str) -> DataFrame:
+    p = tiles.assign(points(spark, sf), GEO, Z)
     ring = F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))))
     f = p.select("zoom", "row", "col", F.struct(F.lit("Point").alias("type"), ring.alias("rings"), F.array(F.lit(0)).alias("part")).alias("geom"), F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("properties"))
     out = process.run(f.select("zoom", "row", "col"), {"inp": f}, _same, GEO, vector=True, vector_inputs=["inp"])
@@ -536,17 +595,12 @@ def _(spark, sf):
 
 # Sources and sinks: what is written is read back
 
-@register("tile_directory_round_trip", f"WITH {PIX} SELECT row, col, py, px, value FROM pix WHERE row BETWEEN 2 AND 5")
+@register("tile_directory_round_trip", f"WITH {PIX} SELECT row, col, py, px, value FROM pix")
 def _(spark, sf):
-    return _round_trip(spark, sf, "row BETWEEN 2 AND 5")
+    return _round_trip(spark, sf)
 
 
-@register("tile_directory_round_trip_all", f"WITH {PIX} SELECT row, col, py, px, value FROM pix")
-def _(spark, sf):
-    return _round_trip(spark, sf, "true")
-
-
-def _round_trip(spark: SparkSession, sf: str, where: str) -> DataFrame:
+def _round_trip(spark: SparkSession, sf: str) -> DataFrame:
     from gridloom.sources.paths import work_path
     from gridloom.sources.readers import TileDirectory
     from gridloom.sources.sinks import write_metadata, write_tiles
@@ -554,52 +608,164 @@ def _round_trip(spark: SparkSession, sf: str, where: str) -> DataFrame:
     path = work_path(spark, "tiles")
     write_metadata(spark, path, GEO, {"format": "Parquet"})
     write_tiles(packed(spark, sf), path)
-    return R.to_long(TileDirectory(spark, path).read(Z).where(where)).select("row", "col", "py", "px", "value")
+    return R.to_long(TileDirectory(spark, path).read(Z)).select("row", "col", "py", "px", "value")
 
 
-@register("geotiff_round_trip", f"WITH {PIX} SELECT zoom, row, col, band, py, px, value FROM pix WHERE row < 3")
+@register("geotiff_round_trip", f"WITH {PIX} SELECT zoom, row, col, band, py, px, value FROM pix")
 def _(spark, sf):
-    return _geotiffs(spark, sf, "row < 3")
+    return _geotiffs(spark, sf)
 
 
-@register("geotiff_round_trip_all", f"WITH {PIX} SELECT zoom, row, col, band, py, px, value FROM pix")
-def _(spark, sf):
-    return _geotiffs(spark, sf, "true")
-
-
-def _geotiffs(spark: SparkSession, sf: str, where: str) -> DataFrame:
+def _geotiffs(spark: SparkSession, sf: str) -> DataFrame:
     from gridloom.sources.paths import work_path
     from gridloom.sources.readers import raster_files, raster_to_tiles
     from gridloom.sources.sinks import write_images
 
     path = work_path(spark, "geotiff")
-    write_images(packed(spark, sf).where(where), path, GEO, "GTiff", nodata=-9999.0).write.format("noop").mode("overwrite").save()
+    write_images(packed(spark, sf), path, GEO, "GTiff", nodata=-9999.0).write.format("noop").mode("overwrite").save()
     return raster_to_tiles(raster_files(spark, f"{path}/*/*/*.tif"), GEO, Z)
 
 
-@register("geojson_round_trip", f"WITH {BOX} SELECT n_nationkey, l, b, 600e0 AS area FROM box WHERE l < 120 AND b < 65")
+@register("geojson_round_trip", f"WITH {BOX} SELECT n_nationkey, l, b, 600e0 AS area FROM box")
 def _(spark, sf):
     from gridloom.sources.paths import work_path
     from gridloom.sources.readers import vector_files
     from gridloom.sources.sinks import write_geojson_tiles
 
     path = work_path(spark, "geojson")
-    f = polygons(spark, sf).where("box.left < 120 AND box.bottom < 65").withColumns({"zoom": F.lit(0), "row": F.lit(0), "col": F.col("n_nationkey") % 2, "properties": F.create_map(F.lit("id"), F.col("n_nationkey").cast("string"))})
-    write_geojson_tiles(f, path)
+    f = polygons(spark, sf).withColumns({"zoom": F.lit(0), "row": F.lit(0), "col": F.col("n_nationkey") % 2, "properties": F.create_map(F.lit("id"), F.col("n_nationkey").cast("string"))})
+    write_geojson_tiles(f, path).write.format("noop").mode("overwrite").save()
     back = vector_files(spark, f"{path}/*/*/*")
     box = G.box(F.col("geom"))
     return back.select(F.col("properties")["id"].cast("int").alias("n_nationkey"), box["left"].alias("l"), box["bottom"].alias("b"), F.round(G.area(F.col("geom")), 6).alias("area"))
 
 
-@register("process_run", f"WITH {PIX}, base AS (SELECT row, col, py, px, value * 2 + 1 AS value FROM pix WHERE row < 4 AND col < 16) SELECT 5 AS zoom, row, col, py, px, value FROM base UNION ALL SELECT 4, CAST(row // 2 AS INT), CAST(col // 2 AS INT), CAST((row % 2 * 8 + py) // 2 AS INT), CAST((col % 2 * 8 + px) // 2 AS INT), max(value) FROM base GROUP BY ALL")
+def _config(spark: SparkSession, sf: str, name: str, **more) -> dict:
+    from gridloom.sources.paths import work_path
+
+    output = {"format": "Parquet", "path": work_path(spark, name), **more.pop("output", {})}
+    return {"pyramid": {"grid": "geodetic", "tile_size": WIDTH}, "zoom_levels": {"min": 4, "max": 5}, "process": _double_plus, "process_parameters": {"add": 1}, "input": {"dem": packed(spark, sf)}, "output": output, **more}
+
+
+def _run(spark: SparkSession, config: dict) -> DataFrame:
+    """The pixels of a run's output, read back from where it was written."""
+    from gridloom.plans.engine import open_process
+
+    p = open_process(spark, config, "overwrite")
+    p.execute()
+    return R.to_long(p.read().select("zoom", "row", "col", "band", "height", "width", "pixels")).where("value IS NOT NULL")
+
+
+_BASE = f"WITH {PIX}, base AS (SELECT row, col, py, px, value * 2 + 1 AS value FROM pix) SELECT 5 AS zoom, row, col, py, px, value FROM base UNION ALL SELECT 4, CAST(row // 2 AS INT), CAST(col // 2 AS INT), CAST((row % 2 * 8 + py) // 2 AS INT), CAST((col % 2 * 8 + px) // 2 AS INT), max(value) FROM base GROUP BY ALL"
+
+
+@register("process_run", _BASE)
+def _(spark, sf):
+    return _run(spark, _config(spark, sf, "run", baselevels={"min": 5, "max": 5, "lower": "max"})).select("zoom", "row", "col", "py", "px", "value")
+
+
+@register("run_geotiff", _BASE)
+def _(spark, sf):
+    config = _config(spark, sf, "run", baselevels={"min": 5, "max": 5, "lower": "max"}, output={"format": "GTiff", "dtype": "float64", "nodata": -99999})
+    return _run(spark, config).select("zoom", "row", "col", "py", "px", "value")
+
+
+def _gray(dem):
+    return abs(dem.read()) % 256
+
+
+@register("run_png", f"WITH {PIX} SELECT row, col, py, px, CAST(b AS INT) AS band, CAST(abs(value) % 256 AS DOUBLE) AS value FROM pix, range(1, 4) t(b)")
+def _(spark, sf):
+    config = _config(spark, sf, "run", zoom_levels=5, process=_gray, process_parameters={}, output={"format": "PNG"})
+    return _run(spark, config).select("row", "col", "py", "px", "band", "value")
+
+
+@register("run_hillshade", _FOCAL.replace("/ 8e0", "/ 5.625e0").replace("/ -8e0", "/ -5.625e0") + ", s AS (SELECT row, col, py, px, 1.5707963267948966e0 - atan(sqrt(x * x + y * y)) AS sl, atan2(x, y) AS asp FROM g), h AS (SELECT row, col, py, px, trunc(greatest(least(255e0 * (sin(radians(45e0)) * sin(sl) + cos(radians(45e0)) * cos(sl) * cos(radians(225e0) - asp)), 255e0), 1e0)) AS shade FROM s) SELECT a.row, a.col, a.py, a.px, CAST(h.shade AS DOUBLE) AS value FROM (SELECT DISTINCT row, col, py, px FROM pix) a JOIN h ON h.row = a.row AND h.col = a.col AND h.py = least(greatest(a.py, 1), 6) AND h.px = least(greatest(a.px, 1), 6) WHERE h.shade < 255")
+def _(spark, sf):
+    """The built-in process by name, as black under the shade's alpha: a full shade has none and is no data."""
+    config = _config(spark, sf, "run", zoom_levels=5, process="hillshade", process_parameters={}, output={"format": "PNG_hillshade"})
+    return _run(spark, config).select("row", "col", "py", "px", "value")
+
+
+@register("run_geojson", f"WITH {TILED} SELECT row, col, count(*) AS n, round(sum(lon), 6) AS x FROM tiled GROUP BY row, col")
 def _(spark, sf):
     from gridloom.plans.engine import open_process
-    from gridloom.sources.paths import work_path
 
-    config = {
-        "pyramid": {"grid": "geodetic", "tile_size": WIDTH}, "zoom_levels": {"min": 4, "max": 5}, "baselevels": {"min": 5, "max": 5, "lower": "max"}, "bounds": [-180, 67.5, -90, 90],
-        "process": _double_plus, "process_parameters": {"add": 1}, "input": {"dem": packed(spark, sf)}, "output": {"format": "Parquet", "path": work_path(spark, "run")},
-    }
+    ring = F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))))
+    f = tiles.assign(points(spark, sf), GEO, Z).select("zoom", "row", "col", F.struct(F.lit("Point").alias("type"), ring.alias("rings"), F.array(F.lit(0)).alias("part")).alias("geom"), F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("properties"))
+    config = _config(spark, sf, "run", zoom_levels=5, process=_same, process_parameters={}, input={"inp": f}, output={"format": "GeoJSON", "schema": {"geometry": "Point"}})
     p = open_process(spark, config, "overwrite")
     p.execute()
-    return R.to_long(p.read().select("zoom", "row", "col", "band", "height", "width", "pixels")).where("value IS NOT NULL").select("zoom", "row", "col", "py", "px", "value")
+    return p.read(5).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("geom.rings")[0][0]["x"]), 6).alias("x"))
+
+
+@register("run_higher_bilinear", f"WITH {PIX}, o AS (SELECT value * 2 + 1 AS value, row * 8 + py AS y, col * 8 + px AS x FROM pix), f AS (SELECT value, 2 * y + i AS ty, (2 * x + j + 1024) % 1024 AS tx, greatest(0e0, 1e0 - abs((i + 0.5e0) / 2 - 0.5e0)) * greatest(0e0, 1e0 - abs((j + 0.5e0) / 2 - 0.5e0)) AS k FROM o, range(-1, 3) a(i), range(-1, 3) b(j)), own AS (SELECT DISTINCT row AS r, col AS c FROM pix) SELECT CAST(ty // 8 AS INT) AS row, CAST(tx // 8 AS INT) AS col, CAST(ty % 8 AS INT) AS py, CAST(tx % 8 AS INT) AS px, round(sum(value * k) / sum(k), 5) AS value FROM f JOIN own ON r = ty // 16 AND c = tx // 16 WHERE k <> 0 AND ty >= 0 GROUP BY ty, tx")
+def _(spark, sf):
+    config = _config(spark, sf, "run", zoom_levels={"min": 5, "max": 6}, baselevels={"min": 5, "max": 5, "higher": "bilinear"})
+    return _run(spark, config).where("zoom = 6").select("row", "col", "py", "px", F.round("value", 5).alias("value"))
+
+
+@register("tile_directory_fallback", f"WITH {PIX}, n AS (SELECT * FROM pix WHERE label % 2 = 0), low AS (SELECT row // 2 AS row, col // 2 AS col, (row % 2 * 8 + py) // 2 AS py, (col % 2 * 8 + px) // 2 AS px, max(value) AS value FROM pix GROUP BY ALL), k AS (SELECT row * 16 + py * 2 + i AS y, col * 16 + px * 2 + j AS x, value FROM low, range(2) a(i), range(2) b(j)), u AS (SELECT CAST(y // 8 AS INT) AS row, CAST(x // 8 AS INT) AS col, CAST(y % 8 AS INT) AS py, CAST(x % 8 AS INT) AS px, value FROM k) SELECT row, col, py, px, value FROM n UNION ALL SELECT u.row, u.col, u.py, u.px, u.value FROM u ANTI JOIN n ON u.row = n.row AND u.col = n.col WHERE u.value IS NOT NULL")
+def _(spark, sf):
+    """Tiles with an even label at zoom 5, the others from zoom 4."""
+    from gridloom.sources.paths import work_path
+    from gridloom.sources.readers import TileDirectory
+    from gridloom.sources.sinks import write_metadata, write_tiles
+
+    path = work_path(spark, "tiles")
+    write_metadata(spark, path, GEO, {"format": "Parquet"})
+    even = read(spark, sf, "embeddings").where("label % 2 = 0").select(F.expr("CAST(vec_id DIV 64 AS INT)").alias("row"), F.expr("CAST(vec_id % 64 AS INT)").alias("col"))
+    write_tiles(packed(spark, sf).join(even, ["row", "col"], "left_semi"), path)
+    low = R.to_packed(R.overview(pixels(spark, sf), WIDTH, "max"), WIDTH, WIDTH)
+    write_tiles(low.select(packed(spark, sf).columns), path)
+    return R.to_long(TileDirectory(spark, path).read(Z, fallback=True)).where("value IS NOT NULL").select("row", "col", "py", "px", "value")
+
+
+@register("tile_directory_other_pyramid", f"WITH {PIX}, g AS (SELECT row * 8 + py AS y, col * 8 + px AS x, value FROM pix) SELECT CAST(y // 16 AS INT) AS row, CAST(x // 16 AS INT) AS col, CAST(y % 16 AS INT) AS py, CAST(x % 16 AS INT) AS px, value FROM g")
+def _(spark, sf):
+    """The directory's tiles of 8 pixels read as tiles of 16: its zoom 5 has the pixels of the other's zoom 4."""
+    from gridloom.sources.paths import work_path
+    from gridloom.sources.readers import TileDirectory
+    from gridloom.sources.sinks import write_metadata, write_tiles
+
+    path = work_path(spark, "tiles")
+    write_metadata(spark, path, GEO, {"format": "Parquet"})
+    write_tiles(packed(spark, sf), path)
+    return TileDirectory(spark, path).read_for(Pyramid(GEODETIC, tile_size=16), 4).select("row", "col", "py", "px", "value")
+
+
+@register("single_geotiff", f"WITH {PIX} SELECT y, x, value FROM (SELECT row * 8 + py AS y, col * 8 + px AS x, value FROM pix)")
+def _(spark, sf):
+    """All tiles as one file, read back."""
+    from gridloom.sources.paths import work_path
+    from gridloom.sources.readers import raster_files
+    from gridloom.sources.sinks import write_single
+
+    path = f"{work_path(spark, 'single')}/all.tif"
+    write_single(packed(spark, sf), path, GEO, Z, nodata=-99999.0)
+    return R.to_long(raster_files(spark, path)).where("value IS NOT NULL").select(F.col("py").cast("int").alias("y"), F.col("px").cast("int").alias("x"), "value").withColumns({"y": F.col("y").cast("int"), "x": F.col("x").cast("int")})
+
+
+@register("tiles_removed", f"WITH {PIX} SELECT DISTINCT row, col FROM pix WHERE NOT (row < 16 AND col < 32)")
+def _(spark, sf):
+    """What is left when the tiles of the upper left quarter are removed."""
+    from gridloom.functions.bounds import Bounds
+    from gridloom.plans.commands import existing_within, rm
+    from gridloom.sources.paths import work_path
+    from gridloom.sources.sinks import write_metadata, write_tiles
+
+    path = work_path(spark, "tiles")
+    write_metadata(spark, path, GEO, {"format": "Parquet"})
+    write_tiles(packed(spark, sf), path)
+    rm(spark, path, Z, Bounds(-179.9, 0.1, -0.1, 89.9))
+    return existing_within(spark, path).select("row", "col")
+
+
+@register("reproject_utm", f"WITH {PTS} SELECT event_id, round(lon, 5) AS lon, round(lat, 5) AS lat FROM pts WHERE lon BETWEEN 12 AND 18 AND lat BETWEEN 0 AND 84")
+def _(spark, sf):
+    """Points of a UTM zone (the filter is the zone) there and back."""
+    p = points(spark, sf).where("lon BETWEEN 12 AND 18 AND lat BETWEEN 0 AND 84")
+    x, y = G.reproject_xy(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:32633")
+    there = p.select("event_id", x.alias("x"), y.alias("y"))
+    lon, lat = G.reproject_xy(F.col("x"), F.col("y"), "EPSG:32633", "EPSG:4326")
+    return there.select("event_id", F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))

@@ -14,9 +14,9 @@ from gridloom.operators import joins, tiles
 from gridloom.operators.process import PROCESSES, convert as convert_pixels, processes
 from gridloom.operators.tiles import KEYS
 from gridloom.plans.engine import Process, open_process
+from gridloom.sources import formats, readers, sinks
 from gridloom.sources import index as index_files
-from gridloom.sources import readers, sinks
-from gridloom.sources.paths import Location, listing, pretty_bytes
+from gridloom.sources.paths import Location, listing, pretty_bytes, stored
 
 
 def execute(spark: SparkSession, config, mode: str = "continue", zoom=None, bounds=None, tile: tuple[int, int, int] | None = None, retries: int = 0, observers=None) -> DataFrame | None:
@@ -39,8 +39,9 @@ def execute(spark: SparkSession, config, mode: str = "continue", zoom=None, boun
 
 def existing_within(spark: SparkSession, path: str, zoom=None, bounds: Bounds | None = None) -> DataFrame:
     """Tiles of a directory by zooms and bounds; tiles that only touch the bounds are left out."""
-    pyramid = Pyramid.of(sinks.load_metadata(spark, path)["pyramid"])
-    there = sinks.existing_tiles(spark, path)
+    meta = sinks.load_metadata(spark, path)
+    pyramid = Pyramid.of(meta["pyramid"])
+    there = formats.of(meta["driver"]).existing(spark, path)
     if zoom is not None:
         there = there.where(F.col("zoom").isin([zoom] if isinstance(zoom, int) else list(zoom)))
     if bounds is not None:
@@ -55,42 +56,47 @@ def cp(spark: SparkSession, source: str, target: str, zoom=None, bounds=None, ov
     to = Location(target, spark) / sinks.METADATA
     if to.exists():
         sinks.compare_metadata(to.read_json(), meta)
-    want = joins.to_copy(existing_within(spark, source, zoom, bounds), sinks.existing_tiles(spark, target), KEYS, overwrite).persist()
+    form = formats.of(meta["driver"])
+    want = stored(joins.to_copy(existing_within(spark, source, zoom, bounds), form.existing(spark, target), KEYS, overwrite), "copy")
     n = want.count()
     if n:
-        sinks.write_tiles(sinks.tile_rows(spark, source).join(want, KEYS, "left_semi"), target, "overwrite" if overwrite else "append")
+        rows = form.rows(spark, source, meta["driver"], None).join(want, KEYS, "left_semi")
+        form.write(rows, target, Pyramid.of(meta["pyramid"]), meta["driver"], want)
     to.write_json(meta)
-    want.unpersist()
     return n
 
 
 def rm(spark: SparkSession, path: str, zoom=None, bounds=None) -> int:
-    """Remove tiles; rows of the zooms concerned that hold none any more go whole. Returns how many tiles."""
-    gone = existing_within(spark, path, zoom, bounds).persist()
+    """Remove tiles; returns how many.
+
+    Tiles that are files are deleted by tasks. Of Parquet rows, those that keep some tiles are written anew and
+    replace the old ones when they are whole; only then the rows that keep none are deleted, by tasks too. A run
+    that fails leaves tiles that should be gone, and loses none.
+    """
+    meta = sinks.load_metadata(spark, path)
+    gone = stored(existing_within(spark, path, zoom, bounds), "gone")
     n = gone.count()
-    if n:
-        rows = [(r["zoom"], r["row"]) for r in gone.select("zoom", "row").distinct().collect()]
+    form = formats.of(meta["driver"])
+    if n and form.name != "Parquet":
+        formats.remove(spark, path, gone, form.extension)
+    elif n:
         touched = gone.select("zoom", "row").distinct()
         kept = sinks.tile_rows(spark, path).join(touched, ["zoom", "row"], "left_semi").join(gone, KEYS, "left_anti")
-        stage = f"{path.rstrip('/')}/.kept"
-        kept.write.mode("overwrite").partitionBy("zoom", "row").parquet(stage)
-        for z, r in rows:
-            (Location(path, spark) / f"zoom={z}" / f"row={r}").rm(True)
-        left = spark.read.schema(kept.schema).parquet(stage)
-        if not left.isEmpty():
-            sinks.write_tiles(left, path, "append")
-        Location(stage, spark).rm(True)
-    gone.unpersist()
+        kept = stored(kept, "kept")
+        if not kept.isEmpty():
+            sinks.write_tiles(kept, path)
+        sinks.removed_rows(touched.join(kept.select("zoom", "row").distinct(), ["zoom", "row"], "left_anti"), path).write.format("noop").mode("overwrite").save()
     return n
 
 
 def index(spark: SparkSession, path: str, out: str, kind: str = "GeoJSON", zoom: int | None = None, base: str = "") -> None:
     """An index of a tile directory's zooms: GeoJSON, TXT or VRT."""
-    pyramid = Pyramid.of(sinks.load_metadata(spark, path)["pyramid"])
-    there = sinks.existing_tiles(spark, path)
+    meta = sinks.load_metadata(spark, path)
+    pyramid, form = Pyramid.of(meta["pyramid"]), formats.of(meta["driver"])
+    there = form.existing(spark, path)
     levels = [zoom] if zoom is not None else sorted(r["zoom"] for r in there.select("zoom").distinct().collect())
     for z in levels:
-        one = index_files.zoom_index(there.where(F.col("zoom") == z), base=base or path, pyramid=pyramid, zoom=z)
+        one = index_files.zoom_index(there.where(F.col("zoom") == z), extension=form.extension, base=base or path, pyramid=pyramid, zoom=z)
         if kind == "GeoJSON":
             index_files.write_geojson(one, f"{out}/{z}.geojson")
         elif kind == "TXT":
@@ -151,8 +157,9 @@ def convert(spark: SparkSession, source: str, target: str, pyramid: Pyramid | st
         for z in levels:
             one = read_tiles(df, pyramid, z)
             out = one if out is None else out.unionByName(one)
-        sinks.write_geojson_tiles(out, target)
-        return None
+        sinks.write_metadata(spark, target, pyramid, {"format": output_format})
+        formats.of({"format": output_format}).write(out, target, pyramid, {"format": output_format}, None)
+        return open_process(spark, target, "readonly")
     size = pyramid.tile_size * pyramid.metatiling
     long = convert_pixels(readers.raster_to_tiles(df, pyramid, max(levels), method), ratio, offset, dtype).withColumn("value", F.col("value").cast("double"))
     if bounds is not None:
@@ -161,11 +168,14 @@ def convert(spark: SparkSession, source: str, target: str, pyramid: Pyramid | st
     if single:
         sinks.write_single(pack(long), target, pyramid, max(levels), dtype or "float64")
         return None
-    sinks.write_metadata(spark, target, pyramid, {"format": output_format, "dtype": dtype or "float64", "bands": 1})
-    sinks.write_tiles(pack(long), target)
+    options = {"format": output_format, "dtype": dtype or "float64", "bands": 1}
+    form = formats.of(options)
+    sinks.write_metadata(spark, target, pyramid, options)
+    form.write(pack(long), target, pyramid, options, None)
     for z in range(max(levels) - 1, min(levels) - 1, -1):
-        above = R.to_long(sinks.tile_rows(spark, target).where(F.col("zoom") == z + 1).select(*KEYS, "band", "height", "width", "pixels"))
-        sinks.write_tiles(pack(R.overview(above, size, method)), target)
+        above = R.to_long(form.rows(spark, target, options, z + 1).select(*KEYS, "band", "height", "width", "pixels"))
+        lower = R.coarser(above, pyramid, z + 1, size, method) if method in ("bilinear", "cubic") else R.overview(above, size, method)
+        form.write(pack(lower), target, pyramid, options, None)
     return open_process(spark, target, "readonly")
 
 
@@ -176,8 +186,8 @@ def create(folder: str, name: str = "process") -> None:
     (at / f"{name}.py").write_text('def execute(inp):\n    """Returns its input."""\n    return "empty" if inp.is_empty() else inp.read()\n')
 
 
-def formats() -> dict[str, list[str]]:
-    return {"input": readers.available_formats("r"), "output": readers.available_formats("w")}
+def available_formats() -> dict[str, list[str]]:
+    return {"input": readers.available_formats("r"), "output": sorted(formats.FORMATS)}
 
 
 def sync_size(spark: SparkSession, path: str) -> str:
@@ -198,4 +208,4 @@ def serve_tile(p: Process, zoom: int, row: int, col: int) -> bytes | None:
     return write_png(sinks.to_rgba(data))
 
 
-__all__ = ["PROCESSES", "convert", "cp", "create", "execute", "formats", "index", "processes", "rm", "serve_tile"]
+__all__ = ["PROCESSES", "convert", "cp", "create", "available_formats", "execute", "index", "processes", "rm", "serve_tile"]

@@ -17,7 +17,7 @@ from gridloom.functions import geometry as G
 from gridloom.functions.bounds import Bounds, clip
 from gridloom.functions.pyramid import Pyramid
 from gridloom.functions.zooms import ZoomLevels
-from gridloom.operators.process import check_parameters, load_function
+from gridloom.operators.process import BUILT_IN, check_parameters, load_function
 from gridloom.sources.paths import expand_env
 
 
@@ -37,7 +37,7 @@ KEYS = {"pyramid", "output", "zoom_levels", "process", "baselevels", "input", "c
 #: Keys of older configurations and where they went.
 MOVED = {"process_file": "process", "process_zoom": "zoom_levels", "process_zooms": "zoom_levels", "process_bounds": "bounds", "input_files": "input"}
 #: Resampling below and above the base levels.
-LOWER = ("nearest", "first", "last", "mode", "average", "bilinear", "min", "max", "sum", "med", "q1", "q3", "rms")
+LOWER = ("nearest", "first", "last", "mode", "average", "bilinear", "cubic", "min", "max", "sum", "med", "q1", "q3", "rms")
 HIGHER = ("nearest", "first", "last", "mode", "average", "bilinear", "cubic", "min", "max", "med", "q1", "q3")
 _ZOOM = re.compile(r"^\s*zoom\s*(<=|>=|=|<|>)\s*(\d+)\s*$")
 
@@ -98,6 +98,8 @@ class ProcessConfig:
         if self.process is None:
             raise ConfigError("the configuration has no process")
         source = self.process
+        if isinstance(source, str) and source in BUILT_IN:
+            return BUILT_IN[source]
         if isinstance(source, str) and source.endswith(".py") and not os.path.isabs(source) and self.config_dir:
             source = os.path.join(self.config_dir, source)
         return load_function(source)
@@ -135,6 +137,8 @@ class ProcessConfig:
     def check(self) -> None:
         """That the function's parameters and inputs fit at every zoom."""
         for zoom in self.processing_levels():
+            if getattr(self.function, "plan", False):
+                continue
             check_parameters(self.function, [*{k.split("/")[0] for k in self.input_at(zoom)}, *self.params_at(zoom)])
 
     def raw_at(self, zoom: int) -> dict[str, Any]:

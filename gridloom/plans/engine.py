@@ -21,7 +21,8 @@ from gridloom.functions.zooms import ZoomLevels
 from gridloom.operators import joins, process, tiles
 from gridloom.operators.tiles import KEYS
 from gridloom.plans.config import Mode, ProcessConfig, zooms_from
-from gridloom.sources import readers, sinks, stac
+from gridloom.sources import formats, readers, sinks, stac
+from gridloom.sources.paths import stored
 from gridloom.streaming.incremental import touched
 
 Observer = Callable[[str, dict], None]
@@ -115,8 +116,16 @@ class Process:
         for zoom in self.zooms.descending():
             yield tiles.batches(self.process_tiles(zoom), by)
 
+    @cached_property
+    def format(self) -> formats.Format:
+        """The output's format; one that isn't written is an error."""
+        return formats.of(self.config.output)
+
     def existing(self) -> DataFrame:
-        return sinks.existing_tiles(self.spark, self.config.output["path"])
+        return self.format.existing(self.spark, self.config.output["path"])
+
+    def write(self, df: DataFrame, replaced: DataFrame | None = None) -> None:
+        self.format.write(df, self.config.output["path"], self.config.output_pyramid, self.config.output, replaced)
 
     def skip_tiles(self) -> DataFrame:
         """zoom, row, col, skip, message: which tiles a run in continue mode has no need of."""
@@ -181,17 +190,19 @@ class Process:
         """The function's output at a zoom of the base levels, cut to output tiles."""
         todo = self.process_tiles(zoom) if only is None else only
         given, vectors = self.inputs(zoom)
-        vector = "schema" in self.config.output
-        if callable(self.config.process) and getattr(self.config.process, "plan", False):
-            return self.config.process(todo, given, self.pyramid, zoom, **self.config.params_at(zoom))
-        out = process.run(todo, given, self.config.function, self.pyramid, self.config.params_at(zoom), vector, vectors)
+        vector = self.format.data_type == "vector"
+        function = self.config.function
+        if getattr(function, "plan", False):
+            out = function(todo, given, self.pyramid, zoom, **self.config.params_at(zoom))
+        else:
+            out = process.run(todo, given, function, self.pyramid, self.config.params_at(zoom), vector, vectors)
         return out if vector else sinks.split_to_output(out, self.pyramid, self.config.output_pyramid, zoom)
 
     def execute(self) -> DataFrame | None:
         """Run: base levels, then overviews. In memory mode the base output is returned, else it is written."""
         if self.mode is Mode.READONLY:
             raise PermissionError("the process is opened for reading only")
-        vector, path = "schema" in self.config.output, self.config.output["path"]
+        vector, path = self.format.data_type == "vector", self.config.output["path"]
         if self.mode is Mode.MEMORY:
             out = None
             for zoom in sorted(self.base_levels, reverse=True):
@@ -206,50 +217,73 @@ class Process:
             if self.mode is Mode.CONTINUE:
                 done = self.skip_tiles().where("skip").select(*KEYS)
                 todo = todo.join(done, KEYS, "left_anti")
-            todo = todo.persist()
+            todo = stored(todo, "todo")
             if todo.isEmpty():
                 continue
             out_keys = tiles.cross_pyramid(todo, self.pyramid.without_pixelbuffer(), self.config.output_pyramid).select("zoom", F.col("o_row").alias("row"), F.col("o_col").alias("col"))
-            sinks.write_tiles(self.compute(zoom, todo), path, replaced=out_keys)
+            self.write(self.compute(zoom, todo), out_keys)
             redo = out_keys if redo is None else redo.unionByName(out_keys)
             self._tell("zoom", zoom=zoom)
         if not vector and self.config.baselevels:
-            self._resampled(redo, path)
+            self._resampled(redo)
         if self.config.output.get("stac"):
             self.write_stac()
+        for boxes in self._boxes.values():
+            if boxes is not None:
+                boxes.unpersist()
+        self._boxes.clear()
         self._tell("done")
         return None
 
-    def _resampled(self, redo: DataFrame | None, path: str) -> None:
-        """Zooms outside the base levels: lower ones from the zoom above, only tiles over what was made or that are missing."""
+    def _long(self, zoom: int) -> DataFrame:
+        return R.to_long(self.read(zoom).select(*KEYS, "band", "height", "width", "pixels"))
+
+    def _resampled(self, redo: DataFrame | None) -> None:
+        """Zooms outside the base levels, each from the zoom beside it: only tiles over or under what was made, or that are missing."""
         if not self.base_levels:
             return
-        base, size = self.config.baselevels, self.config.output_pyramid.tile_size * self.config.output_pyramid.metatiling
-        read = lambda z: R.to_long(sinks.tile_rows(self.spark, path).where(F.col("zoom") == z).select(*KEYS, "band", "height", "width", "pixels"))
+        base, pyramid = self.config.baselevels, self.config.output_pyramid.without_pixelbuffer()
+        size = pyramid.tile_size * pyramid.metatiling
         low, high = min(self.base_levels), max(self.base_levels)
         pack = lambda df: R.to_packed(df, size, size).withColumn("tags", F.lit("{}"))
+        above = stored(touched(redo, min(self.zooms)), "above") if redo is not None else None
         for zoom in range(low - 1, min(self.zooms) - 1, -1):
-            there = self.existing()
-            want = tiles.parents(there.where(F.col("zoom") == zoom + 1))
-            again = joins.missing(want, there.where(F.col("zoom") == zoom))
-            if redo is not None:
-                again = again.unionByName(touched(redo, min(self.zooms)).where(F.col("zoom") == zoom)).distinct()
-            keys = again.persist()
-            again = keys.select(F.col("row").alias("_row"), F.col("col").alias("_col"))
-            children = read(zoom + 1).withColumns({"_row": F.expr("row DIV 2").cast("int"), "_col": F.expr("col DIV 2").cast("int")})
-            sinks.write_tiles(pack(R.overview(children.join(again, ["_row", "_col"], "left_semi").drop("_row", "_col"), size, base["lower"])), path, replaced=keys)
+            there = stored(self.existing().where(F.col("zoom").isin(zoom, zoom + 1)), "there")
+            again = joins.missing(tiles.parents(there.where(F.col("zoom") == zoom + 1)), there.where(F.col("zoom") == zoom))
+            if above is not None:
+                again = again.unionByName(above.where(F.col("zoom") == zoom)).distinct()
+            keys = stored(again, "again")
+            if keys.isEmpty():
+                continue
+            kernel = base["lower"] in ("bilinear", "cubic")
+            # A kernel also looks at the children of neighbours.
+            near = tiles.neighbors(keys, pyramid).select(F.col("n_row").alias("_row"), F.col("n_col").alias("_col")).unionByName(keys.select(F.col("row").alias("_row"), F.col("col").alias("_col"))).distinct() if kernel else keys.select(F.col("row").alias("_row"), F.col("col").alias("_col"))
+            children = self._long(zoom + 1).withColumns({"_row": F.expr("row DIV 2").cast("int"), "_col": F.expr("col DIV 2").cast("int")}).join(near, ["_row", "_col"], "left_semi").drop("_row", "_col")
+            made = R.coarser(children, pyramid, zoom + 1, size, base["lower"]).join(keys, KEYS, "left_semi") if kernel else R.overview(children, size, base["lower"])
+            self.write(pack(made), keys)
             self._tell("overview", zoom=zoom)
+        below = redo.where(F.col("zoom") == high).select(*KEYS) if redo is not None else None
         for zoom in range(high + 1, max(self.zooms) + 1):
-            sinks.write_tiles(pack(R.resample(read(zoom - 1), self.config.output_pyramid, zoom - 1, zoom, size, base["higher"])), path)
+            there = stored(self.existing().where(F.col("zoom").isin(zoom, zoom - 1)), "there")
+            want = tiles.children(there.where(F.col("zoom") == zoom - 1), pyramid).select(*KEYS)
+            again = joins.missing(want, there.where(F.col("zoom") == zoom))
+            if below is not None:
+                below = tiles.children(below, pyramid).select(*KEYS)
+                again = again.unionByName(below).distinct()
+            keys = stored(again, "again")
+            if keys.isEmpty():
+                continue
+            parents = tiles.parents(keys)
+            near = tiles.neighbors(parents, pyramid).select(F.col("zoom"), F.col("n_row").alias("row"), F.col("n_col").alias("col")).unionByName(parents).distinct() if base["higher"] in ("bilinear", "cubic") else parents
+            made = R.resample(self._long(zoom - 1).join(near, KEYS, "left_semi"), pyramid, zoom - 1, zoom, size, base["higher"]).join(keys, KEYS, "left_semi")
+            self.write(pack(made), keys)
             self._tell("overview", zoom=zoom)
 
     # Reading
 
     def read(self, zoom: int | None = None, tile: Tile | None = None) -> DataFrame:
         """Output rows, pruned to a zoom or a tile."""
-        df = sinks.tile_rows(self.spark, self.config.output["path"])
-        if zoom is not None:
-            df = df.where(F.col("zoom") == zoom)
+        df = self.format.rows(self.spark, self.config.output["path"], self.config.output, tile.zoom if tile is not None else zoom)
         if tile is not None:
             df = df.where((F.col("zoom") == tile.zoom) & (F.col("row") == tile.row) & (F.col("col") == tile.col))
         return df
@@ -267,12 +301,12 @@ class Process:
         if self.mode is Mode.MEMORY:
             return out.where((F.col("row") == tile.row) & (F.col("col") == tile.col))
         keys = tiles.cross_pyramid(own, self.pyramid.without_pixelbuffer(), self.config.output_pyramid).select("zoom", F.col("o_row").alias("row"), F.col("o_col").alias("col"))
-        sinks.write_tiles(out, self.config.output["path"], replaced=keys)
+        self.write(out, keys)
         return self.read(tile=tile)
 
     def write_stac(self) -> dict:
         path, own = self.config.output["path"], dict(self.config.output.get("stac") or {})
-        item = stac.item(own.get("id", path.rstrip("/").rpartition("/")[2]), self.existing(), self.config.output_pyramid, path, metadata=own.get("properties"), bands=own.get("eo:bands"))
+        item = stac.item(own.get("id", path.rstrip("/").rpartition("/")[2]), self.existing(), self.config.output_pyramid, path, self.format.extension, metadata=own.get("properties"), bands=own.get("eo:bands"))
         at = sinks.Location(path, self.spark) / f"{item['id']}.json"
         if at.exists():
             item = stac.updated(at.read_json(), item)
@@ -284,7 +318,7 @@ def open_process(spark: SparkSession, source, mode: str = "continue", zoom=None,
     """A process from a configuration or its file, or a tile directory (for reading only)."""
     if isinstance(source, str) and not source.endswith((".yml", ".yaml")):
         found = sinks.load_metadata(spark, source)
-        zooms = sorted(r["zoom"] for r in sinks.existing_tiles(spark, source).select("zoom").distinct().collect())
+        zooms = readers.TileDirectory(spark, source).zooms()
         config = ProcessConfig(Pyramid.of(found["pyramid"]), {**found["driver"], "path": source}, ZoomLevels.of(zooms or 0))
         return Process(spark, config, Mode.READONLY, config.zoom_levels, None, observers or [])
     config = source if isinstance(source, ProcessConfig) else ProcessConfig.parse(source)

@@ -10,7 +10,7 @@ import numpy as np
 from gridloom.functions.pyramid import Affine
 
 #: TIFF's field types (size, format) and tags that are used here.
-TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d")}
+TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SAMPLE_FORMAT, PIXEL_SCALE, TIEPOINT, GEO_KEYS, METADATA, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42112, 42113
 _KIND = {"u": 1, "i": 2, "f": 3}
@@ -21,62 +21,89 @@ def write_geotiff(bands: np.ndarray, affine: Affine, crs: str = "EPSG:4326", nod
     count, height, width = bands.shape
     bands = np.ascontiguousarray(bands).astype(bands.dtype.newbyteorder("<"))
     strips = [zlib.compress(b.tobytes(), 6) for b in bands]
-    epsg = int(crs.rpartition(":")[2])
-    geographic = epsg == 4326
-    keys = [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg]
-    fields: dict[int, tuple[int, list]] = {
+    fields: dict[int, tuple[int, list]] = _georeferenced(affine, crs, nodata) | {
         WIDTH: (4, [width]), HEIGHT: (4, [height]), BITS: (3, [bands.dtype.itemsize * 8] * count), COMPRESSION: (3, [8]), PHOTOMETRIC: (3, [1]),
         STRIPS: (4, [0] * count), SAMPLES: (3, [count]), ROWS: (4, [height]), STRIP_BYTES: (4, [len(s) for s in strips]), PLANAR: (3, [2]), SAMPLE_FORMAT: (3, [_KIND[bands.dtype.kind]] * count),
-        PIXEL_SCALE: (12, [affine.a, -affine.e, 0.0]), TIEPOINT: (12, [0.0, 0.0, 0.0, affine.c, affine.f, 0.0]), GEO_KEYS: (3, keys),
-    }
+    }
     if tags:
         items = "".join(f'<Item name="{k}">{v}</Item>' for k, v in tags.items())
         fields[METADATA] = (2, [f"<GDALMetadata>{items}</GDALMetadata>\0".encode()])
-    if nodata is not None:
-        fields[NODATA] = (2, [f"{nodata:g}\0".encode()])
-    start = 8 + 2 + 12 * len(fields) + 4
-    size = {t: len(v[0]) if k == 2 else TYPES[k][0] * len(v) for t, (k, v) in fields.items()}
-    place, at = {}, start
-    for t in sorted(fields):
-        if size[t] > 4:
-            place[t], at = at, at + size[t] + size[t] % 2
-    offsets = []
-    for s in strips:
-        offsets.append(at)
-        at += len(s)
-    fields[STRIPS] = (4, offsets)
-    head = struct.pack("<2sHIH", b"II", 42, 8, len(fields))
+    head = len(_head(fields, False))
+    offsets = [head + sum(len(x) for x in strips[:i]) for i in range(count)]
+    return _head({**fields, STRIPS: (4, offsets)}, False) + b"".join(strips)
+
+
+def _head(fields: dict[int, tuple[int, list]], big: bool) -> bytes:
+    """A file's start: its header, its tags, and the values that don't fit into these. ``big``: with 64-bit places."""
+    if big:
+        count, entry, inline, code, place_at, end = "<Q", "<HHQ", 8, "<Q", 16, b"\0" * 8
+        head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16)
+    else:
+        count, entry, inline, code, place_at, end = "<H", "<HHI", 4, "<I", 8, b"\0" * 4
+        head = struct.pack("<2sHI", b"II", 42, 8)
+    head += struct.pack(count, len(fields))
+    at = place_at + struct.calcsize(count) + (struct.calcsize(entry) + inline) * len(fields) + len(end)
     extra = b""
-    for t in sorted(fields):
-        kind, values = fields[t]
+    for tag in sorted(fields):
+        kind, values = fields[tag]
         data = values[0] if kind == 2 else struct.pack(f"<{len(values)}{TYPES[kind][1]}", *values)
-        n = len(data) if kind == 2 else len(values)
-        head += struct.pack("<HHI", t, kind, n)
-        if size[t] > 4:
-            head += struct.pack("<I", place[t])
+        head += struct.pack(entry, tag, kind, len(data) if kind == 2 else len(values))
+        if len(data) > inline:
+            head += struct.pack(code, at + len(extra))
             extra += data + b"\0" * (len(data) % 2)
         else:
-            head += data.ljust(4, b"\0")
-    return head + struct.pack("<I", 0) + extra + b"".join(strips)
+            head += data.ljust(inline, b"\0")
+    return head + end + extra
+
+
+def tiled_start(height: int, width: int, tile: int, bands: int, dtype: np.dtype, affine: Affine, crs: str, nodata: float | None, sizes: list[int], places: list[int]) -> bytes:
+    """The start of a file of deflated square tiles, band after band: tile i has ``sizes[i]`` bytes at ``places[i]`` of what follows the start (0 bytes: no data)."""
+    dtype = np.dtype(dtype)
+    big = sum(sizes) + 40 * len(sizes) + 4096 >= 1 << 32
+    wide = 16 if big else 4
+    fields = _georeferenced(affine, crs, nodata) | {
+        WIDTH: (4, [width]), HEIGHT: (4, [height]), BITS: (3, [dtype.itemsize * 8] * bands), COMPRESSION: (3, [8]), PHOTOMETRIC: (3, [1]), SAMPLES: (3, [bands]), PLANAR: (3, [2]),
+        SAMPLE_FORMAT: (3, [_KIND[dtype.kind]] * bands), TILE_WIDTH: (4, [tile]), TILE_HEIGHT: (4, [tile]), TILES: (wide, [0] * len(sizes)), TILE_BYTES: (wide, sizes),
+    }
+    start = len(_head(fields, big))
+    fields[TILES] = (wide, [start + p if n else 0 for p, n in zip(places, sizes)])
+    return _head(fields, big)
+
+
+def _georeferenced(affine: Affine, crs: str, nodata: float | None) -> dict[int, tuple[int, list]]:
+    epsg = int(crs.rpartition(":")[2])
+    geographic = epsg == 4326
+    keys = [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg]
+    out = {PIXEL_SCALE: (12, [affine.a, -affine.e, 0.0]), TIEPOINT: (12, [0.0, 0.0, 0.0, affine.c, affine.f, 0.0]), GEO_KEYS: (3, keys)}
+    return out | ({NODATA: (2, [f"{nodata:g}\0".encode()])} if nodata is not None else {})
 
 
 def geotiff_header(data: bytes) -> dict:
-    """Tags of the first image."""
+    """Tags of the first image, of plain and of 64-bit files."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(f"{order}H", data[2:4])[0] != 42:
+    number = struct.unpack(f"{order}H", data[2:4])[0] if order else 0
+    if number not in (42, 43):
         raise ValueError("not a TIFF file")
-    at = struct.unpack(f"{order}I", data[4:8])[0]
+    big = number == 43
+    count, inline, code = ("Q", 8, "Q") if big else ("H", 4, "I")
+    at = struct.unpack(f"{order}{code}", data[8:16] if big else data[4:8])[0]
     out: dict = {"order": order}
-    for i in range(struct.unpack(f"{order}H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(f"{order}HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
+    n_tags = struct.unpack_from(f"{order}{count}", data, at)[0]
+    at += struct.calcsize(f"{order}{count}")
+    head = struct.calcsize(f"{order}HH{code}")
+    for i in range(n_tags):
+        begin = at + (head + inline) * i
+        tag, kind, n = struct.unpack_from(f"{order}HH{code}", data, begin)
         if kind not in TYPES:
             continue
-        step, code = TYPES[kind]
-        place = at + 10 + 12 * i
-        if step * n > 4:
-            place = struct.unpack(f"{order}I", data[place : place + 4])[0]
+        step, form = TYPES[kind]
+        place = begin + head
+        if step * n > inline:
+            place = struct.unpack_from(f"{order}{code}", data, place)[0]
         raw = data[place : place + step * n]
-        out[tag] = raw.rstrip(b"\0") if kind == 2 else list(struct.unpack(f"{order}{n * len(code)}{code[0]}", raw))
+        if len(raw) < step * n:
+            raise IndexError("the tags lie beyond the bytes at hand")
+        out[tag] = raw.rstrip(b"\0") if kind == 2 else list(struct.unpack(f"{order}{n * len(form)}{form[0]}", raw))
     return out
 
 
@@ -94,8 +121,10 @@ def read_geotiff(data: bytes) -> tuple[np.ndarray, dict]:
     offsets, sizes = (h[TILES], h[TILE_BYTES]) if tiled else (h[STRIPS], h[STRIP_BYTES])
     across, down = -(-width // bw), -(-height // bh)
     inside = 1 if planar == 2 else count
-    out = np.zeros((count, height, width), dtype=dtype)
+    out = np.full((count, height, width), float(h[NODATA]) if h.get(NODATA) else 0, dtype=dtype)
     for k, (o, n) in enumerate(zip(offsets, sizes)):
+        if not n:
+            continue
         raw = data[o : o + n]
         raw = raw if packing == 1 else zlib.decompress(raw)
         plane, k = divmod(k, across * down)

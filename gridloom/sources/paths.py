@@ -201,6 +201,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a `work_path` and read again: it is made once, and no plan that follows has it within."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @lru_cache(1)
 def _own_folder() -> str:
     folder = tempfile.mkdtemp(prefix="gridloom-")

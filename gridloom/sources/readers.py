@@ -3,51 +3,66 @@
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import arrays
 from gridloom.functions import bounds as B
 from gridloom.functions import geometry as G
 from gridloom.functions import raster as R
-from gridloom.functions.pyramid import Pyramid
+from gridloom.functions.pyramid import Pyramid, Tile, matching_zoom
 from gridloom.operators.joins import range_join
 from gridloom.operators.tiles import KEYS
 from gridloom.sources import images
+from gridloom.sources.paths import Location
 
 RASTER = "path string, band int, height int, width int, dtype string, nodata double, crs string, px double, py double, box struct<left:double,bottom:double,right:double,top:double>, pixels array<double>"
 FEATURE = "feature_id long, geom struct<type:string,rings:array<array<struct<x:double,y:double>>>,part:array<int>>, properties map<string,string>"
 
 
-def raster_files(spark: SparkSession, paths: str | list[str], bands: list[int] | None = None) -> DataFrame:
-    """A row for each band of each GeoTIFF or PNG: Spark reads the bytes, so any store will do; NULL where there is no data."""
+def raster_files(spark: SparkSession, paths: str | list[str], bands: list[int] | None = None, skip_missing: bool = False) -> DataFrame:
+    """A row for each band of each GeoTIFF or PNG: Spark reads the bytes, so any store will do; NULL where there is no data.
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for path, content in zip(files["path"], files["content"]):
-                content = bytes(content)
+    ``skip_missing``: of listed paths those that aren't there are left out, else they are an error.
+    """
+    if skip_missing:
+        paths = [p for p in ([paths] if isinstance(paths, str) else paths) if Location(p, spark).exists()]
+        if not paths:
+            return spark.createDataFrame([], RASTER)
+    return decoded(spark.read.format("binaryFile").load(paths), bands)
+
+
+def decoded(files: DataFrame, bands: list[int] | None = None, change: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The rasters in files (path, content); ``change`` makes other bands of a file's own."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if content[:4] == b"\x89PNG":
                     data, meta = images.read_png(content), {"affine": images.Affine(1, 0, 0, 0, -1, 0), "crs": None, "nodata": None, "dtype": "uint8"}
                 else:
                     data, meta = images.read_geotiff(content)
+                data = data if change is None else change(data)
                 a, (n, h, w) = meta["affine"], data.shape
                 box = {"left": a.c, "bottom": a.f + h * a.e, "right": a.c + w * a.a, "top": a.f}
-                rows = []
-                for i in range(n):
-                    if bands and i + 1 not in bands:
-                        continue
-                    v = data[i].astype(float).ravel()
-                    gone = np.isnan(v) if meta["nodata"] is None else (v == meta["nodata"]) | np.isnan(v)
-                    rows.append((path, i + 1, h, w, meta["dtype"], meta["nodata"], meta["crs"], a.a, -a.e, box, [None if g else x for x, g in zip(v.tolist(), gone)]))
-                yield pd.DataFrame(rows, columns=["path", "band", "height", "width", "dtype", "nodata", "crs", "px", "py", "box", "pixels"])
+                own = [i for i in range(n) if not bands or i + 1 in bands]
+                values = data[own].astype(float)
+                if meta["nodata"] is not None:
+                    values[values == meta["nodata"]] = np.nan
+                k = len(own)
+                rows = {"path": [path] * k, "band": [i + 1 for i in own], "height": [h] * k, "width": [w] * k, "dtype": [meta["dtype"]] * k, "nodata": [meta["nodata"]] * k, "crs": [meta["crs"]] * k, "px": [a.a] * k, "py": [-a.e] * k, "box": [box] * k, "pixels": arrays.lists(values)}
+                yield from arrays.table_of(rows, RASTER).to_batches()
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(decode, RASTER)
+    return files.select("path", "content").mapInArrow(decode, RASTER)
 
 
 def raster_to_tiles(rasters: DataFrame, pyramid: Pyramid, zoom: int, method: str = "nearest", order: str = "path") -> DataFrame:
@@ -79,19 +94,54 @@ def raster_to_tiles(rasters: DataFrame, pyramid: Pyramid, zoom: int, method: str
     return R.mosaic(one.withColumnRenamed("_ord", "ord"))
 
 
-def raster_boxes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, crs, box of GeoTIFF files: only headers are decoded."""
+#: Bytes of a file's start in which its header usually is.
+HEAD = 64 << 10
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            rows = []
-            for path, content in zip(files["path"], files["content"]):
-                a, crs, h, w = images.geotiff_place(bytes(content))
-                rows.append((path, crs, {"left": a.c, "bottom": a.f + h * a.e, "right": a.c + w * a.a, "top": a.f}))
-            yield pd.DataFrame(rows, columns=["path", "crs", "box"])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(decode, "path string, crs string, box struct<left:double,bottom:double,right:double,top:double>")
+def raster_boxes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, crs, box of GeoTIFF files: files are listed by Spark, and of each only the start with the header is read (all, if its tags lie further on)."""
+    schema = "path string, crs string, box struct<left:double,bottom:double,right:double,top:double>"
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+    with_hadoop = not _reachable(listed)
+
+    def place(path: str, length: int, content: bytes | None) -> tuple:
+        start = content if content is not None else read_start(path, HEAD)
+        try:
+            a, crs, h, w = images.geotiff_place(start)
+        except (struct.error, IndexError, ValueError, KeyError):
+            a, crs, h, w = images.geotiff_place(read_start(path, length) if content is None else content)
+        return path, crs, {"left": a.c, "bottom": a.f + h * a.e, "right": a.c + w * a.a, "top": a.f}
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column(2).to_pylist() if with_hadoop else [None] * batch.num_rows
+            found = [place(p, n, c) for p, n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), contents)]
+            if found:
+                yield from arrays.table_of(dict(zip(("path", "crs", "box"), map(list, zip(*found)))), schema).to_batches()
+
+    # A store that only Spark reaches: its reader has to bring the bytes.
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", "content") if with_hadoop else listed
+    return files.mapInArrow(decode, schema)
+
+
+def _reachable(listed: DataFrame) -> bool:
+    """Whether pyarrow's file systems reach the files."""
+    row = listed.first()
+    if row is None:
+        return True
+    try:
+        read_start(row["path"], 8)
+        return True
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def read_start(path: str, most: int) -> bytes:
+    from gridloom.sources.sinks import file_system
+
+    fs, at = file_system(path)
+    with fs.open_input_stream(at, compression=None) as stream:
+        return stream.read(most)
 
 
 def footprints(rasters: DataFrame) -> DataFrame:
@@ -100,30 +150,35 @@ def footprints(rasters: DataFrame) -> DataFrame:
 
 def vector_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Features of GeoJSON files, whole documents or a feature in each line."""
+    return decoded_features(spark.read.format("binaryFile").load(paths).select("path", "content")).drop("path")
+
+
+def decoded_features(files: DataFrame) -> DataFrame:
+    """path and the features of GeoJSON files (path, content)."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for content in files["content"]:
+        for some in batches:
+            for path, content in zip(some["path"], some["content"]):
                 text = bytes(content).decode()
                 try:
                     docs = [json.loads(text)]
                 except ValueError:
                     docs = [json.loads(line) for line in text.splitlines() if line.strip()]
                 features = [f for d in docs for f in (d["features"] if d["type"] == "FeatureCollection" else [d])]
-                rows = [(i, G.from_geojson(f.get("geometry")), {k: None if v is None else v if isinstance(v, str) else json.dumps(v) for k, v in (f.get("properties") or {}).items()}) for i, f in enumerate(features)]
-                yield pd.DataFrame(rows, columns=["feature_id", "geom", "properties"])
+                rows = [(path, i, G.from_geojson(f.get("geometry")), {k: None if v is None else v if isinstance(v, str) else json.dumps(v) for k, v in (f.get("properties") or {}).items()}) for i, f in enumerate(features)]
+                yield pd.DataFrame(rows, columns=["path", "feature_id", "geom", "properties"])
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(decode, FEATURE)
+    return files.mapInPandas(decode, f"path string, {FEATURE}")
 
 
 @dataclass
 class TileDirectory:
-    """A directory of tiles with its metadata: partitioned Parquet."""
+    """A directory of tiles with its metadata, in any format that can be read."""
 
     spark: SparkSession
     path: str
 
-    @property
+    @cached_property
     def metadata(self) -> dict:
         from gridloom.sources.sinks import load_metadata
 
@@ -133,26 +188,67 @@ class TileDirectory:
     def pyramid(self) -> Pyramid:
         return Pyramid.of(self.metadata["pyramid"])
 
-    def rows(self) -> DataFrame:
-        from gridloom.sources.sinks import tile_rows
+    def rows(self, zoom: int | None = None) -> DataFrame:
+        from gridloom.sources import formats
+
+        return formats.of(self.metadata["driver"]).rows(self.spark, self.path, self.metadata["driver"], zoom)
+
+    def zooms(self) -> list[int]:
+        from gridloom.sources import formats
 
-        return tile_rows(self.spark, self.path)
+        return sorted(r["zoom"] for r in formats.of(self.metadata["driver"]).existing(self.spark, self.path).select("zoom").distinct().collect())
 
     def read(self, zoom: int, max_zoom: int | None = None, fallback: bool = False) -> DataFrame:
-        """Tiles of a zoom, pruned by partition. ``max_zoom``: coarser tiles stand for what is finer; ``fallback``: tiles
-        that are missing are taken from the nearest coarser zoom that has them (each pixel of the finest that is there)."""
+        """Packed tiles of a zoom. ``max_zoom``: coarser tiles stand for what is finer; ``fallback``: tiles that are
+        missing are made from the nearest coarser zoom that has them, only those."""
         zoom = min(zoom, max_zoom) if max_zoom is not None else zoom
-        rows = self.rows()
-        exact = rows.where(F.col("zoom") == zoom)
+        exact = self.rows(zoom)
         if not fallback:
             return exact
-        width = self.pyramid.tile_size * self.pyramid.metatiling
-        long = R.to_long(rows.where(F.col("zoom") <= zoom))
-        out = None
-        for z in range(zoom + 1):
-            level = R.resample(long, self.pyramid, z, zoom, width).select(*R.PIXEL, "value").withColumn("ord", F.lit(z))
-            out = level if out is None else out.unionByName(level)
-        return R.mosaic(out)
+        pyramid, width = self.pyramid, self.pyramid.tile_size * self.pyramid.metatiling
+        out, have = exact, exact.select(*KEYS).distinct()
+        columns = [*KEYS, "band", "height", "width", "pixels"]
+        out = out.select(columns)
+        for z in reversed([z for z in self.zooms() if z < zoom]):
+            k = 2 ** (zoom - z)
+            steps = F.sequence(F.lit(0), F.lit(k - 1))
+            rows = self.rows(z).select(columns)
+            # Which finer tiles a coarse one stands for: keys first, then only what is missing is cut out of it.
+            keys = rows.select(*KEYS).distinct().select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.explode(steps).alias("_i")).select("*", F.explode(steps).alias("_j"))
+            keys = keys.select("_row", "_col", F.lit(zoom).alias("zoom"), (F.col("_row") * k + F.col("_i")).cast("int").alias("row"), (F.col("_col") * k + F.col("_j")).cast("int").alias("col"))
+            want = keys.join(have, KEYS, "left_anti")
+            some = rows.drop("zoom").withColumnsRenamed({"row": "_row", "col": "_col"}).join(want, ["_row", "_col"])
+            # Pixel (y, x) of the finer tile lies in this pixel of the coarse one.
+            y0, x0 = (F.col("row") % k) * width, (F.col("col") % k) * width
+            at = lambda i: F.expr("1") + F.floor((y0 + F.floor(i / width)) / k) * width + F.floor((x0 + i % width) / k)  # noqa: B023, E731
+            cut = F.transform(F.sequence(F.lit(0), F.lit(width * width - 1)), lambda i: F.element_at("pixels", at(i).cast("int")))  # noqa: B023
+            out = out.unionByName(some.withColumn("pixels", cut).select(columns))
+            have = have.unionByName(want.select(*KEYS))
+        return out
+
+    def read_for(self, pyramid: Pyramid, zoom: int, method: str = "nearest", matching: str = "min", fallback: bool = False) -> DataFrame:
+        """Long pixels at a zoom of any pyramid over the same or another projection: from the directory's own zoom
+        that matches the wanted resolution best (or its finest, if that is coarser), resampled or warped."""
+        own, there = self.pyramid, self.zooms()
+        if not there:
+            return self.spark.createDataFrame([], "zoom int, row int, col int, band int, py int, px int, value double")
+        want = matching_zoom(Tile(zoom, pyramid.matrix_height(zoom) // 2, pyramid.matrix_width(zoom) // 2), pyramid.without_pixelbuffer(), own.without_pixelbuffer(), matching)
+        # The directory's finest zoom that isn't finer than wanted, else its coarsest.
+        z = max((x for x in there if x <= want), default=there[0])
+        long = R.to_long(self.read(z, fallback=fallback).select(*KEYS, "band", "height", "width", "pixels"))
+        if own.without_pixelbuffer() == pyramid.without_pixelbuffer():
+            return R.resample(long, pyramid, z, zoom, a_width(pyramid), method)
+        if own.grid == pyramid.grid and own.pixel_size(z) == pyramid.pixel_size(zoom):
+            # The same pixels in tiles of another size.
+            a, b = a_width(own), a_width(pyramid)
+            df = long.withColumns({"_y": F.col("row") * a + F.col("py"), "_x": F.col("col") * a + F.col("px")})
+            place = [F.expr(f"CAST({v} {op} {b} AS INT)").alias(n) for v, op, n in (("_y", "DIV", "row"), ("_x", "DIV", "col"), ("_y", "%", "py"), ("_x", "%", "px"))]
+            return df.select(F.lit(zoom).alias("zoom"), *place[:2], "band", *place[2:], "value")
+        return R.warp(long, own, pyramid, z, zoom, a_width(own), a_width(pyramid), method)
+
+
+def a_width(pyramid: Pyramid) -> int:
+    return pyramid.tile_size * pyramid.metatiling
 
 
 def tiles_with_input(tiles: DataFrame, rasters: DataFrame, pyramid: Pyramid, zoom: int) -> DataFrame:

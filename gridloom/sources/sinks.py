@@ -4,23 +4,29 @@ from __future__ import annotations
 
 import json
 import urllib.parse
+import zlib
 from collections.abc import Iterator
 from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import arrays
 from gridloom.functions import geometry as G
 from gridloom.functions.pyramid import Pyramid
+from gridloom.functions.raster import RANGES
 from gridloom.operators.tiles import KEYS, cross_pyramid
 from gridloom.sources import images
 from gridloom.sources.index import SCHEMA
 from gridloom.sources.paths import Location
 
 METADATA = "metadata.json"
+#: Tiles of a row that one task writes at most.
+SPAN = 64
 
 
 def write_tiles(df: DataFrame, path: str, mode: str = "overwrite", replaced: DataFrame | None = None) -> None:
@@ -36,8 +42,9 @@ def write_tiles(df: DataFrame, path: str, mode: str = "overwrite", replaced: Dat
         replaced = replaced.select(*KEYS)
         stay = tile_rows(spark, path).join(replaced.select("zoom", "row").distinct(), ["zoom", "row"], "left_semi").join(replaced, KEYS, "left_anti")
         df = df.unionByName(stay.select(df.columns))
+    # A row of a high zoom has more tiles than a task should hold, so it is dealt out by ranges of SPAN columns.
     (
-        df.repartition("zoom", "row")
+        df.repartition("zoom", "row", F.expr(f"col DIV {SPAN}"))
         .sortWithinPartitions(*KEYS)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
@@ -113,35 +120,55 @@ def split_to_output(packed: DataFrame, process: Pyramid, output: Pyramid, zoom:
     return df.withColumn("pixels", F.flatten(rows)).withColumns({"row": F.col("o_row"), "col": F.col("o_col"), "height": F.lit(size), "width": F.lit(size)}).drop("o_row", "o_col")
 
 
-def write_images(packed: DataFrame, path: str, pyramid: Pyramid, kind: str = "GTiff", dtype: str = "float64", nodata: float = 0.0, schema: str = SCHEMA) -> DataFrame:
+WRITTEN = "zoom int, row int, col int, location string, bytes long"
+
+
+def write_images(packed: DataFrame, path: str, pyramid: Pyramid, kind: str = "GTiff", dtype: str = "float64", nodata: float = 0.0, schema: str = SCHEMA, replaced: DataFrame | None = None) -> DataFrame:
     """An image file for each tile, by tile path schema; returns zoom, row, col, location, bytes.
 
     Bands of a tile are grouped first. A file appears whole or not at all: it is written under another name and
-    then moved, so a task that is run again does no harm. Tiles without data aren't written.
+    then moved, so a task that is run again does no harm. Tiles without data aren't written, and of tiles in
+    ``replaced`` that have none now the file goes.
     """
     ending = "tif" if kind == "GTiff" else "png"
+    columns = ["band", "height", "width", "pixels", *(["tags"] if "tags" in packed.columns else [])]
+    packed = packed.select(*KEYS, *columns)
+    if replaced is not None:
+        packed = packed.unionByName(replaced.select(*KEYS).distinct(), allowMissingColumns=True)
 
-    def put(key, rows: pd.DataFrame) -> pd.DataFrame:
-        zoom, row, col = (int(k) for k in key)
-        columns = ["zoom", "row", "col", "location", "bytes"]
-        rows = rows.sort_values("band")
-        data = np.stack([np.array([np.nan if v is None else v for v in p], dtype=float).reshape(int(h), int(w)) for p, h, w in zip(rows["pixels"], rows["height"], rows["width"])])
+    def put(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        zoom, row, col = (int(k.as_py()) for k in key)
+        place = f"{path.rstrip('/')}/" + schema.format(zoom=zoom, row=row, col=col, extension=ending)
+        rows = rows.filter(rows["band"].is_valid())
+        data = arrays.cubes(rows) if rows.num_rows else np.full((1, 1, 1), np.nan)
         if np.isnan(data).all():
-            return pd.DataFrame(columns=columns)
+            delete(place)
+            return arrays.empty_table(WRITTEN)
         if kind == "GTiff":
-            tags = json.loads(rows["tags"].iloc[0]) if "tags" in rows and rows["tags"].iloc[0] else None
-            content = images.write_geotiff(np.where(np.isnan(data), nodata, data).astype(dtype), pyramid.tile_affine(zoom, row, col), pyramid.grid.crs, nodata, tags)
+            tags = json.loads(rows["tags"][0].as_py() or "{}") if "tags" in rows.column_names else None
+            content = images.write_geotiff(in_type(data, dtype, nodata), pyramid.tile_affine(zoom, row, col), pyramid.grid.crs, nodata, tags)
         else:
             content = images.write_png(to_rgba(data) if kind == "PNG" else shade_to_alpha(data))
-        place = f"{path.rstrip('/')}/" + schema.format(zoom=zoom, row=row, col=col, extension=ending)
         save_whole(place, content)
-        return pd.DataFrame([(zoom, row, col, place, len(content))], columns=columns)
+        return arrays.table_of({"zoom": [zoom], "row": [row], "col": [col], "location": [place], "bytes": [len(content)]}, WRITTEN)
+
+    return packed.groupBy(*KEYS).applyInArrow(put, WRITTEN)
+
 
-    return packed.groupBy(*KEYS).applyInPandas(put, "zoom int, row int, col int, location string, bytes long")
+def in_type(data: np.ndarray, dtype: str, nodata: float) -> np.ndarray:
+    """Floats in a pixel type, held within its range; NaN becomes the no-data value."""
+    if dtype in RANGES:
+        low, high = RANGES[dtype]
+        data = np.clip(data, low, high)
+    return np.where(np.isnan(data), nodata, data).astype(dtype)
+
+
+def file_system(place: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(place if "://" in place else place if place.startswith("file:") else "file://" + urllib.parse.quote(place))
 
 
 def save_whole(place: str, content: bytes) -> None:
-    fs, at = pafs.FileSystem.from_uri(place if "://" in place else "file://" + urllib.parse.quote(place))
+    fs, at = file_system(place)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     part = f"{at}.{np.random.default_rng().integers(1 << 62)}.part"
     with fs.open_output_stream(part, compression=None) as out:
@@ -149,6 +176,41 @@ def save_whole(place: str, content: bytes) -> None:
     fs.move(part, at)
 
 
+def delete(place: str) -> bool:
+    """Whether there was a file to delete."""
+    fs, at = file_system(place)
+    there = fs.get_file_info(at).type == pafs.FileType.File
+    if there:
+        fs.delete_file(at)
+    return there
+
+
+def removed(tiles: DataFrame, path: str, extension: str, schema: str = SCHEMA) -> DataFrame:
+    """zoom, row, col of the tiles whose files were there and are deleted, by tasks, when this is run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(c.to_pylist() for c in batch.columns))
+            gone = [delete(f"{path.rstrip('/')}/" + schema.format(zoom=z, row=r, col=c, extension=extension)) for z, r, c in keys]
+            yield batch.filter(pa.array(gone, pa.bool_()))
+
+    return tiles.select(*KEYS).mapInArrow(run, "zoom int, row int, col int")
+
+
+def removed_rows(rows: DataFrame, path: str) -> DataFrame:
+    """zoom, row of the Parquet partitions that are deleted, by tasks, when this is run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for zoom, row in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, at = file_system(f"{path.rstrip('/')}/zoom={zoom}/row={row}")
+                if fs.get_file_info(at).type == pafs.FileType.Directory:
+                    fs.delete_dir(at)
+            yield batch
+
+    return rows.select("zoom", "row").mapInArrow(run, "zoom int, row int")
+
+
 def to_rgba(data: np.ndarray) -> np.ndarray:
     """One band: gray and alpha; two: gray, alpha; three: colour and alpha; four as they are."""
     alpha = np.where(np.isnan(data[0]), 0, 255)
@@ -170,29 +232,84 @@ def shade_to_alpha(data: np.ndarray) -> np.ndarray:
     return np.stack([np.zeros_like(alpha), alpha])
 
 
-def write_geojson_tiles(features: DataFrame, path: str) -> None:
-    """A feature as GeoJSON in each line, partitioned by tile."""
-    text = F.concat(F.lit('{"type": "Feature", "geometry": '), G.geojson(F.col("geom")), F.lit(', "properties": '), F.coalesce(F.to_json("properties"), F.lit("{}")), F.lit("}"))
-    features.where(F.col("geom").isNotNull()).select(*KEYS, text.alias("value")).repartition(*KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).text(path)
+def write_geojson_tiles(features: DataFrame, path: str, schema: str = SCHEMA, replaced: DataFrame | None = None) -> DataFrame:
+    """A GeoJSON document for each tile with features; returns zoom, row, col, location, bytes. Tiles in ``replaced`` that have none lose theirs."""
+    properties = F.col("properties") if "properties" in features.columns else F.lit(None).cast("map<string,string>")
+    rows = features.where(F.col("geom").isNotNull()).select(*KEYS, "geom", properties.alias("properties"))
+    if replaced is not None:
+        rows = rows.unionByName(replaced.select(*KEYS).distinct(), allowMissingColumns=True)
+
+    def put(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        zoom, row, col = (int(k.as_py()) for k in key)
+        place = f"{path.rstrip('/')}/" + schema.format(zoom=zoom, row=row, col=col, extension="geojson")
+        found = [{"type": "Feature", "geometry": G.to_geojson(r["geom"]), "properties": dict(r["properties"] or {})} for r in rows.to_pylist() if r["geom"] is not None]
+        if not found:
+            delete(place)
+            return arrays.empty_table(WRITTEN)
+        content = json.dumps({"type": "FeatureCollection", "features": found}).encode()
+        save_whole(place, content)
+        return arrays.table_of({"zoom": [zoom], "row": [row], "col": [col], "location": [place], "bytes": [len(content)]}, WRITTEN)
+
+    return rows.groupBy(*KEYS).applyInArrow(put, WRITTEN)
+
 
+def write_single(packed: DataFrame, path: str, pyramid: Pyramid, zoom: int, dtype: str = "float64", nodata: float = 0.0) -> None:
+    """All tiles of one zoom as one GeoTIFF of tiles, of any size.
 
-def write_single(packed: DataFrame, path: str, pyramid: Pyramid, zoom: int, dtype: str = "float64", nodata: float = 0.0, most_pixels: int = 20_000 * 20_000) -> None:
-    """All tiles of one zoom as one GeoTIFF, for at most ``most_pixels``; it is put together on the driver, tile by tile."""
-    rows = packed.where(F.col("zoom") == zoom)
+    Tasks deflate the tiles and write them end to end into part files. The driver gets a place and a size for
+    each tile, which the file's own header holds too, writes the header and appends the parts as streams. The
+    file appears when it is whole.
+    """
+    spark = packed.sparkSession
+    rows = packed.where((F.col("zoom") == zoom) & F.exists("pixels", lambda v: v.isNotNull()))
     ends = rows.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col"), F.max("band")).first()
     if ends[0] is None:
         raise ValueError(f"no tiles at zoom {zoom}")
     r0, r1, c0, c1, bands = ends
     size = pyramid.tile_size * pyramid.metatiling
-    height, width = (r1 - r0 + 1) * size, (c1 - c0 + 1) * size
-    if height * width > most_pixels:
-        raise ValueError(f"{height} x {width} pixels are too many for one file")
-    out = np.full((bands, height, width), nodata, dtype=dtype)
-    for r in rows.toLocalIterator():
-        block = np.array([nodata if v is None else v for v in r["pixels"]], dtype=dtype).reshape(r["height"], r["width"])
-        y, x = (r["row"] - r0) * size, (r["col"] - c0) * size
-        out[r["band"] - 1, y : y + block.shape[0], x : x + block.shape[1]] = block
-    save_whole(path, images.write_geotiff(out, pyramid.without_pixelbuffer().tile_affine(zoom, r0, c0), pyramid.grid.crs, nodata))
+    down, across = r1 - r0 + 1, c1 - c0 + 1
+    parts = f"{path}.{np.random.default_rng().integers(1 << 62)}.parts"
+    held = "part string, tile long, place long, bytes long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at, name = None, 0, f"{parts}/{np.random.default_rng().integers(1 << 62)}"
+        for batch in batches:
+            found: dict[str, list] = {"part": [], "tile": [], "place": [], "bytes": []}
+            for row, col, band, height, width, pixels in zip(*(batch.column(i).to_pylist() for i in range(5)), arrays.blocks(batch.column(5))):
+                block = np.full((size, size), np.nan)
+                block[:height, :width] = pixels.reshape(height, width)
+                data = zlib.compress(in_type(block, dtype, nodata).astype(np.dtype(dtype).newbyteorder("<")).tobytes(), 6)
+                if out is None:
+                    fs, place = file_system(name)
+                    fs.create_dir(place.rpartition("/")[0], recursive=True)
+                    out = fs.open_output_stream(place, compression=None)
+                out.write(data)
+                for key, value in zip(found, (name, ((band - 1) * down + row - r0) * across + col - c0, at, len(data))):
+                    found[key].append(value)
+                at += len(data)
+            yield from arrays.table_of(found, held).to_batches()
+        if out is not None:
+            out.close()
+
+    from gridloom.sources.paths import stored
+
+    written = stored(rows.select("row", "col", "band", "height", "width", "pixels").mapInArrow(run, held), "single").toPandas()
+    sizes, places = np.zeros(bands * down * across, dtype=np.int64), np.zeros(bands * down * across, dtype=np.int64)
+    order = written.groupby("part")["bytes"].sum().sort_index()
+    start = order.cumsum() - order
+    sizes[written["tile"]] = written["bytes"]
+    places[written["tile"]] = written["place"] + written["part"].map(start)
+    head = images.tiled_start(down * size, across * size, size, bands, dtype, pyramid.without_pixelbuffer().tile_affine(zoom, r0, c0), pyramid.grid.crs, nodata, sizes.tolist(), places.tolist())
+    fs, at = file_system(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(f"{at}.part", compression=None) as out:
+        out.write(head)
+        for part in order.index:
+            with fs.open_input_stream(file_system(part)[1], compression=None) as stream:
+                while data := stream.read(8 << 20):
+                    out.write(data)
+    fs.move(f"{at}.part", at)
+    Location(parts, spark).rm(True)
 
 
 def validated(df: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -210,5 +327,5 @@ def tiles_on_disk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _there(place: str) -> bool:
-    fs, at = pafs.FileSystem.from_uri(place if "://" in place else "file://" + urllib.parse.quote(place))
+    fs, at = file_system(place)
     return fs.get_file_info(at).type == pafs.FileType.File

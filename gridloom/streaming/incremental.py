@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from gridloom.functions import raster as R
 from gridloom.operators.tiles import KEYS, ancestors
+from gridloom.sources.paths import stored
 
 
 def touched(leaves: DataFrame, bottom: int = 0) -> DataFrame:
@@ -27,18 +28,20 @@ def refreshed(base: DataFrame, existing: DataFrame, changed: DataFrame, width: i
 
     ``base``: pixels of zoom ``top`` as they are now; ``existing``: overview pixels as they were. Each touched
     tile is made from its children: those made just before, and for untouched siblings those that exist.
+    The touched keys and each level are stored and read again, so that the plan of a level is as long at
+    zoom 0 as at the top.
     """
-    again = touched(changed.where(F.col("zoom") == top), bottom)
+    again = stored(touched(changed.where(F.col("zoom") == top), bottom), "touched")
     fresh, out = None, None
     for zoom in range(top - 1, bottom - 1, -1):
         if fresh is None:
-            children = base
+            children = base.where(F.col("zoom") == top)
         else:
             old = existing.where(F.col("zoom") == zoom + 1).join(again, KEYS, "left_anti")
             children = old.select(fresh.columns).unionByName(fresh)
         mine = again.where(F.col("zoom") == zoom).select(F.col("row").alias("_row"), F.col("col").alias("_col"))
         need = children.select("*", F.expr("row DIV 2").cast("int").alias("_row"), F.expr("col DIV 2").cast("int").alias("_col"))
-        fresh = R.overview(need.join(mine, ["_row", "_col"], "left_semi").drop("_row", "_col"), width, method)
+        fresh = stored(R.overview(need.join(mine, ["_row", "_col"], "left_semi").drop("_row", "_col"), width, method), "overview")
         out = fresh if out is None else out.unionByName(fresh)
     return out
 
