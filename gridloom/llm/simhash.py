@@ -41,7 +41,7 @@ SAMPLE, MOST_COMMON = 16, 200_000
 #: Shingles up to which texts are compared by their sets at once.
 FEW = 128
 #: Texts with one shingle that are compared pair by pair at once, and rounds before all are.
-CROWD, ROUNDS = 32, 6
+CROWD, ROUNDS = 32, 8
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -273,13 +273,16 @@ def compared(pairs: DataFrame, nodes: DataFrame, permille: int) -> DataFrame:
     return df.select("a", "b", "n_a", "n_b", (F.col("few") | (F.col("apart") + margin <= F.col("most"))).alias("sure"))
 
 
-def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, permille: int) -> DataFrame:
-    """Of the pairs those whose texts' sets are similar: the texts are fetched once for all pairs."""
-    ends = staged(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "simhash-ends")
+def sets_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """node, grams: the sets of shingles of the nodes in ``ends``, from their texts; a written table."""
     at = nodes.select("node", "_k1", "_k2").join(ends, "node", "left_semi")
     texts = docs.select("_k1", "_k2", as_bytes(F.col("text")).alias("_text")).join(at, ["_k1", "_k2"])
     sets = row_map(texts, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], ["node"])
-    sets = staged(sets.dropDuplicates(["node"]), "simhash-sets")
+    return staged(sets.dropDuplicates(["node"]), "simhash-sets")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
+    """a, b: of the pairs those whose sets are similar."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -291,7 +294,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
 
     By prefix filtering: with all shingles in one order, rare ones first, two similar sets share one of their
     first n - ceil(s n) + 1. Texts that share one are compared. A shingle that more than CROWD texts share is first
-    compared with one of them, which changes by round; of what is found similar only the text with the smallest
+    compared with one of them, which changes by round and is the same for all shingles that it has, so that a group
+    of near copies meets one text, not one for each shingle; of what is found similar only the text with the smallest
     doc_id goes on, so a group of near copies isn't compared pair by pair. Hence of two similar texts one is
     linked to a text of a smaller doc_id at least.
     """
@@ -305,30 +309,38 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
         least = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         return pairs.where(least * (1000 + permille) >= permille * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b").distinct()
 
-    found = []
+    def crowded_by(turn: int) -> DataFrame:
+        """Of the shingles that more than CROWD texts share the one text that the others are compared with."""
+        hub = F.min_by(F.struct("node", "n", "at"), F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"))).alias("hub")
+        by = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), hub).where(F.col("m") > CROWD)
+        return staged(by.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.at").alias("at_b")), "simhash-crowds")
+
+    found, sets = [], None
     for turn in range(ROUNDS):
-        crowds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "n", "at"), F.struct(F.xxhash64(F.lit(turn), "token", "node"), F.col("node"))).alias("hub")).where(F.col("m") > CROWD)
-        crowds = staged(crowds.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.at").alias("at_b")), "simhash-crowds")
+        crowds = crowded_by(turn)
         if crowds.isEmpty():
             break
+        if sets is None:
+            sets = sets_of(docs, nodes, rows.join(crowds.select("token"), "token", "left_semi").select("node").distinct(), size)
         some = staged(compared(staged(possible(rows.select("token", *own("a")).join(crowds, "token").where("a <> b")), "simhash-pairs"), nodes, permille), "simhash-compared")
-        found.append(some)
-        sure = some.where("sure")
-        if sure.isEmpty():
+        links = staged(some.where("sure").select("a", "b").unionByName(alike(some.where("NOT sure"), sets, permille)), "simhash-alike")
+        if links.isEmpty():
             break
-        groups = staged(components(sure), "simhash-groups").join(nodes.select("node", "d"), "node")
+        found.append(links)
+        groups = staged(components(links), "simhash-groups").join(nodes.select("node", "d"), "node")
         groups = staged(groups, "simhash-grouped")
         stay = groups.groupBy("root").agg(F.min(F.struct("d", "node")).alias("s")).select(F.col("s.node").alias("node"))
         rows = staged(rows.join(groups.select("node").join(stay, "node", "left_anti"), "node", "left_anti"), "simhash-shared")
     rest = staged(possible(rows.select("token", *own("a")).join(rows.select("token", *own("b")), "token").where("a < b")), "simhash-pairs")
-    found.append(staged(compared(rest, nodes, permille), "simhash-compared"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    unsure = staged(every.where("NOT sure").select("a", "b", "n_a", "n_b").distinct(), "simhash-unsure")
-    edges = every.where("sure").select("a", "b")
+    rest = staged(compared(rest, nodes, permille), "simhash-compared")
+    found.append(rest.where("sure").select("a", "b"))
+    unsure = rest.where("NOT sure")
     if not unsure.isEmpty():
-        edges = edges.unionByName(alike(docs, nodes, unsure, size, permille))
+        ends = staged(unsure.select(F.col("a").alias("node")).unionAll(unsure.select("b")).distinct(), "simhash-ends")
+        found.append(alike(unsure, sets_of(docs, nodes, ends, size), permille))
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
     fp = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
     return edges.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).where("a <> b")
 
