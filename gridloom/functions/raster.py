@@ -117,10 +117,10 @@ def shade(slope: Column, aspect: Column, azimuth: float = 315.0, altitude: float
 
 
 def hillshade(pixels: DataFrame, xres: float = 1.0, yres: float = -1.0, azimuth: float = 315.0, altitude: float = 45.0, z: float = 1.0, scale: float = 1.0, keys: list[str] | None = None) -> DataFrame:
-    """``pixels`` with ``shade``; the border has the shade of the inner pixel beside it, no data stays no data."""
+    """``pixels`` with ``shade``; the border has the shade of the inner pixel beside it, no data stays no data and beside it a pixel's own value stands."""
     keys = keys or [*TILE, "band"]
     df = neighbourhood(pixels, keys, inner=True)
-    slope, aspect = slope_aspect([F.col(f"w{i}") for i in range(9)], xres, yres, scale, z)
+    slope, aspect = slope_aspect([F.coalesce(f"w{i}", "w4", "value") for i in range(9)], xres, yres, scale, z)
     df = df.withColumn("shade", F.when(F.col("value").isNotNull(), shade(slope, aspect, azimuth, altitude)))
     return df.drop(*[f"w{i}" for i in range(9)])
 
@@ -323,6 +323,14 @@ def warp(pixels: DataFrame, src: Pyramid, dst: Pyramid, zoom: int, dst_zoom: int
     size = src.tile_span(zoom) / width
     # Places in pixels; whole numbers are pixel centres.
     want = want.withColumns({"_fy": (F.lit(src.grid.top) - y) / size - 0.5, "_fx": (x - F.lit(src.grid.left)) / size - 0.5})
+    own = df.select((F.col("row") * width + F.col("py")).cast("long").alias("_sy"), (F.col("col") * width + F.col("px")).cast("long").alias("_sx"), "band", "value")
+    return looked_up(want, own, PIXEL, method, src.matrix_width(zoom) * width if src.grid.is_global else None)
+
+
+def looked_up(want: DataFrame, own: DataFrame, keys: list[str], method: str, wrap: int | None = None, more: list[str] | None = None) -> DataFrame:
+    """``keys`` and value of wanted pixels (with _fy, _fx, their place in source pixels) from source pixels (_sy, _sx, band, value): the
+    nearest, or a weighted mean of those around; an equi-join on the place (and the columns ``more``)."""
+    more = more or []
     if method == "nearest":
         want = want.withColumns({"_sy": F.floor(F.col("_fy") + 0.5), "_sx": F.floor(F.col("_fx") + 0.5)})
     else:
@@ -330,38 +338,42 @@ def warp(pixels: DataFrame, src: Pyramid, dst: Pyramid, zoom: int, dst_zoom: int
         around = F.sequence(F.lit(1 - reach), F.lit(reach))
         want = want.withColumn("_sy", F.explode(F.transform(around, lambda i: F.floor(F.col("_fy")) + i))).withColumn("_sx", F.explode(F.transform(around, lambda i: F.floor(F.col("_fx")) + i)))
         want = want.withColumn("_k", kernel(F.abs(F.col("_sy") - F.col("_fy")), method) * kernel(F.abs(F.col("_sx") - F.col("_fx")), method)).where("_k <> 0")
-    if src.grid.is_global:
-        want = want.withColumn("_sx", F.pmod(F.col("_sx"), F.lit(src.matrix_width(zoom) * width)))
-    own = df.select((F.col("row") * width + F.col("py")).cast("long").alias("_sy"), (F.col("col") * width + F.col("px")).cast("long").alias("_sx"), "band", "value")
-    met = want.join(own, ["_sy", "_sx"])
+    if wrap:
+        want = want.withColumn("_sx", F.pmod(F.col("_sx"), F.lit(wrap)))
+    met = want.join(own, ["_sy", "_sx", *more])
     if method == "nearest":
-        return met.select(*PIXEL, "value")
-    return met.where("value IS NOT NULL").groupBy(*PIXEL).agg((F.sum(F.col("value") * F.col("_k")) / F.nullif(F.sum("_k"), F.lit(0.0))).alias("value"))
+        return met.select(*keys, "value")
+    return met.where("value IS NOT NULL").groupBy(*keys).agg((F.sum(F.col("value") * F.col("_k")) / F.nullif(F.sum("_k"), F.lit(0.0))).alias("value"))
 
 
-def reached_tiles(pixels: DataFrame, src: Pyramid, dst: Pyramid, zoom: int, dst_zoom: int, steps: int = 8) -> DataFrame:
-    """Tiles of ``dst`` within the box of each source tile's outline, reprojected at ``steps`` places a side."""
-    from gridloom.functions import bounds as B
-    from gridloom.functions import geometry as G
+def reached_tiles(pixels: DataFrame, src: Pyramid, dst: Pyramid, zoom: int, dst_zoom: int) -> DataFrame:
+    """Tiles of ``dst`` within the box of each source tile's outline, reprojected."""
     from gridloom.operators.tiles import cells
 
     own = pixels.select("row", "col").distinct()
-    box = src.box(zoom, F.col("row"), F.col("col"))
+    boxes = own.select(reprojected_box(src.box(zoom, F.col("row"), F.col("col")), src.grid.crs, dst).alias("box"))
+    return cells(boxes, dst, dst_zoom).select(*TILE).distinct()
+
+
+def reprojected_box(box: Column, crs: str, dst: Pyramid, steps: int = 8) -> Column:
+    """The box in ``dst``'s projection of ``steps`` places a side of a box, held within where that projection is used."""
+    from gridloom.functions import bounds as B
+    from gridloom.functions import geometry as G
+
     at = F.sequence(F.lit(0), F.lit(steps))
     degrees = G.crs_bounds(dst.grid.crs)
 
     def place(i: Column, j: Column) -> Column:
         x, y = box["left"] + (box["right"] - box["left"]) * i / steps, box["bottom"] + (box["top"] - box["bottom"]) * j / steps
-        lon, lat = G.reproject_xy(x, y, src.grid.crs, "EPSG:4326")
+        lon, lat = G.reproject_xy(x, y, crs, "EPSG:4326")
         lat = F.greatest(F.lit(degrees[1]), F.least(F.lit(degrees[3]), lat))
         lon = lon if dst.grid.is_global else F.greatest(F.lit(degrees[0]), F.least(F.lit(degrees[2]), lon))
         x, y = G.reproject_xy(lon, lat, "EPSG:4326", dst.grid.crs)
         return F.struct(x.alias("x"), y.alias("y"))
 
-    places = own.select(F.flatten(F.transform(at, lambda i: F.transform(at, lambda j: place(i, j)))).alias("p"))
-    xs, ys = F.transform("p", lambda p: p["x"]), F.transform("p", lambda p: p["y"])
-    boxes = places.select(B.column(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)).alias("box"))
-    return cells(boxes, dst, dst_zoom).select(*TILE).distinct()
+    places = F.flatten(F.transform(at, lambda i: F.transform(at, lambda j: place(i, j))))
+    edge = lambda f, name: f(F.transform(places, lambda p: p[name]))
+    return B.column(edge(F.array_min, "x"), edge(F.array_min, "y"), edge(F.array_max, "x"), edge(F.array_max, "y"))
 
 
 # Contours

@@ -56,20 +56,26 @@ def reprojected(features: DataFrame, src: str, dst: str, geom: str = "geom", cli
     projection is used (in degrees), and what is left by formulas. With ``error_on_clip`` a cut fails the query."""
     if src == dst:
         return features
-    df = features.withColumn(geom, G.repaired(F.col(geom)))
+    degrees = Bounds(*G.crs_bounds(dst))
+    box = B.literal(degrees)
+
+    def within(g):
+        own = lambda b: (b["left"] >= degrees.left) & (b["right"] <= degrees.right) & (b["bottom"] >= degrees.bottom) & (b["top"] <= degrees.top)
+        outside = F.raise_error(F.lit("a geometry lies outside the bounds of the projection")) if error_on_clip else G.clipped(g, box)
+        return G.let(G.box(g), lambda b: F.when(own(b), g).otherwise(outside))
+
+    # Each step's geometry is bound once; as plain expressions they would be put into one another many times over.
+    steps = [G.repaired]
     if segmentize:
-        df = df.withColumn(geom, G.segmentized(F.col(geom), segmentize))
+        steps.append(lambda g: G.segmentized(g, segmentize))
     if src != "EPSG:4326":
-        df = df.withColumn(geom, G.to_latlon(F.col(geom), src))
+        steps.append(lambda g: G.to_latlon(g, src))
     if clip_to_crs and dst != "EPSG:4326":
-        b = Bounds(*G.crs_bounds(dst))
-        own = G.box(F.col(geom))
-        inside = F.col(geom).isNull() | ((own["left"] >= b.left) & (own["right"] <= b.right) & (own["bottom"] >= b.bottom) & (own["top"] <= b.top))
-        if error_on_clip:
-            return df.where(F.assert_true(inside, F.lit("a geometry lies outside the bounds of the projection")).isNull()).withColumn(geom, G.map_points(F.col(geom), lambda x, y: G.reproject_xy(x, y, "EPSG:4326", dst)))
-        cut = df.where(~inside).withColumn(geom, G.clipped(F.col(geom), B.literal(b)))
-        df = df.where(inside).unionByName(cut)
-    return df.withColumn(geom, G.map_points(F.col(geom), lambda x, y: G.reproject_xy(x, y, "EPSG:4326", dst)))
+        steps.append(within)
+    out = F.col(geom)
+    for step in [*steps, lambda g: G.map_points(g, lambda x, y: G.reproject_xy(x, y, "EPSG:4326", dst))]:
+        out = G.let(out, step)
+    return features.withColumn(geom, F.when(F.col(geom).isNotNull(), out))
 
 
 def read_tiles(features: DataFrame, pyramid: Pyramid, zoom: int, tiles: DataFrame | None = None, target_type: str | None = None, clip: bool = True, geom: str = "geom") -> DataFrame:

@@ -161,7 +161,7 @@ def convert(spark: SparkSession, source: str, target: str, pyramid: Pyramid | st
         formats.of({"format": output_format}).write(out, target, pyramid, {"format": output_format}, None)
         return open_process(spark, target, "readonly")
     size = pyramid.tile_size * pyramid.metatiling
-    long = convert_pixels(readers.raster_to_tiles(df, pyramid, max(levels), method), ratio, offset, dtype).withColumn("value", F.col("value").cast("double"))
+    long = convert_pixels(readers.warped_to_tiles(df, pyramid, max(levels), method), ratio, offset, dtype).withColumn("value", F.col("value").cast("double"))
     if bounds is not None:
         long = long.join(tiles.tiles_from_bounds(spark, pyramid, area, [max(levels)]), KEYS, "left_semi")
     pack = lambda d: R.to_packed(d, size, size)

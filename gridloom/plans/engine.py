@@ -20,6 +20,7 @@ from gridloom.functions.pyramid import Pyramid, Tile
 from gridloom.functions.zooms import ZoomLevels
 from gridloom.operators import joins, process, tiles
 from gridloom.operators.tiles import KEYS
+from gridloom.operators.vector import reprojected
 from gridloom.plans.config import Mode, ProcessConfig, zooms_from
 from gridloom.sources import formats, readers, sinks, stac
 from gridloom.sources.paths import stored
@@ -94,7 +95,13 @@ class Process:
         for source in self.config.input_at(zoom).values():
             place = source["path"] if isinstance(source, dict) else source
             if isinstance(place, str) and readers.driver_of(place).name == "GTiff":
-                one = readers.raster_boxes(self.spark, place).select("box").distinct()
+                boxes = readers.raster_boxes(self.spark, place).select(F.coalesce("crs", F.lit(self.pyramid.grid.crs)).alias("crs"), "box").distinct()
+                crs = {r["crs"] for r in boxes.select("crs").distinct().collect()}
+                one = boxes.select("box") if crs <= {self.pyramid.grid.crs} else None
+                for c in sorted(crs - {self.pyramid.grid.crs}):
+                    moved = boxes.where(F.col("crs") == c).select(R.reprojected_box(F.col("box"), c, self.pyramid).alias("box"))
+                    same = boxes.where(F.col("crs") == self.pyramid.grid.crs).select("box")
+                    one = moved.unionByName(same if one is None else one)
             elif isinstance(place, DataFrame) and "geom" in place.columns and "zoom" not in place.columns:
                 one = place.select(G.box(F.col("geom")).alias("box"))
             else:
@@ -155,23 +162,46 @@ class Process:
         found, vectors = {}, set()
         size = self.pyramid.tile_size * self.pyramid.metatiling
         for name, source in self.config.input_at(zoom).items():
+            more = source if isinstance(source, dict) else {}
+            place = more.get("path", source)
+            method = more.get("resampling", "nearest")
             if isinstance(source, DataFrame):
                 df = source
             elif name in self.preprocessed:
                 df = self.preprocessed[name]
             elif isinstance(source, Process):
                 df = source.read(zoom)
+            elif place.endswith((".yml", ".yaml")):
+                df = open_process(self.spark, place, "readonly").read(zoom)
+            elif readers.driver_of(place).name == "TileDirectory":
+                df = self._from_directory(readers.TileDirectory(self.spark, place), zoom, method, more, size)
             else:
-                df = readers.open_input(self.spark, source["path"] if isinstance(source, dict) else source)
+                df = readers.open_input(self.spark, place)
             name = name.replace("/", "_")
             if "geom" in df.columns:
                 vectors.add(name)
-                df = df if "zoom" in df.columns else self._features(df, zoom)
+                if "zoom" not in df.columns:
+                    df = self._features(reprojected(df, more.get("crs", self.pyramid.grid.crs), self.pyramid.grid.crs), zoom)
             elif "zoom" not in df.columns:
-                df = R.to_packed(self._buffered(readers.raster_to_tiles(df, self.pyramid.without_pixelbuffer(), zoom), zoom, size), size + 2 * self.pyramid.pixelbuffer, size + 2 * self.pyramid.pixelbuffer)
+                df = self._packed(readers.warped_to_tiles(df, self.pyramid.without_pixelbuffer(), zoom, method), zoom, size)
             found[name] = df
         return found, vectors
 
+    def _packed(self, pixels: DataFrame, zoom: int, size: int) -> DataFrame:
+        whole = size + 2 * self.pyramid.pixelbuffer
+        return R.to_packed(self._buffered(pixels, zoom, size), whole, whole)
+
+    def _from_directory(self, found: readers.TileDirectory, zoom: int, method: str, more: dict, size: int) -> DataFrame:
+        """A tile directory's tiles: as they are if its pyramid is the process's, else from its zoom that matches."""
+        own, fallback = self.pyramid.without_pixelbuffer(), bool(more.get("fallback_to_higher_zoom"))
+        if formats.of(found.metadata["driver"]).data_type == "vector":
+            rows = found.rows(zoom)
+            return rows if found.pyramid.without_pixelbuffer() == own else self._features(rows.drop(*KEYS).distinct(), zoom)
+        if found.pyramid.without_pixelbuffer() == own and (zoom in found.zooms() or fallback):
+            df = found.read(zoom, more.get("max_zoom"), fallback)
+            return df if not self.pyramid.pixelbuffer else self._packed(R.to_long(df.select(*KEYS, "band", "height", "width", "pixels")), zoom, size)
+        return self._packed(found.read_for(own, zoom, method, more.get("matching_method", "min"), fallback), zoom, size)
+
     def _features(self, df: DataFrame, zoom: int) -> DataFrame:
         from gridloom.operators.vector import read_tiles
 

@@ -98,6 +98,47 @@ def raster_to_tiles(rasters: DataFrame, pyramid: Pyramid, zoom: int, method: str
 HEAD = 64 << 10
 
 
+def warped_to_tiles(rasters: DataFrame, pyramid: Pyramid, zoom: int, method: str = "nearest", order: str = "path") -> DataFrame:
+    """`raster_to_tiles` for rasters in any projection that has formulas, each by its own: wanted pixels look back for the nearest
+    or the weighted source pixels (nearest, bilinear, cubic), or source pixels are dealt to the wanted ones they fall in."""
+    crs_of = F.coalesce("crs", F.lit(pyramid.grid.crs))
+    kinds = [r[0] for r in rasters.select(crs_of).distinct().collect()]
+    out = None
+    for crs in sorted(kinds):
+        own = rasters.where(crs_of == crs)
+        one = raster_to_tiles(own, pyramid, zoom, method, order) if crs == pyramid.grid.crs and method not in ("bilinear", "cubic") else _warped(own, crs, pyramid, zoom, method, order)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return rasters.sparkSession.createDataFrame([], "zoom int, row int, col int, band int, py int, px int, value double")
+    return out if len(kinds) == 1 else R.mosaic(out.withColumn("ord", F.lit(0)))
+
+
+def _warped(rasters: DataFrame, crs: str, pyramid: Pyramid, zoom: int, method: str, order: str) -> DataFrame:
+    from gridloom.operators.tiles import cells
+
+    width, size = a_width(pyramid), pyramid.pixel_size(zoom)
+    df = rasters.select(F.col(order).alias("ord"), "band", "px", "py", "box", "width", "pixels")
+    long = df.select("ord", "band", F.col("px").alias("_px"), F.col("py").alias("_py"), "box", F.col("width").alias("_w"), F.posexplode("pixels").alias("_i", "value"))
+    long = long.withColumns({"_sy": F.expr("CAST(_i DIV _w AS BIGINT)"), "_sx": F.expr("CAST(_i % _w AS BIGINT)")})
+    if method in ("nearest", "bilinear", "cubic"):
+        places = df.select("ord", "px", "py", "box").distinct().withColumnsRenamed({"px": "_px", "py": "_py", "box": "_own"})
+        reached = cells(places.withColumn("box", R.reprojected_box(F.col("_own"), crs, pyramid)), pyramid, zoom)
+        n = F.sequence(F.lit(0), F.lit(width - 1))
+        want = reached.withColumn("py", F.explode(n)).withColumn("px", F.explode(n))
+        x, y = G.reproject_xy(*R.pixel_centre(pyramid, zoom, width), pyramid.grid.crs, crs)
+        want = want.withColumns({"_fy": (F.col("_own.top") - y) / F.col("_py") - 0.5, "_fx": (x - F.col("_own.left")) / F.col("_px") - 0.5})
+        found = R.looked_up(want.select("ord", *KEYS, "py", "px", "_fy", "_fx"), long.select("ord", "band", "_sy", "_sx", "value"), ["ord", *R.PIXEL], method, more=["ord"])
+    else:
+        x, y = F.col("box.left") + (F.col("_sx") + 0.5) * F.col("_px"), F.col("box.top") - (F.col("_sy") + 0.5) * F.col("_py")
+        x, y = G.reproject_xy(x, y, crs, pyramid.grid.crs)
+        gy, gx = F.floor((F.lit(pyramid.grid.top) - y) / size), F.floor((x - F.lit(pyramid.grid.left)) / size)
+        dealt = long.select("ord", "band", "value", "_i", gy.alias("_y"), gx.alias("_x")).where((F.col("_y") >= 0) & (F.col("_y") < pyramid.matrix_height(zoom) * width) & (F.col("_x") >= 0) & (F.col("_x") < pyramid.matrix_width(zoom) * width))
+        at = lambda v, op, name: F.expr(f"CAST({v} {op} {width} AS INT)").alias(name)
+        keys = ["ord", F.lit(zoom).alias("zoom"), at("_y", "DIV", "row"), at("_x", "DIV", "col"), "band", at("_y", "%", "py"), at("_x", "%", "px")]
+        found = dealt.groupBy(*keys).agg(R.aggregate(method, F.col("value"), [F.col("_i")]).alias("value"))
+    return R.mosaic(found)
+
+
 def raster_boxes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, crs, box of GeoTIFF files: files are listed by Spark, and of each only the start with the header is read (all, if its tags lie further on)."""
     schema = "path string, crs string, box struct<left:double,bottom:double,right:double,top:double>"

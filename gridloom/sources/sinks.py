@@ -113,8 +113,8 @@ def split_to_output(packed: DataFrame, process: Pyramid, output: Pyramid, zoom:
         raise ValueError("output metatiles must not be larger than process metatiles")
     k, size, buffer = process.metatiling // output.metatiling, output.tile_size * output.metatiling, process.pixelbuffer
     df = cross_pyramid(packed.where(F.col("zoom") == zoom), process.without_pixelbuffer(), output)
-    # A tile at the top of the grid has no buffer above it.
-    y0 = (F.col("o_row") - F.col("row") * k) * size + F.when(F.col("row") == 0, 0).otherwise(buffer)
+    # A tile at the top of the grid may come without a buffer above it.
+    y0 = (F.col("o_row") - F.col("row") * k) * size + F.when((F.col("row") == 0) & (F.col("height") < k * size + 2 * buffer), 0).otherwise(buffer)
     x0 = (F.col("o_col") - F.col("col") * k) * size + buffer
     rows = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.slice("pixels", (y0 + i) * F.col("width") + x0 + 1, F.lit(size)))
     return df.withColumn("pixels", F.flatten(rows)).withColumns({"row": F.col("o_row"), "col": F.col("o_col"), "height": F.lit(size), "width": F.lit(size)}).drop("o_row", "o_col")
