@@ -46,6 +46,11 @@ def parser() -> argparse.ArgumentParser:
     p = add("index", "index a tile directory", "path", "out")
     p.add_argument("--kind", choices=["GeoJSON", "TXT", "VRT"], default="GeoJSON")
     p.add_argument("--zoom", type=int)
+    p = add("sync", "copy files that a folder lacks or has otherwise", "source", "target")
+    p.add_argument("--compare", choices=["length", "sha256"], default="length")
+    p = add("serve", "serve a process's tiles over HTTP", "config")
+    p.add_argument("--port", type=int, default=5000)
+    p.add_argument("--mode", choices=["memory", "readonly", "continue", "overwrite"], default="continue")
     add("create", "start a new process", "folder")
     add("formats", "list formats")
     add("processes", "list built-in processes")
@@ -84,7 +89,7 @@ def main(args: list[str] | None = None) -> int:
         return 0
     found = getattr(commands, name)(spark, **a)
     if isinstance(found, int):
-        print(f"{found} tiles")
+        print(f"{found} {'files' if name == 'sync' else 'tiles'}")
     return 0
 
 

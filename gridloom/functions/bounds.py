@@ -87,6 +87,12 @@ def snap(bounds: Bounds, pyramid, zoom: int) -> Bounds:
     return pyramid.tile_bounds(zoom, top, first) + pyramid.tile_bounds(zoom, bottom, max(first, last))
 
 
+def pixel_ranges(bounds: Bounds, affine) -> tuple[int, int, int, int]:
+    """First and one past the last row and column of a raster's pixels that a box covers, to the nearest pixel edge."""
+    top, left = round((affine.f - bounds.top) / -affine.e), round((bounds.left - affine.c) / affine.a)
+    return top, top + round(bounds.height / -affine.e), left, left + round(bounds.width / affine.a)
+
+
 def column(left, bottom, right, top) -> Column:
     return F.struct(*[F.lit(v).cast("double").alias(n) if isinstance(v, (int, float)) else v.cast("double").alias(n) for n, v in zip(FIELDS, (left, bottom, right, top))])
 

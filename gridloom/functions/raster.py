@@ -286,6 +286,14 @@ def window(pixels: DataFrame, height: int, width: int, top: int, left: int) -> D
     return df.withColumns({"py": F.col("py") - top, "px": F.col("px") - left})
 
 
+def within(pixels: DataFrame, affine, bounds) -> DataFrame:
+    """The pixels of a raster within a box, counted from its corner."""
+    from gridloom.functions.bounds import pixel_ranges
+
+    top, bottom, left, right = pixel_ranges(bounds, affine)
+    return window(pixels, bottom - top, right - left, top, left)
+
+
 def pixel_centre(pyramid: Pyramid, zoom: int, width: int) -> tuple[Column, Column]:
     """x, y of a pixel's centre."""
     span = pyramid.tile_span(zoom)

@@ -90,19 +90,22 @@ def rm(spark: SparkSession, path: str, zoom=None, bounds=None) -> int:
 
 
 def index(spark: SparkSession, path: str, out: str, kind: str = "GeoJSON", zoom: int | None = None, base: str = "") -> None:
-    """An index of a tile directory's zooms: GeoJSON, TXT or VRT."""
+    """An index of a tile directory's zooms: GeoJSON, TXT or VRT. A GeoJSON index that is there gets the tiles that it lacks."""
     meta = sinks.load_metadata(spark, path)
     pyramid, form = Pyramid.of(meta["pyramid"]), formats.of(meta["driver"])
-    there = form.existing(spark, path)
+    there = stored(form.existing(spark, path), "there")
     levels = [zoom] if zoom is not None else sorted(r["zoom"] for r in there.select("zoom").distinct().collect())
     for z in levels:
         one = index_files.zoom_index(there.where(F.col("zoom") == z), extension=form.extension, base=base or path, pyramid=pyramid, zoom=z)
         if kind == "GeoJSON":
-            index_files.write_geojson(one, f"{out}/{z}.geojson")
+            at = f"{out}/{z}.geojson"
+            if Location(at, spark).exists():
+                one = stored(index_files.append(index_files.read_geojson(spark, at), one), "index")
+            index_files.write_geojson(one, at)
         elif kind == "TXT":
             index_files.write_text(one, f"{out}/{z}.txt")
         elif kind == "VRT":
-            (Location(out, spark) / f"{z}.vrt").write_text(index_files.vrt(one, pyramid, z))
+            index_files.write_lines(index_files.vrt(one, pyramid, z), f"{out}/{z}.vrt")
         else:
             raise ValueError(f"unknown index {kind!r}")
 
@@ -208,4 +211,51 @@ def serve_tile(p: Process, zoom: int, row: int, col: int) -> bytes | None:
     return write_png(sinks.to_rgba(data))
 
 
-__all__ = ["PROCESSES", "convert", "cp", "create", "available_formats", "execute", "index", "processes", "rm", "serve_tile"]
+def server(p: Process, port: int = 5000, host: str = "127.0.0.1"):
+    """An HTTP server of a process's tiles, made on demand: GET .../{zoom}/{row}/{col}.png. Its serve_forever() serves until shutdown()."""
+    import re
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            m = re.search(r"/(\d+)/(\d+)/(\d+)\.png$", self.path.partition("?")[0])
+            try:
+                found = serve_tile(p, *map(int, m.groups())) if m else None
+            except Exception as e:
+                self.send_error(500, type(e).__name__)
+                return
+            if found is None:
+                self.send_error(404)
+                return
+            self.send_response(200)
+            self.send_header("Content-Type", "image/png")
+            self.send_header("Content-Length", str(len(found)))
+            self.end_headers()
+            self.wfile.write(found)
+
+        def log_message(self, *_) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)
+
+
+def serve(spark: SparkSession, config, port: int = 5000, mode: str = "continue") -> None:
+    server(open_process(spark, config, mode), port).serve_forever()
+
+
+def sync(spark: SparkSession, source: str, target: str, compare: str = "length") -> int:
+    """Copy the files under a folder that the target lacks, or that differ by ``compare`` (length or sha256); returns how many.
+
+    Files are listed and compared as tables and copied by tasks, as streams.
+    """
+    from gridloom.sources.paths import copied
+
+    if compare not in ("length", "sha256"):
+        raise ValueError(f"files can't be compared by {compare!r}")
+    files = lambda at: listing(spark, at, checksums=compare == "sha256").select(F.regexp_replace(F.substring_index("path", at.rstrip("/").split("://")[-1] + "/", -1), "^/+", "").alias("name"), compare)
+    there = files(target) if Location(target, spark).exists() and Location(target, spark).ls() else spark.createDataFrame([], files(source).schema)
+    want = stored(joins.to_copy(files(source), there, ["name"], compare=compare).select("name"), "sync")
+    return copied(want, source, target).count()
+
+
+__all__ = ["PROCESSES", "convert", "cp", "create", "available_formats", "execute", "index", "processes", "rm", "serve", "serve_tile", "server", "sync"]

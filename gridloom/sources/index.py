@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.pyramid import Pyramid, task_id
@@ -56,30 +55,52 @@ def write_geojson(index: DataFrame, path: str) -> None:
     index.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))).alias("value")).write.mode("overwrite").text(path)
 
 
-def vrt(index: DataFrame, pyramid: Pyramid, zoom: int, bands: int = 1, dtype: str = "Float64", nodata: float = 0.0, most: int = 100_000) -> str:
-    """A virtual mosaic of one zoom's tiles as XML; at most ``most`` tiles, as it is one document."""
-    rows = index.where(F.col("zoom") == zoom).select("row", "col", "location").orderBy("row", "col").limit(most + 1).collect()
-    if not rows:
+def vrt(index: DataFrame, pyramid: Pyramid, zoom: int, bands: int = 1, dtype: str = "Float64", nodata: float = 0.0) -> Iterator[str]:
+    """A virtual mosaic of one zoom's tiles as the lines of an XML document, of any number of tiles: they come to the driver one partition at a time."""
+    rows = index.where(F.col("zoom") == zoom).select("row", "col", "location")
+    ends = rows.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if ends[0] is None:
         raise ValueError(f"no tiles at zoom {zoom}")
-    if len(rows) > most:
-        raise ValueError(f"over {most} tiles: make one for each part of the map")
-    boxes = [pyramid.tile_bounds(zoom, r["row"], r["col"]) for r in rows]
-    total = boxes[0]
-    for b in boxes[1:]:
-        total = total + b
+    total = pyramid.tile_bounds(zoom, ends[0], ends[2]) + pyramid.tile_bounds(zoom, ends[1], ends[3])
     px = pyramid.pixel_size(zoom)
-    width, height = round(total.width / px), round(total.height / px)
-    out = [f'<VRTDataset rasterXSize="{width}" rasterYSize="{height}">', f"  <SRS>{escape(pyramid.grid.crs)}</SRS>", f"  <GeoTransform>{total.left}, {px}, 0.0, {total.top}, 0.0, {-px}</GeoTransform>"]
+    yield f'<VRTDataset rasterXSize="{round(total.width / px)}" rasterYSize="{round(total.height / px)}">'
+    yield f"  <SRS>{escape(pyramid.grid.crs)}</SRS>"
+    yield f"  <GeoTransform>{total.left}, {px}, 0.0, {total.top}, 0.0, {-px}</GeoTransform>"
     for band in range(1, bands + 1):
-        out += [f'  <VRTRasterBand dataType="{dtype}" band="{band}">', f"    <NoDataValue>{nodata}</NoDataValue>"]
-        for r, b in zip(rows, boxes):
-            w, h = round(b.width / px), round(b.height / px)
+        yield f'  <VRTRasterBand dataType="{dtype}" band="{band}">'
+        yield f"    <NoDataValue>{nodata}</NoDataValue>"
+        for r in rows.orderBy("row", "col").toLocalIterator():
+            b = pyramid.tile_bounds(zoom, r["row"], r["col"])
+            size = f'xSize="{round(b.width / px)}" ySize="{round(b.height / px)}"'
             x, y = round((b.left - total.left) / px), round((total.top - b.top) / px)
-            out += ["    <ComplexSource>", f'      <SourceFilename relativeToVRT="1">{escape(r["location"])}</SourceFilename>', f"      <SourceBand>{band}</SourceBand>", f'      <SrcRect xOff="0" yOff="0" xSize="{w}" ySize="{h}"/>', f'      <DstRect xOff="{x}" yOff="{y}" xSize="{w}" ySize="{h}"/>', f"      <NODATA>{nodata}</NODATA>", "    </ComplexSource>"]
-        out.append("  </VRTRasterBand>")
-    return "\n".join([*out, "</VRTDataset>"])
-
-
-def save(text: str | dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text if isinstance(text, str) else json.dumps(text, indent=2))
+            yield "    <ComplexSource>"
+            yield f'      <SourceFilename relativeToVRT="{0 if r["location"].startswith("/") or "://" in r["location"] else 1}">{escape(r["location"])}</SourceFilename>'
+            yield f"      <SourceBand>{band}</SourceBand>"
+            yield f'      <SrcRect xOff="0" yOff="0" {size}/>'
+            yield f'      <DstRect xOff="{x}" yOff="{y}" {size}/>'
+            yield f"      <NODATA>{nodata}</NODATA>"
+            yield "    </ComplexSource>"
+        yield "  </VRTRasterBand>"
+    yield "</VRTDataset>"
+
+
+def write_lines(lines: Iterator[str], path: str) -> None:
+    """A document as a stream; it appears when it is whole."""
+    from gridloom.sources.sinks import file_system, put_in_place
+
+    fs, at = file_system(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(f"{at}.part", compression=None) as out:
+        for line in lines:
+            out.write(line.encode() + b"\n")
+    put_in_place(fs, f"{at}.part", at)
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """An index that `write_geojson` wrote, as `zoom_index` gives it."""
+    point = "array<array<array<double>>>"
+    shape = f"type string, geometry struct<type:string,coordinates:{point}>, properties struct<tile_id:string,zoom:int,row:int,col:int,location:string>"
+    df = spark.read.schema(shape).json(path)
+    ring = F.col("geometry.coordinates")[0]
+    box = F.struct(ring[0][0].alias("left"), ring[0][1].alias("bottom"), ring[2][0].alias("right"), ring[2][1].alias("top"))
+    return df.select("properties.*", box.alias("box"))

@@ -222,6 +222,30 @@ def listing(spark: SparkSession, path: str, pattern: str = "*", checksums: bool
     return files.select(*cols, *([F.sha2("content", 256).alias("sha256")] if checksums else []))
 
 
+def copied(names: DataFrame, source: str, target: str) -> DataFrame:
+    """name and bytes of files that tasks copy from one folder to another, as streams, when this is run; each appears when it is whole."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        from gridloom.sources.sinks import file_system, put_in_place
+
+        for batch in batches:
+            sizes = []
+            for name in batch.column(0).to_pylist():
+                (a, x), (b, y) = file_system(f"{source.rstrip('/')}/{name}"), file_system(f"{target.rstrip('/')}/{name}")
+                b.create_dir(y.rpartition("/")[0], recursive=True)
+                n, part = 0, f"{y}.{uuid.uuid4().hex}.part"
+                with a.open_input_stream(x, compression=None) as stream, b.open_output_stream(part, compression=None) as out:
+                    while data := stream.read(8 << 20):
+                        out.write(data)
+                        n += len(data)
+                put_in_place(b, part, y)
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return stored(names.select("name").mapInArrow(run, "name string, bytes long"), "copied")
+
+
 def stem(path):
     """The file's name without folder and suffix, as a column."""
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")

@@ -167,13 +167,27 @@ def file_system(place: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(place if "://" in place else place if place.startswith("file:") else "file://" + urllib.parse.quote(place))
 
 
+def put_in_place(fs: pafs.FileSystem, part: str, at: str) -> None:
+    """A file that is whole gets its name. On a local disk Hadoop keeps a checksum beside files that it wrote; that of a file replaced here goes."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        _forget_checksum(fs, at)
+    fs.move(part, at)
+
+
+def _forget_checksum(fs: pafs.FileSystem, at: str) -> None:
+    folder, _, name = at.rpartition("/")
+    beside = f"{folder}/.{name}.crc"
+    if fs.get_file_info(beside).type == pafs.FileType.File:
+        fs.delete_file(beside)
+
+
 def save_whole(place: str, content: bytes) -> None:
     fs, at = file_system(place)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     part = f"{at}.{np.random.default_rng().integers(1 << 62)}.part"
     with fs.open_output_stream(part, compression=None) as out:
         out.write(content)
-    fs.move(part, at)
+    put_in_place(fs, part, at)
 
 
 def delete(place: str) -> bool:
@@ -182,6 +196,8 @@ def delete(place: str) -> bool:
     there = fs.get_file_info(at).type == pafs.FileType.File
     if there:
         fs.delete_file(at)
+        if isinstance(fs, pafs.LocalFileSystem):
+            _forget_checksum(fs, at)
     return there
 
 
@@ -308,7 +324,7 @@ def write_single(packed: DataFrame, path: str, pyramid: Pyramid, zoom: int, dtyp
             with fs.open_input_stream(file_system(part)[1], compression=None) as stream:
                 while data := stream.read(8 << 20):
                     out.write(data)
-    fs.move(f"{at}.part", at)
+    put_in_place(fs, f"{at}.part", at)
     Location(parts, spark).rm(True)
 
 

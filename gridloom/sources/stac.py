@@ -11,9 +11,14 @@ from gridloom.functions.bounds import Bounds
 from gridloom.functions.pyramid import GRIDS, Grid, Pyramid, scale_denominator
 from gridloom.functions.zooms import ZoomLevels
 
-#: OGC's names of the two grids, and metres of a unit.
-MATRIX_SETS = {"geodetic": "http://www.opengis.net/def/tilematrixset/OGC/1.0/WorldCRS84Quad", "mercator": "http://www.opengis.net/def/tilematrixset/OGC/1.0/WebMercatorQuad"}
+#: OGC's names of the two grids: identifier, title, supported projection, scale set.
+MATRIX_SETS = {
+    "geodetic": ("WorldCRS84Quad", "CRS84 for the World", "http://www.opengis.net/def/crs/OGC/1.3/CRS84", "http://www.opengis.net/def/wkss/OGC/1.0/GoogleCRS84Quad"),
+    "mercator": ("WebMercatorQuad", "Google Maps Compatible for the World", "http://www.opengis.net/def/crs/EPSG/0/3857", "http://www.opengis.net/def/wkss/OGC/1.0/GoogleMapsCompatible"),
+}
+#: Metres of a projection's unit, and media types of tiles.
 UNIT = {"EPSG:4326": 111319.49079327358, "EPSG:3857": 1.0}
+MEDIA = {"tif": "image/tiff; application=geotiff", "png": "image/png", "geojson": "application/geo+json", "parquet": "application/vnd.apache.parquet"}
 EXTENSIONS = ["https://stac-extensions.github.io/tiled-assets/v1.0.0/schema.json", "https://stac-extensions.github.io/eo/v1.1.0/schema.json"]
 
 
@@ -30,7 +35,23 @@ def timestamp(value: str | datetime | None) -> str | None:
     return value.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def item(item_id: str, tiles: DataFrame, pyramid: Pyramid, base: str, extension: str = "parquet", media_type: str = "application/vnd.apache.parquet", metadata: dict | None = None, bands: list[dict] | None = None, schema: str = "{TileMatrix}/{TileRow}/{TileCol}") -> dict:
+def matrix_set(pyramid: Pyramid, zooms: list[int]) -> dict:
+    """A pyramid's zooms as a tile matrix set, by the names of OGC's schema."""
+    g = pyramid.grid
+    epsg = f"http://www.opengis.net/def/crs/EPSG/0/{g.crs.rpartition(':')[2]}"
+    known = MATRIX_SETS.get(g.name)
+    span = pyramid.tile_size * pyramid.metatiling
+    unit = UNIT.get(g.crs, 1.0)
+    matrices = [
+        {"type": "TileMatrixType", "identifier": str(z), "scaleDenominator": scale_denominator(pyramid.pixel_size(z), unit), "topLeftCorner": [g.left, g.top], "tileWidth": span, "tileHeight": span, "matrixWidth": pyramid.matrix_width(z), "matrixHeight": pyramid.matrix_height(z)}
+        for z in zooms
+    ]
+    box = {"type": "BoundingBoxType", "crs": known[2] if known else epsg, "lowerCorner": [g.left, g.bottom], "upperCorner": [g.right, g.top]}
+    named = {"identifier": known[0], "title": known[1], "supportedCRS": known[2], "wellKnownScaleSet": known[3]} if known else {"identifier": g.name, "supportedCRS": epsg}
+    return {"type": "TileMatrixSetType", **named, "boundingBox": box, "tileMatrix": matrices}
+
+
+def item(item_id: str, tiles: DataFrame, pyramid: Pyramid, base: str, extension: str = "parquet", media_type: str | None = None, metadata: dict | None = None, bands: list[dict] | None = None, schema: str = "{TileMatrix}/{TileRow}/{TileCol}") -> dict:
     """A STAC item with the tiled-assets extension. What comes to the driver is one row for each zoom."""
     metadata = dict(metadata or {})
     limits = sorted(tile_limits(tiles).collect(), key=lambda r: r["zoom"])
@@ -39,21 +60,17 @@ def item(item_id: str, tiles: DataFrame, pyramid: Pyramid, base: str, extension:
     last = limits[-1]
     box = pyramid.tile_bounds(last["zoom"], last["min_row"], last["min_col"], 0) + pyramid.tile_bounds(last["zoom"], last["max_row"], last["max_col"], 0)
     latlon = box.latlon() if pyramid.grid.crs == "EPSG:3857" else Bounds(*box)
-    unit = UNIT.get(pyramid.grid.crs, 1.0)
-    span = pyramid.tile_size * pyramid.metatiling
-    matrices = [
-        {"id": str(r["zoom"]), "cellSize": pyramid.pixel_size(r["zoom"]), "scaleDenominator": scale_denominator(pyramid.pixel_size(r["zoom"]), unit), "pointOfOrigin": [pyramid.grid.left, pyramid.grid.top], "tileWidth": span, "tileHeight": span, "matrixWidth": pyramid.matrix_width(r["zoom"]), "matrixHeight": pyramid.matrix_height(r["zoom"])}
-        for r in limits
-    ]
-    asset = {"href": f"{base}/{schema}.{extension}", "type": media_type, **({"eo:bands": bands} if bands else {})}
+    own = matrix_set(pyramid, [r["zoom"] for r in limits])
+    asset = {"href": f"{base}/{schema}.{extension}", "type": media_type or MEDIA[extension], **({"eo:bands": bands} if bands else {})}
     start, end = timestamp(metadata.pop("start_datetime", None)), timestamp(metadata.pop("end_datetime", None))
     when = timestamp(metadata.pop("datetime", None)) if not (start and end) else None
+    name = own["identifier"]
     properties = {
         **metadata,
         "datetime": when or (None if start and end else timestamp(datetime.now(timezone.utc))),
         **({"start_datetime": start, "end_datetime": end} if start and end else {}),
-        "tiles:tile_matrix_links": {pyramid.grid.name: {"url": f"#{pyramid.grid.name}", "limits": {str(r["zoom"]): {"min_tile_col": r["min_col"], "max_tile_col": r["max_col"], "min_tile_row": r["min_row"], "max_tile_row": r["max_row"]} for r in limits}}},
-        "tiles:tile_matrix_sets": {pyramid.grid.name: {"id": pyramid.grid.name, "title": pyramid.grid.name, "supportedCRS": pyramid.grid.crs, "wellKnownScaleSet": MATRIX_SETS.get(pyramid.grid.name), "boundingBox": list(pyramid.grid.bounds), "tileMatrices": matrices, "tile_size": pyramid.tile_size, "metatiling": pyramid.metatiling}},
+        "tiles:tile_matrix_links": {name: {"url": f"#{name}", "limits": {str(r["zoom"]): {"min_tile_col": r["min_col"], "max_tile_col": r["max_col"], "min_tile_row": r["min_row"], "max_tile_row": r["max_row"]} for r in limits}}},
+        "tiles:tile_matrix_sets": {name: own},
     }
     return {"type": "Feature", "stac_version": "1.0.0", "stac_extensions": EXTENSIONS[: 1 + bool(bands)], "id": item_id, "bbox": list(latlon), "geometry": {"type": "Polygon", "coordinates": [[list(p) for p in latlon.ring]]}, "properties": properties, "asset_templates": {"bands": asset}, "assets": {}, "links": []}
 
@@ -71,8 +88,8 @@ def updated(old: dict, new: dict) -> dict:
     out["properties"]["tiles:tile_matrix_links"] = links
     sets = {}
     for name, own in new["properties"]["tiles:tile_matrix_sets"].items():
-        both = {m["id"]: m for m in [*old["properties"]["tiles:tile_matrix_sets"].get(name, {}).get("tileMatrices", []), *own["tileMatrices"]]}
-        sets[name] = {**own, "tileMatrices": [both[k] for k in sorted(both, key=int)]}
+        both = {m["identifier"]: m for m in [*old["properties"]["tiles:tile_matrix_sets"].get(name, {}).get("tileMatrix", []), *own["tileMatrix"]]}
+        sets[name] = {**own, "tileMatrix": [both[k] for k in sorted(both, key=int)]}
     out["properties"]["tiles:tile_matrix_sets"] = sets
     out["bbox"] = list(Bounds(*old["bbox"]) + Bounds(*new["bbox"]))
     out["geometry"] = {"type": "Polygon", "coordinates": [[list(p) for p in Bounds(*out["bbox"]).ring]]}
@@ -80,15 +97,21 @@ def updated(old: dict, new: dict) -> dict:
 
 
 def pyramid_of(found: dict) -> Pyramid:
-    """The pyramid that an item describes."""
-    name, own = next(iter(found["properties"]["tiles:tile_matrix_sets"].items()))
-    size = {"tile_size": own.get("tile_size", 256), "metatiling": own.get("metatiling", 1)}
-    if name in GRIDS:
-        return Pyramid(GRIDS[name], **size)
-    first = own["tileMatrices"][0]
-    z = int(first["id"])
-    scale = 2**z / size["metatiling"]
-    return Pyramid(Grid(name, *own["boundingBox"], max(1, round(first["matrixHeight"] / scale)), max(1, round(first["matrixWidth"] / scale)), own["supportedCRS"]), **size)
+    """The pyramid that an item describes. Metatiles show in a matrix that is narrower than the grid's own; of a grid that isn't known they are taken for tiles."""
+    own = next(iter(found["properties"]["tiles:tile_matrix_sets"].values()))
+    last = own["tileMatrix"][-1]
+    z = int(last["identifier"])
+    for name, known in MATRIX_SETS.items():
+        if own.get("identifier") == known[0] or own.get("wellKnownScaleSet") == known[3]:
+            grid = GRIDS[name]
+            metatiling = 1
+            while metatiling < 256 and -(-grid.cols * 2**z // metatiling) > last["matrixWidth"]:
+                metatiling *= 2
+            return Pyramid(grid, tile_size=last["tileWidth"] // metatiling, metatiling=metatiling)
+    box = own["boundingBox"]
+    rows, cols = (max(1, round(last[k] / 2**z)) for k in ("matrixHeight", "matrixWidth"))
+    crs = f"EPSG:{own['supportedCRS'].replace('::', '/').rpartition('/')[2]}"
+    return Pyramid(Grid(own["identifier"], *box["lowerCorner"], *box["upperCorner"], rows, cols, crs), tile_size=last["tileWidth"])
 
 
 def zooms_of(found: dict) -> ZoomLevels:
