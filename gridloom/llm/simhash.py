@@ -217,7 +217,7 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(as_bytes(F.col("text")).alias("_text")).distinct()
     grams = row_map(some, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], [])
     counts = grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
-    return np.array([r["g"] for r in counts.orderBy(F.desc("n"), "g").limit(MOST_COMMON).collect()][::-1], dtype=np.int64)
+    return counts.orderBy(F.desc("n"), "g").limit(MOST_COMMON).select("g").toPandas()["g"].to_numpy(dtype=np.int64)[::-1].copy()
 
 
 _PROFILE = ["fp", "node", "n", "prefix", "bits", "whole"]
@@ -321,8 +321,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
         if crowds.isEmpty():
             break
         if sets is None:
-            sets = sets_of(docs, nodes, rows.join(crowds.select("token"), "token", "left_semi").select("node").distinct(), size)
-        some = staged(compared(staged(possible(rows.select("token", *own("a")).join(crowds, "token").where("a <> b")), "simhash-pairs"), nodes, permille), "simhash-compared")
+            # The rounds only look at texts in crowds, so what they compare is taken out of all texts once.
+            ends = staged(rows.join(crowds.select("token"), "token", "left_semi").select("node").distinct(), "simhash-ends")
+            inside = staged(nodes.select("node", "bits", "whole").join(ends, "node", "left_semi"), "simhash-inside")
+            sets = sets_of(docs, nodes, ends, size)
+        some = staged(compared(staged(possible(rows.select("token", *own("a")).join(crowds, "token").where("a <> b")), "simhash-pairs"), inside, permille), "simhash-compared")
         links = staged(some.where("sure").select("a", "b").unionByName(alike(some.where("NOT sure"), sets, permille)), "simhash-alike")
         if links.isEmpty():
             break
