@@ -6,8 +6,8 @@ Where that length reaches WINDOW, the last WINDOW words are a window of an item;
 for those WINDOW words tells which items. Items of fewer words are one window each and are recognised
 by the marks their states leave on the suffix links.
 
-The automaton is sent to all executors in blocks of at most ``block_words`` item words (one item at least), so
-that what is sent at once has a bound. With one block all is done in one pass without a shuffle. A larger
+The automaton is sent to all executors in blocks of at most ``block_words`` item words, so that what is sent at
+once has a bound; a longer item is cut into pieces that share all but one of a window's words. With one block all is done in one pass without a shuffle. A larger
 benchmark is checked block after block; each pass reads the texts and writes only the hits, which are few, and
 the hits of all blocks are joined to the documents by two hashes of the row.
 
@@ -173,15 +173,21 @@ def normalised(text: bytes | None) -> list[bytes]:
 
 
 def blocks(items: DataFrame, key: str, text: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[tuple[Automaton, bool]]:
-    """Automata of at most ``block_words`` item words each (one item at least), and whether each is the last; the items come to the driver one partition at a time."""
+    """Automata of at most ``block_words`` item words each, and whether each is the last; the items come to the driver one partition at a time.
+
+    A longer item goes in as pieces that share ``window`` - 1 words, so that each of its windows is whole in one of them.
+    """
+    most = max(block_words, window)
     held, n = Automaton(window), 0
     for row in items.select(F.col(f"`{key}`").cast("string"), as_bytes(F.col(f"`{text}`"))).toLocalIterator():
-        words = len(normalised(row[1]))
-        if n and words and n + words > block_words:
-            yield held.finish(), False
-            held, n = Automaton(window), 0
-        held.add(row[0] if row[0] is not None else "", bytes(row[1] or b""))
-        n += words
+        own = normalised(row[1])
+        for start in range(0, max(1, len(own) - window + 1), most - window + 1):
+            piece = own[start : start + most]
+            if n and piece and n + len(piece) > block_words:
+                yield held.finish(), False
+                held, n = Automaton(window), 0
+            held.add(row[0] if row[0] is not None else "", b" ".join(piece))
+            n += len(piece)
     yield held.finish(), True
 
 

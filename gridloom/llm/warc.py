@@ -37,7 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, fresh_path, staged, table, without
+from gridloom.llm.common import bounded_batches, drop, fresh_path, staged, staging, table, without
 
 CHUNK = 64 << 10
 FILE_BYTES = 64 << 20
@@ -279,7 +279,11 @@ def records(manifest: DataFrame) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return records(write(plan(pages), fresh_path(spark, "warc")))
+    folder = fresh_path(spark, "warc")
+    with staging(spark) as result:
+        found = result(records(write(plan(pages), folder)), "warc-records")
+    drop(spark, folder)
+    return found
 
 
 SQL = """
