@@ -204,9 +204,10 @@ def _(spark, sf):
     return polygons(spark, sf).withColumn("g", g).select("n_nationkey", F.col("g.rings")[0][0]["x"].alias("first_x"))
 
 
-@register("segmentize", "SELECT n_nationkey, 10 + 4 + 9 + 4 + 9 + 1 AS n_points FROM nation")
+@register("segmentize", f"WITH {BOX}, e(x0, y0, x1, y1) AS (VALUES (0e0, 0e0, 30e0, 0e0), (30e0, 0e0, 30e0, 10e0), (30e0, 10e0, 10e0, 25e0), (10e0, 25e0, 0e0, 25e0), (0e0, 25e0, 0e0, 0e0)), k AS (SELECT *, ceil(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / 3e0) AS n FROM e), p AS (SELECT x0 + (x1 - x0) * i / n AS x, y0 + (y1 - y0) * i / n AS y FROM k, range(100) t(i) WHERE i < n UNION ALL SELECT 0e0, 0e0) SELECT n_nationkey, count(*) AS n_points, round(sum(l + x), 6) AS x, round(sum(b + y), 6) AS y FROM box, p GROUP BY n_nationkey")
 def _(spark, sf):
-    return polygons(spark, sf).select("n_nationkey", F.size(G.points(G.segmentized(F.col("geom"), 3.0))).alias("n_points"))
+    df = polygons(spark, sf).select("n_nationkey", F.explode(G.points(G.segmentized(F.col("geom"), 3.0))).alias("p"))
+    return df.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n_points"), F.round(F.sum("p.x"), 6).alias("x"), F.round(F.sum("p.y"), 6).alias("y"))
 
 
 @register("reproject_mercator", f"WITH {BOX} SELECT n_nationkey, CAST(round(radians(l) * 6378137e0) AS BIGINT) AS x, CAST(round(ln(tan(0.7853981633974483e0 + radians(b) / 2e0)) * 6378137e0) AS BIGINT) AS y FROM box WHERE b > -85")
