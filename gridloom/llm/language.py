@@ -42,6 +42,8 @@ UNKNOWN = "und"
 UNIT = 1 << 16
 #: Bytes of text, trigrams and texts that are in work at once.
 SEGMENT, BLOCK, GROUPS = 256 << 10, 4096, 512
+#: Numbers of texts by trigrams that are counted at once.
+DENSE = 2 << 20
 
 
 @lru_cache(1)
@@ -104,13 +106,18 @@ def bind(points: np.ndarray, seed: int, size: int) -> np.ndarray:
 def bundle(group: np.ndarray, tri: np.ndarray, points: np.ndarray, groups: int, seed: int, size: int) -> np.ndarray:
     """Sum of the vectors of each group's trigrams, BLOCK trigrams at a time; sums of whole numbers, exact in float32 below 2**24."""
     out = np.zeros((groups, size), dtype=np.float32)
-    if len(points) > BLOCK:
-        order = np.argsort(tri, kind="stable")
-        group, tri = group[order], tri[order]
-    at = np.searchsorted(tri, np.arange(0, len(points) + BLOCK, BLOCK)) if len(points) > BLOCK else [0, len(tri)]
-    for i, (a, b) in enumerate(zip(at, at[1:])):
-        some = points[i * BLOCK : (i + 1) * BLOCK]
-        counts = np.bincount(group[a:b] * len(some) + tri[a:b] - i * BLOCK, minlength=groups * len(some)).reshape(groups, -1)
+    starts = range(0, len(points), BLOCK)
+    if groups * len(points) <= DENSE:
+        counts = np.bincount(group * len(points) + tri, minlength=groups * len(points)).reshape(groups, -1).astype(np.float32)
+        for a in starts:
+            out += counts[:, a : a + BLOCK] @ bind(points[a : a + BLOCK], seed, size).astype(np.float32)
+        return out
+    # Many texts with many different trigrams: their counts are made block by block, too.
+    order = np.argsort(tri, kind="stable")
+    group, tri = group[order], tri[order]
+    for a, i, j in zip(starts, *(np.searchsorted(tri, [s + d for s in starts]) for d in (0, BLOCK))):
+        some = points[a : a + BLOCK]
+        counts = np.bincount(group[i:j] * len(some) + tri[i:j] - a, minlength=groups * len(some)).reshape(groups, -1)
         out += counts.astype(np.float32) @ bind(some, seed, size).astype(np.float32)
     return out
 
@@ -141,7 +148,11 @@ def vectors(texts: list[bytes | None], seed: int, size: int) -> np.ndarray:
             end += 1
         points, own, tri = trigrams([s for _, s in todo[at:end]])
         if len(tri):
-            np.add.at(out, [i for i, _ in todo[at:end]], bundle(own, tri, points, end - at, seed, size))
+            of, found = [i for i, _ in todo[at:end]], bundle(own, tri, points, end - at, seed, size)
+            if len(set(of)) == len(of):
+                out[of] += found
+            else:
+                np.add.at(out, of, found)
         at = end
     return out
 
