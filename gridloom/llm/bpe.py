@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import as_bytes, bounded_batches, flat, long, row_map, table
+from gridloom.llm.common import as_bytes, bounded_batches, long, row_map, table
 
 #: Slices that a worker's cache holds before it is emptied (some 30 MB).
 CACHE_SLICES = 150_000

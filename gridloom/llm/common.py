@@ -129,10 +129,6 @@ def as_bytes(text: Column) -> Column:
     return text.cast("binary")
 
 
-def binary_values(column: pa.Array) -> list[bytes | None]:
-    return column.to_pylist()
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a binary column end to end, and its n + 1 offsets; nulls are empty."""
     column = column.fill_null(b"") if column.null_count else column
@@ -189,6 +185,3 @@ LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ
 #: The same, and every ASCII byte that is neither a digit nor a letter becomes a space.
 LOWER_ALNUM = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in LOWER)
 
-
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
