@@ -192,3 +192,27 @@ def test_command_line(spark, run, tmp_path, capsys):
     assert cli.main(["rm", str(tmp_path / "m"), "--zoom", "3", "--bounds=-179,46,-136,89"]) == 0 and "4 tiles" in capsys.readouterr().out
     assert cli.main(["cp", out, str(tmp_path / "m")]) == 0 and "4 tiles" in capsys.readouterr().out
     assert cli.main(["exists", f"{out}/none"]) == 1
+
+
+def test_path_operations(spark, tmp_path):
+    a = Location("s3://bucket/a/b/c.tif", spark)
+    assert str(a.with_suffix(".png")) == "s3://bucket/a/b/c.png" and str(a.without_suffix()) == "s3://bucket/a/b/c" and str(a.with_protocol("gs")) == "gs://bucket/a/b/c.tif"
+    assert str(Location("x/y.tif").absolute("/base")) == "/base/x/y.tif" and str(a.absolute("/base")) == str(a)
+    assert a.crop(2) == "b/c.tif"
+    folder = Location(str(tmp_path / "new/folder"), spark)
+    folder.makedirs()
+    (folder / "f.txt").write_text("x")
+    assert folder.is_directory() and (folder / "f.txt").last_modified() > 1_500_000_000
+
+
+def test_no_data_and_halos(spark):
+    df = spark.createDataFrame([([None, None],), ([None, 0.0],)], "pixels array<double>")
+    assert [r[0] for r in df.select(R.no_data(F.col("pixels"))).collect()] == [True, False]
+    long = spark.createDataFrame([(3, 1, c, 1, y, x, 1.0) for c in (0, 1) for y in range(4) for x in range(4)], "zoom int, row int, col int, band int, py int, px int, value double")
+    wide = R.halo(long, P4, 3, 1, 4)
+    assert wide.count() > 32 and R.without_halo(wide, 4).count() == 32
+
+
+def test_what_holds_at_a_zoom():
+    cfg = ProcessConfig.parse({"pyramid": {"grid": "geodetic"}, "zoom_levels": {"min": 0, "max": 5}, "output": {"format": "GTiff", "path": "x"}, "input": {"a": {"zoom<3": "low.tif", "zoom>=3": "high.tif"}}, "process_parameters": {"n": {"zoom<=1": 1, "zoom>1": 2}}})
+    assert cfg.raw_at(4)["input"] == {"a": "high.tif"} and cfg.raw_at(1)["process_parameters"] == {"n": 1}
