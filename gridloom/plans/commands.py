@@ -16,7 +16,7 @@ from gridloom.operators.tiles import KEYS
 from gridloom.plans.engine import Process, open_process
 from gridloom.sources import formats, readers, sinks
 from gridloom.sources import index as index_files
-from gridloom.sources.paths import Location, listing, pretty_bytes, stored
+from gridloom.sources.paths import Location, listing, pretty_bytes, stored, tidy
 
 
 def execute(spark: SparkSession, config, mode: str = "continue", zoom=None, bounds=None, tile: tuple[int, int, int] | None = None, retries: int = 0, observers=None) -> DataFrame | None:
@@ -50,6 +50,7 @@ def existing_within(spark: SparkSession, path: str, zoom=None, bounds: Bounds |
     return there
 
 
+@tidy
 def cp(spark: SparkSession, source: str, target: str, zoom=None, bounds=None, overwrite: bool = False) -> int:
     """Copy tiles that the target lacks (all with ``overwrite``) and the metadata; returns how many tiles."""
     meta = sinks.load_metadata(spark, source)
@@ -66,6 +67,7 @@ def cp(spark: SparkSession, source: str, target: str, zoom=None, bounds=None, ov
     return n
 
 
+@tidy
 def rm(spark: SparkSession, path: str, zoom=None, bounds=None) -> int:
     """Remove tiles; returns how many.
 
@@ -89,6 +91,7 @@ def rm(spark: SparkSession, path: str, zoom=None, bounds=None) -> int:
     return n
 
 
+@tidy
 def index(spark: SparkSession, path: str, out: str, kind: str = "GeoJSON", zoom: int | None = None, base: str = "") -> None:
     """An index of a tile directory's zooms: GeoJSON, TXT or VRT. A GeoJSON index that is there gets the tiles that it lacks."""
     meta = sinks.load_metadata(spark, path)
@@ -243,6 +246,7 @@ def serve(spark: SparkSession, config, port: int = 5000, mode: str = "continue")
     server(open_process(spark, config, mode), port).serve_forever()
 
 
+@tidy
 def sync(spark: SparkSession, source: str, target: str, compare: str = "length") -> int:
     """Copy the files under a folder that the target lacks, or that differ by ``compare`` (length or sha256); returns how many.
 

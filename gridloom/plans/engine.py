@@ -23,7 +23,7 @@ from gridloom.operators.tiles import KEYS
 from gridloom.operators.vector import reprojected
 from gridloom.plans.config import Mode, ProcessConfig, zooms_from
 from gridloom.sources import formats, readers, sinks, stac
-from gridloom.sources.paths import stored
+from gridloom.sources.paths import scratch, stored
 from gridloom.streaming.incremental import touched
 
 Observer = Callable[[str, dict], None]
@@ -241,6 +241,21 @@ class Process:
             return out
         sinks.write_metadata(self.spark, path, self.config.output_pyramid, {k: v for k, v in self.config.output.items() if k != "path"})
         self._tell("start", zooms=list(self.zooms))
+        with scratch(self.spark):
+            redo = self._base_levels()
+            if not vector and self.config.baselevels:
+                self._resampled(redo)
+        if self.config.output.get("stac"):
+            self.write_stac()
+        for boxes in self._boxes.values():
+            if boxes is not None:
+                boxes.unpersist()
+        self._boxes.clear()
+        self._tell("done")
+        return None
+
+    def _base_levels(self) -> DataFrame | None:
+        """Write the zooms of the function; the output tiles that were made, if any."""
         redo = None
         for zoom in sorted(self.base_levels, reverse=True):
             todo = self.process_tiles(zoom)
@@ -254,16 +269,7 @@ class Process:
             self.write(self.compute(zoom, todo), out_keys)
             redo = out_keys if redo is None else redo.unionByName(out_keys)
             self._tell("zoom", zoom=zoom)
-        if not vector and self.config.baselevels:
-            self._resampled(redo)
-        if self.config.output.get("stac"):
-            self.write_stac()
-        for boxes in self._boxes.values():
-            if boxes is not None:
-                boxes.unpersist()
-        self._boxes.clear()
-        self._tell("done")
-        return None
+        return redo
 
     def _long(self, zoom: int) -> DataFrame:
         return R.to_long(self.read(zoom).select(*KEYS, "band", "height", "width", "pixels"))

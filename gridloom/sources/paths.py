@@ -10,8 +10,9 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -205,9 +206,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a `work_path` and read again: it is made once, and no plan that follows has it within."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths of stored tables that are still there.
+_stored: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end: for code whose results are written by then."""
+    mark = len(_stored)
+    try:
+        yield
+    finally:
+        while len(_stored) > mark:
+            Location(_stored.pop(), spark).rm(True)
+
+
+def tidy(f):
+    """A function of a session that leaves no stored tables behind."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *args, **more):
+        with scratch(spark):
+            return f(spark, *args, **more)
+
+    return run
+
+
 @lru_cache(1)
 def _own_folder() -> str:
     folder = tempfile.mkdtemp(prefix="gridloom-")

@@ -216,3 +216,13 @@ def test_no_data_and_halos(spark):
 def test_what_holds_at_a_zoom():
     cfg = ProcessConfig.parse({"pyramid": {"grid": "geodetic"}, "zoom_levels": {"min": 0, "max": 5}, "output": {"format": "GTiff", "path": "x"}, "input": {"a": {"zoom<3": "low.tif", "zoom>=3": "high.tif"}}, "process_parameters": {"n": {"zoom<=1": 1, "zoom>1": 2}}})
     assert cfg.raw_at(4)["input"] == {"a": "high.tif"} and cfg.raw_at(1)["process_parameters"] == {"n": 1}
+
+
+def test_runs_and_commands_leave_nothing_stored(spark, run, tmp_path):
+    from gridloom.sources import paths
+
+    before = list(paths._stored)
+    open_process(spark, run.config, "overwrite").execute()
+    commands.cp(spark, run.config.output["path"], str(tmp_path / "c"))
+    commands.rm(spark, str(tmp_path / "c"), 3)
+    assert paths._stored == before
