@@ -40,7 +40,7 @@ KEEP_SHINGLE, KEEP_PERMILLE = 5, 800
 SAMPLE, MOST_COMMON = 16, 200_000
 #: Shingles up to which texts are compared by their sets at once.
 FEW = 128
-#: Texts with one shingle that are compared pair by pair at once, and rounds before all are.
+#: Texts with one shingle that are compared pair by pair at once, and rounds before all that are apart are.
 CROWD, ROUNDS = 32, 8
 
 
@@ -290,60 +290,71 @@ def alike(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -> DataFrame:
-    """a, b: links of fingerprints whose texts' sets of shingles have a Jaccard similarity of ``permille`` / 1000 or more.
+    """a, b: links of fingerprints whose texts' sets of shingles have a Jaccard similarity of ``permille`` / 1000 or more, enough to connect all that are linked.
 
     By prefix filtering: with all shingles in one order, rare ones first, two similar sets share one of their
-    first n - ceil(s n) + 1. Texts that share one are compared. A shingle that more than CROWD texts share is first
-    compared with one of them, which changes by round and is the same for all shingles that it has, so that a group
-    of near copies meets one text, not one for each shingle; of what is found similar only the text with the smallest
-    doc_id goes on, so a group of near copies isn't compared pair by pair. Hence of two similar texts one is
-    linked to a text of a smaller doc_id at least.
+    first n - ceil(s n) + 1. Texts that share one are compared unless links found before connect them. The texts of a
+    shingle that more than CROWD share are first compared with one of them, which changes by round and is the same for
+    all shingles that it has, so that a group of near copies meets one text, not one for each shingle, and is
+    connected without being compared pair by pair. After the rounds all pairs that are still apart are compared.
     """
     own = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")]
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "simhash-tokens")
-    rows = staged(rows.join(shared.hint("merge"), "token", "left_semi"), "simhash-shared")
+    shared = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token", (F.col("m") > CROWD).alias("crowd")), "simhash-tokens")
+    rows = staged(rows.join(shared.hint("merge"), "token"), "simhash-shared")
+    unstaged(shared)
+    # The rounds only go through the rows of crowds; ``root`` is the smallest node that a row's is connected with.
+    crowd = staged(rows.where("crowd").select("token", "node", "n", "at", F.col("node").alias("root")), "simhash-crowd")
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Of a, b with sizes and places of a shared shingle: those with shingles enough after it."""
+        """Of a, b with sizes and places of a shared shingle: those with shingles enough after it, the smaller first."""
         least = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-        return pairs.where(least * (1000 + permille) >= permille * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b").distinct()
+        enough = pairs.where(least * (1000 + permille) >= permille * (F.col("n_a") + F.col("n_b")))
+        n = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+        return enough.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), n("n_a", "n_b").alias("n_a"), n("n_b", "n_a").alias("n_b")).distinct()
 
-    def crowded_by(turn: int) -> DataFrame:
-        """Of the shingles that more than CROWD texts share the one text that the others are compared with."""
-        hub = F.min_by(F.struct("node", "n", "at"), F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"))).alias("hub")
-        by = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), hub).where(F.col("m") > CROWD)
-        return staged(by.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.at").alias("at_b")), "simhash-crowds")
-
-    found, sets = [], None
+    grouped, sets = None, None
     for turn in range(ROUNDS):
-        crowds = crowded_by(turn)
-        if crowds.isEmpty():
+        hub = F.min_by(F.struct("node", "n", "at", "root"), F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"))).alias("hub")
+        hubs = crowd.groupBy("token").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        hubs = staged(hubs.select("token", *[F.col(f"hub.{c}").alias(x) for c, x in zip(["node", "n", "at", "root"], ["b", "n_b", "at_b", "root_b"])]), "simhash-crowds")
+        if hubs.isEmpty():
             break
         if sets is None:
-            # The rounds only look at texts in crowds, so what they compare is taken out of all texts once.
-            ends = staged(rows.join(crowds.select("token"), "token", "left_semi").select("node").distinct(), "simhash-ends")
+            # What the rounds compare is taken out of all texts once.
+            ends = staged(crowd.join(hubs.select("token"), "token", "left_semi").select("node").distinct(), "simhash-ends")
             inside = staged(nodes.select("node", "bits", "whole").join(ends, "node", "left_semi"), "simhash-inside")
             sets = sets_of(docs, nodes, ends, size)
-        some = staged(compared(staged(possible(rows.select("token", *own("a")).join(crowds, "token").where("a <> b")), "simhash-pairs"), inside, permille), "simhash-compared")
+        pairs = staged(possible(crowd.select("token", *own("a"), F.col("root").alias("root_a")).join(hubs, "token").where("root_a <> root_b")), "simhash-pairs")
+        some = staged(compared(pairs, inside, permille), "simhash-compared")
         links = staged(some.where("sure").select("a", "b").unionByName(alike(some.where("NOT sure"), sets, permille)), "simhash-alike")
+        for done in (hubs, pairs, some):
+            unstaged(done)
         if links.isEmpty():
             break
-        found.append(links)
-        groups = staged(components(links), "simhash-groups").join(nodes.select("node", "d"), "node")
-        groups = staged(groups, "simhash-grouped")
-        stay = groups.groupBy("root").agg(F.min(F.struct("d", "node")).alias("s")).select(F.col("s.node").alias("node"))
-        rows = staged(rows.join(groups.select("node").join(stay, "node", "left_anti"), "node", "left_anti"), "simhash-shared")
-    rest = staged(possible(rows.select("token", *own("a")).join(rows.select("token", *own("b")), "token").where("a < b")), "simhash-pairs")
+        edges = links if grouped is None else links.unionAll(grouped.where("node <> root").select("node", "root"))
+        grouped, crowd, last = staged(components(edges), "simhash-groups"), crowd.drop("root"), crowd
+        crowd = staged(crowd.join(grouped, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")), "simhash-crowd")
+        unstaged(last)
+    # Of a crowd those outside its largest group meet all others: at most twice the pairs that are apart.
+    main = crowd.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    apart = staged(crowd.join(staged(main.where("roots > 1").select("token", "main"), "simhash-main"), "token"), "simhash-apart")
+    outside = apart.where("root <> main").select("token", *own("a"), F.col("root").alias("root_a"))
+    across = outside.join(apart.select("token", *own("b"), F.col("root").alias("root_b"), "main"), "token").where("root_a <> root_b AND (root_b = main OR a < b)")
+    few = rows.where("NOT crowd")
+    few = few.select("token", *own("a")).join(few.select("token", *own("b")), "token").where("a < b")
+    rest = staged(possible(few.drop("token").unionByName(across.select(few.drop("token").columns))), "simhash-pairs")
+    if grouped is not None:
+        root = lambda x: grouped.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a <> root_b, true)").select("a", "b", "n_a", "n_b")
     rest = staged(compared(rest, nodes, permille), "simhash-compared")
-    found.append(rest.where("sure").select("a", "b"))
+    edges = rest.where("sure").select("a", "b")
+    if grouped is not None:
+        edges = edges.unionAll(grouped.where("node <> root").select("node", "root"))
     unsure = rest.where("NOT sure")
     if not unsure.isEmpty():
         ends = staged(unsure.select(F.col("a").alias("node")).unionAll(unsure.select("b")).distinct(), "simhash-ends")
-        found.append(alike(unsure, sets_of(docs, nodes, ends, size), permille))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
+        edges = edges.unionByName(alike(unsure, sets_of(docs, nodes, ends, size), permille))
     fp = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
     return edges.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).where("a <> b")
 

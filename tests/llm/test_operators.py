@@ -436,3 +436,38 @@ def test_keep_finds_similar_texts(spark):
     got = {r["doc_id"] for r in simhash.keep(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).collect()}
     assert {i for i in range(40) if label[i] == i} == {i for i in got if i < 40}
     assert {i for i in range(40, 100) if label[i] == i} <= got and not any(a in got and b in got for a, b in near)
+
+
+def test_keep_follows_links_through_removed_texts(spark):
+    """Crowds whose texts are similar to some of the others only, as a chain and as copies of copies: full components, by all pairs."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+
+    def changed(base, n):
+        own = list(base)
+        for i in rng.sample(range(12, len(base)), n):
+            own[i] = word()
+        return own
+
+    lists = [[word() for _ in range(150)]]
+    for _ in range(59):
+        lists.append(changed(lists[-1], 2))
+    base = [word() for _ in range(150)]
+    inner = [changed(base, 1) for _ in range(40)]
+    lists += inner + [changed(x, 3) for x in inner[::2]]
+    lists += [inner[0][:12] + [word() for _ in range(100)] for _ in range(10)]
+    rng.shuffle(lists)
+    texts = [" ".join(x) for x in lists]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    fps = [brute_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS or near(a, b):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    apart = sum(label[a] == label[b] and not near(a, b) for b in range(len(texts)) for a in range(b))
+    assert apart > 100 and len(set(label)) == 12
+    got = sorted(r["doc_id"] for r in simhash.keep(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).collect())
+    assert got == sorted(set(label))
