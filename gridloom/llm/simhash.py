@@ -213,11 +213,24 @@ def parities(grams: np.ndarray) -> np.ndarray:
 
 
 def _common(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles that many texts of a sample have, the rarest first. They only order the shingles, so a miss costs time and no pair."""
+    """Shingles that many texts of a sample have, the rarest first. They only order the shingles, so a miss costs time and no pair.
+
+    The driver gets how many shingles have each count, then about MOST_COMMON shingles in all, whatever the number of partitions.
+    """
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(as_bytes(F.col("text")).alias("_text")).distinct()
     grams = row_map(some, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], [])
-    counts = grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
-    return counts.orderBy(F.desc("n"), "g").limit(MOST_COMMON).select("g").toPandas()["g"].to_numpy(dtype=np.int64)[::-1].copy()
+    counts = staged(grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 3"), "simhash-common")
+    room, chosen = MOST_COMMON, F.lit(False)
+    for n, k in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():
+        if k > room:
+            # Of the last count a part, by hashes.
+            chosen = (F.col("n") > n) | ((F.col("n") == n) & (F.pmod(F.xxhash64("g"), F.lit(k)) < room))
+            break
+        room, chosen = room - k, F.col("n") >= n
+    found = counts.where(chosen).toArrow()
+    unstaged(counts)
+    g, n = (found[c].to_numpy() for c in ("g", "n"))
+    return g[np.lexsort((g, n))]
 
 
 _PROFILE = ["fp", "node", "n", "prefix", "bits", "whole"]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, chat, decontaminate, language, lengths, quality, registry, sharding, simhash, warc
-from gridloom.llm.common import fresh_path
+from gridloom.llm.common import fresh_path, staging
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -471,3 +471,30 @@ def test_keep_follows_links_through_removed_texts(spark):
     assert apart > 100 and len(set(label)) == 12
     got = sorted(r["doc_id"] for r in simhash.keep(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).collect())
     assert got == sorted(set(label))
+
+
+def test_common_shingles_sent_to_the_driver(spark, monkeypatch):
+    """As many as wanted, not as many from each partition."""
+    texts = [" ".join(f"{p}{i}" for i in range(60_000)) + f" {c}" for p in "ab" for c in range(5 if p == "a" else 4)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    conf = spark.sparkContext._jsc.sc().conf()
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    most = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        often = set(simhash.shingle_hashes(texts[0].encode(), 5))
+        for wanted in (70_000, 20_000):
+            monkeypatch.setattr(simhash, "MOST_COMMON", wanted)
+            with staging(spark):
+                common = simhash._common(frame, 5)
+            assert abs(len(common) - wanted) < 1000 and len(set(common.tolist())) == len(common)
+            # Those of five texts come last, and before any of four.
+            assert {int(g) % (1 << 64) for g in common[-min(wanted - 1000, 59_000) :]} <= often
+    finally:
+        conf.set("spark.driver.maxResultSize", most)
+        for k, v in before.items():
+            spark.conf.set(k, v)
