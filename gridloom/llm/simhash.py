@@ -22,6 +22,8 @@ ignored, and `keep` returns all columns whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,6 +44,12 @@ SAMPLE, MOST_COMMON = 16, 200_000
 FEW = 128
 #: Texts with one shingle that are compared pair by pair at once, and rounds before all that are apart are.
 CROWD, ROUNDS = 32, 8
+#: Times that what is apart after the rounds is told apart by differences from a text, before all pairs left are compared.
+LEVELS = 4
+#: Pairs for each shingle of a crowd's texts that are compared without that.
+MANY = 2
+#: A shingle that more than one in so many members of a hub has is put last.
+OFTEN = 64
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -302,6 +310,87 @@ def alike(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
     return both.where(shared * (1000 + permille) >= permille * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def differences(members: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
+    """``members`` (hub, n_hub, main, node, n, root) with ``close``, whether node and hub are similar, and ``tokens``: of the
+    shingles that only one of them has, those of which another member must share one if it is similar; a written table.
+
+    Let D be these shingles of a text, frequent ones of the hub's members last, and T = c (n_a + n_b) the most by which
+    similar texts a, b differ: D_a and D_b share (|D_a| + |D_b| - T) / 2 or more. If both are close to the hub, they are
+    connected. Else one, say a, isn't: |D_a| > c (n_a + n_hub), so they share more than (|D_b| + c (n_hub - n_b)) / 2,
+    and in any case |D| - T of each. By prefix filtering, one of the first ``probes`` of D_a is one of the first ``indexes`` of D_b.
+    """
+    hubs = staged(members.select("hub").distinct().join(sets.select(F.col("node").alias("hub"), F.col("grams").alias("of_hub")), "hub"), "simhash-hubs")
+    df = members.join(sets, "node").join(hubs, "hub")
+    df = df.withColumn("differ", F.concat(F.array_except("grams", "of_hub"), F.array_except("of_hub", "grams"))).drop("grams", "of_hub")
+    d, less, more = F.size("differ"), 1000 - permille, 1000 + permille
+    close = d * more <= less * (F.col("n") + F.col("n_hub"))
+    # No text similar to one of n shingles differs from it in more than this.
+    most = F.floor(less * F.col("n") / permille).cast("int")
+    shared = F.floor((d * more + less * (F.col("n_hub") - F.col("n"))) / (2 * more)).cast("int") + 1
+    probes = F.when((F.col("root") != F.col("main")) & ~close, d - F.greatest(F.lit(1), d - most) + 1).otherwise(0)
+    df = df.select(*members.columns, "differ", d.alias("far"), close.alias("close"), probes.alias("probes"), (d - F.greatest(F.lit(1), d - most, shared) + 1).alias("indexes"))
+    df = staged(df, "simhash-differences")
+    # Shingles of a part of the members, so that a hub has only a bounded number for each shingle of a difference.
+    counts = df.select("hub", F.explode("differ").alias("g")).groupBy("hub", "g").agg(F.count(F.lit(1)).alias("m"))
+    often = counts.join(df.groupBy("hub").agg(F.count(F.lit(1)).alias("all")), "hub").where(F.col("m") * OFTEN > F.col("all"))
+    often = often.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("m", "g"))).alias("often")).select("hub", F.col("often.g").alias("often"))
+    # The order is one for all members of a hub: by value, then those by their number.
+    df = df.join(staged(often, "simhash-often"), "hub", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
+    ordered = F.concat(F.array_except("differ", "often"), F.array_intersect("often", "differ"))
+    return staged(df.withColumn("tokens", F.slice(ordered, F.lit(1), F.greatest("probes", "indexes"))).drop("differ", "often"), "simhash-differences")
+
+
+def apart_pairs(crowd: DataFrame, sets: DataFrame, permille: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of pairs (a, b with sizes and places of a shared shingle) to compare, and of links (a, b): of ``crowd`` (token,
+    node, n, at, root) all that are similar and have different roots are among the pairs or connected by the links.
+
+    Of a crowd those outside its largest group must meet all others. Where that makes more than MANY pairs for each
+    shingle of the texts, all are set against one text of the largest group instead, and what differs from it takes the place of the
+    texts: near copies differ from it in few shingles, and two that aren't near it must share more than half of one's.
+    Shingles of these differences that are again too frequent are treated the same with a text that has them.
+    """
+    pairs, links = [], []
+    # The text with most shingles in crowds has fewest of its own; after that the one that differs least.
+    far = crowd.groupBy("node").agg((-F.count(F.lit(1))).cast("int").alias("far"))
+    crowd = crowd.join(far, "node").withColumn("probe", F.lit(None).cast("boolean")).withColumn("index", F.lit(True))
+    # Of so many shingles or differences, those from the shared one on.
+    crowd = crowd.withColumn("size", F.col("n")).withColumn("left", F.col("n") - F.col("at")).drop("at")
+    side = lambda x, *more: [F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ["node", "n", "size", "left", "root", *more]]
+    for level in range(LEVELS):
+        roots = crowd.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
+        main = staged(roots.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "main"), "simhash-main")
+        apart = staged(crowd.join(main, "token").withColumn("probe", F.coalesce("probe", F.col("root") != F.col("main"))), "simhash-apart")
+        wide = None
+        if level < LEVELS - 1:
+            hubs = apart.where("root = main").groupBy("token").agg(F.min_by(F.struct("node", "n"), F.struct("far", "node")).alias("hub"))
+            counts = apart.groupBy("token").agg((F.count_if("probe") * F.count_if("index")).alias("pairs"))
+            hubs = staged(hubs.join(counts, "token").select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"), "pairs"), "simhash-hubs")
+            members = staged(apart.join(hubs, "token").select("hub", "n_hub", "main", "node", "n", "root").distinct(), "simhash-members")
+            wide = hubs.groupBy("hub").agg(F.sum("pairs").alias("pairs")).join(members.groupBy("hub").agg(F.sum("n").alias("n")), "hub")
+            wide = staged(wide.where(F.col("pairs") > MANY * F.col("n")).select("hub"), "simhash-wide")
+            if wide.isEmpty():
+                wide = None
+            else:
+                apart = staged(apart.join(hubs.join(wide, "hub", "left_anti").select("token"), "token", "left_semi"), "simhash-apart")
+        # Pairs that would come both ways come once, and only where enough is left to share.
+        across = apart.where("probe").select("token", *side("a", "index")).join(apart.where("index").select("token", *side("b", "probe")), "token")
+        across = across.where("root_a <> root_b AND NOT (index_a AND probe_b AND a > b)")
+        across = across.where(F.least("left_a", "left_b") * 2 * (1000 + permille) >= (F.col("size_a") + F.col("size_b")) * (1000 + permille) - (F.col("n_a") + F.col("n_b")) * (1000 - permille))
+        pairs.append(across.select("a", "n_a", F.lit(0).alias("at_a"), "b", "n_b", F.lit(0).alias("at_b")))
+        if wide is None:
+            break
+        found = differences(members.join(wide, "hub", "left_semi"), sets, permille)
+        links.append(found.where("close AND root <> main").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        root = F.when(F.col("close"), F.col("main")).otherwise(F.col("root")).alias("root")
+        rows = found.select("hub", "node", "n", root, "far", "probes", "indexes", F.posexplode("tokens").alias("place", "gram"))
+        place = F.col("place")
+        rows = staged(rows.select(F.xxhash64("hub", "gram").alias("token"), "node", "n", F.col("far").alias("size"), (F.col("far") - place).alias("left"), "root", "far", (place < F.col("probes")).alias("probe"), (place < F.col("indexes")).alias("index")), "simhash-rows")
+        both = rows.groupBy("token").agg(F.max("probe").alias("p"), F.max("index").alias("i"), F.min("root").alias("low"), F.max("root").alias("high")).where("p AND i AND low <> high")
+        crowd = staged(rows.join(both.select("token").hint("merge"), "token"), "simhash-crowd")
+        unstaged(rows)
+    return pairs, links
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -> DataFrame:
     """a, b: links of fingerprints whose texts' sets of shingles have a Jaccard similarity of ``permille`` / 1000 or more, enough to connect all that are linked.
 
@@ -309,7 +398,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
     first n - ceil(s n) + 1. Texts that share one are compared unless links found before connect them. The texts of a
     shingle that more than CROWD share are first compared with one of them, which changes by round and is the same for
     all shingles that it has, so that a group of near copies meets one text, not one for each shingle, and is
-    connected without being compared pair by pair. After the rounds all pairs that are still apart are compared.
+    connected without being compared pair by pair. After the rounds all pairs that are still apart are compared, of
+    large crowds those that `apart_pairs` leaves.
     """
     own = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")]
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
@@ -349,19 +439,15 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
         grouped, crowd, last = staged(components(edges), "simhash-groups"), crowd.drop("root"), crowd
         crowd = staged(crowd.join(grouped, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")), "simhash-crowd")
         unstaged(last)
-    # Of a crowd those outside its largest group meet all others: at most twice the pairs that are apart.
-    main = crowd.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    apart = staged(crowd.join(staged(main.where("roots > 1").select("token", "main"), "simhash-main"), "token"), "simhash-apart")
-    outside = apart.where("root <> main").select("token", *own("a"), F.col("root").alias("root_a"))
-    across = outside.join(apart.select("token", *own("b"), F.col("root").alias("root_b"), "main"), "token").where("root_a <> root_b AND (root_b = main OR a < b)")
+    met, near = ([], []) if sets is None else apart_pairs(crowd, sets, permille)
     few = rows.where("NOT crowd")
     few = few.select("token", *own("a")).join(few.select("token", *own("b")), "token").where("a < b")
-    rest = staged(possible(few.drop("token").unionByName(across.select(few.drop("token").columns))), "simhash-pairs")
+    rest = staged(possible(reduce(DataFrame.unionByName, met, few.drop("token"))), "simhash-pairs")
     if grouped is not None:
         root = lambda x: grouped.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a <> root_b, true)").select("a", "b", "n_a", "n_b")
     rest = staged(compared(rest, nodes, permille), "simhash-compared")
-    edges = rest.where("sure").select("a", "b")
+    edges = reduce(DataFrame.unionByName, near, rest.where("sure").select("a", "b"))
     if grouped is not None:
         edges = edges.unionAll(grouped.where("node <> root").select("node", "root"))
     unsure = rest.where("NOT sure")

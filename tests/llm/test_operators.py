@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import accumulate
 
 import duckdb
@@ -473,6 +474,52 @@ def test_keep_follows_links_through_removed_texts(spark):
     assert got == sorted(set(label))
 
 
+@pytest.mark.parametrize("many", [None, 0])
+def test_keep_of_a_large_group_compares_few_pairs(spark, monkeypatch, many):
+    """Near copies of one text, some too far from it and from most others: full components by all pairs, without a comparison of each with each."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+
+    def changed(base, n):
+        own = list(base)
+        for i in rng.sample(range(12, len(base)), n):
+            own[i] = word()
+        return own
+
+    base = [word() for _ in range(150)]
+    lists = [changed(base, rng.randrange(1, 4)) for _ in range(300)]
+    far = [changed(base, rng.randrange(5, 12)) for _ in range(250)]
+    other = changed(base, 6)
+    far += [changed(other, rng.randrange(4, 8)) for _ in range(100)]
+    lists += far + [changed(x, rng.randrange(1, 6)) for x in far[::5]]
+    rng.shuffle(lists)
+    texts = [" ".join(x) for x in lists]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    fps = [brute_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if label[a] != label[b] and ((fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    sizes = Counter(label).values()
+    assert len(sizes) > 150 and max(sizes) > 250 and sum(n > 1 for n in sizes) > 30
+    made, compared = [], simhash.compared
+
+    def counted(pairs, nodes, permille):
+        made.append(pairs.count())
+        return compared(pairs, nodes, permille)
+
+    monkeypatch.setattr(simhash, "compared", counted)
+    if many is not None:
+        # All levels, however few the pairs.
+        monkeypatch.setattr(simhash, "MANY", many)
+    got = sorted(r["doc_id"] for r in simhash.keep(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).collect())
+    assert got == sorted(set(label))
+    # All pairs of different components are over 50,000.
+    assert sum(made) < 20 * len(texts)
+
+
 def test_common_shingles_sent_to_the_driver(spark, monkeypatch):
     """As many as wanted, not as many from each partition."""
     texts = [" ".join(f"{p}{i}" for i in range(60_000)) + f" {c}" for p in "ab" for c in range(5 if p == "a" else 4)]
