@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, chat, decontaminate, language, lengths, licenses, quality, sharding, simhash, warc
+from gridloom.llm import alignment, bpe, chat, decontaminate, language, lengths, licenses, lines, quality, sharding, simhash, spelling, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_token_lengths": lengths.op8_token_lengths,
         "op9_simhash": simhash.op9_simhash,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_alignment": alignment.op12_alignment,
+        "op13_line_dedup": lines.op13_line_dedup,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": decontaminate.SQL,
         "op5_warc": warc.SQL,
         "op7_chat_snapshots": chat.SQL,
+        "op13_line_dedup": lines.SQL,
     }
