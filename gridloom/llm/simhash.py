@@ -50,6 +50,8 @@ LEVELS = 4
 MANY = 2
 #: A shingle that more than one in so many members of a hub has is put last.
 OFTEN = 64
+#: Shingles, and texts, that are shuffled are taken in so many parts, one after the other, so that only one part is on disk at a time.
+SLICES = 8
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -155,7 +157,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: for each node of the edges (a, b) the smallest node it is connected with.
+    """node, root: for each node of the edges (a, b) the smallest node it is connected with; a written table.
 
     Alternates large-star and small-star steps until every node hangs on a root, which takes a number of
     rounds logarithmic in a component's size. Each round's tables are written and reread, so that no lineage
@@ -166,11 +168,22 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every neighbour that is larger than u goes to the smallest in u's neighbourhood.
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-low")
-        e = staged(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components-large")
+        large = staged(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components-large")
+        discard(low, e)
         # Small star: u and its smaller neighbours go to the smallest of them.
-        low = staged(e.groupBy("u").agg(F.min("v").alias("m")), "components-low")
-        e = staged(e.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components-small")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "components-low")
+        e = staged(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components-small")
+        discard(low, large)
+    out = staged(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components-roots")
+    discard(e)
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read again."""
+    for t in tables:
+        if t is not None:
+            unstaged(t)
 
 
 def _is_forest_of_stars(e: DataFrame) -> bool:
@@ -189,11 +202,13 @@ def classes(marked: DataFrame, key: str = "doc_id", more: DataFrame | None = Non
     """
     fps = staged(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-fps")
     found = links(fps.select("fp"))
-    roots = staged(components(found if more is None else found.unionByName(more)), "simhash-roots")
+    roots = components(found if more is None else found.unionByName(more))
     joined = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = staged(joined, "simhash-joined")
+    discard(fps, roots)
     named = staged(joined.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     of = staged(joined.join(named, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "simhash-of")
+    discard(joined, named)
     return without(marked, "component_id", "root").join(of, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
@@ -295,11 +310,16 @@ def compared(pairs: DataFrame, nodes: DataFrame, permille: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, size: int) -> DataFrame:
-    """node, grams: the sets of shingles of the nodes in ``ends``, from their texts; a written table."""
-    at = nodes.select("node", "_k1", "_k2").join(ends, "node", "left_semi")
-    texts = docs.select("_k1", "_k2", as_bytes(F.col("text")).alias("_text")).join(at, ["_k1", "_k2"])
-    sets = row_map(texts, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], ["node"])
-    return staged(sets.dropDuplicates(["node"]), "simhash-sets")
+    """node, grams: the sets of shingles of the nodes in ``ends``, from their texts; written tables. The texts move in SLICES parts."""
+    at = staged(nodes.select("node", "_k1", "_k2").join(ends, "node", "left_semi"), "simhash-at")
+    parts = []
+    for i in range(SLICES):
+        mine = F.pmod("_k1", F.lit(SLICES)) == i
+        texts = docs.where(mine).select("_k1", "_k2", as_bytes(F.col("text")).alias("_text")).join(at.where(mine), ["_k1", "_k2"])
+        sets = row_map(texts, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], ["node"])
+        parts.append(staged(sets.dropDuplicates(["node"]), "simhash-sets"))
+    discard(at)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
@@ -330,14 +350,18 @@ def differences(members: DataFrame, sets: DataFrame, permille: int) -> DataFrame
     probes = F.when((F.col("root") != F.col("main")) & ~close, d - F.greatest(F.lit(1), d - most) + 1).otherwise(0)
     df = df.select(*members.columns, "differ", d.alias("far"), close.alias("close"), probes.alias("probes"), (d - F.greatest(F.lit(1), d - most, shared) + 1).alias("indexes"))
     df = staged(df, "simhash-differences")
+    discard(hubs)
     # Shingles of a part of the members, so that a hub has only a bounded number for each shingle of a difference.
     counts = df.select("hub", F.explode("differ").alias("g")).groupBy("hub", "g").agg(F.count(F.lit(1)).alias("m"))
     often = counts.join(df.groupBy("hub").agg(F.count(F.lit(1)).alias("all")), "hub").where(F.col("m") * OFTEN > F.col("all"))
     often = often.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("m", "g"))).alias("often")).select("hub", F.col("often.g").alias("often"))
     # The order is one for all members of a hub: by value, then those by their number.
-    df = df.join(staged(often, "simhash-often"), "hub", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
+    often = staged(often, "simhash-often")
+    with_often = df.join(often, "hub", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
     ordered = F.concat(F.array_except("differ", "often"), F.array_intersect("often", "differ"))
-    return staged(df.withColumn("tokens", F.slice(ordered, F.lit(1), F.greatest("probes", "indexes"))).drop("differ", "often"), "simhash-differences")
+    out = staged(with_often.withColumn("tokens", F.slice(ordered, F.lit(1), F.greatest("probes", "indexes"))).drop("differ", "often"), "simhash-differences")
+    discard(df, often)
+    return out
 
 
 def apart_pairs(crowd: DataFrame, sets: DataFrame, permille: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -349,7 +373,7 @@ def apart_pairs(crowd: DataFrame, sets: DataFrame, permille: int) -> tuple[list[
     texts: near copies differ from it in few shingles, and two that aren't near it must share more than half of one's.
     Shingles of these differences that are again too frequent are treated the same with a text that has them.
     """
-    pairs, links = [], []
+    pairs, links, last = [], [], None
     # The text with most shingles in crowds has fewest of its own; after that the one that differs least.
     far = crowd.groupBy("node").agg((-F.count(F.lit(1))).cast("int").alias("far"))
     crowd = crowd.join(far, "node").withColumn("probe", F.lit(None).cast("boolean")).withColumn("index", F.lit(True))
@@ -360,7 +384,8 @@ def apart_pairs(crowd: DataFrame, sets: DataFrame, permille: int) -> tuple[list[
         roots = crowd.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
         main = staged(roots.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "main"), "simhash-main")
         apart = staged(crowd.join(main, "token").withColumn("probe", F.coalesce("probe", F.col("root") != F.col("main"))), "simhash-apart")
-        wide = None
+        discard(last, main)
+        wide = hubs = members = None
         if level < LEVELS - 1:
             hubs = apart.where("root = main").groupBy("token").agg(F.min_by(F.struct("node", "n"), F.struct("far", "node")).alias("hub"))
             counts = apart.groupBy("token").agg((F.count_if("probe") * F.count_if("index")).alias("pairs"))
@@ -369,25 +394,31 @@ def apart_pairs(crowd: DataFrame, sets: DataFrame, permille: int) -> tuple[list[
             wide = hubs.groupBy("hub").agg(F.sum("pairs").alias("pairs")).join(members.groupBy("hub").agg(F.sum("n").alias("n")), "hub")
             wide = staged(wide.where(F.col("pairs") > MANY * F.col("n")).select("hub"), "simhash-wide")
             if wide.isEmpty():
+                discard(wide)
                 wide = None
             else:
-                apart = staged(apart.join(hubs.join(wide, "hub", "left_anti").select("token"), "token", "left_semi"), "simhash-apart")
+                some = staged(apart.join(hubs.join(wide, "hub", "left_anti").select("token"), "token", "left_semi"), "simhash-apart")
+                discard(apart)
+                apart = some
         # Pairs that would come both ways come once, and only where enough is left to share.
         across = apart.where("probe").select("token", *side("a", "index")).join(apart.where("index").select("token", *side("b", "probe")), "token")
         across = across.where("root_a <> root_b AND NOT (index_a AND probe_b AND a > b)")
         across = across.where(F.least("left_a", "left_b") * 2 * (1000 + permille) >= (F.col("size_a") + F.col("size_b")) * (1000 + permille) - (F.col("n_a") + F.col("n_b")) * (1000 - permille))
-        pairs.append(across.select("a", "n_a", F.lit(0).alias("at_a"), "b", "n_b", F.lit(0).alias("at_b")))
+        pairs.append(staged(across.select("a", "n_a", F.lit(0).alias("at_a"), "b", "n_b", F.lit(0).alias("at_b")).distinct(), "simhash-across"))
+        discard(apart, hubs)
         if wide is None:
+            discard(members)
             break
         found = differences(members.join(wide, "hub", "left_semi"), sets, permille)
-        links.append(found.where("close AND root <> main").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        discard(members, wide)
+        links.append(staged(found.where("close AND root <> main").select(F.col("node").alias("a"), F.col("hub").alias("b")), "simhash-close"))
         root = F.when(F.col("close"), F.col("main")).otherwise(F.col("root")).alias("root")
         rows = found.select("hub", "node", "n", root, "far", "probes", "indexes", F.posexplode("tokens").alias("place", "gram"))
         place = F.col("place")
         rows = staged(rows.select(F.xxhash64("hub", "gram").alias("token"), "node", "n", F.col("far").alias("size"), (F.col("far") - place).alias("left"), "root", "far", (place < F.col("probes")).alias("probe"), (place < F.col("indexes")).alias("index")), "simhash-rows")
         both = rows.groupBy("token").agg(F.max("probe").alias("p"), F.max("index").alias("i"), F.min("root").alias("low"), F.max("root").alias("high")).where("p AND i AND low <> high")
-        crowd = staged(rows.join(both.select("token").hint("merge"), "token"), "simhash-crowd")
-        unstaged(rows)
+        crowd = last = staged(rows.join(both.select("token").hint("merge"), "token"), "simhash-crowd")
+        discard(found, rows)
     return pairs, links
 
 
@@ -402,10 +433,13 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
     large crowds those that `apart_pairs` leaves.
     """
     own = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")]
-    rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token", (F.col("m") > CROWD).alias("crowd")), "simhash-tokens")
-    rows = staged(rows.join(shared.hint("merge"), "token"), "simhash-shared")
-    unstaged(shared)
+    parts = []
+    for i in range(SLICES):
+        rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(SLICES)) == i)
+        shared = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token", (F.col("m") > CROWD).alias("crowd")), "simhash-tokens")
+        parts.append(staged(rows.join(shared.hint("merge"), "token"), "simhash-shared"))
+        discard(shared)
+    rows = reduce(DataFrame.unionByName, parts)
     # The rounds only go through the rows of crowds; ``root`` is the smallest node that a row's is connected with.
     crowd = staged(rows.where("crowd").select("token", "node", "n", "at", F.col("node").alias("root")), "simhash-crowd")
 
@@ -431,18 +465,21 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
         pairs = staged(possible(crowd.select("token", *own("a"), F.col("root").alias("root_a")).join(hubs, "token").where("root_a <> root_b")), "simhash-pairs")
         some = staged(compared(pairs, inside, permille), "simhash-compared")
         links = staged(some.where("sure").select("a", "b").unionByName(alike(some.where("NOT sure"), sets, permille)), "simhash-alike")
-        for done in (hubs, pairs, some):
-            unstaged(done)
+        discard(hubs, pairs, some)
         if links.isEmpty():
             break
-        edges = links if grouped is None else links.unionAll(grouped.where("node <> root").select("node", "root"))
-        grouped, crowd, last = staged(components(edges), "simhash-groups"), crowd.drop("root"), crowd
-        crowd = staged(crowd.join(grouped, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")), "simhash-crowd")
-        unstaged(last)
+        before, last = grouped, crowd
+        grouped = components(links if before is None else links.unionAll(before.where("node <> root").select("node", "root")))
+        crowd = staged(last.drop("root").join(grouped, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")), "simhash-crowd")
+        discard(links, before, last)
     met, near = ([], []) if sets is None else apart_pairs(crowd, sets, permille)
+    discard(crowd)
     few = rows.where("NOT crowd")
     few = few.select("token", *own("a")).join(few.select("token", *own("b")), "token").where("a < b")
     rest = staged(possible(reduce(DataFrame.unionByName, met, few.drop("token"))), "simhash-pairs")
+    discard(*parts, *met)
+    if sets is not None:
+        discard(ends, inside)
     if grouped is not None:
         root = lambda x: grouped.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a <> root_b, true)").select("a", "b", "n_a", "n_b")
