@@ -402,7 +402,8 @@ def clip_geometry(g: dict, left: float, bottom: float, right: float, top: float)
         else:
             raise ValueError(f"{g['type']} can't be clipped")
         rings += [[{"x": x, "y": y} for x, y in p] for p in pieces]
-        part += [i if len(pieces) == 1 else i * 1000 + k for k in range(len(pieces))]
+        # Lines and points: each piece is a part; a polygon's ring stays with its part.
+        part += [i if g["type"] in ("Polygon", "MultiPolygon") else len(part) + k for k in range(len(pieces))]
     if not rings:
         return None
     kind = multipart_type(g["type"]) if len(set(part)) > 1 else singlepart_type(g["type"])
@@ -500,10 +501,11 @@ def clipped(g: Column, box: Column) -> Column:
         return F.when(polygon, _cut_polygon(ring, box)).when(line, _cut_line(ring, box)).otherwise(F.filter(F.array(ring), lambda r: within(F.element_at(r, 1))))
 
     def numbered(ring: Column, i: Column) -> Column:
-        return let(pieces(ring), lambda ps: F.transform(ps, lambda r, k: F.struct(r.alias("ring"), F.when(F.size(ps) == 1, i).otherwise(i * 1000 + k).alias("part"))))
+        return F.transform(pieces(ring), lambda r: F.struct(r.alias("ring"), i.alias("part")))
 
     def whole(ps: Column) -> Column:
-        part = F.transform(ps, lambda p: p["part"])
+        # Each piece of a line is a part, whichever line it comes from; a polygon's ring stays with its part.
+        part = F.transform(ps, lambda p, k: F.when(polygon, p["part"]).otherwise(k))
         multi = F.size(F.array_distinct(part)) > 1
         single = F.replace(g["type"], F.lit("Multi"), F.lit(""))
         kind = F.when(multi & single.isin(*MULTI), F.concat(F.lit("Multi"), single)).when(~multi, single).otherwise(g["type"])

@@ -314,13 +314,27 @@ def _through(todo: DataFrame, given: dict[str, DataFrame], pyramid: Pyramid, zoo
     return R.to_packed(change(long), size, size).withColumn("tags", F.lit("{}"))
 
 
-def _hillshade(todo, given, pyramid, zoom, azimuth=315.0, altitude=45.0, z=1.0, scale=1.0, clip_pixelbuffer=0):
+def _with_clip(todo: DataFrame, given: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame | None]:
+    """The tiles that have a feature of ``clip`` (all if it isn't given), the other inputs, and ``clip``."""
+    rest, features = {k: v for k, v in given.items() if k != "clip"}, given.get("clip")
+    return todo if features is None else todo.join(features.select(*R.TILE).distinct(), R.TILE, "left_semi"), rest, features
+
+
+def _hillshade(todo, given, pyramid, zoom, azimuth=315.0, altitude=45.0, z=1.0, scale=1.0):
+    """Shaded relief. ``clip`` only says which tiles are made: those with a feature of it, whole."""
     px = pyramid.pixel_size(zoom)
     change = lambda df: R.hillshade(df, px, -px, azimuth, altitude, z, scale).withColumn("value", F.col("shade").cast("double")).drop("shade")
-    return _through(todo, given, pyramid, zoom, change, clip_pixelbuffer)
+    todo, given, _ = _with_clip(todo, given)
+    return _through(todo, given, pyramid, zoom, change)
 
 
 def _convert(todo, given, pyramid, zoom, scale_ratio=1.0, scale_offset=0.0, clip_to_output_dtype=None, clip_pixelbuffer=0):
+    """Scaled pixels; features as they are (a clip of features is an error)."""
+    rest = {k: v for k, v in given.items() if k != "clip"}
+    if len(rest) == 1 and "geom" in (features := next(iter(rest.values()))).columns:
+        if "clip" in given:
+            raise ValueError("features can't be clipped by convert")
+        return features.join(todo.select(*R.TILE).distinct(), R.TILE, "left_semi")
     return _through(todo, given, pyramid, zoom, lambda df: convert(df, scale_ratio, scale_offset, clip_to_output_dtype).withColumn("value", F.col("value").cast("double")), clip_pixelbuffer)
 
 
@@ -335,8 +349,17 @@ def _passthrough(todo, given, pyramid, zoom):
 
 
 def _contours(todo, given, pyramid, zoom, interval=100.0, base=0.0, field_name="elev", clip_pixelbuffer=0):
-    packed = _through(todo, given, pyramid, zoom, lambda df: df, clip_pixelbuffer)
+    """Contour lines. With ``clip`` those outside its features, cut at them (widened by ``clip_pixelbuffer`` pixels), of tiles that have one."""
+    from gridloom.operators import overlay
+
+    todo, given, features = _with_clip(todo, given)
+    packed, _ = _given(todo, given)
     lines = contours(packed, pyramid, interval, base, field_name)
+    if features is not None:
+        areas = features.select(*R.TILE, "geom")
+        if clip_pixelbuffer:
+            areas = overlay.buffered(areas, clip_pixelbuffer * pyramid.pixel_size(zoom))
+        lines = overlay.lines_cut(lines, overlay.united(areas, R.TILE), keep_inside=False)
     return lines.withColumn("properties", F.create_map(F.lit(field_name), F.col(field_name).cast("string"))).select(*R.TILE, "geom", "properties")
 
 

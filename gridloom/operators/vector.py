@@ -79,11 +79,13 @@ def reprojected(features: DataFrame, src: str, dst: str, geom: str = "geom", cli
 
 
 def read_tiles(features: DataFrame, pyramid: Pyramid, zoom: int, tiles: DataFrame | None = None, target_type: str | None = None, clip: bool = True, geom: str = "geom") -> DataFrame:
-    """zoom, row, col and the features of each tile, cut to the tile's (buffered) bounds.
+    """zoom, row, col and the features of each tile, cut to the tile's (buffered) bounds; what a cut parts is parts.
 
     Box filter by cells, repair, cut, type filter, empties left out: each is an expression of one stage,
     and with ``tiles`` one equi-join on the keys.
     """
+    from gridloom.operators.overlay import parted
+
     df = not_empty(features, geom).withColumn(geom, G.repaired(F.col(geom)))
     df = cells(boxed(df, geom), pyramid, zoom)
     if tiles is not None:
@@ -92,7 +94,7 @@ def read_tiles(features: DataFrame, pyramid: Pyramid, zoom: int, tiles: DataFram
     if clip:
         inside = (F.col("box.left") >= tile["left"]) & (F.col("box.right") <= tile["right"]) & (F.col("box.bottom") >= tile["bottom"]) & (F.col("box.top") <= tile["top"])
         whole, rest = df.where(inside), df.where(~inside)
-        df = whole.unionByName(rest.withColumn(geom, G.clipped(F.col(geom), tile)))
+        df = whole.unionByName(parted(not_empty(rest.withColumn(geom, G.clipped(F.col(geom), tile)), geom), geom))
         df = not_empty(df, geom)
     else:
         df = df.where(meets(F.col(geom), tile))

@@ -770,3 +770,6 @@ def _(spark, sf):
     there = p.select("event_id", x.alias("x"), y.alias("y"))
     lon, lat = G.reproject_xy(F.col("x"), F.col("y"), "EPSG:32633", "EPSG:4326")
     return there.select("event_id", F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
+
+
+from gridloom.plans import overlays  # noqa: E402,F401  (registers its queries)
