@@ -1,4 +1,4 @@
-"""Registered queries of polygon overlay, over boxes derived from `supplier` and `customer`.
+"""Registered queries of polygon overlay and of windows of large files. Overlay runs over boxes derived from `supplier` and `customer`.
 
 A box of whole numbers (u, v) is sheared by x = u + v / 2, y = v - u / 4, so that edges are slanted and yet all
 coordinates are exact; areas grow by the determinant, 1.125, which is how SQL knows them.
@@ -128,3 +128,20 @@ def _(spark, sf):
     """Tiles with a rectangle are shaded whole, the others are empty."""
     config = _config(spark, sf, "run", zoom_levels=5, process="hillshade", process_parameters={}, input={"dem": packed(spark, sf), "clip": _rectangles(spark, sf)}, output={"format": "PNG_hillshade"})
     return _run(spark, config).select("row", "col", "py", "px", "value")
+
+
+@register("geotiff_window", f"WITH {PIX}, w AS (SELECT *, col * 5.625e0 - 180 + (px + 0.5e0) * 0.703125e0 AS x, 90 - row * 5.625e0 - (py + 0.5e0) * 0.703125e0 AS y FROM pix) SELECT row, col, py, px, value FROM w WHERE x > -100 AND x < 20 AND y > 30 AND y < 88")
+def _(spark, sf):
+    """A window (which is the feature) of one large file with all tiles: only its blocks are read."""
+    from gridloom.functions import raster as R
+    from gridloom.functions.bounds import Bounds
+    from gridloom.sources import windows
+    from gridloom.sources.paths import work_path
+    from gridloom.sources.readers import raster_to_tiles
+    from gridloom.sources.sinks import write_single
+
+    path = f"{work_path(spark, 'window')}/all.tif"
+    write_single(packed(spark, sf), path, GEO, Z, nodata=-99999.0)
+    blocks = windows.read_blocks(windows.within(windows.block_index(spark, path), Bounds(-100.0, 30.0, 20.0, 88.0)))
+    x, y = R.pixel_centre(GEO, Z, WIDTH)
+    return raster_to_tiles(blocks, GEO, Z).where((x > -100) & (x < 20) & (y > 30) & (y < 88) & F.col("value").isNotNull()).select("row", "col", "py", "px", "value")

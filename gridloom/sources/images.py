@@ -1,9 +1,10 @@
-"""Image codecs in plain Python: GeoTIFF (baseline, deflate or none, strips or tiles) and PNG (8 bit)."""
+"""Image codecs in plain Python: GeoTIFF (plain, LZW or deflate, strips or tiles) and PNG (8 bit)."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -78,8 +79,8 @@ def _georeferenced(affine: Affine, crs: str, nodata: float | None) -> dict[int,
     return out | ({NODATA: (2, [f"{nodata:g}\0".encode()])} if nodata is not None else {})
 
 
-def geotiff_header(data: bytes) -> dict:
-    """Tags of the first image, of plain and of 64-bit files."""
+def geotiff_header(data) -> dict:
+    """Tags of the first image, of plain and of 64-bit files; ``data`` is bytes or gives them by slices."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     number = struct.unpack(f"{order}H", data[2:4])[0] if order else 0
     if number not in (42, 43):
@@ -88,18 +89,19 @@ def geotiff_header(data: bytes) -> dict:
     count, inline, code = ("Q", 8, "Q") if big else ("H", 4, "I")
     at = struct.unpack(f"{order}{code}", data[8:16] if big else data[4:8])[0]
     out: dict = {"order": order}
-    n_tags = struct.unpack_from(f"{order}{count}", data, at)[0]
-    at += struct.calcsize(f"{order}{count}")
+    wide = struct.calcsize(f"{order}{count}")
+    n_tags = struct.unpack(f"{order}{count}", data[at : at + wide])[0]
+    at += wide
     head = struct.calcsize(f"{order}HH{code}")
     for i in range(n_tags):
         begin = at + (head + inline) * i
-        tag, kind, n = struct.unpack_from(f"{order}HH{code}", data, begin)
+        tag, kind, n = struct.unpack(f"{order}HH{code}", data[begin : begin + head])
         if kind not in TYPES:
             continue
         step, form = TYPES[kind]
         place = begin + head
         if step * n > inline:
-            place = struct.unpack_from(f"{order}{code}", data, place)[0]
+            place = struct.unpack(f"{order}{code}", data[place : place + inline])[0]
         raw = data[place : place + step * n]
         if len(raw) < step * n:
             raise IndexError("the tags lie beyond the bytes at hand")
@@ -107,38 +109,100 @@ def geotiff_header(data: bytes) -> dict:
     return out
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a file's pixels are kept: in blocks (tiles, or strips as wide as the image), of one band each or of all."""
+
+    height: int
+    width: int
+    count: int
+    dtype: str
+    packing: int
+    predictor: int
+    inside: int
+    block_height: int
+    block_width: int
+    tiled: bool
+    offsets: list[int]
+    sizes: list[int]
+    affine: Affine
+    crs: str | None
+    nodata: float | None
+
+    @classmethod
+    def of(cls, h: dict) -> Layout:
+        width, height, count = h[WIDTH][0], h[HEIGHT][0], h.get(SAMPLES, [1])[0]
+        kind = {1: "u", 2: "i", 3: "f"}[h.get(SAMPLE_FORMAT, [1])[0]]
+        packing, predictor = h.get(COMPRESSION, [1])[0], h.get(PREDICTOR, [1])[0]
+        if packing not in (1, 5, 8, 32946) or predictor not in (1, 2, 3):
+            raise ValueError(f"TIFF compression {packing} with predictor {predictor} isn't supported")
+        tiled = TILES in h
+        bw, bh = (h[TILE_WIDTH][0], h[TILE_HEIGHT][0]) if tiled else (width, min(height, h.get(ROWS, [height])[0]))
+        offsets, sizes = (h[TILES], h[TILE_BYTES]) if tiled else (h[STRIPS], h[STRIP_BYTES])
+        inside = 1 if h.get(PLANAR, [1])[0] == 2 else count
+        return cls(height, width, count, f"{h['order']}{kind}{h[BITS][0] // 8}", packing, predictor, inside, bh, bw, tiled, offsets, sizes, *_place(h), float(h[NODATA]) if h.get(NODATA) else None)
+
+    def place(self, k: int) -> tuple[int, int, int]:
+        """First band, y and x of block k."""
+        across, down = -(-self.width // self.block_width), -(-self.height // self.block_height)
+        plane, k = divmod(k, across * down)
+        return plane, k // across * self.block_height, k % across * self.block_width
+
+
+def block_pixels(raw: bytes, dtype: str, packing: int, predictor: int, rows: int, width: int, inside: int) -> np.ndarray:
+    """Pixels (rows, width, bands inside) of a block's bytes."""
+    raw = raw if packing == 1 else _lzw(raw) if packing == 5 else zlib.decompress(raw)
+    kind = np.dtype(dtype)
+    n = rows * width * inside
+    if predictor == 3:
+        # Bytes of a row by significance, each the difference from the one before.
+        planes = np.cumsum(np.frombuffer(raw, np.uint8)[: n * kind.itemsize].reshape(rows, kind.itemsize, width * inside).reshape(rows, -1, inside), axis=1, dtype=np.uint8)
+        planes = planes.reshape(rows, kind.itemsize, width * inside)
+        return np.ascontiguousarray(np.moveaxis(planes, 1, 2)).view(kind.newbyteorder(">")).reshape(rows, width, inside)
+    block = np.frombuffer(raw, dtype=kind)[:n].reshape(rows, width, inside)
+    return np.cumsum(block, axis=1, dtype=kind) if predictor == 2 else block
+
+
+def _lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, the highest bit first, 256 to start anew and 257 to end; widths grow one code early."""
+    out, table, before = [], [], b""
+    bits = have = 0
+    width = 9
+    for byte in data:
+        bits, have = (bits << 8 | byte) & 0xFFFFFF, have + 8
+        if have < width:
+            continue
+        have -= width
+        code = bits >> have & ((1 << width) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        found = table[code] if code < len(table) else before + before[:1]
+        out.append(found)
+        if before:
+            table.append(before + found[:1])
+            width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+        before = found
+    return b"".join(out)
+
+
 def read_geotiff(data: bytes) -> tuple[np.ndarray, dict]:
     """bands (count, height, width) and affine, crs, nodata, dtype."""
-    h = geotiff_header(data)
-    width, height, count = h[WIDTH][0], h[HEIGHT][0], h.get(SAMPLES, [1])[0]
-    kind = {1: "u", 2: "i", 3: "f"}[h.get(SAMPLE_FORMAT, [1])[0]]
-    dtype = np.dtype(f"{h['order']}{kind}{h[BITS][0] // 8}")
-    packing, predictor, planar = h.get(COMPRESSION, [1])[0], h.get(PREDICTOR, [1])[0], h.get(PLANAR, [1])[0]
-    if packing not in (1, 8, 32946) or predictor not in (1, 2):
-        raise ValueError(f"TIFF compression {packing} with predictor {predictor} isn't supported")
-    tiled = TILES in h
-    bw, bh = (h[TILE_WIDTH][0], h[TILE_HEIGHT][0]) if tiled else (width, h.get(ROWS, [height])[0])
-    offsets, sizes = (h[TILES], h[TILE_BYTES]) if tiled else (h[STRIPS], h[STRIP_BYTES])
-    across, down = -(-width // bw), -(-height // bh)
-    inside = 1 if planar == 2 else count
-    out = np.full((count, height, width), float(h[NODATA]) if h.get(NODATA) else 0, dtype=dtype)
-    for k, (o, n) in enumerate(zip(offsets, sizes)):
+    f = Layout.of(geotiff_header(data))
+    dtype = np.dtype(f.dtype)
+    out = np.full((f.count, f.height, f.width), f.nodata if f.nodata is not None else 0, dtype=dtype)
+    for k, (o, n) in enumerate(zip(f.offsets, f.sizes)):
         if not n:
             continue
-        raw = data[o : o + n]
-        raw = raw if packing == 1 else zlib.decompress(raw)
-        plane, k = divmod(k, across * down)
-        y, x = k // across * bh, k % across * bw
-        rows = bh if tiled else min(bh, height - y)
-        block = np.frombuffer(raw, dtype=dtype)[: rows * bw * inside].reshape(rows, bw, inside)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=dtype)
-        for b in range(inside):
-            part = block[: height - y, : width - x, b]
+        plane, y, x = f.place(k)
+        rows = f.block_height if f.tiled else min(f.block_height, f.height - y)
+        block = block_pixels(data[o : o + n], f.dtype, f.packing, f.predictor, rows, f.block_width, f.inside)
+        for b in range(f.inside):
+            part = block[: f.height - y, : f.width - x, b]
             out[plane + b, y : y + part.shape[0], x : x + part.shape[1]] = part
-    affine, crs = _place(h)
-    nodata = float(h[NODATA]) if h.get(NODATA) else None
-    return out, {"affine": affine, "crs": crs, "nodata": nodata, "dtype": dtype.newbyteorder("=").name}
+    return out, {"affine": f.affine, "crs": f.crs, "nodata": f.nodata, "dtype": dtype.newbyteorder("=").name}
 
 
 def _place(h: dict) -> tuple[Affine, str | None]:
