@@ -20,7 +20,7 @@ def tiles_from_bounds(spark: SparkSession, pyramid: Pyramid, bounds: Bounds, zoo
     """
     spans = []
     for zoom in zooms:
-        for part in _wrapped(pyramid, bounds):
+        for part in wrapped(pyramid, bounds):
             found = pyramid.cell_range(zoom, part)
             if found:
                 spans.append((zoom, *found))
@@ -29,7 +29,8 @@ def tiles_from_bounds(spark: SparkSession, pyramid: Pyramid, bounds: Bounds, zoo
     return rows.select("zoom", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
-def _wrapped(pyramid: Pyramid, b: Bounds) -> list[Bounds]:
+def wrapped(pyramid: Pyramid, b: Bounds) -> list[Bounds]:
+    """Bounds as those within the grid that they mean: on a global grid what reaches beyond an edge comes in at the other."""
     g = pyramid.grid
     if not g.is_global or (b.left >= g.left and b.right <= g.right):
         return [b]
@@ -140,7 +141,7 @@ def count_tiles(spark: SparkSession, pyramid: Pyramid, bounds: Bounds, zooms) ->
     out = {}
     for zoom in zooms:
         n = 0
-        for part in _wrapped(pyramid, bounds):
+        for part in wrapped(pyramid, bounds):
             found = pyramid.cell_range(zoom, part)
             n += 0 if found is None else (found[1] - found[0] + 1) * (found[3] - found[2] + 1)
         out[zoom] = n

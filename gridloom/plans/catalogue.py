@@ -149,9 +149,9 @@ def _(spark, sf):
     return tiles.count_feature_tiles(polygons(spark, sf).where("box.left < 180"), GEO, range(2, 6), exact=False)
 
 
-@register("combined_shape", f"WITH {TILED}, t AS (SELECT DISTINCT row, col FROM tiled WHERE row BETWEEN 3 AND 9 AND col BETWEEN 10 AND 30) SELECT min(col) * 5.625e0 - 180e0 AS l, 90e0 - min(row) * 5.625e0 AS t, CAST((max(col) - min(col) + 1) * 8 AS INT) AS width, CAST((max(row) - min(row) + 1) * 8 AS INT) AS height FROM t")
+@register("combined_shape", f"WITH {TILED}, t AS (SELECT DISTINCT row, col FROM tiled) SELECT min(col) * 5.625e0 - 180e0 AS l, 90e0 - min(row) * 5.625e0 AS t, CAST((max(col) - min(col) + 1) * 8 AS INT) AS width, CAST((max(row) - min(row) + 1) * 8 AS INT) AS height FROM t")
 def _(spark, sf):
-    t = tiles.assign(points(spark, sf), GEO, Z).select("zoom", "row", "col").distinct().where("row BETWEEN 3 AND 9 AND col BETWEEN 10 AND 30")
+    t = tiles.assign(points(spark, sf), GEO, Z).select("zoom", "row", "col").distinct()
     return tiles.combined_affine(t, GEO, Z).select(F.col("left").alias("l"), F.col("top").alias("t"), "width", "height")
 
 
@@ -271,9 +271,9 @@ def _(spark, sf):
     return joins.process_tiles_done(tiles.assign(points(spark, sf), META, Z).select("zoom", "row", "col").distinct(), META, GEO, have).select("row", "col")
 
 
-@register("dependencies", f"WITH {TILED}, a AS (SELECT DISTINCT row, col FROM tiled WHERE event_type = 'click') SELECT CAST(row // 2 AS INT) AS row, CAST(col // 2 AS INT) AS col, row AS c_row, col AS c_col FROM a")
+@register("dependencies", f"WITH {TILED}, a AS (SELECT DISTINCT row, col FROM tiled) SELECT CAST(row // 2 AS INT) AS row, CAST(col // 2 AS INT) AS col, row AS c_row, col AS c_col FROM a")
 def _(spark, sf):
-    t = tiles.assign(points(spark, sf), GEO, Z).where("event_type = 'click'").select("zoom", "row", "col").distinct()
+    t = tiles.assign(points(spark, sf), GEO, Z).select("zoom", "row", "col").distinct()
     return joins.dependencies(t.unionByName(tiles.parents(t))).where("zoom = 4").select("row", "col", "c_row", "c_col")
 
 

@@ -46,7 +46,11 @@ def existing_within(spark: SparkSession, path: str, zoom=None, bounds: Bounds |
         there = there.where(F.col("zoom").isin([zoom] if isinstance(zoom, int) else list(zoom)))
     if bounds is not None:
         levels = sorted(r["zoom"] for r in there.select("zoom").distinct().collect())
-        there = there.join(tiles.tiles_from_bounds(spark, pyramid, Bounds.of(bounds), levels), KEYS, "left_semi")
+        spans = [(z, found) for z in levels for part in tiles.wrapped(pyramid, Bounds.of(bounds)) if (found := pyramid.cell_range(z, part))]
+        inside = F.lit(False)
+        for z, (r0, r1, c0, c1) in spans:
+            inside = inside | (F.col("zoom") == z) & F.col("row").between(r0, r1) & F.col("col").between(c0, c1)
+        there = there.where(inside)
     return there
 
 
