@@ -8,27 +8,38 @@ from pyspark.sql import functions as F
 from gridloom.functions import bounds as B
 from gridloom.functions import geometry as G
 from gridloom.functions.pyramid import Pyramid
-from gridloom.operators.tiles import KEYS, cells
+from gridloom.operators import covering as C
+from gridloom.operators.tiles import KEYS
 
 
 def range_join(left: DataFrame, right: DataFrame, pyramid: Pyramid, zoom: int, left_box: str = "box", right_box: str = "box", how: str = "inner", touching: bool = True) -> DataFrame:
-    """Rows whose boxes meet. Both sides are dealt to the cells they reach into, joined on the cell, and tested.
-
-    A pair that shares several cells is kept in one only: the cell of the upper left corner of what the
-    boxes share. So there is no distinct and no shuffle after the join, and Spark may split hot cells.
-    The columns of ``right`` that clash are prefixed with ``r_``. Semi and anti joins collapse equal rows of ``left``.
+    """Rows whose boxes meet. Each box has a level, the finest up to ``zoom`` at which it reaches into few cells, so a wide
+    box makes no more rows than a small one; both sides are dealt to cells, joined on the cell, and tested.
+
+    A pair meets at the coarser of its two levels: the finer box is there by the cells above its own. Of several shared
+    cells it is kept in that of the upper left corner of what the boxes share. So there is no distinct and no shuffle
+    after the join, and Spark may split hot cells. Only levels that the other side has are dealt to; to know them, both
+    sides' boxes are read once before the join. The columns of ``right`` that clash are prefixed with ``r_``. Semi and anti
+    joins collapse equal rows of ``left``.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(how)
     whole = lambda df, box, name: df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name), F.col(box).alias("_b"))
-    a = cells(whole(left, left_box, "_l"), pyramid, zoom, "_b").withColumnsRenamed({"_b": "_a", **{k: f"_{k}" for k in KEYS}})
-    b = cells(whole(right, right_box, "_r"), pyramid, zoom, "_b")
+    has_left, has_right = C.levels_in_use(left, pyramid, zoom, left_box, touching), C.levels_in_use(right, pyramid, zoom, right_box, touching)
+    # Side 1: the left box's own cells, under which lie right boxes as fine or finer; side 2: finer left boxes under a right one's.
+    a = C.level_cells(whole(left, left_box, "_l"), pyramid, zoom, "_b", touching)
+    a = a.where(F.when(F.col("zoom") == F.col("_own"), F.array_max(has_right) >= F.col("zoom")).otherwise(F.array_contains(has_right, F.col("zoom"))))
+    a = a.withColumn("_side", F.when(F.col("zoom") == F.col("_own"), 1).otherwise(2)).drop("_own").withColumnsRenamed({"_b": "_a", **{k: f"_{k}" for k in KEYS}})
+    b = C.level_cells(whole(right, right_box, "_r"), pyramid, zoom, "_b", touching)
+    b = b.withColumn("_s", F.explode(F.when(F.col("zoom") == F.col("_own"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    b = b.where(F.when(F.col("_s") == 1, F.array_contains(has_left, F.col("zoom"))).otherwise(F.array_max(has_left) > F.col("zoom"))).drop("_own")
     if how != "inner":
-        b = b.select(*KEYS, "_b")
+        b = b.select(*KEYS, "_s", "_b")
     test = B.intersect(F.col("_a"), F.col("_b")) if touching else B.overlap(F.col("_a"), F.col("_b"))
     x, y = F.greatest(F.col("_a.left"), F.col("_b.left")), F.least(F.col("_a.top"), F.col("_b.top"))
-    first = (pyramid.row_of(y, zoom) == F.col("_row")) & (pyramid.col_of(x, zoom) == F.col("_col"))
-    joined = a.join(b, (F.col("_row") == F.col("row")) & (F.col("_col") == F.col("col")) & test & first)
+    row, col = C.cell_at(pyramid, F.col("_zoom"), x, y)
+    same = (F.col("_side") == F.col("_s")) & (F.col("_zoom") == F.col("zoom")) & (F.col("_row") == F.col("row")) & (F.col("_col") == F.col("col"))
+    joined = a.join(b, same & test & (row == F.col("_row")) & (col == F.col("_col")))
     own = [F.col(f"_l.`{c}`").alias(c) for c in left.columns]
     if how == "inner":
         return joined.select(*own, *[F.col(f"_r.`{c}`").alias(f"r_{c}" if c in left.columns else c) for c in right.columns])
@@ -37,19 +48,23 @@ def range_join(left: DataFrame, right: DataFrame, pyramid: Pyramid, zoom: int, l
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, pyramid: Pyramid, zoom: int, x: str = "lon", y: str = "lat", box: str = "box") -> DataFrame:
-    """Point rows with each box row that holds them (half open): an equi-join on the cell of the point."""
-    p = points.withColumns({"_row": pyramid.row_of(F.col(y), zoom), "_col": pyramid.col_of(F.col(x), zoom)})
-    b = cells(boxes, pyramid, zoom, box)
-    on = (F.col("_row") == F.col("row")) & (F.col("_col") == F.col("col")) & B.holds(F.col(box), F.col(x), F.col(y))
-    return p.join(b, on).drop("_row", "_col", *KEYS)
+    """Point rows with each box row that holds them (half open): an equi-join on the point's cell at each level that boxes have."""
+    p = C.point_cells(points, pyramid, C.levels(zoom), C.levels_in_use(boxes, pyramid, zoom, box, True), x, y)
+    b = C.level_cells(boxes, pyramid, zoom, box, True, above=False).drop("_own")
+    on = _in_cell() & B.holds(F.col(box), F.col(x), F.col(y))
+    return p.join(b, on).drop("_zoom", "_row", "_col", *KEYS)
 
 
 def points_in_polygons(points: DataFrame, features: DataFrame, pyramid: Pyramid, zoom: int, x: str = "lon", y: str = "lat", geom: str = "geom") -> DataFrame:
-    boxed = features.withColumn("_box", G.box(F.col(geom)))
-    p = points.withColumns({"_row": pyramid.row_of(F.col(y), zoom), "_col": pyramid.col_of(F.col(x), zoom)})
-    b = cells(boxed, pyramid, zoom, "_box")
-    on = (F.col("_row") == F.col("row")) & (F.col("_col") == F.col("col")) & G.holds(F.col(geom), F.col(x), F.col(y))
-    return p.join(b, on).drop("_row", "_col", "_box", *KEYS)
+    """Point rows with each feature that holds them, by the cells of the features' coverings; those wholly inside need no test."""
+    b = C.polygon_cells(features, pyramid, zoom, geom)
+    used = C.polygon_cells(features.select(geom), pyramid, zoom, geom).agg(F.collect_set("zoom")).scalar()
+    p = C.point_cells(points, pyramid, list(range(zoom, -1, -1)), used, x, y)
+    return p.join(b, _in_cell() & (F.col("whole") | G.holds(F.col(geom), F.col(x), F.col(y)))).drop("_zoom", "_row", "_col", "whole", *KEYS)
+
+
+def _in_cell() -> Column:
+    return (F.col("_zoom") == F.col("zoom")) & (F.col("_row") == F.col("row")) & (F.col("_col") == F.col("col"))
 
 
 def theta_boxes(left: DataFrame, right: DataFrame, left_box: Column, right_box: Column, most_rows: int = 10_000) -> DataFrame:

@@ -9,6 +9,7 @@ from gridloom.functions import bounds as B
 from gridloom.functions import geometry as G
 from gridloom.functions.bounds import Bounds
 from gridloom.functions.pyramid import Pyramid
+from gridloom.operators import covering as C
 
 KEYS = ["zoom", "row", "col"]
 
@@ -51,11 +52,8 @@ def cells(df: DataFrame, pyramid: Pyramid, zoom: int, box: str = "box") -> DataF
 
 
 def tiles_from_features(features: DataFrame, pyramid: Pyramid, zoom: int, exact: bool = False, geom: str = "geom") -> DataFrame:
-    """Distinct tiles that the features' boxes reach into; ``exact``: those whose corners, or a vertex, show they meet."""
-    boxed = cells(features.withColumn("box", G.box(F.col(geom))), pyramid, zoom)
-    if exact:
-        boxed = boxed.where(meets(F.col(geom), pyramid.box(zoom, F.col("row"), F.col("col"))))
-    return boxed.select(*KEYS).distinct()
+    """Distinct tiles that the features' boxes reach into; ``exact``: those that the features themselves meet."""
+    return C.feature_tiles(features, pyramid, zoom, exact, geom)
 
 
 def meets(g: Column, box: Column) -> Column:
@@ -149,12 +147,8 @@ def count_tiles(spark: SparkSession, pyramid: Pyramid, bounds: Bounds, zooms) ->
 
 
 def count_feature_tiles(features: DataFrame, pyramid: Pyramid, zooms, exact: bool = True) -> DataFrame:
-    """zoom, tiles: how many tiles the features meet at each zoom; boxes' cells, then the exact test, then distinct."""
-    found = None
-    for zoom in zooms:
-        one = tiles_from_features(features, pyramid, zoom, exact)
-        found = one if found is None else found.unionAll(one)
-    return found.groupBy("zoom").agg(F.count(F.lit(1)).alias("tiles"))
+    """zoom, tiles: how many tiles the features meet at each zoom, or their boxes; tiles inside are counted, not made."""
+    return C.count_features(features, pyramid, zooms, exact)
 
 
 def batches(tiles: DataFrame, by: str = "row", n: int = 200) -> DataFrame:
