@@ -186,6 +186,15 @@ def _(spark, sf):
     return hit.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+@register("mixed_range_join", f"WITH {BOX}, c AS (SELECT c_custkey, (c_custkey * 37) % 3600 / 10e0 - 180e0 AS cl, (c_custkey * 91) % 1700 / 10e0 - 85e0 AS cb, CASE WHEN c_custkey % 50 = 0 THEN 90e0 ELSE 0.25e0 END AS w FROM customer) SELECT n_nationkey, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids FROM c JOIN box ON cl <= r AND cl + w >= l AND cb <= t AND cb + w / 2e0 >= b GROUP BY n_nationkey")
+def _(spark, sf):
+    # Small boxes and some a quarter of the world wide, at a zoom whose cells are much smaller than any.
+    left, bottom, w = (F.col("c_custkey") * 37) % 3600 / 10.0 - 180, (F.col("c_custkey") * 91) % 1700 / 10.0 - 85, F.when(F.col("c_custkey") % 50 == 0, 90.0).otherwise(0.25)
+    own = read(spark, sf, "customer").select("c_custkey", B.column(left, bottom, left + w, bottom + w / 2).alias("box"))
+    pairs = joins.range_join(own, boxes(spark, sf).select("n_nationkey", "box"), GEO, 12)
+    return pairs.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("ids"))
+
+
 @register("theta_join", f"WITH {BOX} SELECT x.n_nationkey AS a, y.n_nationkey AS c FROM box x JOIN box y ON x.l <= y.r AND x.r >= y.l AND x.b <= y.t AND x.t >= y.b")
 def _(spark, sf):
     b = boxes(spark, sf)
