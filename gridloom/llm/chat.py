@@ -7,8 +7,8 @@ of a proper prefix of another (an anti-join of distinct hashes), and of equal co
 smallest conv_id stays. What stays is rendered turn by turn.
 
 Everything is DataFrame operations. Equal rows are collapsed and hashes made distinct before they are
-shuffled, so a common first turn or conversation is one row; a long conversation is numbered and hashed in
-blocks of BLOCK turn numbers, whose totals are then run up.
+shuffled, so a common first turn or conversation is one row; turns are dealt to ranges of their whole order
+and numbered and hashed in blocks of at most BLOCK rows, whatever their turns say; the blocks' totals are then run up.
 
 Defined results: conv_id and turn keep their types, and turns that are texts are ordered by the number that
 they spell; turns are ordered by turn, role and text, nulls first, and repeated rows of a turn count
@@ -26,18 +26,25 @@ from gridloom.llm.common import staged, staging, table
 BLOCK = 256
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, position (from 0), h1, h2: the hash of the turns up to this one."""
+def blocked(turns: DataFrame) -> DataFrame:
+    """Distinct turns with ``at``, a number that grows with their order, and the block of at most BLOCK rows that it is in."""
     rows = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     # Text turns are ordered by their number first, those without one before the others.
     number = F.col("turn").try_cast("bigint") if dict(turns.dtypes)["turn"] == "string" else F.col("turn").cast("bigint")
-    block = F.floor(F.coalesce(number, F.lit(-1)) / BLOCK)
-    rows = staged(rows.distinct().withColumn("number", number).withColumn("block", block), "chat-turns")
+    order = ["conv_id", "number", "turn", "role", "text"]
+    # Ranges of the whole order, so that a conversation of any length lies in many.
+    ranged = rows.distinct().withColumn("number", number).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ranged.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("at"))
+    return numbered.withColumn("block", F.expr(f"at DIV {BLOCK}"))
+
+
+def prefixes(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, position (from 0), h1, h2: the hash of the turns up to this one."""
+    rows = staged(blocked(turns), "chat-turns")
     run = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n")
     before = staged(before, "chat-blocks")
-    order = Window.partitionBy("conv_id", "block").orderBy("number", "turn", "role", "text")
-    own = rows.withColumn("own", F.row_number().over(order) - 1)
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("at")) - 1)
     same = own["conv_id"].eqNullSafe(before["conv_id"]) & (own["block"] == before["block"])
     placed = own.join(before, same).select(own["conv_id"], "turn", "role", "text", own["block"], (F.col("before") + F.col("own")).alias("position"))
     part = [F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]

@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from gridloom.llm import bpe, chat, decontaminate, language, lengths, quality, sharding, simhash, warc
-from gridloom.llm.common import fresh_path
+from gridloom.llm.common import fresh_path, staging
 from pyspark.sql import functions as F
 from test_operators import DE, EN, SCHEMA, SF, brute_hits, by_id, norm_words
 
@@ -216,6 +216,21 @@ def test_text_conversation_numbers(spark):
     assert kept == {"b": ["hi", "yes"], "c-9": ["early", "late"], None: ["odd"]}
 
 
+def test_a_long_conversation_lies_in_many_blocks(spark):
+    # Turns without a number and a null conversation: 4,000 rows each; the longer log has the shorter as its prefix.
+    turns = [(c, f"t{i:05d}", "user", f"x{i}") for c, n in (("long", 4000), ("short", 2500), (None, 4000)) for i in range(n)]
+    turns += [("other", str(i), "user", f"y{i}") for i in range(-300, 5)]
+    df = spark.createDataFrame(turns, "conv_id string, turn string, role string, text string")
+    with staging(spark):
+        rolled = chat.prefixes(df)
+        assert {tuple(r) for r in rolled.groupBy("conv_id").agg({"position": "max"}).collect()} == {("long", 3999), ("short", 2499), (None, 3999), ("other", 304)}
+        assert rolled.where("conv_id = 'other' AND position = 0").first()["turn"] == "-300"
+    got = {r["conv_id"]: (r["n"], r["logs"]) for r in chat.apply(df).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_logs").alias("logs")).collect()}
+    assert got == {"long": (4000, 2), "other": (305, 1)}
+    sizes = chat.blocked(df).groupBy("block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= chat.BLOCK
+
+
 # Tokens
 
 def test_offsets_decode(spark):
