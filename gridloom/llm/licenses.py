@@ -11,9 +11,10 @@ phrase's grams hit is a place.
 
 Hashes are made where the text is read, 8 bytes a gram, and don't leave the task: the templates' table is of
 known size, so up to BROADCAST_ROWS positions it is sent to all executors; beyond that Spark chooses the
-join. Votes are added up by diagonal in the task, too, each with the excerpt of the text that a span from
-there on can have, so that no text is shuffled or read again to verify spans. Hits are few and keyed by
-document, so no step gathers a common phrase of many documents.
+join. Votes are added up by diagonal in the task, too. With them goes, once for each stretch of CHUNK words (or
+the longest notice's) in which a notice's diagonal starts, the stretch's text and what a span from there on can
+have: at most some three times the text, however many diagonals vote, and no text is shuffled whole or read
+again to verify spans. Hits are few and keyed by document, so no step gathers a common phrase of many documents.
 
 Defined results: a null or blank text has no words, no place, no label and score 0; a text of any length is
 scanned whole; repeated rows (equal doc_id and text) get equal results; of spans that start within GAP words
@@ -39,6 +40,8 @@ SHORT_VOTES, MIN_VOTES, MIN_SIMILAR = 0.4, 0.2, 0.8
 BROADCAST_ROWS = 100_000
 #: Bytes of text whose hashes, some four times as many, are in work at once.
 PIECE = 256 << 10
+#: Fewest words of a stretch of text that is carried for verification.
+CHUNK = 256
 
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
@@ -79,17 +82,19 @@ def votes_needed(n: int, phrase: bool) -> int:
 _TEMPLATE = "template int, label string, phrase boolean, body string, length int, needed int, k int, place int, gram long"
 
 
-def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> tuple[DataFrame, list[int]]:
-    """A row for each gram of each template, and the gram lengths in use."""
-    rows, kinds = [], set()
+def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES) -> tuple[DataFrame, list[int], int, int]:
+    """A row for each gram of each template, the gram lengths in use, the words of a stretch, and the bytes that a span may need."""
+    rows, kinds, chunk, most = [], set(), CHUNK, 0
     for number, (label, text, phrase) in enumerate([*((v, k, True) for k, v in phrases.items()), *((*x, False) for x in notices)]):
         own = words(text.encode())
         k = width(len(own), phrase)
+        if not phrase:
+            chunk, most = max(chunk, len(own)), max(most, 2 * len(b" ".join(own)))
         for place, gram in enumerate(grams(hashes(own), k).tolist() if own else []):
             kinds.add(k)
             rows.append((number, label, phrase, b" ".join(own).decode(), len(own), votes_needed(len(own), phrase), k, place, gram))
     df = spark.createDataFrame(rows, _TEMPLATE)
-    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df, sorted(kinds)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df, sorted(kinds), chunk, most
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -99,11 +104,10 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, as_bytes(text).alias("_text"), F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit("second"), text, key).alias("k2"))
 
 
-def votes(rows: DataFrame, known: DataFrame, kinds: list[int]) -> DataFrame:
-    """k1, k2, template columns, at (position), place, excerpt: the hits.
-
-    The excerpt of a notice's hit is the normalised text from its diagonal's first word on, of at most twice the
-    notice's bytes: a span that is similar enough has no more.
+def votes(rows: DataFrame, known: DataFrame, kinds: list[int], chunk: int, most: int) -> DataFrame:
+    """k1, k2, template columns, diagonal, at (position), place, excerpt: the hits, and for each of a notice a row
+    without a template: ``diagonal`` is the number of the stretch of ``chunk`` words in which the hit's diagonal starts,
+    ``excerpt`` its normalised text and ``most`` bytes after it: no span that is similar enough has more.
     """
 
     def make():
@@ -131,16 +135,23 @@ def votes(rows: DataFrame, known: DataFrame, kinds: list[int]) -> DataFrame:
     for k in kinds:
         before = before + F.when(F.col("k") > k, F.greatest(F.col("n") - k + 1, F.lit(0))).otherwise(0)
     hits = hits.withColumn("at", F.col("i") - before)
-    head, most = F.get("starts", F.greatest(F.col("at") - F.col("place"), F.lit(0))), 2 * F.octet_length("body")
-    excerpt = F.struct(F.substring("norm", head + 1, most).alias("data"), (F.octet_length("norm") > head + most).alias("more"))
-    return hits.select("k1", "k2", "template", "label", "phrase", "body", "length", "needed", "at", "place", F.when(~F.col("phrase"), excerpt).alias("excerpt"))
+    hits = hits.withColumn("diagonal", F.col("at") - F.col("place"))
+    number = F.expr(f"CAST(greatest(diagonal, 0) DIV {chunk} AS INT)")
+    head, size = F.get("starts", number * chunk), F.octet_length("norm")
+    stop = F.coalesce(F.get("starts", (number + 1) * chunk), size) + most
+    excerpt = F.struct(F.substring("norm", head + 1, stop - head).alias("data"), (size > stop).alias("more"))
+    names = ["template", "label", "phrase", "body", "length", "needed", "diagonal", "at", "place"]
+    none = F.lit(None).cast(excerpt_type := "struct<data:binary,more:boolean>")
+    own = F.struct(*names, none.alias("excerpt"))
+    text = F.struct(*[F.lit(None).cast(known.schema[n].dataType).alias(n) for n in names[:6]], number.alias("diagonal"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("place"), excerpt.cast(excerpt_type).alias("excerpt"))
+    return hits.select("k1", "k2", F.explode(F.when(F.col("phrase"), F.array(own)).otherwise(F.array(own, text))).alias("v")).select("k1", "k2", "v.*")
 
 
 def diagonals(hits: DataFrame) -> DataFrame:
-    """k1, k2, template columns, diagonal, voted (places), first, last (positions), excerpt: votes by diagonal, added up before they are shuffled."""
-    diagonal = (F.col("at") - F.col("place")).alias("diagonal")
-    by = hits.groupBy("k1", "k2", "template", "label", "phrase", "body", "length", "needed", diagonal)
-    return by.agg(F.collect_set("place").alias("voted"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("excerpt").alias("excerpt"))
+    """k1, k2, template columns, diagonal, voted (places), first, last (positions): votes by diagonal, added up before
+    they are shuffled; and the stretches of text, with their excerpt."""
+    by = hits.groupBy("k1", "k2", "template", "label", "phrase", "body", "length", "needed", "diagonal")
+    return by.agg(F.collect_set("place").alias("voted"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("excerpt", True).alias("excerpt"))
 
 
 def places(voted: DataFrame) -> DataFrame:
@@ -149,28 +160,30 @@ def places(voted: DataFrame) -> DataFrame:
 
 
 def spans(voted: DataFrame) -> DataFrame:
-    """k1, k2, label, body, start, stop, excerpt: spans of notices with votes enough, diagonals merged, and those of their strongest diagonals."""
+    """k1, k2, label, body, start, stop: spans of notices with votes enough, diagonals merged, and those of their strongest diagonals."""
     order = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > GAP).cast("int"), F.lit(0))
     merged = voted.where("NOT phrase").withColumn("new", new).withColumn("group", F.sum("new").over(order))
-    from_here = F.struct("diagonal", "excerpt")
     by = merged.groupBy("k1", "k2", "template", "label", "body", "length", "needed", "group").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("voted")))).alias("n"),
-        F.min_by(from_here, F.struct("first", "diagonal")).alias("head"),
+        F.min_by("diagonal", F.struct("first", "diagonal")).alias("head"),
         F.max_by("diagonal", F.struct("last", "diagonal")).alias("stop"),
-        F.max_by(from_here, F.struct(F.size("voted"), -F.col("diagonal"))).alias("top"),
+        F.max_by("diagonal", F.struct(F.size("voted"), -F.col("diagonal"))).alias("top"),
     )
-    ends = F.array(F.struct(F.col("head.diagonal").alias("start"), F.col("stop"), F.col("head.excerpt").alias("excerpt")), F.struct(F.col("top.diagonal").alias("start"), F.col("top.diagonal").alias("stop"), F.col("top.excerpt").alias("excerpt")))
+    ends = F.array(F.struct(F.col("head").alias("start"), F.col("stop")), F.struct(F.col("top").alias("start"), F.col("top").alias("stop")))
     one = by.where("n >= needed").select("k1", "k2", "label", "body", "length", F.explode(ends).alias("e"))
-    return one.select("k1", "k2", "label", "body", F.greatest("e.start", F.lit(0)).alias("start"), (F.col("e.stop") + F.col("length")).alias("stop"), "e.excerpt")
-
-
-def verified(found: DataFrame) -> DataFrame:
-    """k1, k2, label, start, stop, similarity of the spans that their excerpt bears out; of those that start close by each other, the most similar."""
-    own, n = F.split(F.col("excerpt.data").cast("string"), " "), F.col("stop") - F.col("start")
-    # Where an excerpt ends before the text does, its last word may be cut and a longer span is too long to be similar.
-    within = ~F.col("excerpt.more") | (F.size("own") > n)
-    each = found.withColumn("own", own).where((n > 0) & within).withColumn("cut", F.array_join(F.slice("own", F.lit(1), n), " "))
+    return one.select("k1", "k2", "label", "body", F.greatest("e.start", F.lit(0)).alias("start"), (F.col("e.stop") + F.col("length")).alias("stop")).distinct()
+
+
+def verified(found: DataFrame, voted: DataFrame, chunk: int) -> DataFrame:
+    """k1, k2, label, start, stop, similarity of the spans that their text bears out; of those that start close by each other, the most similar."""
+    texts = voted.where("template IS NULL").select("k1", "k2", F.col("diagonal").alias("_chunk"), "excerpt")
+    near = found.withColumn("_chunk", F.expr(f"CAST(start DIV {chunk} AS INT)")).join(texts, ["k1", "k2", "_chunk"])
+    at, n = F.col("start") - F.col("_chunk") * chunk, F.col("stop") - F.col("start")
+    near = near.withColumn("own", F.split(F.col("excerpt.data").cast("string"), " "))
+    # Where a stretch ends before the text does, its last word may be cut and a longer span is too long to be similar.
+    within = ~F.col("excerpt.more") | (F.size("own") - at > n)
+    each = near.where((n > 0) & within).withColumn("cut", F.array_join(F.slice("own", at + 1, n), " "))
     longer, shorter = F.greatest(F.length("cut"), F.length("body")), F.least(F.length("cut"), F.length("body"))
     similar = F.when(shorter >= MIN_SIMILAR * longer, 1 - F.levenshtein("cut", "body") / longer)
     good = each.withColumn("similarity", similar).where(F.col("similarity") >= MIN_SIMILAR).select("k1", "k2", "label", "body", "start", "stop", "similarity").distinct()
@@ -189,9 +202,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
     """``key`` with n_words, n_base, first_word, last_word, base_labels, labels, score and spans of each row."""
     rows = keyed(docs, key, text)
     with staging(docs.sparkSession) as result:
-        voted = staged(diagonals(votes(rows, *templates(docs.sparkSession, phrases, notices))), "license-diagonals")
+        known, kinds, chunk, most = templates(docs.sparkSession, phrases, notices)
+        voted = staged(diagonals(votes(rows, known, kinds, chunk, most)), "license-diagonals")
         base = places(voted).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_base"), F.min("at").alias("first_word"), F.max("at").alias("last_word"), F.collect_set("label").alias("base"))
-        more = verified(spans(voted)).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("similarity").alias("best"), F.collect_set(F.struct("label", "start", "stop")).alias("spans"))
+        more = verified(spans(voted), voted, chunk).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("similarity").alias("best"), F.collect_set(F.struct("label", "start", "stop")).alias("spans"))
         marks = result(base.join(more, ["k1", "k2"], "full"), "license-marks")
     none = F.array().cast("array<string>")
     own, other = F.coalesce("base", none), F.coalesce("more", none)

@@ -121,3 +121,15 @@ def test_edges(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
     assert licenses.scan(docs, notices=[], phrases={"reserved": "r"}).where("base_labels = 'r'").count() == 2
     assert licenses.scan(docs, notices=[], phrases={}).where("labels = ''").count() == 5
+
+
+def test_text_is_carried_once_however_many_diagonals_vote(spark):
+    text = "copies of the software and " * 4000
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "x " * 700 + notices.MIT + " y" * 700)], "doc_id long, text string")
+    known, kinds, chunk, most = licenses.templates(spark)
+    voted = licenses.diagonals(licenses.votes(licenses.keyed(docs, "doc_id", "text"), known, kinds, chunk, most))
+    own = voted.where("template IS NOT NULL AND excerpt IS NULL").count()
+    size = voted.agg(F.sum(F.octet_length("excerpt.data"))).first()[0]
+    assert own > 4000 and size < 6 * len(text), (own, size)
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert "mit" in got[3].split(",") and got[2] == ""
