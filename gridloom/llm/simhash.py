@@ -309,17 +309,24 @@ def compared(pairs: DataFrame, nodes: DataFrame, permille: int) -> DataFrame:
     return df.select("a", "b", "n_a", "n_b", (F.col("few") | (F.col("apart") + margin <= F.col("most"))).alias("sure"))
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, size: int) -> DataFrame:
-    """node, grams: the sets of shingles of the nodes in ``ends``, from their texts; written tables. The texts move in SLICES parts."""
+def sets_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, size: int) -> list[DataFrame]:
+    """node, grams: the sets of shingles of the nodes in ``ends``, from their texts; SLICES written tables, as the texts move in so many parts."""
     at = staged(nodes.select("node", "_k1", "_k2").join(ends, "node", "left_semi"), "simhash-at")
     parts = []
     for i in range(SLICES):
         mine = F.pmod("_k1", F.lit(SLICES)) == i
         texts = docs.where(mine).select("_k1", "_k2", as_bytes(F.col("text")).alias("_text")).join(at.where(mine), ["_k1", "_k2"])
+        # Repeated rows go here, where texts of one key are together, so that sets don't move.
+        texts = texts.groupBy("_k1", "_k2").agg(F.first("node").alias("node"), F.first("_text").alias("_text"))
         sets = row_map(texts, "_text", [T.StructField("grams", T.ArrayType(T.LongType()))], lambda: lambda c: [_arrays([_grams(t, size) for t in c.to_pylist()])], ["node"])
-        parts.append(staged(sets.dropDuplicates(["node"]), "simhash-sets"))
+        parts.append(staged(sets, "simhash-sets"))
     discard(at)
-    return reduce(DataFrame.unionByName, parts)
+    return parts
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """node: all that are in a pair; a written table."""
+    return staged(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "simhash-ends")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
@@ -339,8 +346,10 @@ def differences(members: DataFrame, sets: DataFrame, permille: int) -> DataFrame
     connected. Else one, say a, isn't: |D_a| > c (n_a + n_hub), so they share more than (|D_b| + c (n_hub - n_b)) / 2,
     and in any case |D| - T of each. By prefix filtering, one of the first ``probes`` of D_a is one of the first ``indexes`` of D_b.
     """
-    hubs = staged(members.select("hub").distinct().join(sets.select(F.col("node").alias("hub"), F.col("grams").alias("of_hub")), "hub"), "simhash-hubs")
-    df = members.join(sets, "node").join(hubs, "hub")
+    # Written first, so that Spark sees their sizes: of few, only their sets move.
+    ids = [staged(members.select(F.col(c).alias("node")).distinct(), "simhash-ends") for c in ("hub", "node")]
+    hubs = staged(sets.join(ids[0], "node", "left_semi").select(F.col("node").alias("hub"), F.col("grams").alias("of_hub")), "simhash-hubs")
+    df = members.join(sets.join(ids[1], "node", "left_semi"), "node").join(hubs, "hub")
     df = df.withColumn("differ", F.concat(F.array_except("grams", "of_hub"), F.array_except("of_hub", "grams"))).drop("grams", "of_hub")
     d, less, more = F.size("differ"), 1000 - permille, 1000 + permille
     close = d * more <= less * (F.col("n") + F.col("n_hub"))
@@ -350,7 +359,7 @@ def differences(members: DataFrame, sets: DataFrame, permille: int) -> DataFrame
     probes = F.when((F.col("root") != F.col("main")) & ~close, d - F.greatest(F.lit(1), d - most) + 1).otherwise(0)
     df = df.select(*members.columns, "differ", d.alias("far"), close.alias("close"), probes.alias("probes"), (d - F.greatest(F.lit(1), d - most, shared) + 1).alias("indexes"))
     df = staged(df, "simhash-differences")
-    discard(hubs)
+    discard(hubs, *ids)
     # Shingles of a part of the members, so that a hub has only a bounded number for each shingle of a difference.
     counts = df.select("hub", F.explode("differ").alias("g")).groupBy("hub", "g").agg(F.count(F.lit(1)).alias("m"))
     often = counts.join(df.groupBy("hub").agg(F.count(F.lit(1)).alias("all")), "hub").where(F.col("m") * OFTEN > F.col("all"))
@@ -450,7 +459,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
         n = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
         return enough.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), n("n_a", "n_b").alias("n_a"), n("n_b", "n_a").alias("n_b")).distinct()
 
-    grouped, sets = None, None
+    grouped, sets, whole = None, None, []
     for turn in range(ROUNDS):
         hub = F.min_by(F.struct("node", "n", "at", "root"), F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"))).alias("hub")
         hubs = crowd.groupBy("token").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -461,11 +470,15 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
             # What the rounds compare is taken out of all texts once.
             ends = staged(crowd.join(hubs.select("token"), "token", "left_semi").select("node").distinct(), "simhash-ends")
             inside = staged(nodes.select("node", "bits", "whole").join(ends, "node", "left_semi"), "simhash-inside")
-            sets = sets_of(docs, nodes, ends, size)
+            whole = sets_of(docs, nodes, ends, size)
+            sets = reduce(DataFrame.unionByName, whole)
         pairs = staged(possible(crowd.select("token", *own("a"), F.col("root").alias("root_a")).join(hubs, "token").where("root_a <> root_b")), "simhash-pairs")
         some = staged(compared(pairs, inside, permille), "simhash-compared")
-        links = staged(some.where("sure").select("a", "b").unionByName(alike(some.where("NOT sure"), sets, permille)), "simhash-alike")
-        discard(hubs, pairs, some)
+        # Few pairs are left open as a rule: then only their sets move.
+        open_ends = ends_of(some.where("NOT sure"))
+        told = alike(some.where("NOT sure"), sets.join(open_ends, "node", "left_semi"), permille)
+        links = staged(some.where("sure").select("a", "b").unionByName(told), "simhash-alike")
+        discard(hubs, pairs, some, open_ends)
         if links.isEmpty():
             break
         before, last = grouped, crowd
@@ -477,7 +490,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
     few = rows.where("NOT crowd")
     few = few.select("token", *own("a")).join(few.select("token", *own("b")), "token").where("a < b")
     rest = staged(possible(reduce(DataFrame.unionByName, met, few.drop("token"))), "simhash-pairs")
-    discard(*parts, *met)
+    discard(*parts, *met, *whole)
     if sets is not None:
         discard(ends, inside)
     if grouped is not None:
@@ -489,8 +502,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
         edges = edges.unionAll(grouped.where("node <> root").select("node", "root"))
     unsure = rest.where("NOT sure")
     if not unsure.isEmpty():
-        ends = staged(unsure.select(F.col("a").alias("node")).unionAll(unsure.select("b")).distinct(), "simhash-ends")
-        edges = edges.unionByName(alike(unsure, sets_of(docs, nodes, ends, size), permille))
+        sets = reduce(DataFrame.unionByName, sets_of(docs, nodes, ends_of(unsure), size))
+        edges = edges.unionByName(alike(unsure, sets, permille))
     fp = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
     return edges.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).where("a <> b")
 
@@ -511,8 +524,11 @@ def keep(docs: DataFrame, size: int = KEEP_SHINGLE, permille: int = KEEP_PERMILL
         slim = staged(slim, "simhash-slim")
         marked = result(slim.select("doc_id", "_k1", "_k2", "fp"), "simhash-marked")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))).alias("d")
-        nodes = slim.groupBy("node").agg(least, F.first(F.struct("_k1", "_k2", *[c for c in _PROFILE if c != "node"])).alias("s"))
-        nodes = staged(nodes.select("node", "d", "s.*"), "simhash-nodes")
+        parts = []
+        for i in range(SLICES):
+            mine = slim.where(F.pmod("node", F.lit(SLICES)) == i).groupBy("node").agg(least, F.first(F.struct("_k1", "_k2", *[c for c in _PROFILE if c != "node"])).alias("s"))
+            parts.append(staged(mine.select("node", "d", "s.*"), "simhash-nodes"))
+        nodes = reduce(DataFrame.unionByName, parts)
         unstaged(slim)
         more = result(similar_links(docs.select("text", *k), nodes, size, permille), "simhash-similar")
     with staging(spark) as result:
