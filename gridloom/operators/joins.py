@@ -24,13 +24,14 @@ def range_join(left: DataFrame, right: DataFrame, pyramid: Pyramid, zoom: int, l
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(how)
-    whole = lambda df, box, name: df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name), F.col(box).alias("_b"))
+    # Column by column: of a struct with all of them, Spark's pruning of nested fields under two explodes loses fields.
+    whole = lambda df, box, name: df.select(*[df[f"`{c}`"].alias(f"{name}{i}") for i, c in enumerate(df.columns)], F.col(box).alias("_b"))
     has_left, has_right = C.levels_in_use(left, pyramid, zoom, left_box, touching), C.levels_in_use(right, pyramid, zoom, right_box, touching)
     # Side 1: the left box's own cells, under which lie right boxes as fine or finer; side 2: finer left boxes under a right one's.
-    a = C.level_cells(whole(left, left_box, "_l"), pyramid, zoom, "_b", touching)
+    a = C.level_cells(whole(left, left_box, "_left"), pyramid, zoom, "_b", touching)
     a = a.where(F.when(F.col("zoom") == F.col("_own"), F.array_max(has_right) >= F.col("zoom")).otherwise(F.array_contains(has_right, F.col("zoom"))))
     a = a.withColumn("_side", F.when(F.col("zoom") == F.col("_own"), 1).otherwise(2)).drop("_own").withColumnsRenamed({"_b": "_a", **{k: f"_{k}" for k in KEYS}})
-    b = C.level_cells(whole(right, right_box, "_r"), pyramid, zoom, "_b", touching)
+    b = C.level_cells(whole(right, right_box, "_right"), pyramid, zoom, "_b", touching)
     b = b.withColumn("_s", F.explode(F.when(F.col("zoom") == F.col("_own"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     b = b.where(F.when(F.col("_s") == 1, F.array_contains(has_left, F.col("zoom"))).otherwise(F.array_max(has_left) > F.col("zoom"))).drop("_own")
     if how != "inner":
@@ -40,9 +41,9 @@ def range_join(left: DataFrame, right: DataFrame, pyramid: Pyramid, zoom: int, l
     row, col = C.cell_at(pyramid, F.col("_zoom"), x, y)
     same = (F.col("_side") == F.col("_s")) & (F.col("_zoom") == F.col("zoom")) & (F.col("_row") == F.col("row")) & (F.col("_col") == F.col("col"))
     joined = a.join(b, same & test & (row == F.col("_row")) & (col == F.col("_col")))
-    own = [F.col(f"_l.`{c}`").alias(c) for c in left.columns]
+    own = [F.col(f"_left{i}").alias(c) for i, c in enumerate(left.columns)]
     if how == "inner":
-        return joined.select(*own, *[F.col(f"_r.`{c}`").alias(f"r_{c}" if c in left.columns else c) for c in right.columns])
+        return joined.select(*own, *[F.col(f"_right{i}").alias(f"r_{c}" if c in left.columns else c) for i, c in enumerate(right.columns)])
     hits = joined.select(*own).distinct()
     return hits if how == "left_semi" else left.join(hits, [left[c].eqNullSafe(hits[c]) for c in left.columns], "left_anti")
 

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import bounds as B
 from gridloom.functions import geometry as G
 from gridloom.functions.pyramid import Pyramid
 from gridloom.operators import covering as C
@@ -126,3 +127,10 @@ def test_points_in_boxes_and_polygons(spark, features):
     for zoom in (4, 11):
         got = joins.points_in_polygons(pts, features.where("geom.type = 'Polygon'"), GEO, zoom).select("p", "id").collect()
         assert sorted(map(tuple, got)) == sorted((r.p, r.id) for r in want.collect())
+
+
+def test_a_table_joined_with_itself_keeps_all_fields_of_its_boxes(spark):
+    df = spark.range(3).select("id", B.column(F.col("id") * 10.0, F.col("id") * 1.0, F.col("id") * 10.0 + 12, F.col("id") + 5.0).alias("box"))
+    pairs = joins.range_join(df, df, Pyramid(), 3).where("id < r_id")
+    got = pairs.select("id", "r_id", F.greatest("box.left", "r_box.left"), F.least("box.top", "r_box.top")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 10.0, 5.0), (1, 2, 20.0, 6.0)]
