@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions import geometry as G
 from gridloom.functions import overlay as O
@@ -164,3 +165,35 @@ def test_buffers_in_metres(spark):
     assert metres(got[1]) == pytest.approx(circle + 2000 * width, rel=5e-3)
     assert metres(got[2]) > metres(got[1])
     assert got[3]["type"] == "MultiPolygon" and {p["x"] > 0 for r in got[3]["rings"] for p in r} == {True, False}
+
+
+def test_cuts_stay_on_both_edges():
+    """Edges along one line that rounding has turned a little: where they cross on the grid may be far from where their lines meet."""
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        x = np.sort(rng.uniform(0, 11, (12, 2)), axis=1)
+        ends = np.stack((x, 3 - x / 4 + rng.uniform(-3e-8, 3e-8, x.shape)), axis=2)
+        grid = O._Grid([ends.reshape(-1, 2)])
+        p, q = grid.places(ends[:, 0]), grid.places(ends[:, 1])
+        found = O._split(p, q, grid)
+        if found is not None:
+            a, b, of = found
+            low, high = np.minimum(p, q)[of] - 2, np.maximum(p, q)[of] + 2
+            assert ((a >= low) & (a <= high) & (b >= low) & (b <= high)).all()
+
+
+def test_what_rounding_leaves_is_no_area():
+    box = np.array([[0.0, 0.0], [11.0, -2.75], [13.0, 1.25], [2.0, 4.0]])
+    assert O.difference([[box]], [[box + [0.0, 6e-8]]]) == []
+    assert O.difference([[box]], [[box + [0.0, 1e-5]]]) != []
+
+
+def test_equal_shapes_are_overlaid_once_and_joined_to_all_rows(spark):
+    corners = lambda x: [{"x": float(a), "y": float(b)} for a, b in ((x, 0), (x + 2, 0), (x + 2, 2), (x, 2), (x, 0))]
+    g = lambda x: {"type": "Polygon", "rings": [corners(x)], "part": [0]}
+    a = spark.createDataFrame([(i, g(0)) for i in range(3)], T.StructType([T.StructField("k", T.LongType()), T.StructField("geom", G.GEOMETRY)]))
+    b = spark.createDataFrame([(i, g(1)) for i in range(2)], T.StructType([T.StructField("k", T.LongType()), T.StructField("geom", G.GEOMETRY)]))
+    assert overlay.shape_intersections(a, b, Pyramid(), 4).count() == 1
+    assert sorted((r["k"], r["r_k"]) for r in overlay.intersections(a, b, Pyramid(), 4).collect()) == [(i, j) for i in range(3) for j in range(2)]
+    assert sorted(map(tuple, overlay.intersection_sums(a, b, Pyramid(), 4, ["k"]).collect())) == [(i, 2, 4.0) for i in range(3)]
+    assert [r["k"] for r in overlay.differences(a, b, Pyramid(), 4, ["k"]).orderBy("k").collect()] == [0, 1, 2]
