@@ -5,6 +5,9 @@ anything moves, then tile by tile (or key by key) as a stream over sorted partit
 over the tiles' borders, where edges that run both ways cancel. Geometries cross to numpy as flat coordinate
 arrays, a batch at a time.
 
+Rows with equal geometries are one shape: pairs, covers and differences are made for each shape once and then joined to
+the rows. A geometry costs far more time than bytes, by which Spark sizes its partitions, so rows are dealt out evenly.
+
 Defined results: a null or empty geometry, and one that isn't a polygon where polygons are asked for, covers nothing;
 rows whose result is empty go; inside is what any of the parts holds, so parts may overlap.
 """
@@ -15,7 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,10 +73,27 @@ def written(rows: Iterable[Parts], kind: str = "Polygon") -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), lists, pa.ListArray.from_arrays(at(map(len, part)), pa.array([n for own in part for n in own], pa.int32()))], fields=list(_ARROW), mask=none)
 
 
+def _tasks(df: DataFrame) -> int:
+    """A number that is given isn't lowered by the rows' bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shape_key(geom: Column) -> Column:
+    """Equal for equal geometries only: a digest of all that they hold; null for none."""
+    return F.sha2(F.to_json(geom), 256)
+
+
+def shapes(df: DataFrame, geom: str = "geom", by: list[str] = []) -> DataFrame:
+    """``by``, ``geom`` and _key, its `shape_key`: each different geometry (of each value of ``by``) once."""
+    rows = df.select(*[df[f"`{c}`"] for c in by], df[f"`{geom}`"].cast(G.GEOMETRY).alias(geom)).withColumn("_key", shape_key(F.col(geom)))
+    return rows.where("_key IS NOT NULL").dropDuplicates([*by, "_key"])
+
+
 def computed(df: DataFrame, geoms: list[str], f: Callable[..., Parts], out: str = "geom", kinds: tuple[str, ...] = POLYGONS, kind: str = "Polygon") -> DataFrame:
     """``df`` with ``out`` = f of the parts of the columns ``geoms`` (the first of ``kinds``, others polygons), less the columns ``geoms``; rows with nothing left go."""
     rest = [c for c in df.columns if c not in geoms and c != out]
     rows = df.select(F.struct(F.lit(True).alias("_"), *[df[f"`{c}`"] for c in rest]).alias("_row"), *[df[f"`{c}`"].cast(G.GEOMETRY).alias(f"_{i}") for i, c in enumerate(geoms)])
+    rows = rows.repartition(_tasks(df))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +166,7 @@ def united(df: DataFrame, by: list[str], geom: str = "geom") -> DataFrame:
             yield table([(last, held.union())])
 
     partial = rows.mapInArrow(within, schema)
-    dealt = partial.repartition(*[F.col(f"`{c}`") for c in by]).sortWithinPartitions(*[F.col(f"`{c}`") for c in by]) if by else partial.coalesce(1)
+    dealt = partial.repartition(_tasks(df), *[F.col(f"`{c}`") for c in by]).sortWithinPartitions(*[F.col(f"`{c}`") for c in by]) if by else partial.coalesce(1)
     return dealt.mapInArrow(across, schema).where(F.col(geom).isNotNull())
 
 
@@ -166,7 +186,7 @@ def cut_to_tiles(features: DataFrame, pyramid: Pyramid, zoom: int, geom: str = "
 
 def union_by_tile(features: DataFrame, pyramid: Pyramid, zoom: int, by: list[str] = [], geom: str = "geom") -> DataFrame:
     """zoom, row, col, ``by`` and the union of the features in each tile: areas that don't overlap, as many rows as tiles."""
-    return united(cut_to_tiles(features, pyramid, zoom, geom), [*KEYS, *by], geom)
+    return united(cut_to_tiles(shapes(features, geom, by).drop("_key"), pyramid, zoom, geom), [*KEYS, *by], geom)
 
 
 def dissolved(features: DataFrame, pyramid: Pyramid, zoom: int, by: list[str], geom: str = "geom") -> DataFrame:
@@ -174,22 +194,40 @@ def dissolved(features: DataFrame, pyramid: Pyramid, zoom: int, by: list[str], g
     return united(union_by_tile(features, pyramid, zoom, by, geom), by, geom)
 
 
+def shape_intersections(left: DataFrame, right: DataFrame, pyramid: Pyramid, zoom: int, geom: str = "geom") -> DataFrame:
+    """_a, _b (`shape_key`) and what they share: pairs of shapes of both sides whose areas share an area, each once."""
+    boxed = lambda df, name: shapes(df, geom).select(F.col("_key").alias(f"_{name}"), F.col(geom).alias(f"_of_{name}"), G.box(F.col(geom)).alias("_box"))
+    pairs = range_join(boxed(left, "a"), boxed(right, "b"), pyramid, zoom, "_box", "_box", touching=False).drop("_box", "r__box")
+    return computed(pairs, ["_of_a", "_of_b"], O.intersection, geom)
+
+
 def intersections(left: DataFrame, right: DataFrame, pyramid: Pyramid, zoom: int, geom: str = "geom") -> DataFrame:
     """Pairs of rows whose areas share an area, with what they share; clashing columns of ``right`` are prefixed with ``r_``."""
-    boxed = lambda df, name: df.withColumn("_box", G.box(F.col(geom))).withColumnRenamed(geom, name)
-    pairs = range_join(boxed(left, "_a"), boxed(right, "_b"), pyramid, zoom, "_box", "_box", touching=False).drop("_box", "r__box")
-    return computed(pairs, ["_a", "_b"], O.intersection, geom)
+    own, other = ([c for c in df.columns if c != geom] for df in (left, right))
+    keyed = lambda df, names, name: df.select(*[df[f"`{c}`"].alias(f"_{name}{i}") for i, c in enumerate(names)], shape_key(df[f"`{geom}`"].cast(G.GEOMETRY)).alias(f"_{name}"))
+    pairs = shape_intersections(left, right, pyramid, zoom, geom).join(keyed(left, own, "a"), "_a").join(keyed(right, other, "b"), "_b")
+    return pairs.select(*[F.col(f"_a{i}").alias(c) for i, c in enumerate(own)], *[F.col(f"_b{i}").alias(f"r_{c}" if c in own else c) for i, c in enumerate(other)], geom)
+
+
+def intersection_sums(left: DataFrame, right: DataFrame, pyramid: Pyramid, zoom: int, by: list[str], geom: str = "geom") -> DataFrame:
+    """``by`` (of ``left``), n and area: number and area of all `intersections`, added up by shapes, so that no pair of rows is made."""
+    keyed = lambda df, *more: df.select(*more, shape_key(df[f"`{geom}`"].cast(G.GEOMETRY)).alias("_key"))
+    many = keyed(right).groupBy(F.col("_key").alias("_b")).agg(F.count(F.lit(1)).alias("_m"))
+    found = shape_intersections(left, right, pyramid, zoom, geom).select("_a", "_b", G.area(F.col(geom)).alias("_area")).join(many, "_b")
+    sums = found.groupBy(F.col("_a").alias("_key")).agg(F.sum("_m").alias("_n"), F.sum(F.col("_m") * F.col("_area")).alias("_area"))
+    return keyed(left, *by).join(sums, "_key").groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_area").alias("area"))
 
 
 def differences(left: DataFrame, right: DataFrame, pyramid: Pyramid, zoom: int, key: list[str], geom: str = "geom") -> DataFrame:
     """``key`` (which tells rows of ``left``) and what of each area no area of ``right`` covers.
 
-    Both are cut to tiles; a tile has one row of ``right``, the union of its areas, so no row meets many. Pieces are put together by key.
+    The shapes of both are cut to tiles; a tile has one row of ``right``, the union of its areas, so no row meets many. Pieces are put together by shape.
     """
-    tiles = cut_to_tiles(left.select(*key, geom), pyramid, zoom, geom).withColumnRenamed(geom, "_a")
+    tiles = cut_to_tiles(shapes(left, geom), pyramid, zoom, geom).withColumnRenamed(geom, "_a")
     cover = union_by_tile(right.select(geom), pyramid, zoom, geom=geom).withColumnRenamed(geom, "_b")
     pieces = computed(tiles.join(cover, KEYS, "left"), ["_a", "_b"], lambda a, b: O.difference(a, b) if b else O.union(a), geom)
-    return united(pieces, key, geom)
+    rows = left.select(*key, shape_key(left[f"`{geom}`"].cast(G.GEOMETRY)).alias("_key"))
+    return rows.join(united(pieces, ["_key"], geom), "_key").select(*key, geom)
 
 
 def repaired(features: DataFrame, geom: str = "geom") -> DataFrame:

@@ -56,8 +56,8 @@ def _area() -> Column:
 
 @register("polygon_intersection", f"WITH {_TWO}, p AS (SELECT s_suppkey, (least(s.u + s.w, c.u + c.w) - greatest(s.u, c.u)) AS x, (least(s.v + s.h, c.v + c.h) - greatest(s.v, c.v)) AS y FROM s, c) SELECT s_suppkey, count(*) AS n, round(sum(x * y) * 1.125e0, 6) AS area FROM p WHERE x > 0 AND y > 0 GROUP BY s_suppkey")
 def _(spark, sf):
-    found = overlay.intersections(suppliers(spark, sf), customers(spark, sf), GEO, 4)
-    return found.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), _area())
+    found = overlay.intersection_sums(suppliers(spark, sf), customers(spark, sf), GEO, 4, ["s_suppkey"])
+    return found.select("s_suppkey", "n", F.round("area", 6).alias("area"))
 
 
 @register("polygon_difference", f"WITH {_TWO}, x AS ({_CELLS.format(what='s_suppkey', of='s')}), y AS (SELECT DISTINCT x, y FROM ({_CELLS.format(what='c_custkey', of='c')})) SELECT s_suppkey, round(count(*) * 1.125e0, 6) AS area FROM x ANTI JOIN y ON x.x = y.x AND x.y = y.y GROUP BY s_suppkey")
