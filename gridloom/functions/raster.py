@@ -7,7 +7,7 @@ a row for each pixel: zoom, row, col, band, py, px, value. y runs down from the
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil, pi, radians
+from math import atan2, ceil, copysign, pi, radians
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,8 +105,10 @@ def gradient(w: list[Column], xres: float, yres: float, scale: float = 1.0, z: f
 
 
 def slope_aspect(w: list[Column], xres: float, yres: float, scale: float = 1.0, z: float = 1.0) -> tuple[Column, Column]:
+    """Flat pixels have the aspect of zeros with the resolutions' signs, which Spark's atan2 drops."""
     x, y = gradient(w, xres, yres, scale, z)
-    return F.lit(pi / 2) - F.atan(F.sqrt(x * x + y * y)), F.atan2(x, y)
+    flat = atan2(copysign(0.0, xres * scale), copysign(0.0, yres * scale))
+    return F.lit(pi / 2) - F.atan(F.sqrt(x * x + y * y)), F.when((x == 0) & (y == 0), F.lit(flat)).otherwise(F.atan2(x, y))
 
 
 def shade(slope: Column, aspect: Column, azimuth: float = 315.0, altitude: float = 45.0) -> Column:
