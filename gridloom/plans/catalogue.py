@@ -1,7 +1,8 @@
 """The registered queries of the tile engine and the SQL they are checked by.
 
 The test tables hold no geodata, so a spatial layer is derived from them by arithmetic: points from
-`events`, 8 x 8 pixel rasters from `embeddings` (one tile each at zoom 5), boxes and polygons from `nation`.
+`events`, 8 x 8 pixel rasters from `embeddings` (one tile each at zoom 5), boxes and polygons from `nation`. Zoom 5 has
+2048 tiles; queries whose results depend on tiles being in the pyramid take the first zoom from 5 with one for each.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ _sql: dict[str, str] = {}
 PTS = "pts AS (SELECT event_id, user_id, value, event_type, ts, CAST((user_id * 7919) % 36000 AS DOUBLE) / 100e0 - 180e0 AS lon, CAST((event_id * 104729) % 18000 AS DOUBLE) / 100e0 - 90e0 AS lat FROM events)"
 TILED = f"{PTS}, tiled AS (SELECT *, CAST(greatest(least(floor((lon + 180e0) / 11.25e0), 31), 0) AS INT) AS col4, CAST(greatest(least(floor((lon + 180e0) / 5.625e0), 63), 0) AS INT) AS col, CAST(greatest(least(floor((90e0 - lat) / 5.625e0), 31), 0) AS INT) AS row FROM pts)"
 PIX = "pix AS (SELECT vec_id, label, 5 AS zoom, CAST(vec_id // 64 AS INT) AS row, CAST(vec_id % 64 AS INT) AS col, 1 AS band, CAST(i // 8 AS INT) AS py, CAST(i % 8 AS INT) AS px, CAST(round(CAST(embedding[i + 1] AS DOUBLE) * 1000) AS DOUBLE) + 0e0 AS value FROM embeddings, range(64) t(i))"
+FITTED = PIX.replace("pix AS", "fit AS (SELECT CAST(min(k) AS INT) AS z, 2 << min(k) AS w, 180e0 / (1 << min(k)) AS s FROM range(5, 31) t(k) WHERE (CAST(2 AS BIGINT) << (2 * k)) > (SELECT max(vec_id) FROM embeddings)), pix AS").replace("5 AS zoom", "z AS zoom").replace("vec_id // 64", "vec_id // w").replace("vec_id % 64", "vec_id % w").replace("FROM embeddings, range(64)", "FROM embeddings, fit, range(64)")
+SPAN = "(SELECT s FROM fit)"
 BOX = "box AS (SELECT n_nationkey, n_name, n_regionkey, n_nationkey * 14e0 - 180e0 AS l, (n_nationkey * 11) % 150 - 90e0 AS b, n_nationkey * 14e0 - 150e0 AS r, (n_nationkey * 11) % 150 - 65e0 AS t FROM nation)"
 
 
@@ -60,9 +63,15 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").withColumns({"lon": lon, "lat": lat})
 
 
-def packed(spark: SparkSession, sf: str) -> DataFrame:
+def fitting_zoom(spark: SparkSession, sf: str) -> int:
+    """The first zoom from 5 with a tile for each embedding."""
+    last = read(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    return next(z for z in range(Z, 31) if 2 * 4**z > last)
+
+
+def packed(spark: SparkSession, sf: str, zoom: int = Z) -> DataFrame:
     pixels = F.transform("embedding", lambda v: F.round(v.cast("double") * 1000) + 0.0)
-    return read(spark, sf, "embeddings").select(F.lit(Z).alias("zoom"), F.expr("CAST(vec_id DIV 64 AS INT)").alias("row"), F.expr("CAST(vec_id % 64 AS INT)").alias("col"), F.lit(1).alias("band"), F.lit(WIDTH).alias("height"), F.lit(WIDTH).alias("width"), pixels.alias("pixels"))
+    return read(spark, sf, "embeddings").select(F.lit(zoom).alias("zoom"), F.expr(f"CAST(vec_id DIV {2 << zoom} AS INT)").alias("row"), F.expr(f"CAST(vec_id % {2 << zoom} AS INT)").alias("col"), F.lit(1).alias("band"), F.lit(WIDTH).alias("height"), F.lit(WIDTH).alias("width"), pixels.alias("pixels"))
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -400,18 +409,18 @@ def _(spark, sf):
     return m.select("row", "col", F.explode(R.contour_levels(F.col("lo"), F.col("hi"), 50, 10)).alias("level"))
 
 
-_SQUARES = f"""WITH {PIX}, t AS (SELECT row, col, list(value ORDER BY py * 8 + px) AS v FROM pix GROUP BY row, col),
+_SQUARES = f"""WITH {FITTED}, t AS (SELECT row, col, list(value ORDER BY py * 8 + px) AS v FROM pix GROUP BY row, col),
 s AS (SELECT row, col, k * 100e0 AS elev, v[y * 8 + x + 1] AS a, v[y * 8 + x + 2] AS b, v[y * 8 + x + 10] AS c, v[y * 8 + x + 9] AS d FROM t, range(7) p(y), range(7) q(x), range(-100, 101) r(k) WHERE k * 100 >= list_min(v) AND k * 100 <= list_max(v)),
 e AS (SELECT *, (a >= elev) <> (b >= elev) AS top, (b >= elev) <> (c >= elev) AS rig, (c >= elev) <> (d >= elev) AS bot, (a >= elev) <> (d >= elev) AS lef,
   CASE WHEN a <> b THEN (elev - a) / (b - a) END AS tx, CASE WHEN b <> c THEN (elev - b) / (c - b) END AS ry, CASE WHEN c <> d THEN (elev - d) / (c - d) END AS bx, CASE WHEN a <> d THEN (elev - a) / (d - a) END AS ly FROM s),
 n AS (SELECT *, top::INT + rig::INT + bot::INT + lef::INT AS n, sqrt((1 - tx) * (1 - tx) + ry * ry) AS tr, sqrt((tx - bx) * (tx - bx) + 1) AS tb, sqrt(tx * tx + ly * ly) AS tl, sqrt((1 - bx) * (1 - bx) + (1 - ry) * (1 - ry)) AS rb, sqrt((ry - ly) * (ry - ly) + 1) AS rl, sqrt(bx * bx + (1 - ly) * (1 - ly)) AS bl FROM e),
 m AS (SELECT row, col, elev, n, CASE WHEN n = 4 THEN CASE WHEN ((a + b + c + d) / 4 >= elev) = (a >= elev) THEN tr + bl ELSE tl + rb END WHEN n = 2 THEN CASE WHEN top AND rig THEN tr WHEN top AND bot THEN tb WHEN top AND lef THEN tl WHEN rig AND bot THEN rb WHEN rig AND lef THEN rl ELSE bl END END AS l FROM n WHERE n > 0)
-SELECT row, col, elev, CAST(sum(n // 2) AS BIGINT) AS pieces, round(sum(l) * 0.703125e0, 6) AS length FROM m GROUP BY row, col, elev"""
+SELECT row, col, elev, CAST(sum(n // 2) AS BIGINT) AS pieces, round(sum(l) * ({SPAN} / 8), 6) AS length FROM m GROUP BY row, col, elev"""
 
 
 @register("contours", _SQUARES)
 def _(spark, sf):
-    lines = process.contours(packed(spark, sf), GEO, 100.0)
+    lines = process.contours(packed(spark, sf, fitting_zoom(spark, sf)), GEO, 100.0)
     return lines.groupBy("row", "col", "elev").agg(F.sum(F.size(G.points(F.col("geom"))) - 1).alias("pieces"), F.round(F.sum(G.length(F.col("geom"))), 6).alias("length"))
 
 
@@ -621,7 +630,7 @@ def _round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return R.to_long(TileDirectory(spark, path).read(Z)).select("row", "col", "py", "px", "value")
 
 
-@register("geotiff_round_trip", f"WITH {PIX} SELECT zoom, row, col, band, py, px, value FROM pix")
+@register("geotiff_round_trip", f"WITH {FITTED} SELECT zoom, row, col, band, py, px, value FROM pix")
 def _(spark, sf):
     return _geotiffs(spark, sf)
 
@@ -631,9 +640,9 @@ def _geotiffs(spark: SparkSession, sf: str) -> DataFrame:
     from gridloom.sources.readers import raster_files, raster_to_tiles
     from gridloom.sources.sinks import write_images
 
-    path = work_path(spark, "geotiff")
-    write_images(packed(spark, sf), path, GEO, "GTiff", nodata=-9999.0).write.format("noop").mode("overwrite").save()
-    return raster_to_tiles(raster_files(spark, f"{path}/*/*/*.tif"), GEO, Z)
+    path, z = work_path(spark, "geotiff"), fitting_zoom(spark, sf)
+    write_images(packed(spark, sf, z), path, GEO, "GTiff", nodata=-9999.0).write.format("noop").mode("overwrite").save()
+    return raster_to_tiles(raster_files(spark, f"{path}/*/*/*.tif"), GEO, z)
 
 
 @register("geojson_round_trip", f"WITH {BOX} SELECT n_nationkey, l, b, 600e0 AS area FROM box")
@@ -650,11 +659,11 @@ def _(spark, sf):
     return back.select(F.col("properties")["id"].cast("int").alias("n_nationkey"), box["left"].alias("l"), box["bottom"].alias("b"), F.round(G.area(F.col("geom")), 6).alias("area"))
 
 
-def _config(spark: SparkSession, sf: str, name: str, **more) -> dict:
+def _config(spark: SparkSession, sf: str, name: str, z: int = Z, **more) -> dict:
     from gridloom.sources.paths import work_path
 
     output = {"format": "Parquet", "path": work_path(spark, name), **more.pop("output", {})}
-    return {"pyramid": {"grid": "geodetic", "tile_size": WIDTH}, "zoom_levels": {"min": 4, "max": 5}, "process": _double_plus, "process_parameters": {"add": 1}, "input": {"dem": packed(spark, sf)}, "output": output, **more}
+    return {"pyramid": {"grid": "geodetic", "tile_size": WIDTH}, "zoom_levels": {"min": z - 1, "max": z}, "process": _double_plus, "process_parameters": {"add": 1}, "input": {"dem": packed(spark, sf, z)}, "output": output, **more}
 
 
 def _run(spark: SparkSession, config: dict) -> DataFrame:
@@ -666,17 +675,19 @@ def _run(spark: SparkSession, config: dict) -> DataFrame:
     return R.to_long(p.read().select("zoom", "row", "col", "band", "height", "width", "pixels")).where("value IS NOT NULL")
 
 
-_BASE = f"WITH {PIX}, base AS (SELECT row, col, py, px, value * 2 + 1 AS value FROM pix) SELECT 5 AS zoom, row, col, py, px, value FROM base UNION ALL SELECT 4, CAST(row // 2 AS INT), CAST(col // 2 AS INT), CAST((row % 2 * 8 + py) // 2 AS INT), CAST((col % 2 * 8 + px) // 2 AS INT), max(value) FROM base GROUP BY ALL"
+_BASE = f"WITH {FITTED}, base AS (SELECT row, col, py, px, value * 2 + 1 AS value FROM pix) SELECT z AS zoom, row, col, py, px, value FROM base, fit UNION ALL SELECT z - 1, CAST(row // 2 AS INT), CAST(col // 2 AS INT), CAST((row % 2 * 8 + py) // 2 AS INT), CAST((col % 2 * 8 + px) // 2 AS INT), max(value) FROM base, fit GROUP BY ALL"
 
 
 @register("process_run", _BASE)
 def _(spark, sf):
-    return _run(spark, _config(spark, sf, "run", baselevels={"min": 5, "max": 5, "lower": "max"})).select("zoom", "row", "col", "py", "px", "value")
+    z = fitting_zoom(spark, sf)
+    return _run(spark, _config(spark, sf, "run", z, baselevels={"min": z, "max": z, "lower": "max"})).select("zoom", "row", "col", "py", "px", "value")
 
 
 @register("run_geotiff", _BASE)
 def _(spark, sf):
-    config = _config(spark, sf, "run", baselevels={"min": 5, "max": 5, "lower": "max"}, output={"format": "GTiff", "dtype": "float64", "nodata": -99999})
+    z = fitting_zoom(spark, sf)
+    config = _config(spark, sf, "run", z, baselevels={"min": z, "max": z, "lower": "max"}, output={"format": "GTiff", "dtype": "float64", "nodata": -99999})
     return _run(spark, config).select("zoom", "row", "col", "py", "px", "value")
 
 
@@ -684,16 +695,21 @@ def _gray(dem):
     return abs(dem.read()) % 256
 
 
-@register("run_png", f"WITH {PIX} SELECT row, col, py, px, CAST(b AS INT) AS band, CAST(abs(value) % 256 AS DOUBLE) AS value FROM pix, range(1, 4) t(b)")
+@register("run_png", f"WITH {FITTED} SELECT row, col, py, px, CAST(b AS INT) AS band, CAST(abs(value) % 256 AS DOUBLE) AS value FROM pix, range(1, 4) t(b)")
 def _(spark, sf):
-    config = _config(spark, sf, "run", zoom_levels=5, process=_gray, process_parameters={}, output={"format": "PNG"})
+    z = fitting_zoom(spark, sf)
+    config = _config(spark, sf, "run", z, zoom_levels=z, process=_gray, process_parameters={}, output={"format": "PNG"})
     return _run(spark, config).select("row", "col", "py", "px", "band", "value")
 
 
-@register("run_hillshade", _FOCAL.replace("/ 8e0", "/ 5.625e0").replace("/ -8e0", "/ -5.625e0") + ", s AS (SELECT row, col, py, px, 1.5707963267948966e0 - atan(sqrt(x * x + y * y)) AS sl, atan2(x, y) AS asp FROM g), h AS (SELECT row, col, py, px, trunc(greatest(least(255e0 * (sin(radians(45e0)) * sin(sl) + cos(radians(45e0)) * cos(sl) * cos(radians(225e0) - asp)), 255e0), 1e0)) AS shade FROM s) SELECT a.row, a.col, a.py, a.px, CAST(h.shade AS DOUBLE) AS value FROM (SELECT DISTINCT row, col, py, px FROM pix) a JOIN h ON h.row = a.row AND h.col = a.col AND h.py = least(greatest(a.py, 1), 6) AND h.px = least(greatest(a.px, 1), 6) WHERE h.shade < 255")
+_SHADED = _FOCAL.replace(PIX, FITTED).replace("/ 8e0", f"/ {SPAN}").replace("/ -8e0", f"/ -{SPAN}")
+
+
+@register("run_hillshade", _SHADED + ", s AS (SELECT row, col, py, px, 1.5707963267948966e0 - atan(sqrt(x * x + y * y)) AS sl, atan2(x, y) AS asp FROM g), h AS (SELECT row, col, py, px, trunc(greatest(least(255e0 * (sin(radians(45e0)) * sin(sl) + cos(radians(45e0)) * cos(sl) * cos(radians(225e0) - asp)), 255e0), 1e0)) AS shade FROM s) SELECT a.row, a.col, a.py, a.px, CAST(h.shade AS DOUBLE) AS value FROM (SELECT DISTINCT row, col, py, px FROM pix) a JOIN h ON h.row = a.row AND h.col = a.col AND h.py = least(greatest(a.py, 1), 6) AND h.px = least(greatest(a.px, 1), 6) WHERE h.shade < 255")
 def _(spark, sf):
     """The built-in process by name, as black under the shade's alpha: a full shade has none and is no data."""
-    config = _config(spark, sf, "run", zoom_levels=5, process="hillshade", process_parameters={}, output={"format": "PNG_hillshade"})
+    z = fitting_zoom(spark, sf)
+    config = _config(spark, sf, "run", z, zoom_levels=z, process="hillshade", process_parameters={}, output={"format": "PNG_hillshade"})
     return _run(spark, config).select("row", "col", "py", "px", "value")
 
 
@@ -709,10 +725,11 @@ def _(spark, sf):
     return p.read(5).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("geom.rings")[0][0]["x"]), 6).alias("x"))
 
 
-@register("run_higher_bilinear", f"WITH {PIX}, o AS (SELECT value * 2 + 1 AS value, row * 8 + py AS y, col * 8 + px AS x FROM pix), f AS (SELECT value, 2 * y + i AS ty, (2 * x + j + 1024) % 1024 AS tx, greatest(0e0, 1e0 - abs((i + 0.5e0) / 2 - 0.5e0)) * greatest(0e0, 1e0 - abs((j + 0.5e0) / 2 - 0.5e0)) AS k FROM o, range(-1, 3) a(i), range(-1, 3) b(j)), own AS (SELECT DISTINCT row AS r, col AS c FROM pix) SELECT CAST(ty // 8 AS INT) AS row, CAST(tx // 8 AS INT) AS col, CAST(ty % 8 AS INT) AS py, CAST(tx % 8 AS INT) AS px, round(sum(value * k) / sum(k), 5) AS value FROM f JOIN own ON r = ty // 16 AND c = tx // 16 WHERE k <> 0 AND ty >= 0 GROUP BY ty, tx")
+@register("run_higher_bilinear", f"WITH {FITTED}, o AS (SELECT value * 2 + 1 AS value, row * 8 + py AS y, col * 8 + px AS x FROM pix), f AS (SELECT value, 2 * y + i AS ty, (2 * x + j + 16 * w) % (16 * w) AS tx, greatest(0e0, 1e0 - abs((i + 0.5e0) / 2 - 0.5e0)) * greatest(0e0, 1e0 - abs((j + 0.5e0) / 2 - 0.5e0)) AS k FROM o, fit, range(-1, 3) a(i), range(-1, 3) b(j)), own AS (SELECT DISTINCT row AS r, col AS c FROM pix) SELECT CAST(ty // 8 AS INT) AS row, CAST(tx // 8 AS INT) AS col, CAST(ty % 8 AS INT) AS py, CAST(tx % 8 AS INT) AS px, round(sum(value * k) / sum(k), 5) AS value FROM f JOIN own ON r = ty // 16 AND c = tx // 16 WHERE k <> 0 AND ty >= 0 GROUP BY ty, tx")
 def _(spark, sf):
-    config = _config(spark, sf, "run", zoom_levels={"min": 5, "max": 6}, baselevels={"min": 5, "max": 5, "higher": "bilinear"})
-    return _run(spark, config).where("zoom = 6").select("row", "col", "py", "px", F.round("value", 5).alias("value"))
+    z = fitting_zoom(spark, sf)
+    config = _config(spark, sf, "run", z, zoom_levels={"min": z, "max": z + 1}, baselevels={"min": z, "max": z, "higher": "bilinear"})
+    return _run(spark, config).where(F.col("zoom") == z + 1).select("row", "col", "py", "px", F.round("value", 5).alias("value"))
 
 
 @register("tile_directory_fallback", f"WITH {PIX}, n AS (SELECT * FROM pix WHERE label % 2 = 0), low AS (SELECT row // 2 AS row, col // 2 AS col, (row % 2 * 8 + py) // 2 AS py, (col % 2 * 8 + px) // 2 AS px, max(value) AS value FROM pix GROUP BY ALL), k AS (SELECT row * 16 + py * 2 + i AS y, col * 16 + px * 2 + j AS x, value FROM low, range(2) a(i), range(2) b(j)), u AS (SELECT CAST(y // 8 AS INT) AS row, CAST(x // 8 AS INT) AS col, CAST(y % 8 AS INT) AS py, CAST(x % 8 AS INT) AS px, value FROM k) SELECT row, col, py, px, value FROM n UNION ALL SELECT u.row, u.col, u.py, u.px, u.value FROM u ANTI JOIN n ON u.row = n.row AND u.col = n.col WHERE u.value IS NOT NULL")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.operators import overlay, vector
-from gridloom.plans.catalogue import _FOCAL, GEO, PIX, WIDTH, Z, _config, _run, packed, read, register
+from gridloom.plans.catalogue import _SHADED, FITTED, GEO, PIX, SPAN, WIDTH, Z, _config, _run, fitting_zoom, packed, read, register
 
 #: Of the tables' keys: left, bottom, width, height in whole numbers.
 _BOX = "CAST({k} * 37 % 190 - 95 AS DOUBLE) AS u, CAST({k} * 53 % 90 - 45 AS DOUBLE) AS v, CAST(1 + {k} % 5 AS DOUBLE) AS w, CAST(1 + {k} % 4 AS DOUBLE) AS h"
@@ -101,7 +101,7 @@ def _(spark, sf):
 
 
 _CLIP = "k AS (SELECT n_nationkey * 14e0 - 175.3e0 AS l, n_nationkey * 14e0 - 167.3e0 AS r, (n_nationkey * 11) % 150 - 90.2e0 AS b, (n_nationkey * 11) % 150 - 65.2e0 AS t FROM nation)"
-_TILES = "tile AS (SELECT DISTINCT row, col, col * 5.625e0 - 180 AS x0, 90 - row * 5.625e0 AS y1 FROM pix), gated AS (SELECT tile.* FROM tile WHERE EXISTS (SELECT 1 FROM k WHERE l < x0 + 5.625e0 AND r > x0 AND b < y1 AND t > y1 - 5.625e0))"
+_TILES = f"tile AS (SELECT DISTINCT row, col, col * {SPAN} - 180 AS x0, 90 - row * {SPAN} AS y1 FROM pix), gated AS (SELECT tile.* FROM tile WHERE EXISTS (SELECT 1 FROM k WHERE l < x0 + {SPAN} AND r > x0 AND b < y1 AND t > y1 - {SPAN}))"
 
 
 def _rectangles(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,22 +111,24 @@ def _rectangles(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "nation").select(_shape("Polygon", ring).alias("geom"))
 
 
-@register("run_contours_clip", f"WITH {PIX}, {_CLIP}, {_TILES}, c AS (SELECT row, col, e, x0 + ((e - 3) / 10 + 0.5e0) * 0.703125e0 AS x, y1 - 7.5e0 * 0.703125e0 AS low, y1 - 0.5e0 * 0.703125e0 AS high FROM gated, (VALUES (20e0), (40e0), (60e0)) v(e)), o AS (SELECT row, col, e, high - low - coalesce(sum(CASE WHEN l IS NOT NULL THEN greatest(0e0, least(t, high) - greatest(b, low)) END), 0) AS n FROM c LEFT JOIN k ON l < x AND x < r GROUP BY row, col, e, low, high) SELECT row, col, e AS elev, round(n, 5) AS length FROM o WHERE n > 0.000001e0")
+@register("run_contours_clip", f"WITH {FITTED}, {_CLIP}, {_TILES}, c AS (SELECT row, col, e, x0 + ((e - 3) / 10 + 0.5e0) * ({SPAN} / 8) AS x, y1 - 7.5e0 * ({SPAN} / 8) AS low, y1 - 0.5e0 * ({SPAN} / 8) AS high FROM gated, (VALUES (20e0), (40e0), (60e0)) v(e)), o AS (SELECT row, col, e, high - low - coalesce(sum(CASE WHEN l IS NOT NULL THEN greatest(0e0, least(t, high) - greatest(b, low)) END), 0) AS n FROM c LEFT JOIN k ON l < x AND x < r GROUP BY row, col, e, low, high) SELECT row, col, e AS elev, round(n, 5) AS length FROM o WHERE n > 0.000001e0")
 def _(spark, sf):
     """Contours of ramps, those outside the rectangles, cut at them; tiles without a rectangle have none."""
-    ramp = packed(spark, sf).withColumn("pixels", F.transform("pixels", lambda v, i: (i % WIDTH) * 10.0 + 3.0))
-    config = _config(spark, sf, "run", zoom_levels=5, process="contours", process_parameters={"interval": 20.0}, input={"dem": ramp, "clip": _rectangles(spark, sf)}, output={"format": "GeoJSON", "schema": {"geometry": "LineString"}})
+    z = fitting_zoom(spark, sf)
+    ramp = packed(spark, sf, z).withColumn("pixels", F.transform("pixels", lambda v, i: (i % WIDTH) * 10.0 + 3.0))
+    config = _config(spark, sf, "run", z, zoom_levels=z, process="contours", process_parameters={"interval": 20.0}, input={"dem": ramp, "clip": _rectangles(spark, sf)}, output={"format": "GeoJSON", "schema": {"geometry": "LineString"}})
     from gridloom.plans.engine import open_process
 
     p = open_process(spark, config, "overwrite")
     p.execute()
-    return p.read(5).groupBy("row", "col", F.col("properties")["elev"].cast("double").alias("elev")).agg(F.round(F.sum(G.length(F.col("geom"))), 5).alias("length"))
+    return p.read(z).groupBy("row", "col", F.col("properties")["elev"].cast("double").alias("elev")).agg(F.round(F.sum(G.length(F.col("geom"))), 5).alias("length"))
 
 
-@register("run_hillshade_clip", _FOCAL.replace("/ 8e0", "/ 5.625e0").replace("/ -8e0", "/ -5.625e0") + f", {_CLIP}, {_TILES}, s AS (SELECT row, col, py, px, 1.5707963267948966e0 - atan(sqrt(x * x + y * y)) AS sl, atan2(x, y) AS asp FROM g), h AS (SELECT row, col, py, px, trunc(greatest(least(255e0 * (sin(radians(45e0)) * sin(sl) + cos(radians(45e0)) * cos(sl) * cos(radians(225e0) - asp)), 255e0), 1e0)) AS shade FROM s) SELECT a.row, a.col, a.py, a.px, CAST(h.shade AS DOUBLE) AS value FROM (SELECT DISTINCT row, col, py, px FROM pix) a JOIN h ON h.row = a.row AND h.col = a.col AND h.py = least(greatest(a.py, 1), 6) AND h.px = least(greatest(a.px, 1), 6) JOIN gated ON gated.row = a.row AND gated.col = a.col WHERE h.shade < 255")
+@register("run_hillshade_clip", _SHADED + f", {_CLIP}, {_TILES}, s AS (SELECT row, col, py, px, 1.5707963267948966e0 - atan(sqrt(x * x + y * y)) AS sl, atan2(x, y) AS asp FROM g), h AS (SELECT row, col, py, px, trunc(greatest(least(255e0 * (sin(radians(45e0)) * sin(sl) + cos(radians(45e0)) * cos(sl) * cos(radians(225e0) - asp)), 255e0), 1e0)) AS shade FROM s) SELECT a.row, a.col, a.py, a.px, CAST(h.shade AS DOUBLE) AS value FROM (SELECT DISTINCT row, col, py, px FROM pix) a JOIN h ON h.row = a.row AND h.col = a.col AND h.py = least(greatest(a.py, 1), 6) AND h.px = least(greatest(a.px, 1), 6) JOIN gated ON gated.row = a.row AND gated.col = a.col WHERE h.shade < 255")
 def _(spark, sf):
     """Tiles with a rectangle are shaded whole, the others are empty."""
-    config = _config(spark, sf, "run", zoom_levels=5, process="hillshade", process_parameters={}, input={"dem": packed(spark, sf), "clip": _rectangles(spark, sf)}, output={"format": "PNG_hillshade"})
+    z = fitting_zoom(spark, sf)
+    config = _config(spark, sf, "run", z, zoom_levels=z, process="hillshade", process_parameters={}, input={"dem": packed(spark, sf, z), "clip": _rectangles(spark, sf)}, output={"format": "PNG_hillshade"})
     return _run(spark, config).select("row", "col", "py", "px", "value")
 
 
