@@ -102,6 +102,26 @@ def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         _staged.extend(results)
 
 
+#: Bytes of files, or of what was shuffled, up to which Spark may choose to broadcast a side inside ``bounded_broadcasts``.
+BROADCAST = 1 << 20
+
+
+@contextmanager
+def bounded_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Plans executed inside broadcast no side of more than BROADCAST bytes, or of Spark's limit if that is less.
+
+    Spark goes by the bytes of compressed files. Columns of numbers that repeat, or arrays that share most of theirs,
+    can be many times larger as rows in the driver.
+    """
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, most = spark.conf.get(key), spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    spark.conf.set(key, str(min(most, BROADCAST)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

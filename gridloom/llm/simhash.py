@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import LOWER, as_bytes, bounded_batches, packed, row_map, staged, staging, table, unpacked, unstaged, without
+from gridloom.llm.common import LOWER, as_bytes, bounded_batches, bounded_broadcasts, packed, row_map, staged, staging, table, unpacked, unstaged, without
 
 SHINGLE = 3
 SEED = 42
@@ -50,8 +50,9 @@ LEVELS = 4
 MANY = 2
 #: A shingle that more than one in so many members of a hub has is put last.
 OFTEN = 64
-#: Shingles, and texts, that are shuffled are taken in so many parts, one after the other, so that only one part is on disk at a time.
-SLICES = 8
+#: Shingles, and texts, that are shuffled are taken in so many parts at most, one after the other, so that only one part is on disk
+#: at a time; fewer for tables with less than so many shingles a part, as each part costs the driver jobs.
+SLICES, SLICE = 8, 5_000_000
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -132,7 +133,8 @@ def crowded(fps: DataFrame) -> DataFrame:
     met = staged(met.where("a <> b").select("half", "near", "odd"), "simhash-met")
     near = F.col("near")
     sources = F.when(_odd(near), F.array(near)).otherwise(F.concat(F.array(near), _flips(near, _HALF_FLIPS)))
-    hits = parts.join(met.select("half", "odd", F.explode(sources).alias("value")), ["half", "value"]).groupBy("fp").agg(F.max("odd").alias("odd"))
+    # Spark's estimate of this side leaves out the flips, so it would be broadcast at 33 times the size that is meant to be.
+    hits = parts.join(met.select("half", "odd", F.explode(sources).alias("value")).hint("merge"), ["half", "value"]).groupBy("fp").agg(F.max("odd").alias("odd"))
     return hits.select("fp", ((F.bit_count("fp") % 2 == 0) & (F.col("odd") == 1)).alias("wide"))
 
 
@@ -214,7 +216,7 @@ def classes(marked: DataFrame, key: str = "doc_id", more: DataFrame | None = Non
 
 def apply(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, fp, component_id of every row."""
-    with staging(docs.sparkSession) as result:
+    with bounded_broadcasts(docs.sparkSession), staging(docs.sparkSession) as result:
         return result(classes(staged(with_fingerprint(docs, text, [key]), "simhash-marked"), key), "simhash-classes")
 
 
@@ -309,12 +311,12 @@ def compared(pairs: DataFrame, nodes: DataFrame, permille: int) -> DataFrame:
     return df.select("a", "b", "n_a", "n_b", (F.col("few") | (F.col("apart") + margin <= F.col("most"))).alias("sure"))
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, size: int) -> list[DataFrame]:
-    """node, grams: the sets of shingles of the nodes in ``ends``, from their texts; SLICES written tables, as the texts move in so many parts."""
+def sets_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, size: int, slices: int) -> list[DataFrame]:
+    """node, grams: the sets of shingles of the nodes in ``ends``, from their texts; ``slices`` written tables, as the texts move in so many parts."""
     at = staged(nodes.select("node", "_k1", "_k2").join(ends, "node", "left_semi"), "simhash-at")
     parts = []
-    for i in range(SLICES):
-        mine = F.pmod("_k1", F.lit(SLICES)) == i
+    for i in range(slices):
+        mine = F.pmod("_k1", F.lit(slices)) == i
         texts = docs.where(mine).select("_k1", "_k2", as_bytes(F.col("text")).alias("_text")).join(at.where(mine), ["_k1", "_k2"])
         # Repeated rows go here, where texts of one key are together, so that sets don't move.
         texts = texts.groupBy("_k1", "_k2").agg(F.first("node").alias("node"), F.first("_text").alias("_text"))
@@ -431,7 +433,7 @@ def apart_pairs(crowd: DataFrame, sets: DataFrame, permille: int) -> tuple[list[
     return pairs, links
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int, slices: int = SLICES) -> DataFrame:
     """a, b: links of fingerprints whose texts' sets of shingles have a Jaccard similarity of ``permille`` / 1000 or more, enough to connect all that are linked.
 
     By prefix filtering: with all shingles in one order, rare ones first, two similar sets share one of their
@@ -443,8 +445,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
     """
     own = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")]
     parts = []
-    for i in range(SLICES):
-        rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(SLICES)) == i)
+    for i in range(slices):
+        rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(slices)) == i)
         shared = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token", (F.col("m") > CROWD).alias("crowd")), "simhash-tokens")
         parts.append(staged(rows.join(shared.hint("merge"), "token"), "simhash-shared"))
         discard(shared)
@@ -470,7 +472,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
             # What the rounds compare is taken out of all texts once.
             ends = staged(crowd.join(hubs.select("token"), "token", "left_semi").select("node").distinct(), "simhash-ends")
             inside = staged(nodes.select("node", "bits", "whole").join(ends, "node", "left_semi"), "simhash-inside")
-            whole = sets_of(docs, nodes, ends, size)
+            whole = sets_of(docs, nodes, ends, size, slices)
             sets = reduce(DataFrame.unionByName, whole)
         pairs = staged(possible(crowd.select("token", *own("a"), F.col("root").alias("root_a")).join(hubs, "token").where("root_a <> root_b")), "simhash-pairs")
         some = staged(compared(pairs, inside, permille), "simhash-compared")
@@ -502,7 +504,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, permille: int) -
         edges = edges.unionAll(grouped.where("node <> root").select("node", "root"))
     unsure = rest.where("NOT sure")
     if not unsure.isEmpty():
-        sets = reduce(DataFrame.unionByName, sets_of(docs, nodes, ends_of(unsure), size))
+        sets = reduce(DataFrame.unionByName, sets_of(docs, nodes, ends_of(unsure), size, slices))
         edges = edges.unionByName(alike(unsure, sets, permille))
     fp = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
     return edges.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).where("a <> b")
@@ -518,20 +520,21 @@ def keep(docs: DataFrame, size: int = KEEP_SHINGLE, permille: int = KEEP_PERMILL
     spark = docs.sparkSession
     k = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("_k2")]
     bounded_batches(spark)
-    with staging(spark) as result:
+    with bounded_broadcasts(spark), staging(spark) as result:
         common = _common(docs, size)
         slim = row_map(docs.select("doc_id", *k, as_bytes(F.col("text")).alias("_text")), "_text", _PROFILE_FIELDS, lambda: _profiles(common, size, permille), ["doc_id", "_k1", "_k2"])
         slim = staged(slim, "simhash-slim")
         marked = result(slim.select("doc_id", "_k1", "_k2", "fp"), "simhash-marked")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))).alias("d")
+        slices = min(SLICES, 1 + (slim.agg(F.sum("n")).first()[0] or 0) // SLICE)
         parts = []
-        for i in range(SLICES):
-            mine = slim.where(F.pmod("node", F.lit(SLICES)) == i).groupBy("node").agg(least, F.first(F.struct("_k1", "_k2", *[c for c in _PROFILE if c != "node"])).alias("s"))
+        for i in range(slices):
+            mine = slim.where(F.pmod("node", F.lit(slices)) == i).groupBy("node").agg(least, F.first(F.struct("_k1", "_k2", *[c for c in _PROFILE if c != "node"])).alias("s"))
             parts.append(staged(mine.select("node", "d", "s.*"), "simhash-nodes"))
         nodes = reduce(DataFrame.unionByName, parts)
         unstaged(slim)
-        more = result(similar_links(docs.select("text", *k), nodes, size, permille), "simhash-similar")
-    with staging(spark) as result:
+        more = result(similar_links(docs.select("text", *k), nodes, size, permille, slices), "simhash-similar")
+    with bounded_broadcasts(spark), staging(spark) as result:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
         kept = result(classes(marked, more=more).groupBy("root").agg(first.alias("s")).select(F.col("s.k1").alias("_k1"), F.col("s.k2").alias("_k2")), "simhash-kept")
         again = result(marked.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k1", "_k2"), "simhash-again")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridloom.llm import bpe, decontaminate, language, quality, simhash
+from gridloom.llm import bpe, common, decontaminate, language, quality, simhash
 from pyspark.sql import functions as F
 from test_operators import DE, EN, SCHEMA, brute_fingerprint, brute_hits, brute_measures, words
 
@@ -94,3 +94,33 @@ def test_odd_rows_and_clashing_columns_through_all_stages(spark):
 
 def test_no_documents(spark):
     assert [df.count() for df in through(spark, spark.createDataFrame([], SCHEMA))] == [0] * 6
+
+
+def test_near_dedup_broadcasts_only_what_is_small_as_rows(spark):
+    """The flips of a half are 33 times what Spark expects, so that side is never broadcast, whatever the limit."""
+    fps = spark.createDataFrame([(1 << i,) for i in range(40)], "fp long")
+    hits = simhash.crowded(fps)
+    assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.count() == 40
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        for value, inside in ("64m", 1 << 20), ("10k", 10 << 10), ("-1", -1):
+            spark.conf.set(key, value)
+            try:
+                with common.bounded_broadcasts(spark):
+                    assert int(spark.conf.get(key)) == inside
+                    raise KeyError
+            except KeyError:
+                assert spark.conf.get(key) == value
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_near_dedup_in_one_slice_and_in_several(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = []
+    for most in simhash.SLICE, 1:
+        monkeypatch.setattr(simhash, "SLICE", most)
+        kept.append(sorted(r["doc_id"] for r in simhash.keep(docs).collect()))
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
