@@ -31,6 +31,40 @@ def lists(arrays: Iterable[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(data, mask=np.isnan(data)))
 
 
+def geometries(column: pa.Array | pa.ChunkedArray) -> list[dict | None]:
+    """A geometry column's values, as `to_pylist` gives them but without an Arrow scalar for each point."""
+    column = one_chunk(column)
+    if isinstance(column, pa.ChunkedArray):  # no chunk at all
+        return []
+    kinds, rings, part = column.flatten()
+    inner = rings.values
+    points = inner.values
+    if inner.null_count or points.null_count:
+        return column.to_pylist()
+    x, y = (v.to_pylist() if v.null_count else v.to_numpy().tolist() for v in points.flatten())
+    if inner.offset or points.offset or len(x) != len(points):
+        return column.to_pylist()
+    at = inner.offsets.to_numpy().tolist()
+    xy = [{"x": a, "y": b} for a, b in zip(x, y)]
+    lines = [xy[a:b] for a, b in zip(at, at[1:])]
+    at, numbers = rings.offsets.to_numpy().tolist(), part.to_pylist()
+    held = rings.is_valid().to_pylist()
+    found = [{"type": k, "rings": lines[a:b] if h else None, "part": n} for k, a, b, h, n in zip(kinds.to_pylist(), at, at[1:], held, numbers)]
+    return [g if v else None for g, v in zip(found, column.is_valid().to_pylist())] if column.null_count else found
+
+
+def maps(column: pa.Array | pa.ChunkedArray) -> list[list[tuple] | None]:
+    """A map column's values as lists of pairs, as `to_pylist` gives them but without an Arrow scalar for each pair."""
+    column = one_chunk(column)
+    if isinstance(column, pa.ChunkedArray):  # no chunk at all
+        return []
+    pairs = list(zip(column.keys.to_pylist(), column.items.to_pylist()))
+    at = column.offsets.to_numpy().tolist()
+    if at and at[-1] > len(pairs):
+        return column.to_pylist()
+    return [pairs[a:b] if v else None for a, b, v in zip(at, at[1:], column.is_valid().to_pylist())]
+
+
 def cubes(table: pa.Table) -> np.ndarray:
     """Bands by height by width of one tile's rows, in the order of their bands."""
     order = np.argsort(table["band"].to_numpy(), kind="stable")

@@ -65,7 +65,7 @@ class VectorInput:
         return not self.rows.num_rows
 
     def read(self) -> list[dict]:
-        return [{"geometry": r["geom"], "properties": dict(r["properties"] or {})} for r in self.rows.select(["geom", "properties"]).to_pylist()]
+        return [{"geometry": g, "properties": dict(p or {})} for g, p in zip(arrays.geometries(self.rows["geom"]), arrays.maps(self.rows["properties"]))]
 
 
 @dataclass

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +25,8 @@ from gridloom.sources import images
 from gridloom.sources.paths import Location
 
 RASTER = "path string, band int, height int, width int, dtype string, nodata double, crs string, px double, py double, box struct<left:double,bottom:double,right:double,top:double>, pixels array<double>"
+#: Features that a reader hands on at once.
+FEATURES = 10_000
 FEATURE = "feature_id long, geom struct<type:string,rings:array<array<struct<x:double,y:double>>>,part:array<int>>, properties map<string,string>"
 
 
@@ -197,19 +198,25 @@ def vector_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def decoded_features(files: DataFrame) -> DataFrame:
     """path and the features of GeoJSON files (path, content)."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in batches:
-            for path, content in zip(some["path"], some["content"]):
-                text = bytes(content).decode()
+    schema = f"path string, {FEATURE}"
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                path, text = path.as_py(), content.as_py().decode()
                 try:
                     docs = [json.loads(text)]
                 except ValueError:
                     docs = [json.loads(line) for line in text.splitlines() if line.strip()]
                 features = [f for d in docs for f in (d["features"] if d["type"] == "FeatureCollection" else [d])]
-                rows = [(path, i, G.from_geojson(f.get("geometry")), {k: None if v is None else v if isinstance(v, str) else json.dumps(v) for k, v in (f.get("properties") or {}).items()}) for i, f in enumerate(features)]
-                yield pd.DataFrame(rows, columns=["path", "feature_id", "geom", "properties"])
-
-    return files.mapInPandas(decode, f"path string, {FEATURE}")
+                # A large file's features go on in parts.
+                for start in range(0, len(features), FEATURES):
+                    some = features[start : start + FEATURES]
+                    properties = [[(k, None if v is None else v if isinstance(v, str) else json.dumps(v)) for k, v in (f.get("properties") or {}).items()] for f in some]
+                    columns = {"path": [path] * len(some), "feature_id": list(range(start, start + len(some))), "geom": [G.from_geojson(f.get("geometry")) for f in some], "properties": properties}
+                    yield from arrays.table_of(columns, schema).to_batches()
+
+    return files.select("path", "content").mapInArrow(decode, schema)
 
 
 @dataclass

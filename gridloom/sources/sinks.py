@@ -258,7 +258,7 @@ def write_geojson_tiles(features: DataFrame, path: str, schema: str = SCHEMA, re
     def put(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         zoom, row, col = (int(k.as_py()) for k in key)
         place = f"{path.rstrip('/')}/" + schema.format(zoom=zoom, row=row, col=col, extension="geojson")
-        found = [{"type": "Feature", "geometry": G.to_geojson(r["geom"]), "properties": dict(r["properties"] or {})} for r in rows.to_pylist() if r["geom"] is not None]
+        found = [{"type": "Feature", "geometry": G.to_geojson(g), "properties": dict(p or {})} for g, p in zip(arrays.geometries(rows["geom"]), arrays.maps(rows["properties"])) if g is not None]
         if not found:
             delete(place)
             return arrays.empty_table(WRITTEN)

@@ -1,14 +1,18 @@
 from __future__ import annotations
 
+import json
 import math
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions import arrays
 from gridloom.functions import geometry as G
+from gridloom.sources import readers
 
 SQUARE = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]]}
 
@@ -68,3 +72,27 @@ def test_antimeridian():
     xs = sorted(p["x"] for r in g["rings"] for p in r)
     assert g["type"] == "MultiPolygon" and xs[0] == -180 and xs[-1] == 180
     assert G.buffer_point_metres(179.99, 10, 5000)["type"] == "MultiPolygon"
+
+
+def test_geometry_and_map_columns_as_values():
+    kind = arrays.arrow(f"{readers.FEATURE}")
+    ring = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    geoms = [{"type": "Point", "rings": [ring((1, 2))], "part": [0]}, None, {"type": "MultiLineString", "rings": [ring((0, 0), (1, 1)), ring((3, 4), (5, 6), (7, 8))], "part": [0, 1]}, {"type": "Point", "rings": None, "part": None}, {"type": "MultiPoint", "rings": [], "part": []}, {"type": "Point", "rings": [ring((9, 9))], "part": [0]}]
+    maps = [[("id", "1")], None, [], [("a", None), ("b", "2")], [("c", "3")], [("d", "4")]]
+    table = pa.table({"geom": pa.array(geoms, kind.field("geom").type), "properties": pa.array(maps, kind.field("properties").type)})
+    for some in table, table.slice(1, 4), table.slice(2), table.slice(0, 0), pa.concat_tables([table, table.slice(1), table]), table.filter(pa.array([False, True, True, False, True, True])):
+        assert arrays.geometries(some["geom"]) == some["geom"].to_pylist()
+        assert arrays.maps(some["properties"]) == some["properties"].to_pylist()
+        for g, m in zip(some["geom"].chunks, some["properties"].chunks):
+            assert arrays.geometries(g) == g.to_pylist() and arrays.maps(m) == m.to_pylist()
+    holed = pa.array([{"type": "Point", "rings": [None, ring((1, 2))], "part": [0, 0]}, {"type": "Point", "rings": [[None]], "part": [0]}], kind.field("geom").type)
+    assert arrays.geometries(holed) == holed.to_pylist()
+
+
+def test_a_large_file_of_features_goes_on_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "FEATURES", 2)
+    features = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, -i]} if i else None, "properties": {"i": i, "s": "x", "none": None}} for i in range(5)]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    got = {r["feature_id"]: r for r in readers.vector_files(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[0]["geom"] is None and got[4]["geom"]["rings"][0][0].asDict() == {"x": 4.0, "y": -4.0}
+    assert got[3]["properties"] == {"i": "3", "s": "x", "none": None}
