@@ -28,3 +28,18 @@ def test_flat_pixels_have_an_aspect(spark):
     df = spark.range(1).select(*[F.lit(3.0).alias(f"w{i}") for i in range(9)])
     aspect = lambda y: df.select(R.slope_aspect([F.col(f"w{i}") for i in range(9)], 1.0, y)[1]).first()[0]
     assert aspect(-1.0) == math.pi and aspect(1.0) == 0.0
+
+
+@pytest.mark.parametrize("name", ["run_contours_clip"])
+def test_runs_beyond_zoom_5(spark, tmp_path, name):
+    """Embeddings on both sides of zoom 5's last tile (2047), also in tiles with a clip's rectangle."""
+    at = tmp_path / "embeddings.parquet"
+    duckdb.sql(f"COPY (SELECT * REPLACE ([0, 579, 2047, 2048, 2049][vec_id + 1] AS vec_id) FROM '/root/testdata/sf0.001/embeddings.parquet' WHERE vec_id < 5) TO '{at}'")
+    duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/nation.parquet') TO '{tmp_path}/nation.parquet'")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    con = duckdb.connect()
+    for table in ("embeddings", "nation"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    assert want and sorted(map(repr, map(tuple, df.select(columns).collect()))) == sorted(map(repr, want))
