@@ -30,7 +30,7 @@ def test_flat_pixels_have_an_aspect(spark):
     assert aspect(-1.0) == math.pi and aspect(1.0) == 0.0
 
 
-@pytest.mark.parametrize("name", ["run_contours_clip", "run_geotiff", "run_higher_bilinear", "run_hillshade", "run_hillshade_clip"])
+@pytest.mark.parametrize("name", ["run_contours_clip", "run_geotiff", "run_higher_bilinear", "run_hillshade", "run_hillshade_clip", "run_png"])
 def test_runs_beyond_zoom_5(spark, tmp_path, name):
     """Embeddings on both sides of zoom 5's last tile (2047), also in tiles with a clip's rectangle."""
     at = tmp_path / "embeddings.parquet"
