@@ -19,7 +19,8 @@ def blocks(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     if isinstance(column, pa.ChunkedArray):  # no chunk at all
         return []
     at = column.offsets.to_numpy()
-    data = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    at, values = at - at[0], column.values.slice(at[0], at[-1] - at[0])
+    data = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
     return [data[a:b] for a, b in zip(at, at[1:])]
 
 

@@ -32,8 +32,10 @@ def to_long(packed: DataFrame, pixels: str = "pixels", width: str = "width") ->
 def to_packed(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """A row for each tile and band; pixels that are missing are NULL."""
     cells = F.collect_list(F.struct((F.col("py") * width + F.col("px")).alias("i"), F.col("value").alias("v")))
-    df = pixels.groupBy(*TILE, "band").agg(F.map_from_entries(F.array_distinct(cells)).alias("m"))
-    return df.select(*TILE, "band", F.lit(height).alias("height"), F.lit(width).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.try_element_at("m", i)).alias("pixels"))
+    df = pixels.groupBy(*TILE, "band").agg(F.array(F.map_from_entries(F.array_distinct(cells))).alias("m"))
+    # The map is a lambda's argument, so it is made once for a tile and not again for each pixel.
+    filled = F.transform("m", lambda m: F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.try_element_at(m, i)))[0]
+    return df.select(*TILE, "band", F.lit(height).alias("height"), F.lit(width).alias("width"), filled.alias("pixels"))
 
 
 def masked(value: Column, nodata: float | None) -> Column:

@@ -26,6 +26,7 @@ from gridloom.functions import arrays
 from gridloom.functions import geometry as G
 from gridloom.functions import raster as R
 from gridloom.functions.pyramid import Pyramid, Tile
+from gridloom.operators.tiles import by_tile
 
 EMPTY = "empty"
 RASTER_OUT = "zoom int, row int, col int, band int, height int, width int, pixels array<double>, tags string"
@@ -156,14 +157,16 @@ def output_rows(found: Any, tile: Tile, vector: bool) -> pa.Table:
 def run(tiles: DataFrame, inputs: dict[str, DataFrame], function: Callable, pyramid: Pyramid, params: dict[str, Any] | None = None, vector: bool = False, vector_inputs: Iterable[str] = ()) -> DataFrame:
     """Call ``function`` for each tile. Inputs (packed rasters or features with zoom, row, col) are joined by tile.
 
-    The rows of all inputs are put under one another with their input's name, and grouped by tile once.
+    The rows of all inputs are put under one another with their input's name, and grouped by tile once: rasters many tiles
+    at a time, features tile by tile.
     """
     vector_inputs = set(vector_inputs)
     params = filtered_parameters(params or {})
     takes = check_parameters(function, [*inputs, *params])
     keys = R.TILE
+    rasters = not vector and not vector_inputs
     common = "zoom int, row int, col int, _input string, band int, height int, width int, pixels array<double>, geom struct<type:string,rings:array<array<struct<x:double,y:double>>>,part:array<int>>, properties map<string,string>"
-    names = [f.split(" ")[0] for f in common.split(", ")]
+    names = [f.split(" ")[0] for f in common.split(", ")][: 8 if rasters else None]
     types = dict(zip(names, [f.split(" ", 1)[1] for f in common.split(", ")]))
     parts = [tiles.select(*keys).distinct()]
     for name, df in inputs.items():
@@ -175,11 +178,12 @@ def run(tiles: DataFrame, inputs: dict[str, DataFrame], function: Callable, pyra
     given_names = list(inputs)
     needs_context = "mp" in inspect.signature(function).parameters
 
-    def call(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        tile = Tile(*(int(k.as_py()) for k in key))
+    def call(key: tuple[int, int, int], rows: pa.Table) -> pa.Table:
+        tile = Tile(*key)
         given: dict[str, Any] = {}
         for name in given_names:
-            own = rows.filter(pc.equal(rows["_input"], name))
+            # One row is the tile's own, without an input.
+            own = rows.filter(pc.equal(rows["_input"], name)) if rows.num_rows > 1 else rows.slice(0, 0)
             given[name] = VectorInput(own) if name in vector_inputs else RasterInput(own)
         context = Context(tile, pyramid, dict(given), params)
         arguments = {k: v for k, v in {**given, **params}.items() if k in takes}
@@ -191,7 +195,9 @@ def run(tiles: DataFrame, inputs: dict[str, DataFrame], function: Callable, pyra
             raise ProcessError(f"tile {tile.task_id}: {e!r}") from e
         return output_rows(list(found) if vector and not isinstance(found, (str, type(None))) else found, tile, vector)
 
-    return union.groupBy(*keys).applyInArrow(call, VECTOR_OUT if vector else RASTER_OUT)
+    if rasters:
+        return by_tile(union, call, RASTER_OUT)
+    return union.groupBy(*keys).applyInArrow(lambda key, rows: call(tuple(int(k.as_py()) for k in key), rows), VECTOR_OUT if vector else RASTER_OUT)
 
 
 # Built-in processes, as DataFrame plans.

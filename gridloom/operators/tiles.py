@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,40 @@ from gridloom.operators import covering as C
 KEYS = ["zoom", "row", "col"]
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by keys in a fixed number of partitions, for Python work that costs much more than its rows' bytes tell."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def by_tile(df: DataFrame, call: Callable[[tuple[int, int, int], pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``call(key, rows)`` for each tile's rows, as `applyInArrow` but many tiles to an Arrow batch: small tiles don't each cost a stream of their own.
+
+    Partitions are sorted by tile; what is kept from one batch to the next is the batch's last tile.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept, out = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in KEYS])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+            for start, end, key in zip(starts, [*starts[1:], batch.num_rows], zip(*keys[:, starts].tolist())):
+                if key != last and kept:
+                    out.append(call(last, pa.Table.from_batches(kept)))
+                    kept = []
+                last = key
+                kept.append(batch.slice(start, end - start))
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out = []
+        if kept:
+            yield from call(last, pa.Table.from_batches(kept)).to_batches()
+
+    return dealt(df, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, schema)
+
+
 def tiles_from_bounds(spark: SparkSession, pyramid: Pyramid, bounds: Bounds, zooms) -> DataFrame:
     """zoom, row, col of the tiles that share an area with ``bounds``: ranges are made in the JVM, rows in parallel.
 

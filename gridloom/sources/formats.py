@@ -7,15 +7,18 @@ Each has the same three operations, over packed rasters or features with zoom, r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.pyramid import Pyramid
-from gridloom.operators.tiles import KEYS
+from gridloom.operators.tiles import KEYS, dealt
 from gridloom.sources import readers, sinks
 
 #: What tells a tile's zoom, row and col in its path.
@@ -56,17 +59,46 @@ def keyed(df: DataFrame, path: str = "path") -> DataFrame:
 
 
 def _files(spark: SparkSession, path: str, extension: str, zoom: int | None) -> DataFrame | None:
-    """path, modificationTime, length, content of a directory's tile files, listed by Spark; None if there are none."""
+    """path of a directory's tile files; None if there are no zooms. Tasks list the rows' folders, so the driver has no list of all files,
+    and files are dealt to tasks by number: Spark's own reader takes an opened file for 4 MB, and so gives a task few small ones.
+    It brings path and content from stores that only Spark reaches."""
     at = sinks.Location(path, spark)
     if not at.exists():
         return None
     zooms = [x.name for x in at.ls() if x.name.isdigit() and (zoom is None or int(x.name) == zoom)]
     if not zooms:
         return None
+    if _reached(path):
+        return _listed(spark, path.rstrip("/"), extension, zooms)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     return reader.load([f"{path.rstrip('/')}/{z}" for z in zooms])
 
 
+def _reached(path: str) -> bool:
+    """Whether pyarrow's file systems reach a folder."""
+    try:
+        fs, at = sinks.file_system(path)
+        return fs.get_file_info(at).type == pafs.FileType.Directory
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def _listed(spark: SparkSession, path: str, extension: str, zooms: list[str]) -> DataFrame:
+    def inside(kind: pafs.FileType, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for folder in batch.column(0).to_pylist():
+                    fs, at = sinks.file_system(folder)
+                    found = fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
+                    places = [f"{folder}/{x.base_name}" for x in found if x.type == kind and re.fullmatch(name, x.base_name)]
+                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.string())], names=["path"])
+
+        return run
+
+    rows = spark.createDataFrame([(f"{path}/{z}",) for z in zooms], "path string").mapInArrow(inside(pafs.FileType.Directory, r"\d+"), "path string")
+    return dealt(rows, "path").mapInArrow(inside(pafs.FileType.File, rf"\d+\.{re.escape(extension)}"), "path string")
+
+
 def _existing(extension: str) -> Callable[[SparkSession, str], DataFrame]:
     def existing(spark: SparkSession, path: str) -> DataFrame:
         files = _files(spark, path, extension, None)
@@ -83,7 +115,7 @@ def _image_rows(extension: str, change: Callable[[np.ndarray], np.ndarray] | Non
         files = _files(spark, path, extension, zoom)
         if files is None:
             return spark.createDataFrame([], _TILE)
-        return keyed(readers.decoded(files, change=change)).select(*KEYS, "band", "height", "width", "pixels", F.lit("{}").alias("tags"))
+        return keyed(readers.decoded(dealt(files, "path") if "content" not in files.columns else files, change=change)).select(*KEYS, "band", "height", "width", "pixels", F.lit("{}").alias("tags"))
 
     return rows
 
@@ -129,7 +161,7 @@ def _feature_rows(spark: SparkSession, path: str, options: dict, zoom: int | Non
     files = _files(spark, path, "geojson", zoom)
     if files is None:
         return spark.createDataFrame([], f"zoom int, row int, col int, {readers.FEATURE}")
-    return keyed(readers.decoded_features(files.select("path", "content"))).select(*KEYS, "feature_id", "geom", "properties")
+    return keyed(readers.decoded_features(files)).select(*KEYS, "feature_id", "geom", "properties")
 
 
 for _f in (

@@ -25,7 +25,8 @@ from gridloom.sources import images
 from gridloom.sources.paths import Location
 
 RASTER = "path string, band int, height int, width int, dtype string, nodata double, crs string, px double, py double, box struct<left:double,bottom:double,right:double,top:double>, pixels array<double>"
-#: Features that a reader hands on at once.
+#: Pixels and features that a reader hands on at once.
+PIXELS = 1 << 18
 FEATURES = 10_000
 FEATURE = "feature_id long, geom struct<type:string,rings:array<array<struct<x:double,y:double>>>,part:array<int>>, properties map<string,string>"
 
@@ -42,12 +43,33 @@ def raster_files(spark: SparkSession, paths: str | list[str], bands: list[int] |
     return decoded(spark.read.format("binaryFile").load(paths), bands)
 
 
+def contents(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """path and bytes of files: a batch's own bytes, else they are read here, one file after the other; files that are gone are left out."""
+    paths = batch.column(0).to_pylist()
+    if batch.num_columns > 1:
+        yield from zip(paths, batch.column(1).to_pylist())
+        return
+    for path in paths:
+        try:
+            yield path, read_start(path, None)
+        except FileNotFoundError:
+            continue
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """What `contents` needs of files."""
+    return files.select("path", "content") if "content" in files.columns else files.select("path")
+
+
 def decoded(files: DataFrame, bands: list[int] | None = None, change: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """The rasters in files (path, content); ``change`` makes other bands of a file's own."""
+    """The rasters in files (path, and content if Spark reads it); ``change`` makes other bands of a file's own."""
+    names = [f.split(" ")[0] for f in RASTER.split(", ")]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[str, list] = {n: [] for n in names}
+        held = 0
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, content in contents(batch):
                 if content[:4] == b"\x89PNG":
                     data, meta = images.read_png(content), {"affine": images.Affine(1, 0, 0, 0, -1, 0), "crs": None, "nodata": None, "dtype": "uint8"}
                 else:
@@ -59,11 +81,16 @@ def decoded(files: DataFrame, bands: list[int] | None = None, change: Callable[[
                 values = data[own].astype(float)
                 if meta["nodata"] is not None:
                     values[values == meta["nodata"]] = np.nan
-                k = len(own)
-                rows = {"path": [path] * k, "band": [i + 1 for i in own], "height": [h] * k, "width": [w] * k, "dtype": [meta["dtype"]] * k, "nodata": [meta["nodata"]] * k, "crs": [meta["crs"]] * k, "px": [a.a] * k, "py": [-a.e] * k, "box": [box] * k, "pixels": arrays.lists(values)}
-                yield from arrays.table_of(rows, RASTER).to_batches()
+                for i, band in zip(own, values):
+                    for name, value in zip(names, (path, i + 1, h, w, meta["dtype"], meta["nodata"], meta["crs"], a.a, -a.e, box, band)):
+                        rows[name].append(value)
+                held += values.size
+                if held >= PIXELS:
+                    yield from arrays.table_of({**rows, "pixels": arrays.lists(rows["pixels"])}, RASTER).to_batches()
+                    rows, held = {n: [] for n in names}, 0
+        yield from arrays.table_of({**rows, "pixels": arrays.lists(rows["pixels"])}, RASTER).to_batches()
 
-    return files.select("path", "content").mapInArrow(decode, RASTER)
+    return with_content(files).mapInArrow(decode, RASTER)
 
 
 def raster_to_tiles(rasters: DataFrame, pyramid: Pyramid, zoom: int, method: str = "nearest", order: str = "path") -> DataFrame:
@@ -178,7 +205,7 @@ def _reachable(listed: DataFrame) -> bool:
         return False
 
 
-def read_start(path: str, most: int) -> bytes:
+def read_start(path: str, most: int | None) -> bytes:
     from gridloom.sources.sinks import file_system
 
     fs, at = file_system(path)
@@ -196,14 +223,14 @@ def vector_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def decoded_features(files: DataFrame) -> DataFrame:
-    """path and the features of GeoJSON files (path, content)."""
+    """path and the features of GeoJSON files (path, and content if Spark reads it)."""
 
     schema = f"path string, {FEATURE}"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                path, text = path.as_py(), content.as_py().decode()
+            for path, content in contents(batch):
+                text = content.decode()
                 try:
                     docs = [json.loads(text)]
                 except ValueError:
@@ -216,7 +243,7 @@ def decoded_features(files: DataFrame) -> DataFrame:
                     columns = {"path": [path] * len(some), "feature_id": list(range(start, start + len(some))), "geom": [G.from_geojson(f.get("geometry")) for f in some], "properties": properties}
                     yield from arrays.table_of(columns, schema).to_batches()
 
-    return files.select("path", "content").mapInArrow(decode, schema)
+    return with_content(files).mapInArrow(decode, schema)
 
 
 @dataclass

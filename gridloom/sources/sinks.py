@@ -19,7 +19,7 @@ from gridloom.functions import arrays
 from gridloom.functions import geometry as G
 from gridloom.functions.pyramid import Pyramid
 from gridloom.functions.raster import RANGES
-from gridloom.operators.tiles import KEYS, cross_pyramid
+from gridloom.operators.tiles import KEYS, by_tile, cross_pyramid
 from gridloom.sources import images
 from gridloom.sources.index import SCHEMA
 from gridloom.sources.paths import Location
@@ -126,7 +126,7 @@ WRITTEN = "zoom int, row int, col int, location string, bytes long"
 def write_images(packed: DataFrame, path: str, pyramid: Pyramid, kind: str = "GTiff", dtype: str = "float64", nodata: float = 0.0, schema: str = SCHEMA, replaced: DataFrame | None = None) -> DataFrame:
     """An image file for each tile, by tile path schema; returns zoom, row, col, location, bytes.
 
-    Bands of a tile are grouped first. A file appears whole or not at all: it is written under another name and
+    Bands of a tile are grouped first, many tiles at a time. A file appears whole or not at all: it is written under another name and
     then moved, so a task that is run again does no harm. Tiles without data aren't written, and of tiles in
     ``replaced`` that have none now the file goes.
     """
@@ -136,8 +136,8 @@ def write_images(packed: DataFrame, path: str, pyramid: Pyramid, kind: str = "GT
     if replaced is not None:
         packed = packed.unionByName(replaced.select(*KEYS).distinct(), allowMissingColumns=True)
 
-    def put(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        zoom, row, col = (int(k.as_py()) for k in key)
+    def put(key: tuple[int, int, int], rows: pa.Table) -> pa.Table:
+        zoom, row, col = key
         place = f"{path.rstrip('/')}/" + schema.format(zoom=zoom, row=row, col=col, extension=ending)
         rows = rows.filter(rows["band"].is_valid())
         data = arrays.cubes(rows) if rows.num_rows else np.full((1, 1, 1), np.nan)
@@ -152,7 +152,7 @@ def write_images(packed: DataFrame, path: str, pyramid: Pyramid, kind: str = "GT
         save_whole(place, content)
         return arrays.table_of({"zoom": [zoom], "row": [row], "col": [col], "location": [place], "bytes": [len(content)]}, WRITTEN)
 
-    return packed.groupBy(*KEYS).applyInArrow(put, WRITTEN)
+    return by_tile(packed, put, WRITTEN)
 
 
 def in_type(data: np.ndarray, dtype: str, nodata: float) -> np.ndarray:
