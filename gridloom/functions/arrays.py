@@ -109,8 +109,10 @@ def arrow(schema: str) -> pa.Schema:
 def table_of(rows: dict[str, list | pa.Array], schema: str) -> pa.Table:
     """Columns as a table of a Spark schema."""
     fields = arrow(schema)
-    return pa.table([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in zip(fields, (rows[f.name] for f in fields))], schema=fields)
+    columns = [(rows[n], t) for n, t in zip(fields.names, fields.types)]
+    return pa.Table.from_arrays([(v if v.type == t else v.cast(t)) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in columns], schema=fields)
 
 
+@lru_cache(64)
 def empty_table(schema: str) -> pa.Table:
     return arrow(schema).empty_table()

@@ -39,7 +39,8 @@ def by_tile(df: DataFrame, call: Callable[[tuple[int, int, int], pa.Table], pa.T
             starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
             for start, end, key in zip(starts, [*starts[1:], batch.num_rows], zip(*keys[:, starts].tolist())):
                 if key != last and kept:
-                    out.append(call(last, pa.Table.from_batches(kept)))
+                    found = call(last, pa.Table.from_batches(kept))
+                    out += [found] if found.num_rows else []
                     kept = []
                 last = key
                 kept.append(batch.slice(start, end - start))
